@@ -19,7 +19,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.quality_rules import fit_rules, quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizers' files are on this machine; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1)
+    return pieces.drop("loss_tokens")
+
+
+def op8_elias_fano_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.elias_fano import encode_and_read
+
+    return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op6_vector_packing": op6_vector_packing,
+    "op8_elias_fano_token_ids": op8_elias_fano_token_ids,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
