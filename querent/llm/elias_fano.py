@@ -126,7 +126,7 @@ def write(
 
         from querent.llm.tokenizing import encoder
 
-        encode = encoder(vocabulary, leading_space).encode
+        encode = encoder(vocabulary, leading_space).encode_batch
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         ids: list[bytes] = []
@@ -137,10 +137,10 @@ def write(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, number, len(ids), total, file_bytes(doc_ids, ids, id_bytes)), kinds)], names=names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 if doc_id is None:
                     raise ValueError("a document has no id")
-                ids.append(encode(text) + end)
+                ids.append(own + end)
                 doc_ids.append(doc_id)
                 total += len(ids[-1]) // 4
                 if total >= FILE_IDS or len(ids) >= FILE_DOCS:

@@ -172,7 +172,7 @@ def pack(
 
         from querent.llm.tokenizing import encoder
 
-        encode = encoder(vocabulary, leading_space).encode
+        encode = encoder(vocabulary, leading_space).encode_batch
         packer = Packer(limits)
         next_id = TaskContext.get().partitionId() * IDS_PER_TASK
         held: dict[int, tuple[object, bytes]] = {}
@@ -201,8 +201,8 @@ def pack(
         for b in batches:
             key_type = b.schema.field(0).type
             firsts = b.column(2).to_pylist() if b.num_columns > 2 else [0] * b.num_rows
-            for own, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), firsts):
-                ids = encode(text) + end
+            for own, ids, first in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), firsts):
+                ids += end
                 held[number] = (own, ids)
                 waiting.append((number, len(ids) // 4, max(0, first or 0)))
                 number += 1

@@ -8,18 +8,40 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 
-#: Pieces kept per Python worker; the cache starts anew when it is full.
-CACHE_PIECES = 250_000
+#: Pieces in one generation of the cache; two generations are kept, and used pieces move to the newer.
+CACHE_PIECES = 400_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space other than a space and a line feed, as Python sees it (more than the tokenizers do).
+_OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_NOT_SPACE_EVERYWHERE = re.compile("[\x1c-\x1f]")
+
+
+class _Numbers(dict):
+    """Numbers pieces as they come; those of the older generation take their ids along."""
+
+    def __init__(self, older: dict[str, int], older_ids: list[bytes]):
+        self.older, self.older_ids = older, older_ids
+        self.ids: list[bytes] = []
+        self.missing: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        at = self.older.get(piece)
+        if at is None:
+            self.missing.append(piece)
+            self.ids.append(b"")
+        else:
+            self.ids.append(self.older_ids[at])
+        self[piece] = number = len(self.ids) - 1
+        return number
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit bytes.
+    """encode_batch(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
     leading_space: the tokenizer keeps white space and joins one space to the word after it (byte-level
     BPE); otherwise white space is dropped (word BPE). add_special_tokens is always off.
@@ -32,48 +54,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.leading_space = leading_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.line = self._whole("\n") if leading_space else b""
-
-    def _whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.known = _Numbers({}, [])
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known = _Numbers(dict(self.known), self.known.ids)
+        known = self.known
+        numbers = [list(map(known.__getitem__, self._pieces(t or ""))) for t in texts]
+        missing, known.missing = known.missing, []
+        if missing:
+            found = self.tokenizer.encode_batch_fast([self._text(p) for p in missing], add_special_tokens=False)
+            for p, e in zip(missing, found):
+                known.ids[known[p]] = array("I", e.ids).tobytes()
+        out = [b"".join(map(known.ids.__getitem__, n)) for n in numbers]
+        for p in missing:
+            if len(p) > CACHE_LENGTH:
+                known.ids[known.pop(p)] = b""
+        return out
+
+    def _pieces(self, text: str) -> list[str]:
+        """The text in pieces that are encoded apart; a piece stands for _text(piece)."""
         if any(s in text for s in self.special):
-            return self._whole(text)
+            return ["  " + text]
         if not self.leading_space:
-            return self._joined(text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" "))
-        if _TWO_SPACES.search(text):
-            return self._whole(text)
-        out = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            out.append(self._joined(pieces))
-        return self.line.join(out)
-
-    def _joined(self, pieces: list[str]) -> bytes:
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        missing = list({p for p in pieces if p not in cache})
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        own = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(missing, found)}
-        short = {p: b for p, b in own.items() if len(p) <= CACHE_LENGTH}
-        cache.update(short)
-        if len(short) == len(own):
-            return b"".join(map(cache.__getitem__, pieces))
-        return b"".join(own[p] if p in own else cache[p] for p in pieces)
+            return text.split() if not _NOT_SPACE_EVERYWHERE.search(text) else ["  " + text]
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+            return ["  " + text]  # runs of white space are divided by what stands around them
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "  " + pieces[0]
+        return pieces
+
+    def _text(self, piece: str) -> str:
+        """Pieces hold no spaces; two mark one that is taken as it is, and others but for new lines follow a space."""
+        if piece.startswith("  "):
+            return piece[2:]
+        return " " + piece if self.leading_space and not piece.startswith("\n") else piece
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
