@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent.llm import licenses
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +21,41 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.quotes import link
+
+    return link(table(spark, sf_dir, "conversations")).withColumnsRenamed({"thread": "conv_id", "order": "turn"})
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.chroma import align, fingerprints, melody
+
+    recordings = melody(table(spark, sf_dir, "embeddings"))
+    return align(fingerprints(recordings, rate=2000, id_col="vec_id"), id_col="vec_id")
+
+
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.weak_labels import weak_quality
+
+    return weak_quality(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.quality_rules import fit_rules, quality
 
@@ -47,10 +84,12 @@ def op8_elias_fano_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_quality_rules": op3_quality_rules,
-    "op6_vector_packing": op6_vector_packing,
-    "op8_elias_fano_token_ids": op8_elias_fano_token_ids,
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_quotation_linking, op2_license_scan, op3_quality_rules, op4_chroma_fingerprints, op5_weak_label_quality,
+        op6_vector_packing, op7_mixing, op8_elias_fano_token_ids, op9_secret_scan, op10_simhash_near_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL for those that SQL can express; the others are tested against brute force.
+ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql()}
