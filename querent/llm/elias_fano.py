@@ -126,7 +126,8 @@ def write(
 
         from querent.llm.tokenizing import encoder
 
-        encode = encoder(vocabulary, leading_space).encode_batch
+        coder = encoder(vocabulary, leading_space)
+        encode = coder.encode_batch
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         ids: list[bytes] = []
@@ -148,6 +149,7 @@ def write(
                     doc_ids, ids, total, number = [], [], 0, number + 1
         if ids:
             yield row()
+        coder.forget()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     files = ordered.mapInArrow(run, "part long, number long, docs long, ids long, file binary")

@@ -172,7 +172,8 @@ def pack(
 
         from querent.llm.tokenizing import encoder
 
-        encode = encoder(vocabulary, leading_space).encode_batch
+        coder = encoder(vocabulary, leading_space)
+        encode = coder.encode_batch
         packer = Packer(limits)
         next_id = TaskContext.get().partitionId() * IDS_PER_TASK
         held: dict[int, tuple[object, bytes]] = {}
@@ -213,6 +214,7 @@ def pack(
         if waiting:
             yield from rows(packer.pack(waiting))
         yield from rows(packer.close())
+        coder.forget()
 
     columns = [id_col, text_col, *([prompt_tokens_col] if prompt_tokens_col else [])]
     return docs.select(*columns).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in names[1:]))

@@ -6,19 +6,36 @@ that; texts in which a cut could change the result are encoded whole. The ids eq
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 
 #: Pieces in one generation of the cache; two generations are kept, and used pieces move to the newer.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
 #: White space other than a space and a line feed, as Python sees it (more than the tokenizers do).
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NOT_SPACE_EVERYWHERE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case doesn't depend on their neighbours and that never combine.
+_UNUSUAL = re.compile("[\u0130\u0180-\U0010ffff]")
+
+
+#: Letters and then ASCII signs other than an apostrophe.
+_LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others
+    follow from U+0100 on in order. A line feed is left out, as it divides words here."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 0x0A}
 
 
 class _Numbers(dict):
@@ -50,37 +67,101 @@ class Encoder:
     def __init__(self, path: str, leading_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.leading_space = leading_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        self.letters = _byte_letters()
+        mark = self.model.encode("\0".translate(self.letters), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # no word of letters and signs holds it
+        self.lower_case = not leading_space and self._whole("ABCÉ") == self._whole("abcé")
+        letters = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and (not self.lower_case or c.lower() == c))
+        self.usual = re.compile(f"[{letters}]+").fullmatch
         self.known = _Numbers({}, [])
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # no cycles here, and many objects to look through
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.known = _Numbers(dict(self.known), self.known.ids)
         known = self.known
         numbers = [list(map(known.__getitem__, self._pieces(t or ""))) for t in texts]
         missing, known.missing = known.missing, []
         if missing:
-            found = self.tokenizer.encode_batch_fast([self._text(p) for p in missing], add_special_tokens=False)
-            for p, e in zip(missing, found):
-                known.ids[known[p]] = array("I", e.ids).tobytes()
+            for p, ids in self._encode_pieces(missing):
+                known.ids[known[p]] = ids
         out = [b"".join(map(known.ids.__getitem__, n)) for n in numbers]
         for p in missing:
             if len(p) > CACHE_LENGTH:
                 known.ids[known.pop(p)] = b""
         return out
 
+    def forget(self, keep: int = 60_000) -> None:
+        """Frees memory between tasks; pieces that came first are the frequent ones and stay."""
+        known = _Numbers({}, [])
+        known.ids = self.known.ids[:keep]
+        known.update((p, n) for p, n in islice(self.known.items(), keep) if n < keep)
+        self.known = known if len(known) == len(known.ids) else _Numbers({}, [])
+
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids) of each. Pieces of plain letters, maybe with signs after them, are divided as the tokenizer
+        divides them, and the words of many pieces go to its model in one text, with a mark after each piece."""
+        import numpy as np
+
+        space = " " if self.leading_space else ""
+        plain, words, rest = [], [], []
+        if self.mark is not None:
+            usual = self.usual
+            plain = [p for p in pieces if p.isalpha() and usual(p)]
+            words = plain.copy()
+            for p in [p for p in pieces if not p.isalpha()]:
+                if (m := _LETTERS_SIGNS(p)) and usual(m[1]):
+                    plain.append(p)
+                    words.append(f"{m[1]}\n{m[2]}")
+        if len(plain) < len(pieces):
+            known = set(plain)
+            rest = [p for p in pieces if p not in known]
+        if plain:
+            # ASCII stands for itself in the vocabulary, but for the space and the mark
+            between, texts = "\n\0\n".translate(self.letters) + space.translate(self.letters), []
+            for i in range(0, len(words), 1000):
+                some = words[i : i + 1000]
+                text = between.join(some)
+                if not "".join(some).isascii():
+                    text = between.join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some])
+                texts.append(between[3:] + text + between[:2])
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = 4 * np.flatnonzero(ids == self.mark)
+            raw = ids.tobytes()
+            yield from zip(plain, [raw[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())])
+        if rest:
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast([self._text(p) for p in rest], add_special_tokens=False)):
+                yield p, array("I", e.ids).tobytes()
+
     def _pieces(self, text: str) -> list[str]:
         """The text in pieces that are encoded apart; a piece stands for _text(piece)."""
         if any(s in text for s in self.special):
             return ["  " + text]
         if not self.leading_space:
-            return text.split() if not _NOT_SPACE_EVERYWHERE.search(text) else ["  " + text]
+            if _NOT_SPACE_EVERYWHERE.search(text):
+                return ["  " + text]
+            return (text.lower() if self.lower_case and (text.isascii() or not _UNUSUAL.search(text)) else text).split()
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
             return ["  " + text]  # runs of white space are divided by what stands around them
         pieces = text.replace("\n", " \n").split(" ")
