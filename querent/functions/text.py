@@ -94,7 +94,7 @@ def prompt(question: Column, ocr: Column | None = None, refusal_aware: bool = Tr
         return without
     head = f"{ROLE} and text. {TASK}\n\nFor this question, you have the following OCR text:\n"
     tail = ["", "", "Guidelines:", CONCISE, "- Base your answer on both the image and the provided OCR text", REFUSAL_LINES if refusal_aware else ""]
-    with_text = F.concat(F.lit(head), ocr, F.lit("\n".join(tail[1:]) + "\nQuestion: "), question)
+    with_text = F.concat(F.lit(head), ocr, F.lit("\n".join(tail) + "\nQuestion: "), question)
     return F.when(F.coalesce(ocr, F.lit("")) == "", without).otherwise(with_text)
 
 

@@ -37,7 +37,7 @@ def verified_until(source: DataFrame, verify: Callable[[DataFrame], DataFrame],
         if before.limit(target).count() >= target:
             return
         done = batch.sparkSession.read.schema(seen_schema).parquet(seen).where(F.col("batch") < number).select(key)
-        fresh = batch.join(done, key, "left_anti")
+        fresh = batch.join(done, key, "left_anti").dropDuplicates([key])
         verify(fresh).write.mode("overwrite").parquet(f"{kept}/batch={number}")
         fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
 
