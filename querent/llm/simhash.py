@@ -19,6 +19,13 @@ from querent.llm.components import components
 SEGMENT = 4
 #: Links join fingerprints with at most this many differing bits; the midpoint argument below needs 2.
 DISTANCE = 2
+#: Fingerprints with more than one in so many of all rows count as hot; there can't be more than this.
+HOT_GROUPS = 10_000
+#: For links by similarity: words of a shingle, bins of a text's minima, and bins of a band. Two texts with
+#: similarity 0.8 share a band with probability 0.99.
+SIMILAR_WORDS, BINS, ROWS = 5, 60, 5
+#: Buckets of up to so many different texts are compared in all pairs.
+PAIRED = 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -106,28 +113,131 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def shingle_set(text: str | None, width: int = SIMILAR_WORDS):
+    """The distinct hashes of a text's shingles, rising; words as for fingerprint()."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.unique(np.fromiter((xxh64_intdigest(s, 7) for s in shingles), dtype=np.uint64))
+
+
+def bands(text: str | None, width: int = SIMILAR_WORDS) -> list[int]:
+    """Keys that similar texts share: the minima of a one-permutation hash of the shingles, ROWS at a time. An
+    empty bin takes the next full one's. Texts without words have none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    hashes = shingle_set(text, width)
+    if not len(hashes):
+        return []
+    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(low, (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
+    full = np.flatnonzero(low != np.iinfo(np.uint64).max)
+    if len(full) < BINS:
+        place = np.searchsorted(full, np.arange(BINS))
+        source = np.append(full, full[0])[place]
+        away = (source - np.arange(BINS)) % BINS
+        low = low[source] ^ (away.astype(np.uint64) << np.uint64(58))
+    keys = [xxh64_intdigest(low[i : i + ROWS].tobytes(), i) for i in range(0, BINS, ROWS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """fingerprints() with the bands of each text."""
+    import pyarrow as pa
+
+    arrow_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=[id_col, "fp", "bands"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, bands array<long>")
+
+
+def similar_links(docs: DataFrame, unique: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Edges (a, b) of fingerprints whose texts have at least this Jaccard similarity of SIMILAR_WORDS-word shingles.
+
+    unique: (fp, least, bands), a text for each fingerprint. Texts that share a band are candidates: all pairs in
+    buckets of up to PAIRED texts; in larger ones each text with the first and the last, so that a crowd of n
+    texts gives 2n pairs. Candidates are verified on their whole sets of shingles.
+    """
+    import pyarrow as pa
+
+    spread = unique.select("fp", F.explode("bands").alias("key"))
+    met = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("last")).where("n > 1")
+    met = materialize(met, "buckets")
+    own = spread.join(small(met), "key")
+    few = own.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("all"))
+    pairs = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    many = own.where(F.col("n") > PAIRED).select("fp", F.explode(F.array("first", "last")).alias("other")).where("fp <> other")
+    pairs = materialize(pairs.union(many.select(F.least("fp", "other"), F.greatest("fp", "other"))).distinct(), "pairs")
+    some = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(unique.select("fp", "least"), "fp").select(F.col("least").alias(id_col), "fp"), "candidates")
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([fps, pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["fp", "own"])
+
+    texts = docs.select(id_col, text_col).join(small(some.select(id_col).distinct()), id_col, "left_semi").select(text_col)
+    sets = materialize(texts.mapInArrow(run, "fp long, own array<long>").dropDuplicates(["fp"]), "shingles")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    return both.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None,
+) -> DataFrame:
     """(id, fp, component_id) for every row of docs.
 
     component_id is the smallest id among documents that can be reached over links of at most 2 differing
-    bits, the document itself included. Nulls: a null or blank text has fingerprint zero and links like any
-    other; a null id is never the smallest unless its whole component has none. Repeated rows stay, ties go
-    to the smallest id, an empty table gives an empty result, further columns of docs are ignored.
+    bits, the document itself included. With `similarity`, texts of that Jaccard similarity link as well (see
+    similar_links). Nulls: a null or blank text has fingerprint zero and links like any other; a null id is
+    never the smallest unless its whole component has none. Repeated rows stay, ties go to the smallest id, an
+    empty table gives an empty result, further columns of docs are ignored.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "unique")
-    roots = components(links(unique.select("fp")))
+    prints = fingerprints(docs, id_col, text_col, width) if similarity is None else with_bands(docs, id_col, text_col, width)
+    fps = materialize(prints, "fingerprints")
+    more = [] if similarity is None else [F.min_by("bands", id_col).alias("bands")]
+    unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), *more), "unique")
+    fps = fps.select(id_col, "fp")
+    edges = links(unique.select("fp"))
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, unique, similarity, id_col, text_col, width))
+    roots = components(edges)
     named = unique.join(roots, unique["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("named"))
     changed = roots.join(named, "root").select(F.col("node").alias("fp"), "named")
-    every = unique.join(changed, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return fps.join(every, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    every = materialize(unique.join(changed, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), "copies"), "named")
+    # at most HOT_GROUPS fingerprints hold more than this share of the rows: they are broadcast, and their rows
+    # go anywhere in the join that names the others
+    many = (every.agg(F.sum("copies")).first()[0] or 0) / HOT_GROUPS
+    hot = every.where(F.col("copies") > many).select("fp", F.col("component_id").alias("hot_"))
+    cold = every.where(F.col("copies") <= many).select(F.col("fp").alias("to_"), F.col("component_id").alias("cold_"))
+    known = fps.join(F.broadcast(hot), "fp", "left")
+    dealt = known.withColumn("to_", F.when(F.col("hot_").isNotNull(), F.xxhash64(id_col)).otherwise(F.col("fp")))
+    return dealt.join(cold, "to_", "left").select(id_col, "fp", F.coalesce("hot_", "cold_").alias("component_id"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None,
+) -> DataFrame:
     """docs without those rows whose component has a smaller id; columns as they came.
 
     Rows that share an id are one document and stay or go together; rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, width)
+    found = near_duplicates(docs, id_col, text_col, width, similarity)
     gone = materialize(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "gone")
     return docs.join(small(gone), id_col, "left_anti").select(docs.columns)
