@@ -59,9 +59,9 @@ def clean_generated(text: Column) -> Column:
     """A model's rewritten question without its known prefixes and suffixes."""
     out = F.regexp_replace(text, r"^\s+|\s+$", "")
     for p in GENERATED_PREFIXES:
-        out = F.when(F.startswith(out, F.lit(p)), F.substring(out, F.lit(len(p) + 1), F.length(out))).otherwise(out)
+        out = F.regexp_replace(out, f"^{p}", "")
     for s in GENERATED_SUFFIXES:
-        out = F.when(F.endswith(out, F.lit(s)), F.left(out, F.length(out) - len(s))).otherwise(out)
+        out = F.regexp_replace(out, rf"[{s}]\z", "")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 

@@ -156,3 +156,25 @@ BUCKETS = {
     "qur_de": LAYOUT_TYPES, "qur_qp": QUADRANTS, "qur_nlpe": tuple(MACRO_ENTITIES), "qur_ded": DENSITY_BUCKETS,
     "ur_page_ded": PAGE_VISUALS, "ur_page": ("false", "true"),
 }
+
+
+def run_counters(rows: DataFrame) -> DataFrame:
+    """One row (processed, success, errors, success_rate) over results with is_error."""
+    bad = F.coalesce("is_error", F.lit(False))
+    return rows.agg(F.count("*").alias("processed"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("errors"), (F.count_if(~bad) / F.count("*")).alias("success_rate"))
+
+
+def answer_accuracy(pairs: DataFrame) -> DataFrame:
+    """One row (n, accuracy): share of answers equal to what was expected, blanks at the ends and case aside."""
+    same = F.lower(F.trim("answer")) == F.lower(F.trim("expected"))
+    return pairs.agg(F.count("*").alias("n"), (F.count_if(same) / F.count("*")).alias("accuracy"))
+
+
+def mean_page_size(pages: DataFrame) -> DataFrame:
+    """(qid, mean_width, mean_height) over a question's distinct pages (qid, path, width, height)."""
+    return pages.dropDuplicates(["qid", "path"]).groupBy("qid").agg((F.sum("width") / F.count("*")).alias("mean_width"), (F.sum("height") / F.count("*")).alias("mean_height"))
+
+
+def enabled_labels(flags: dict[str, bool]) -> list[str]:
+    """Labels of the macro entities that are switched on, in their fixed order."""
+    return [label for macro, labels in MACRO_ENTITIES.items() if flags.get(macro, False) for label in labels]
