@@ -16,13 +16,12 @@ from querent.llm.quality_rules import FEATURES, statistics
 #: Labellers on the statistics of quality_rules: statistic, and where it votes bad and where good (a test and
 #: a limit each, or None). A labeller abstains elsewhere.
 LABELLERS = (
-    ("symbols_per_word", (">", 0.5), ("<", 0.1)),
+    ("symbols_per_word", (">", 0.3), ("<", 0.1)),
     ("repeated", (">", 0.5), ("<", 0.2)),
     ("dup_lines", (">", 0.3), None),
     ("capitals", (">", 0.4), ("<", 0.15)),
     ("marks", (">", 0.03), ("<", 0.01)),
     ("same_as_last", (">", 0.2), ("<", 0.02)),
-    ("words_per_line", ("<", 2.5), (">", 6.0)),
     ("distinct_words", ("<", 0.15), None),
     ("lowercase", ("<", 0.3), (">", 0.6)),
 )
