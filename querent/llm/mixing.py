@@ -39,15 +39,15 @@ def kind_of_text(text: Column, words: Column) -> Column:
 
 
 def cell_columns(docs: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
-    """docs with _tokens, _source, _lang and _topic; null sources and languages form a group of their own."""
-    with_words = docs.withColumn("_tokens", word_count(F.col(text_col)))
-    own = kind_of_text(F.col(text_col), F.col("_tokens")) if topic is None else topic
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(f"_{c}")
-    return with_words.select("*", name("source"), name("lang"), F.coalesce(own.cast("string"), F.lit(MISSING)).alias("_topic"))
+    """docs with _mix_tokens, _mix_source, _mix_lang and _mix_topic; null sources and languages form a group of their own."""
+    with_words = docs.withColumn("_mix_tokens", word_count(F.col(text_col)))
+    own = kind_of_text(F.col(text_col), F.col("_mix_tokens")) if topic is None else topic
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(f"_mix_{c}")
+    return with_words.select("*", name("source"), name("lang"), F.coalesce(own.cast("string"), F.lit(MISSING)).alias("_mix_topic"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with `weight`, the factor on each cell's tokens.
+    """cells (_mix_source, _mix_lang, _mix_topic, tokens) with `weight`, the factor on each cell's tokens.
 
     Weighted tokens have the target shares of each marginal and the total of the tokens. targets: for
     'source', 'lang' or 'topic' a table (value, share); values without a share get none of the tokens, shares
@@ -56,7 +56,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     """
     spark = cells.sparkSession
     targets = targets or {}
-    spec = lambda d: W.partitionBy(f"_{d}")
+    spec = lambda d: W.partitionBy(f"_mix_{d}")
     everything = W.partitionBy(F.lit(0))
     one = cells.count() <= CELLS_IN_A_TASK
     now = cells.coalesce(1) if one else cells
@@ -64,12 +64,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     for d, power in FLATTEN.items():
         mine = F.sum("tokens").over(spec(d)).cast("double")
         if d in targets:
-            share = targets[d].groupBy(F.col("value").cast("string").alias(f"_{d}")).agg(F.sum("share").cast("double").alias(f"_to_{d}"))
-            now = now.join(share, f"_{d}", "left").withColumn(f"_to_{d}", F.coalesce(f"_to_{d}", F.lit(0.0)))
+            share = targets[d].groupBy(F.col("value").cast("string").alias(f"_mix_{d}")).agg(F.sum("share").cast("double").alias(f"_to_{d}"))
+            now = now.join(share, f"_mix_{d}", "left").withColumn(f"_to_{d}", F.coalesce(f"_to_{d}", F.lit(0.0)))
             now = now.coalesce(1) if one else now
         else:
             now = now.withColumn(f"_to_{d}", F.pow(mine, F.lit(power)))
-        first = F.row_number().over(spec(d).orderBy("_source", "_lang", "_topic")) == 1
+        first = F.row_number().over(spec(d).orderBy("_mix_source", "_mix_lang", "_mix_topic")) == 1
         now = now.withColumn("_once", F.when(first, F.col(f"_to_{d}")).otherwise(0.0))
         now = now.withColumn(f"_to_{d}", F.col(f"_to_{d}") / F.sum("_once").over(everything) * F.col("_all")).drop("_once")
     now = materialize(now, "cells")
@@ -91,7 +91,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
         now = now.drop("_off", "_has")
         if worst is None or worst <= ERROR:
             break
-    return now.select("_source", "_lang", "_topic", "tokens", "weight")
+    return now.select("_mix_source", "_mix_lang", "_mix_topic", "tokens", "weight")
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -100,7 +100,7 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     Cells whose product is over 1 are kept whole, and the factor for the others makes up for it. Where even
     that can't give the wanted tokens (cells of weight zero hold too many), all other cells are kept whole.
     """
-    down = W.partitionBy(F.lit(0)).orderBy(F.desc("weight"), "_source", "_lang", "_topic")
+    down = W.partitionBy(F.lit(0)).orderBy(F.desc("weight"), "_mix_source", "_mix_lang", "_mix_topic")
     every = W.partitionBy(F.lit(0))
     out = (
         cells.withColumn("_capped", F.sum("tokens").over(down.rowsBetween(W.unboundedPreceding, -1)))
@@ -111,7 +111,7 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
         .withColumn("_use", F.max("_ok").over(every))
     )
     p = F.when(F.col("weight") <= 0, 0.0).when(F.col("_use").isNull(), 1.0).otherwise(F.least(F.col("weight") * F.col("_use"), F.lit(1.0)))
-    return out.select("_source", "_lang", "_topic", "tokens", "weight", p.alias("probability"))
+    return out.select("_mix_source", "_mix_lang", "_mix_topic", "tokens", "weight", p.alias("probability"))
 
 
 def draw(id_col: str, seed: int = SEED) -> Column:
@@ -123,7 +123,7 @@ def weighed(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, topic: Column | None = None,
     id_col: str = "doc_id", text_col: str = "text", seed: int = SEED,
 ) -> DataFrame:
-    """docs with _tokens, _source, _lang, _topic, _weight, _probability and _kept.
+    """docs with _mix_tokens, _mix_source, _mix_lang, _mix_topic, _mix_weight, _mix_probability and _mix_kept.
 
     Tokens are summed by cell before they are shuffled, and the cells, whose number is that of the
     combinations that occur, are broadcast after a count; otherwise they are joined by shuffle. So no
@@ -131,19 +131,19 @@ def weighed(
     nothing but are drawn like the rest of their cell; an empty table gives an empty result.
     """
     celled = cell_columns(docs, text_col, topic)
-    cells = materialize(celled.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
+    cells = materialize(celled.groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(F.sum("_mix_tokens").alias("tokens")), "cells")
     fitted = materialize(probabilities(rake(cells, targets), keep), "fitted")
-    fitted = fitted.select("_source", "_lang", "_topic", F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+    fitted = fitted.select("_mix_source", "_mix_lang", "_mix_topic", F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_probability"))
     fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
-    return celled.join(fitted, ["_source", "_lang", "_topic"]).withColumn("_kept", draw(id_col, seed) < F.col("_probability"))
+    return celled.join(fitted, ["_mix_source", "_mix_lang", "_mix_topic"]).withColumn("_mix_kept", draw(id_col, seed) < F.col("_mix_probability"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, kept) for every row of docs."""
     out = weighed(docs, id_col=id_col, **options)
-    return out.select(id_col, "source", "lang", *(F.col(f"_{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "n_tokens"), ("weight", "weight"), ("probability", "probability"), ("kept", "kept"))))
+    return out.select(id_col, "source", "lang", *(F.col(f"_mix_{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "n_tokens"), ("weight", "weight"), ("probability", "probability"), ("kept", "kept"))))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are drawn, with their columns as they came."""
-    return weighed(docs, **options).where("_kept").select(docs.columns)
+    return weighed(docs, **options).where("_mix_kept").select(docs.columns)

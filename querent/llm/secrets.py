@@ -149,13 +149,13 @@ def tokens(text: Column, base: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (default all) with base_ (fixed patterns) and tokens_ (judged long tokens)."""
+    """docs' columns `keep` (default all) with _querent_base (fixed patterns) and _querent_tokens (judged long tokens)."""
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_base = docs.select(*keep, *([] if text_col in keep else [text_col]), base_spans(text).alias("base_"))
+    with_base = docs.select(*keep, *([] if text_col in keep else [text_col]), base_spans(text).alias("_querent_base"))
     none = F.array().cast("array<struct<start:int,end:int,class:int,evidence:int,random:boolean>>")
-    judged = F.when(text.rlike(ANY), tokens(text, F.col("base_"))).otherwise(none)
-    return with_base.select(*keep, "base_", judged.alias("tokens_"))
+    judged = F.when(text.rlike(ANY), tokens(text, F.col("_querent_base"))).otherwise(none)
+    return with_base.select(*keep, "_querent_base", judged.alias("_querent_tokens"))
 
 
 def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
@@ -164,7 +164,7 @@ def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
     Tokens are counted by class and evidence: as many rows as those have values, whatever the input.
     Rounding evidence down makes the control stricter, never weaker.
     """
-    counted = scanned.select(F.explode("tokens_").alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
+    counted = scanned.select(F.explode("_querent_tokens").alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
     up = W.partitionBy("class").orderBy(F.desc("evidence"))
     ranked = counted.select("class", "evidence", F.sum("n").over(up).alias("so_far"), F.sum("n").over(W.partitionBy("class")).alias("all"))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("evidence") / 10) <= share * F.col("so_far") / F.col("all"))
@@ -172,12 +172,12 @@ def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
 
 
 def discovered(cuts: dict[int, int]) -> Column:
-    """array<struct<start, rank, end>>: base_ and the tokens of tokens_ that the cutoffs and the battery pass, in order."""
+    """array<struct<start, rank, end>>: the fixed patterns' spans and the tokens that the cutoffs and the battery pass, in order."""
     known = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair)) if cuts else None
     if known is None:
-        return F.col("base_")
-    good = F.filter("tokens_", lambda t: t["random"] & F.coalesce(t["evidence"] >= known[t["class"]], F.lit(False)))
-    return F.sort_array(F.concat(F.col("base_"), _ranked(good, 3)))
+        return F.col("_querent_base")
+    good = F.filter("_querent_tokens", lambda t: t["random"] & F.coalesce(t["evidence"] >= known[t["class"]], F.lit(False)))
+    return F.sort_array(F.concat(F.col("_querent_base"), _ranked(good, 3)))
 
 
 def written(found: Column) -> Column:
@@ -193,9 +193,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     results but all count for the false-discovery control; an empty table gives an empty result.
     """
     scanned = materialize(scan(docs, text_col, [id_col]), "secrets")
-    found = scanned.withColumn("all_", discovered(cutoffs(scanned, share)))
-    count = lambda k: F.size(F.filter("all_", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select(id_col, *(count(k) for k in range(4)), F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("all_")).alias("spans"))
+    found = scanned.withColumn("_querent_all", discovered(cutoffs(scanned, share)))
+    count = lambda k: F.size(F.filter("_querent_all", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select(id_col, *(count(k) for k in range(4)), F.sha2(written(F.col("_querent_base")), 256).alias("base_sha256"), written(F.col("_querent_all")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE, mark: str = "[SECRET]") -> DataFrame:
@@ -203,9 +203,9 @@ def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE,
 
     Spans that overlap or touch become one mark. Null texts stay null.
     """
-    scanned = materialize(scan(docs, text_col, []).where((F.size("tokens_") > 0)).select("tokens_"), "tokens")
+    scanned = materialize(scan(docs, text_col, []).where((F.size("_querent_tokens") > 0)).select("_querent_tokens"), "tokens")
     cuts = cutoffs(scanned, share)
-    found = scan(docs, text_col).withColumn("all_", discovered(cuts))
+    found = scan(docs, text_col).withColumn("_querent_all", discovered(cuts))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -214,5 +214,5 @@ def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE,
         out = F.when((x["start"] > state["at"]) | (state["at"] == 0), F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
 
-    clean = F.transform(F.array(F.aggregate("all_", start, step)), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))[0]
-    return found.withColumn(text_col, F.when(F.size("all_") > 0, clean).otherwise(text)).select(docs.columns)
+    clean = F.transform(F.array(F.aggregate("_querent_all", start, step)), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))[0]
+    return found.withColumn(text_col, F.when(F.size("_querent_all") > 0, clean).otherwise(text)).select(docs.columns)

@@ -299,7 +299,7 @@ def test_packer_keeps_all_limits(limits):
 def test_rake_equals_numpy(spark):
     rng = np.random.default_rng(5)
     rows = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 1000))) for a in range(4) for b in range(3) for c in range(2) if (a, b, c) != (0, 0, 0)]
-    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    cells = spark.createDataFrame(rows, "_mix_source string, _mix_lang string, _mix_topic string, tokens long")
     targets = {"source": spark.createDataFrame([(f"s{a}", s) for a, s in enumerate((0.4, 0.3, 0.2, 0.1))], "value string, share double")}
     got = {tuple(r)[:3]: r["weight"] for r in mixing.rake(cells, targets).collect()}
     t = np.array([r[3] for r in rows], dtype=float)
@@ -408,6 +408,7 @@ def test_redaction(spark, docs):
             out, at = out + t[at:a] + "[SECRET]", b
         if i != 4:
             assert got[i] == out + t[at:]
+    assert [r["all_"] for r in secrets.redact(rows).orderBy("doc_id").collect()] == list(range(len(SECRETS) + 2))
     assert got[4] == "key [SECRET] end" and got[len(SECRETS)] is None and got[len(SECRETS) + 1] == ""
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == docs.count()
 
@@ -431,7 +432,7 @@ def test_battery_by_hand(spark):
 def test_false_discovery_cutoffs(spark):
     rng = random.Random(4)
     tokens = [(c, min(200, int(rng.expovariate(1) * 4.34)) if rng.random() < 0.9 else 80, True) for c in (1, 2) for _ in range(500)]
-    df = spark.createDataFrame([([dict(start=0, end=30, **{"class": c}, evidence=e, random=r)],) for c, e, r in tokens], "tokens_ array<struct<start:int,end:int,class:int,evidence:int,random:boolean>>")
+    df = spark.createDataFrame([([dict(start=0, end=30, **{"class": c}, evidence=e, random=r)],) for c, e, r in tokens], "_querent_tokens array<struct<start:int,end:int,class:int,evidence:int,random:boolean>>")
     cuts = secrets.cutoffs(df)
     for c in (1, 2):
         own = sorted((e for k, e, _ in tokens if k == c), reverse=True)
