@@ -112,7 +112,7 @@ class Encoder:
                 known.ids[known.pop(p)] = b""
         return out
 
-    def forget(self, keep: int = 60_000) -> None:
+    def forget(self, keep: int = 100_000) -> None:
         """Frees memory between tasks; pieces that came first are the frequent ones and stay."""
         known = _Numbers({}, [])
         known.ids = self.known.ids[:keep]
@@ -146,7 +146,7 @@ class Encoder:
                 if not "".join(some).isascii():
                     text = between.join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some])
                 texts.append(between[3:] + text + between[:2])
-            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([np.frombuffer(array("I", e.ids), dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
             ends = 4 * np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
             yield from zip(plain, [raw[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())])
