@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import licenses
+from querent.llm import licenses, quotes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from querent.llm.quotes import link
-
-    return link(table(spark, sf_dir, "conversations")).withColumnsRenamed({"thread": "conv_id", "order": "turn"})
+    return quotes.link(table(spark, sf_dir, "conversations")).withColumnsRenamed({"thread": "conv_id", "order": "turn"})
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql()}
+ORACLE: dict[str, str] = {"op1_quotation_linking": quotes.sql(), "op2_license_scan": licenses.sql()}

@@ -141,3 +141,44 @@ def _roots(linked: DataFrame) -> DataFrame:
         rooted = linked.join(up.select("thread", "order", F.col("up_thread").alias("root_thread"), F.col("up_order").alias("root_order")), ["thread", "order"])
     place = F.row_number().over(W.partitionBy("root_thread", "root_order").orderBy("thread", "order"))
     return rooted.select("thread", "order", "clean", "n_quotes", "n_linked", "depth", "reply_thread", "reply_order", "root_thread", "root_order", place.cast("long").alias("place"))
+
+
+def sql(thread_col: str = "conv_id", order_col: str = "turn") -> str:
+    """link() in DuckDB, for rows that have a thread and an order; passages are joined by their normal forms themselves."""
+    form = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+    return f"""
+    WITH RECURSIVE m AS (
+      SELECT {thread_col} AS t, {order_col} AS o, min(coalesce(text, '')) AS text FROM conversations
+      WHERE {thread_col} IS NOT NULL AND {order_col} IS NOT NULL GROUP BY ALL),
+    l0 AS (SELECT t, o, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
+    l1 AS (SELECT t, o, i, CASE WHEN ends_with(x, chr(13)) THEN left(x, length(x) - 1) ELSE x END AS x FROM l0),
+    l2 AS (SELECT t, o, i, regexp_replace(x, '{QUOTE}', '') AS body, regexp_extract(x, '{QUOTE}', 1) AS p FROM l1),
+    l AS (SELECT t, o, i, body, length(p) - length(replace(p, '>', '')) AS level, trim(body) = '' OR regexp_matches(body, '{ANNOUNCES}') AS gap FROM l2),
+    b AS (SELECT *, CASE WHEN lag(gap, 1, true) OVER w OR lag(level) OVER w <> level THEN 1 ELSE 0 END AS fresh FROM l WINDOW w AS (PARTITION BY t, o ORDER BY i)),
+    r AS (SELECT *, sum(fresh) FILTER (WHERE NOT gap) OVER (PARTITION BY t, o ORDER BY i) AS n FROM b),
+    p AS (SELECT t, o, n, min(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM r WHERE NOT gap GROUP BY t, o, n),
+    parts AS (
+      SELECT t, o, n, level, -1 AS line, {form('body')} AS form FROM p
+      UNION ALL SELECT t, o, n, level, i - min(i) OVER (PARTITION BY t, o, n) AS line, {form('body')} AS form FROM r WHERE NOT gap),
+    src AS (SELECT DISTINCT t, o, form FROM parts WHERE level = 0 AND form <> ''),
+    q AS (SELECT * FROM parts WHERE level > 0 AND form <> ''),
+    f AS (
+      SELECT q.*, (SELECT max(s.o) FROM src s WHERE s.form = q.form AND s.t = q.t AND s.o < q.o) AS near,
+             (SELECT arg_min({{'t': s.t, 'o': s.o}}, {{'t': s.t, 'o': s.o}}) FROM src s WHERE s.form = q.form) AS first FROM q),
+    g AS (
+      SELECT t, o, n, line, level, CASE WHEN near IS NOT NULL THEN t WHEN (first.t, first.o) < (t, o) THEN first.t END AS rt,
+             CASE WHEN near IS NOT NULL THEN near WHEN (first.t, first.o) < (t, o) THEN first.o END AS ro FROM f),
+    h AS (SELECT t, o, n, min({{'line': line, 'level': level, 'rt': rt, 'ro': ro}}) AS best FROM g WHERE ro IS NOT NULL GROUP BY ALL),
+    k AS (SELECT t, o, count(*) AS n_linked, min({{'level': best.level, 'n': n, 'rt': best.rt, 'ro': best.ro}}) AS reply FROM h GROUP BY ALL),
+    a AS (SELECT t, o, string_agg(body, chr(10) || chr(10) ORDER BY n) FILTER (WHERE level = 0) AS clean, count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS depth FROM p GROUP BY t, o),
+    e AS (
+      SELECT m.t, m.o, coalesce(a.clean, '') AS clean, coalesce(a.n_quotes, 0) AS n_quotes, coalesce(k.n_linked, 0) AS n_linked, coalesce(a.depth, 0) AS depth,
+             coalesce(reply.rt, CASE WHEN lag(m.o) OVER w IS NOT NULL THEN m.t END) AS rt, coalesce(reply.ro, lag(m.o) OVER w) AS ro
+      FROM m LEFT JOIN a USING (t, o) LEFT JOIN k USING (t, o) WINDOW w AS (PARTITION BY m.t ORDER BY m.o)),
+    up AS (
+      SELECT t, o, t AS at_t, o AS at_o FROM e WHERE ro IS NULL
+      UNION ALL SELECT e.t, e.o, up.at_t, up.at_o FROM e JOIN up ON e.rt = up.t AND e.ro = up.o)
+    SELECT e.t AS {thread_col}, e.o AS {order_col}, clean, CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, CAST(depth AS BIGINT) AS depth,
+           rt AS reply_thread, ro AS reply_order, up.at_t AS root_thread, up.at_o AS root_order,
+           row_number() OVER (PARTITION BY up.at_t, up.at_o ORDER BY e.t, e.o) AS place
+    FROM e JOIN up ON up.t = e.t AND up.o = e.o"""

@@ -72,6 +72,29 @@ def test_quotes_common_passage(spark):
     assert quotes.link(messages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_equal_sql(spark, seed):
+    rng = random.Random(seed)
+    lines = ["alpha beta", "Gamma  delta", "epsilon", "", "On Monday X wrote:", " zeta", "same"]
+    rows = []
+    for c in range(12):
+        for t in range(rng.randrange(1, 6)):
+            body = [("> " * rng.choice([0, 0, 1, 1, 2])).strip() + rng.choice(["", " "]) + rng.choice(lines) for _ in range(rng.randrange(0, 6))]
+            rows.append((c, t, "u", rng.choice(["\n", "\r\n"]).join(body)))
+    df = messages(spark, rows)
+    ours = quotes.link(df).withColumnsRenamed({"thread": "conv_id", "order": "turn"}).toPandas()
+    c = duckdb.connect()
+    c.register("conversations", df.toPandas())
+    theirs = c.sql(quotes.sql()).df()[list(ours.columns)]
+    plain = lambda x: sorted(tuple("~" if v != v or v is None else v for v in r) for r in x.astype(object).where(x.notna(), None).values.tolist())
+    assert [tuple(map(_whole, r)) for r in plain(ours)] == [tuple(map(_whole, r)) for r in plain(theirs)]
+    assert ours.n_linked.sum() > 5
+
+
+def _whole(v):
+    return str(int(v)) if isinstance(v, float) else str(v)
+
+
 def test_quotes_on_the_table(spark):
     out = queries.op1_quotation_linking(spark, DATA)
     t = spark.read.parquet(f"{DATA}/conversations.parquet")
