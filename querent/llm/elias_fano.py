@@ -26,6 +26,7 @@ from querent.llm.common import arrow_batches, materialize, new_path
 MAGIC = b"EFIDS1\0\0"
 HEADER = "<8sBBQQQ"
 BLOCK = 512
+NO_ID = -(1 << 63)
 
 #: A file is closed when it has this many ids or documents, and a task's next one begins.
 FILE_IDS, FILE_DOCS = 1_000_000, 50_000
@@ -112,8 +113,8 @@ def write(
 
     docs are dealt to tasks by ranges of the id and sorted there, so files follow each other in order over
     all tasks; rows with one id come in the order of their texts. Each file is a row (part, number, docs,
-    ids, file) of a Parquet table, since Spark's writers reach every store. Null text counts as empty, a
-    null id is refused, an empty table gives no file, other columns aren't read.
+    ids, file) of a Parquet table, since Spark's writers reach every store. Null text counts as empty,
+    null ids come first and are read back as null, an empty table gives no file, other columns aren't read.
     """
     import pyarrow as pa
 
@@ -139,10 +140,8 @@ def write(
 
         for b in batches:
             for doc_id, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                if doc_id is None:
-                    raise ValueError("a document has no id")
                 ids.append(own + end)
-                doc_ids.append(doc_id)
+                doc_ids.append(NO_ID if doc_id is None else doc_id)
                 total += len(ids[-1]) // 4
                 if total >= FILE_IDS or len(ids) >= FILE_DOCS:
                     yield row()
@@ -182,7 +181,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 wide = f.payload.astype("<u4").tobytes()
                 view = memoryview(wide)
                 sums = [crc32(view[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (f.doc_ids, begins + first, ends - begins, sums)], names=names)
+                own = pa.array(f.doc_ids, pa.int64(), mask=f.doc_ids == NO_ID)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (begins + first, ends - begins, sums))], names=names)
 
     return placed.select("first", "file").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 

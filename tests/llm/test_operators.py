@@ -38,6 +38,22 @@ def empty(docs):
     return docs.where("false")
 
 
+def test_null_ids(spark, docs):
+    """Rows without an id come through every operator."""
+    some = spark.createDataFrame([(None, "a b c d e f " * 20, None, None), (None, None, None, None), (1, "a b c d e f " * 20, "en", "s")], "doc_id long, text string, lang string, source string")
+    model = boosting.constant(1.0)
+    byte, word = queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("word_bpe_49k.json")
+    for out in (
+        licenses.licenses(some), quality_rules.quality(some, model), weak_labels.weak_quality(some), mixing.mix(some), secrets.secrets(some),
+        elias_fano.encode_and_read(some, word, 2), simhash.near_duplicates(some), simhash.near_duplicates(some, similarity=0.8),
+    ):
+        rows = out.collect()
+        assert len(rows) == 3 and sum(r["doc_id"] is None for r in rows) == 2
+    assert {r["doc_id"] for r in packing.pack(some, byte, 1).collect()} == {None, 1}
+    vectors = spark.createDataFrame([(None, None), (0, [0.5, None]), (20, [0.1] * 64)], "vec_id long, embedding array<float>")
+    assert chroma.align(chroma.fingerprints(chroma.melody(vectors), 2000, "vec_id"), "vec_id").count() == 3
+
+
 # --- 1: quotations
 
 
