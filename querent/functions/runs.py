@@ -71,3 +71,26 @@ def leaf(run: Column, dataset: Column, slug_: Column, model: Column | None = Non
 
 def iso_utc(when: Column) -> Column:
     return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def resolve_leaf(root: str, dataset: str, slug_: str, split: str, n: int, stamp: str, environment: dict[str, str], model: str = "", variable: str = "RUN_ID") -> str:
+    """The folder of a condition: a run id from the environment wins over a new one."""
+    run = environment.get(variable) or f"eval_{split}_{n}_{stamp}"
+    return f"{root.rstrip('/')}/{run}/{dataset}/" + (f"{model}__{slug_}" if model else slug_)
+
+
+def conditions(datasets: list[str], random_shots: tuple[int, ...] = (2,), picked_shots: tuple[int, ...] = (2, 4, 6)) -> list[dict]:
+    """The grid of a sweep over the number of examples: random and hand-picked ones for each dataset."""
+    kinds = [("random", k) for k in random_shots] + [("handpicked", k) for k in picked_shots]
+    return [{"dataset": d, "few_shot": {"enabled": True, "n_shots": k, "shot_type": "mixed", "selection": s}} for d in datasets for s, k in kinds]
+
+
+def git_state(folder: str) -> tuple[str, bool]:
+    """(commit, changed) of a checkout; unknown and unchanged where there is none."""
+    import subprocess
+
+    try:
+        run = lambda *a: subprocess.check_output(["git", "-C", folder, *a], text=True, stderr=subprocess.DEVNULL).strip()
+        return run("rev-parse", "--short", "HEAD"), bool(run("status", "--porcelain"))
+    except (OSError, subprocess.CalledProcessError):
+        return "unknown", False

@@ -52,3 +52,15 @@ def numbered_images(turns: Column, window: Column) -> Column:
     """All image paths, those of example turns first, with one running number."""
     every = F.concat(F.flatten(F.transform(turns, lambda t: F.coalesce(t["image_paths"], F.array().cast("array<string>")))), window)
     return F.transform(every, lambda p, i: F.struct((i + 1).alias("number"), p.alias("path")))
+
+
+def page_texts(pages: Column) -> Column:
+    """map<path, text> of pages (path, objects) in reading order; pages without text are left out."""
+    read = F.transform(pages, lambda p: F.struct(p["path"].alias("key"), reading_order(p["objects"]).alias("value")))
+    return F.map_from_entries(F.filter(read, lambda e: F.trim(e["value"]) != ""))
+
+
+def numbered_texts(document: Column, window: Column, texts: Column) -> Column:
+    """The texts of a window's pages, each under its number in the document; pages without text are left out."""
+    named = F.transform(window, lambda p: F.concat(F.lit("Page "), F.array_position(document, p).cast("string"), F.lit(":\n"), F.try_element_at(texts, p)))
+    return F.array_join(F.filter(named, lambda x: x.isNotNull()), "\n\n")

@@ -74,3 +74,23 @@ def route_text(objects: DataFrame, describe: Callable[[DataFrame], DataFrame], r
     failed = F.col("text").isNull() | F.startswith("text", F.lit("Error"))
     rest = objects.where(~F.coalesce(F.col("type").isin(*described), F.lit(False)))
     return visual.where(~failed).unionByName(recognise(rest.unionByName(visual.where(failed).drop("text"))))
+
+
+def object_entities(objects: DataFrame, recognise: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Layout objects with their entities (text, label, score, start, end) in order; objects without any are left out.
+
+    recognise gets objects with text and gives a row for each entity, with the keys and ent_ord.
+    """
+    found = recognise(objects.where(F.trim(F.coalesce("OCR", F.lit(""))) != ""))
+    held = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ent_ord", "text", "label", "score", "start", "end"))).alias("entities"))
+    return objects.join(held, keys)
+
+
+def analyse_pages(documents: DataFrame, images: DataFrame, cache: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(qid, page_ord, path, objects) of documents (qid, document): pages whose image exists, from the cache where it has them,
+    else by detect, which sees each missing page once. Pages without objects have no row."""
+    from querent.sources.readers import through_cache
+
+    pages = documents.select("qid", F.posexplode("document").alias("page_ord", "path")).join(images.select("path").distinct(), "path", "left_semi")
+    found = through_cache(pages, cache, detect, "path", "objects")
+    return pages.join(found, "path").where(F.size("objects") > 0).select("qid", "page_ord", "path", "objects")

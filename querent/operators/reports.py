@@ -129,3 +129,20 @@ def masked(rows: DataFrame, dataset: str, complexity: int) -> DataFrame:
 def radar_vectors(rows: DataFrame) -> DataFrame:
     """(model, vector): values in the order of slice and bucket."""
     return rows.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "bucket", "value"))), lambda x: x["value"]).alias("vector"))
+
+
+def positive(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("value") > 0)
+
+
+def by_mean(rows: DataFrame, element: str) -> DataFrame:
+    """(dataset, element, mean, place): elements of each dataset from the lowest mean up."""
+    from pyspark.sql import Window as W
+
+    means = rows.groupBy("dataset", element).agg(F.avg("value").alias("mean"))
+    return means.withColumn("place", F.row_number().over(W.partitionBy("dataset").orderBy("mean", element)))
+
+
+def with_manifest(rows: DataFrame, manifests: DataFrame, keys: list[str], default: str = "model") -> DataFrame:
+    """Rows with the model's name from their manifest, or a default."""
+    return rows.join(manifests.select(*keys, "model_name"), keys, "left").withColumn("model_name", F.coalesce("model_name", F.lit(default)))

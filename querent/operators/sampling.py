@@ -74,3 +74,8 @@ def complete_examples(pool: DataFrame, pages: DataFrame) -> DataFrame:
     """Pool entries (qid, paths array) all of whose images exist."""
     gone = pool.select("qid", F.explode("paths").alias("path")).join(pages.select("path").distinct(), "path", "left_anti").select("qid").distinct()
     return pool.join(gone, "qid", "left_anti").select(pool.columns)
+
+
+def head(df: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first rows by an ordinal; none or 0 means all."""
+    return df.orderBy(order).limit(most) if most else df

@@ -252,3 +252,58 @@ def containment_form(t: Tables) -> DataFrame:
 def variants_of_one(t: Tables) -> DataFrame:
     questions = t.orders.select(F.col("o_orderkey").alias("qid"), F.lit("").alias("question"))
     return C.corrupt(questions, K.lines(t), K.pools(t), complexity=1).groupBy("qid").agg(F.count("*").alias("variants"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS qid, l_linenumber AS page, string_agg(p_name, chr(10) ORDER BY l_suppkey % 5, l_partkey % 9, p_name) AS text FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+  SELECT qid, string_agg('Page ' || n || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS ocr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY page) AS n FROM o) WHERE n <= 2 GROUP BY qid""")
+def numbered_texts(t: Tables) -> DataFrame:
+    box = F.array((F.col("l_partkey") % 9).cast("int"), (F.col("l_suppkey") % 5).cast("int"))
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", F.struct(box.alias("BBOX"), F.col("p_name").alias("OCR")).alias("o"))
+    pages = rows.groupBy(F.col("l_orderkey").alias("qid"), "l_linenumber").agg(F.collect_list("o").alias("objects"))
+    docs = pages.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(F.col("l_linenumber").cast("string").alias("path"), "objects").alias("p")))).alias("a"))
+    made = docs.select("qid", F.transform("a", lambda x: x["p"]).alias("pages")).select("qid", N.page_texts(F.col("pages")).alias("texts"), F.transform("pages", lambda p: p["path"]).alias("document"))
+    return made.select("qid", N.numbered_texts(F.col("document"), F.slice("document", 1, 2), F.col("texts")).alias("ocr"))
+
+
+@query("SELECT o_orderpriority AS dataset, o_orderstatus AS element, n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n, o_orderstatus) AS place FROM (SELECT o_orderpriority, o_orderstatus, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL)")
+def elements_by_mean(t: Tables) -> DataFrame:
+    rows = t.orders.groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("element")).agg(F.count("*").cast("double").alias("value"))
+    return reports.by_mean(reports.positive(rows), "element").select("dataset", "element", F.col("mean").alias("n"), F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, coalesce(c_name, 'model') AS model_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
+def with_manifest(t: Tables) -> DataFrame:
+    names = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("model_name"))
+    return reports.with_manifest(t.orders, names, ["o_custkey"]).select("o_orderkey", "model_name")
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 100")
+def head_truncation(t: Tables) -> DataFrame:
+    return sampling.head(t.part.select("p_partkey"), "p_partkey", 100)
+
+
+@query("SELECT page_id AS path, base64(encode(url)) AS base64 FROM pages")
+def encode_image(t: Tables) -> DataFrame:
+    return readers.encoded(t.pages.select(F.col("page_id").alias("path"), F.col("url").cast("binary").alias("content")))
+
+
+@query("""SELECT DISTINCT l_orderkey AS qid, l_partkey AS path, CASE WHEN p_size % 2 = 0 THEN 'cached' ELSE 'detected' END AS source FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 5 <> 0 AND p_size % 7 <> 0""")
+def analyse_pages(t: Tables) -> DataFrame:
+    from querent.operators.models import analyse_pages
+
+    documents = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(F.collect_set("l_partkey").alias("document"))
+    parts = t.part.select(F.col("p_partkey").alias("path"), "p_size")
+    cache = parts.where("p_size % 2 = 0").select("path", F.when(F.col("p_size") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("cached"))).alias("objects"))
+    sizes = parts.select("path", "p_size")
+    detect = lambda df: df.join(sizes, "path").select("path", F.when(F.col("p_size") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("detected"))).alias("objects"))
+    out = analyse_pages(documents, parts.where("p_size % 5 <> 0"), cache, detect)
+    return out.select("qid", "path", F.col("objects")[0].alias("source"))
+
+
+@query("SELECT p_partkey AS obj, string_agg(w, '|' ORDER BY i) AS entities FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) WHERE length(w) > 3 GROUP BY 1")
+def object_entities(t: Tables) -> DataFrame:
+    from querent.operators.models import object_entities
+
+    objects = t.part.select(F.col("p_partkey").alias("obj"), F.col("p_name").alias("OCR"))
+    words = lambda df: df.select("obj", F.posexplode(F.split("OCR", " ")).alias("ent_ord", "text")).where("length(text) > 3").select("*", F.lit("x").alias("label"), F.lit(1.0).alias("score"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    return object_entities(objects, words, ["obj"]).select("obj", F.array_join(F.transform("entities", lambda e: e["text"]), "|").alias("entities"))

@@ -201,3 +201,8 @@ def image_sizes(files: DataFrame) -> DataFrame:
     """(path, width, height) of PNG files (path, content) from their headers, without decoding them."""
     number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
     return files.where(F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A").select("path", number(17).alias("width"), number(21).alias("height"))
+
+
+def encoded(files: DataFrame) -> DataFrame:
+    """(path, base64) of binary files."""
+    return files.select("path", F.base64("content").alias("base64"))

@@ -145,3 +145,12 @@ def test_stream_exact(spark, tmp_path):
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = incremental.verified_until(source, lambda d: d.where("ok"), "id", 12, str(tmp_path / "state"))
     assert got.count() == 12 and got.select("id").distinct().count() == 12
+
+
+def test_leaf_grid_and_git(tmp_path):
+    from querent.functions import runs
+
+    assert runs.resolve_leaf("r", "d", "s", "val", 3, "x", {}) == "r/eval_val_3_x/d/s"
+    assert runs.resolve_leaf("r/", "d", "s", "val", 3, "x", {"RUN_ID": "run"}, "m") == "r/run/d/m__s"
+    assert [c["few_shot"]["n_shots"] for c in runs.conditions(["a"])] == [2, 2, 4, 6]
+    assert runs.git_state(str(tmp_path)) == ("unknown", False)
