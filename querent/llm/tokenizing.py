@@ -81,6 +81,7 @@ class Encoder:
         letters = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and (not self.lower_case or c.lower() == c))
         self.usual = re.compile(f"[{letters}]+").fullmatch
         self.known = _Numbers({}, [])
+        self.signs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -106,6 +107,7 @@ class Encoder:
         if missing:
             for p, ids in self._encode_pieces(missing):
                 known.ids[known[p]] = ids
+            known.missing.clear()
         out = [b"".join(map(known.ids.__getitem__, n)) for n in numbers]
         for p in missing:
             if len(p) > CACHE_LENGTH:
@@ -121,22 +123,22 @@ class Encoder:
 
     def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(piece, ids) of each. Pieces of plain letters, maybe with signs after them, are divided as the tokenizer
-        divides them, and the words of many pieces go to its model in one text, with a mark after each piece."""
+        divides them: the words of many pieces go to its model in one text, with a mark after each, and signs follow
+        their word's ids. Words that only stood with signs so far are given as well, ahead of what needs them."""
         import numpy as np
 
         space = " " if self.leading_space else ""
-        plain, words, rest = [], [], []
+        plain, signed = [], []
         if self.mark is not None:
-            usual = self.usual
+            usual, known = self.usual, self.known
             plain = [p for p in pieces if p.isalpha() and usual(p)]
-            words = plain.copy()
-            for p in [p for p in pieces if not p.isalpha()]:
-                if (m := _LETTERS_SIGNS(p)) and usual(m[1]):
-                    plain.append(p)
-                    words.append(f"{m[1]}\n{m[2]}")
-        if len(plain) < len(pieces):
-            known = set(plain)
-            rest = [p for p in pieces if p not in known]
+            signed = [(p, *m.groups()) for p in pieces if len(p) <= CACHE_LENGTH and not p.isalpha() and (m := _LETTERS_SIGNS(p)) and usual(m[1])]
+            done = {*plain, *(p for p, _, _ in signed)}
+            plain += {w for _, w, _ in signed if w not in known and w not in known.older}.difference(plain)
+            rest = [p for p in pieces if p not in done] if len(done) < len(pieces) else []
+        else:
+            rest = pieces
+        words = plain
         if plain:
             # ASCII stands for itself in the vocabulary, but for the space and the mark
             between, texts = "\n\0\n".translate(self.letters) + space.translate(self.letters), []
@@ -150,6 +152,14 @@ class Encoder:
             ends = 4 * np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
             yield from zip(plain, [raw[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())])
+        if signed:
+            ids, numbers = self.known.ids, self.known
+            for p, word, signs in signed:
+                if signs not in self.signs:
+                    self.signs[signs] = array("I", self._whole(signs)).tobytes()
+                yield p, ids[numbers[word]] + self.signs[signs]
+            if len(self.signs) > CACHE_PIECES // 10:
+                self.signs.clear()
         if rest:
             for p, e in zip(rest, self.tokenizer.encode_batch_fast([self._text(p) for p in rest], add_special_tokens=False)):
                 yield p, array("I", e.ids).tobytes()
