@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from querent.llm.common import arrow_batches
+from querent.llm.tokenizing import CACHE_PIECES
 
 #: Documents and tokens that a task holds before it packs them.
 HELD_DOCS, HELD_TOKENS = 4096, 2_000_000
@@ -146,7 +147,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(), leading_space: bool = True,
-    id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
@@ -158,7 +159,7 @@ def pack(
     holds at most one sequence that isn't full, so no rows are shuffled and memory is bounded. Sequence ids
     hold the task's number: they are repeatable for docs read from files. Null text counts as empty (its
     end id alone), repeated rows are packed like others, an empty table gives no rows, other columns aren't
-    read.
+    read. cache_pieces bounds a worker's memory for pieces of text; fewer cost time, not results.
     """
     import pyarrow as pa
 
@@ -172,7 +173,7 @@ def pack(
 
         from querent.llm.tokenizing import encoder
 
-        coder = encoder(vocabulary, leading_space)
+        coder = encoder(vocabulary, leading_space, cache_pieces)
         encode = coder.encode_batch
         packer = Packer(limits)
         next_id = TaskContext.get().partitionId() * IDS_PER_TASK

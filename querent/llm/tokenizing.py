@@ -6,6 +6,8 @@ that; texts in which a cut could change the result are encoded whole. The ids eq
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -64,13 +66,13 @@ class Encoder:
     BPE); otherwise white space is dropped (word BPE). add_special_tokens is always off.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.leading_space = leading_space
+        self.leading_space, self.cache_pieces = leading_space, cache_pieces
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = CharDelimiterSplit("\n")
@@ -99,7 +101,7 @@ class Encoder:
                 gc.enable()
 
     def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.cache_pieces:
             self.known = _Numbers(dict(self.known), self.known.ids)
         known = self.known
         numbers = [list(map(known.__getitem__, self._pieces(t or ""))) for t in texts]
@@ -116,10 +118,13 @@ class Encoder:
 
     def forget(self, keep: int = 100_000) -> None:
         """Frees memory between tasks; pieces that came first are the frequent ones and stay."""
+        keep = min(keep, self.cache_pieces // 2)
         known = _Numbers({}, [])
         known.ids = self.known.ids[:keep]
         known.update((p, n) for p, n in islice(self.known.items(), keep) if n < keep)
         self.known = known if len(known) == len(known.ids) else _Numbers({}, [])
+        with contextlib.suppress(OSError, AttributeError):  # what was freed goes back to the system where it can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(piece, ids) of each. Pieces of plain letters, maybe with signs after them, are divided as the tokenizer
@@ -158,7 +163,7 @@ class Encoder:
                 if signs not in self.signs:
                     self.signs[signs] = array("I", self._whole(signs)).tobytes()
                 yield p, ids[numbers[word]] + self.signs[signs]
-            if len(self.signs) > CACHE_PIECES // 10:
+            if len(self.signs) > self.cache_pieces // 10:
                 self.signs.clear()
         if rest:
             for p, e in zip(rest, self.tokenizer.encode_batch_fast([self._text(p) for p in rest], add_special_tokens=False)):
@@ -185,12 +190,12 @@ class Encoder:
         return " " + piece if self.leading_space and not piece.startswith("\n") else piece
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, leading_space: bool) -> Encoder:
-    """One encoder per Python worker and vocabulary file."""
-    key = (path, leading_space)
+def encoder(path: str, leading_space: bool, cache_pieces: int = CACHE_PIECES) -> Encoder:
+    """One encoder per Python worker, vocabulary file and size of cache."""
+    key = (path, leading_space, cache_pieces)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, leading_space)
+        _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
