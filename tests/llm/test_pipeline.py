@@ -27,7 +27,9 @@ def test_stages(spark, tmp_path):
     kept = quality_rules.judge([r["text"] for r in rows[0].values()], model)[3]
     assert set(rows[1]) == {i for i, k in zip(rows[0], kept) if k}
 
-    assert set(rows[2]) == keep_first_of_components({i: simhash.fingerprint(r["text"]) for i, r in rows[1].items()})
+    texts = {i: r["text"] for i, r in rows[1].items()}
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    assert set(rows[2]) == keep_first_of_components({i: simhash.fingerprint(t) for i, t in texts.items()}, sets)
 
     assert set(rows[3]) == set(rows[2])
     for i, r in rows[3].items():

@@ -22,7 +22,8 @@ def ids_of(name, texts, end):
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
-def keep_first_of_components(fps):
+def keep_first_of_components(fps, sets):
+    """The smallest id of each group over fingerprints within two bits and sets of similarity 0.8."""
     ids = sorted(fps)
     parent = {i: i for i in ids}
 
@@ -33,7 +34,8 @@ def keep_first_of_components(fps):
 
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2:
+            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+            if alike or ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {find(i) for i in ids}
