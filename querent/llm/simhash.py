@@ -24,8 +24,9 @@ HOT_GROUPS = 10_000
 #: For links by similarity: words of a shingle, bins of a text's minima, and bins of a band. Two texts with
 #: similarity 0.8 share a band with probability 0.99.
 SIMILAR_WORDS, BINS, ROWS = 5, 60, 5
-#: Buckets of up to so many different texts are compared in all pairs.
+#: Buckets of up to so many different texts are compared in all pairs of rows; fuller ones by blocks of about so many.
 PAIRED = 16
+BLOCK = 256
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -147,7 +148,7 @@ def bands(text: str | None, width: int = SIMILAR_WORDS) -> list[int]:
 
 
 def with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """fingerprints() with the bands of each text."""
+    """fingerprints() with the bands of each text, and `sid`, a hash of its set of shingles; null without words."""
     import pyarrow as pa
 
     arrow_batches(docs.sparkSession)
@@ -157,45 +158,133 @@ def with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
         for b in batches:
             texts = b.column(1).to_pylist()
             fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=[id_col, "fp", "bands"])
+            sids = pa.array([set_id(shingle_set(t)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, sids, pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=[id_col, "fp", "sid", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sid long, bands array<long>")
 
 
-def similar_links(docs: DataFrame, unique: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Edges (a, b) of fingerprints whose texts have at least this Jaccard similarity of SIMILAR_WORDS-word shingles.
+def set_id(hashes) -> int | None:
+    """A signed 64-bit hash of a set of shingles; None for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return None
+    h = xxh64_intdigest(hashes.tobytes(), 11)
+    return h - (1 << 64) if h >> 63 else h
+
 
-    unique: (fp, least, bands), a text for each fingerprint. Texts that share a band are candidates: all pairs in
-    buckets of up to PAIRED texts; in larger ones each text with the first and the last, so that a crowd of n
-    texts gives 2n pairs. Candidates are verified on their whole sets of shingles.
+def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Edges (a, b) of fingerprints whose components equal those of `near` and of all texts that share a band and
+    have at least this Jaccard similarity of SIMILAR_WORDS-word shingles.
+
+    fps: (id, fp, sid, bands) of every row. The nodes are distinct sets of shingles, whatever their fingerprints;
+    a set's first fingerprint stands for it, and its others are linked to that one. All pairs in buckets of up to
+    PAIRED sets are verified. In larger ones each set is verified with the first and the last, and then the sets
+    that are still apart are compared with all others, see _apart.
     """
     import pyarrow as pa
 
-    spread = unique.select("fp", F.explode("bands").alias("key"))
-    met = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("last")).where("n > 1")
-    met = materialize(met, "buckets")
-    own = spread.join(small(met), "key")
-    few = own.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("all"))
+    texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(id_col).alias("least"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    many_fps = texts.where("fp <> other").select("sid", F.col("fp").alias("a"))
+    same = fps.select("sid", F.col("fp").alias("b")).distinct().join(small(many_fps), "sid").select("a", "b").where("a <> b")
+    spread = texts.select("sid", "fp", F.explode("bands").alias("key"))
+    met = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("n > 1 and f <> g")
+    met = materialize(met.drop("f", "g"), "buckets")
+    own = materialize(spread.join(small(met), "key"), "spread")
+    few = own.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("sid")).alias("all"))
     pairs = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    many = own.where(F.col("n") > PAIRED).select("fp", F.explode(F.array("first", "last")).alias("other")).where("fp <> other")
-    pairs = materialize(pairs.union(many.select(F.least("fp", "other"), F.greatest("fp", "other"))).distinct(), "pairs")
-    some = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(unique.select("fp", "least"), "fp").select(F.col("least").alias(id_col), "fp"), "candidates")
+    many = own.where(F.col("n") > PAIRED).select("sid", F.explode(F.array("first", "last")).alias("end")).where("sid <> end")
+    pairs = materialize(pairs.union(many.select(F.least("sid", "end"), F.greatest("sid", "end"))).distinct(), "pairs")
+    some = materialize(own.select("sid").distinct().join(texts.select("sid", F.col("least").alias("least_")), "sid").select("least_").distinct(), "candidates")
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
             texts = b.column(0).to_pylist()
-            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([fps, pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["fp", "own"])
-
-    texts = docs.select(id_col, text_col).join(small(some.select(id_col).distinct()), id_col, "left_semi").select(text_col)
-    sets = materialize(texts.mapInArrow(run, "fp long, own array<long>").dropDuplicates(["fp"]), "shingles")
-    left, right = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+            sets = [shingle_set(t) for t in texts]
+            columns = [pa.array(map(set_id, sets), pa.int64()), pa.array([fingerprint(t, width) for t in texts], pa.int64()), pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "fp", "own"])
+
+    wanted = docs.select(id_col, text_col).join(small(some), F.col(id_col).eqNullSafe(F.col("least_")), "left_semi").select(text_col)
+    sets = materialize(wanted.mapInArrow(run, "sid long, fp long, own array<long>").where("sid is not null").dropDuplicates(["sid"]), "shingles")
+    left = sets.select(F.col("sid").alias("a"), F.col("fp").alias("fa"), F.col("own").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("fp").alias("fb"), F.col("own").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return both.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").where("fa <> fb").select("fa", "fb", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    edges = near.union(same).union(both.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("fa", "fb"))
+    full = own.where(F.col("n") > PAIRED).select("key", "sid", "fp")
+    if full.isEmpty():
+        return edges
+    roots = materialize(components(edges), "roots")
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_apart(full, sets, roots, similarity))
+
+
+def _apart(full: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between the components of `roots`, from all pairs of sets in the buckets `full` (key, sid, fp).
+
+    Two sets of one component need no comparison: a bucket that is one component is done. In the others sets go to
+    blocks by their hash, those of a component of BLOCK sets or more to blocks of its own, and each pair of blocks
+    is compared in one group, but for two blocks of one component. Common shingles of all pairs of a group are a
+    matrix product. A group's edges are a forest, so they are fewer than its sets.
+    """
+    import pyarrow as pa
+
+    member = full.join(roots, full["fp"] == roots["node"], "left").select("key", "sid", "fp", F.coalesce("root", "fp").alias("root"))
+    member = materialize(member, "members")
+    each = materialize(member.groupBy("key", "root").agg(F.count("*").alias("m")), "each")
+    mixed = each.groupBy("key").agg(F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("rest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mixed = materialize(mixed, "mixed")
+    large = F.col("m") >= BLOCK
+    parts = F.ceil(F.when(large, F.col("m")).otherwise(F.col("rest")) / BLOCK)
+    named = each.join(small(mixed), "key").select("key", "root", F.when(large, F.col("root").cast("string")).otherwise("rest").alias("owner"), parts.alias("parts"))
+    named = materialize(named, "owners")
+    block = lambda i: F.concat_ws(":", "owner", i.cast("string"))
+    dealt = member.join(small(named), ["key", "root"]).withColumn("block", block(F.pmod(F.xxhash64("sid"), "parts")))
+    blocks = named.select("key", "owner", "parts").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "owner", block(F.col("i")).alias("block"))
+    blocks = materialize(blocks, "blocks")
+    l, r = blocks.select("key", F.col("owner").alias("o"), F.col("block").alias("p")), blocks.select("key", F.col("owner").alias("u"), F.col("block").alias("q"))
+    met = l.join(r, "key").where("p <= q and (o <> u or o = 'rest')").select("key", F.concat_ws("|", F.col("key").cast("string"), "p", "q").alias("pair"), "p", "q")
+    sides = met.select("key", "pair", F.col("p").alias("block"), F.lit(0).alias("side")).union(met.where("p <> q").select("key", "pair", "q", F.lit(1)))
+    given = dealt.join(sides, ["key", "block"]).join(sets.select("sid", "own"), "sid").select("pair", "side", "fp", "root", "own")
+
+    def run(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        side, fp, root = (table.column(c).to_numpy() for c in ("side", "fp", "root"))
+        size = table.column("own").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(size)), size)
+        _, at, times = np.unique(table.column("own").combine_chunks().flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[at] > 1
+        of, at = of[shared], (np.cumsum(times > 1) - 1)[at][shared]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        common = np.zeros((len(a), len(b)))
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            some = slice(*np.searchsorted(at, [low, low + 4096]))
+            held = np.zeros((len(size), 4096), dtype=np.float32)
+            held[of[some], at[some] - low] = 1
+            common += held[a] @ held[b].T
+        alike = (common >= similarity * (size[a][:, None] + size[b] - common)) & (root[a][:, None] != root[b])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
+            x, y = find(int(root[a[i]])), find(int(root[b[j]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(fp[a[i]]), int(fp[b[j]])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return given.groupBy("pair").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -211,12 +300,11 @@ def near_duplicates(
     """
     prints = fingerprints(docs, id_col, text_col, width) if similarity is None else with_bands(docs, id_col, text_col, width)
     fps = materialize(prints, "fingerprints")
-    more = [] if similarity is None else [F.min_by("bands", id_col).alias("bands")]
-    unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), *more), "unique")
-    fps = fps.select(id_col, "fp")
+    unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "unique")
     edges = links(unique.select("fp"))
     if similarity is not None:
-        edges = edges.union(similar_links(docs, unique, similarity, id_col, text_col, width))
+        edges = similar_links(docs, fps, edges, similarity, id_col, text_col, width)
+    fps = fps.select(id_col, "fp")
     roots = components(edges)
     named = unique.join(roots, unique["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("named"))
     changed = roots.join(named, "root").select(F.col("node").alias("fp"), "named")

@@ -539,7 +539,7 @@ def test_simhash_links_dense_groups(spark):
         x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
         fps[at] = x
         at += 1
-    for _ in range(200):
+    for _ in range(260):
         fps[at] = rng.getrandbits(64)
         at += 1
     fps[at], fps[at + 1] = 0, 1 << 63
@@ -567,3 +567,66 @@ def test_drop_near_duplicates(spark, docs):
     found = simhash.near_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted(r[0] for r in left.select("doc_id").distinct().collect()) == sorted(r[0] for r in found.select("component_id").distinct().collect())
+
+
+def similar_components(texts):
+    """The smallest id of each group over fingerprints within two bits and all similar pairs that share a band."""
+    ids = sorted(texts)
+    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    keys = {i: set(simhash.bands(t)) for i, t in texts.items()}
+    name = {i: i for i in ids}
+
+    def find(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for i, j in ((i, j) for n, i in enumerate(ids) for j in ids[:n]):
+        alike = keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        if alike or ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2:
+            x, y = sorted((find(i), find(j)))
+            name[y] = x
+    return {find(i) for i in ids}
+
+
+@pytest.mark.parametrize("block", [256, 40])
+def test_similar_links_in_full_buckets(spark, monkeypatch, block):
+    """Hundreds of variants that are alike to their original but not to each other, in families that share a passage."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(210)]
+    texts = {}
+    for family in range(3):
+        first = passage + [word() for _ in range(40)]
+        texts[10_000 + family] = " ".join(first)
+        for _ in range(260):
+            own = list(first)
+            for place in rng.sample(range(0, 245, 7), 5):
+                own[place] = word()
+            texts[len(texts) + 1000 * family] = " ".join(own)
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    keys = {}
+    for i, t in rows:
+        for k in simhash.bands(t):
+            keys.setdefault(k, set()).add(i)
+    assert max(map(len, keys.values())) > 200
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
+    want = similar_components(texts)
+    assert {r["component_id"] for r in found} == want and len(want) < 10  # a few texts share no band with theirs
+
+
+def test_similar_links_of_equal_fingerprints(spark):
+    """Each text of a fingerprint can link, not only that with the smallest id; rows without an id link as well."""
+    rng = random.Random(6)
+    tail = lambda: [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    often, other, common = ["a b c"] * 300, tail(), tail()
+    texts = {0: " ".join(often + other), 1: " ".join(often + common), 2: " ".join(["a b c"] * 4 + common)}
+    assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1]) != simhash.fingerprint(texts[2])
+    assert similar_components(texts) == {0}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()} == {0}
+    df = df.withColumn("doc_id", F.when(F.col("doc_id") == 2, 2))
+    assert {r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()} == {2}
