@@ -18,13 +18,13 @@ FILTERS = 16
 WIDEST = 12
 #: Quantiser limits of a filter's log ratio.
 LIMITS = (-0.18, 0.0, 0.18)
-#: A pair of recordings is compared at an offset where at least this many packed integers are equal; it aligns
-#: if over at least LEAST_OVERLAP integers at most this share of the bits differ.
-LEAST_EQUAL = 2
+#: A pair of recordings aligns at an offset if over at least LEAST_OVERLAP integers at most this share of the bits differ.
 LEAST_OVERLAP = 16
 MOST_ERRORS = 0.15
 #: Every recording whose id is divisible by this is looked for among all.
 QUERY_EVERY = 20
+#: Classes of a block when they are compared.
+BLOCK = 2048
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -100,30 +100,25 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
     """One row per recording: id, class_id, n_codes, is_query, n_links, best_class, best_offset, best_errors.
 
     Recordings with equal codes form a class, named by its smallest id. Every class that has an id divisible
-    by QUERY_EVERY is looked for among all other classes: equal packed integers vote for an offset, and each
-    offset with LEAST_EQUAL votes is verified by the share of differing bits over the overlap. n_links counts
-    the classes that align, best_ is the one with the fewest errors (then the smallest class, then offset);
-    offset is the other's position less the query's. Both are null for classes without query or link. Copies
-    are never paired with each other, so their number doesn't matter; codes that are common, such as those of
-    silence, meet only the query classes and are counted before the shuffle.
+    by QUERY_EVERY is compared with all other classes at every offset with LEAST_OVERLAP integers, by the share
+    of differing bits over the overlap. n_links counts the classes that align, best_ is the one with the fewest
+    errors (then the smallest class, then offset); offset is the other's position less the query's. Both are
+    null for classes without query or link. Copies are never paired with each other, so their number doesn't
+    matter. The work is the product of the numbers of query classes and classes, shared out by blocks of both.
     """
     key = F.xxhash64(F.transform("codes", lambda x: x.cast("long")))
     own = materialize(prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce("codes", F.array().cast("array<int>")).alias("codes")).withColumn("key", key), "codes")
     asks = F.coalesce(F.col("id") % QUERY_EVERY == 0, F.lit(False))
     classes = own.groupBy("key").agg(F.min("id").alias("class"), F.max(asks).alias("asks"), F.first("codes").alias("codes"))
     classes = materialize(classes, "classes")
-    spread = classes.select("class", "asks", F.posexplode("codes").alias("at", "code"))
-    once = spread.groupBy("class", "asks", "code").agg(F.collect_list("at").alias("at"))
-    left = once.where("asks").select(F.col("class").alias("q"), "code", F.col("at").alias("q_at"))
-    right = once.select(F.col("class").alias("r"), "code", F.col("at").alias("r_at"))
-    met = left.join(right, "code").where("q <> r").select("q", "r", F.explode("q_at").alias("x"), "r_at").select("q", "r", "x", F.explode("r_at").alias("y"))
-    voted = met.groupBy("q", "r", (F.col("y") - F.col("x")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= LEAST_EQUAL)
-    a, b = classes.select(F.col("class").alias("q"), F.col("codes").alias("cq")), classes.select(F.col("class").alias("r"), F.col("codes").alias("cr"))
-    low = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("cq") - low, F.size("cr") - low - F.col("offset"))
-    wrong = F.aggregate(F.zip_with(F.slice("cq", low + 1, n), F.slice("cr", low + F.col("offset") + 1, n), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-    checked = voted.join(a, "q").join(b, "r").withColumn("n", n).where(F.col("n") >= LEAST_OVERLAP).withColumn("errors", wrong / (32 * F.col("n")))
-    good = checked.where(F.col("errors") <= MOST_ERRORS).groupBy("q", "r").agg(F.min(F.struct("errors", "offset")).alias("m"))
+    long = classes.where(F.size("codes") >= LEAST_OVERLAP)
+    n = max(1, -(-long.count() // BLOCK))
+    r = long.groupBy(F.pmod(F.xxhash64("class"), F.lit(n)).alias("r_block")).agg(F.collect_list(F.struct("class", "codes")).alias("r"))
+    q = long.where("asks").groupBy(F.pmod(F.xxhash64("class"), F.lit(n)).alias("q_block")).agg(F.collect_list(F.struct("class", "codes")).alias("q"))
+    met = q.crossJoin(r).repartition(n * n, "q_block", "r_block").select("q", "r")
+    arrow_batches(prints.sparkSession, rows=1)
+    good = materialize(met.mapInArrow(_compare, "q long, r long, m struct<errors double, offset long>"), "links")
+    arrow_batches(prints.sparkSession)
     best = good.groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("m.errors", "r", "m.offset")).alias("best"))
     named = classes.join(best, classes["class"] == best["q"], "left").select("key", "class", "asks", "n_links", "best")
     return own.join(named, "key").select(
@@ -133,6 +128,55 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
+def _compare(batches: Iterator) -> Iterator:
+    """For rows of two lists of (class, codes): the best offset of each pair that aligns."""
+    import pyarrow as pa
+
+    def lists(column) -> list[tuple[int, np.ndarray]]:
+        held = column.flatten()
+        codes, at = held.field("codes"), held.field("codes").offsets.to_numpy()
+        flat = codes.values.to_numpy().view(np.uint32)
+        return [(c, flat[at[i] : at[i + 1]]) for i, c in enumerate(held.field("class").to_pylist())]
+
+    for b in batches:
+        for i in range(b.num_rows):
+            one = b.slice(i, 1)
+            others: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for c, codes in lists(one.column(1)):
+                others.setdefault(len(codes), []).append((c, codes))
+            out: list[tuple[int, int, float, int]] = []
+            for length, some in others.items():
+                names, rows = np.array([c for c, _ in some]), np.ascontiguousarray(np.stack([x for _, x in some]).T)
+                for c, codes in lists(one.column(0)):
+                    wrong, offset = _best(codes, rows)
+                    for j in np.flatnonzero((wrong <= MOST_ERRORS) & (names != c)).tolist():
+                        out.append((c, int(names[j]), float(wrong[j]), int(offset[j])))
+            m = pa.StructArray.from_arrays([pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())], names=["errors", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), m], names=["q", "r", "m"])
+
+
+def _best(q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column of rows: the least share of bits that differ from q at any offset, then the smallest offset; 2 if above MOST_ERRORS.
+
+    Half of an overlap is counted first; columns that are over the limit by then are left out, as errors only add up.
+    """
+    least, best = np.full(rows.shape[1], 2.0), np.zeros(rows.shape[1], dtype=np.int64)
+    for offset in range(LEAST_OVERLAP - len(q), len(rows) - LEAST_OVERLAP + 1):
+        low = max(0, -offset)
+        n = min(len(q) - low, len(rows) - low - offset)
+        if n < LEAST_OVERLAP:
+            continue
+        x, y, half = q[low : low + n, None], rows[low + offset : low + offset + n], n // 2
+        wrong = np.bitwise_count(x[:half] ^ y[:half]).sum(axis=0, dtype=np.uint32)
+        left = np.flatnonzero(wrong / (32 * n) <= MOST_ERRORS)
+        if not len(left):
+            continue
+        share = (wrong[left] + np.bitwise_count(x[half:] ^ y[half:, left]).sum(axis=0, dtype=np.uint32)) / (32 * n)
+        better = (share <= MOST_ERRORS) & (share < least[left])
+        least[left[better]], best[left[better]] = share[better], offset
+    return least, best
+
+
 def melody(embeddings: DataFrame, rate: int = 2000, note: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, pcm): each vector played as a row of notes, one for each number; the higher the number, the higher the note.
 

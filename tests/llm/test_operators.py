@@ -224,6 +224,35 @@ def test_chroma_aligns_shifted_and_noisy_recordings(spark):
     assert chroma.align(chroma.fingerprints(df.where("false"), rate)).count() == 0
 
 
+def test_chroma_links_equal_brute_force(spark, monkeypatch):
+    """Copies with up to 15 % wrong bits, few or none of whose integers are equal, shifted and of other lengths."""
+    monkeypatch.setattr(chroma, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(7)
+    own = {i: rng.integers(0, 2**32, 52, dtype=np.uint32) for i in range(0, 100, 20)}
+    for q in list(own):
+        for k, share in enumerate((0.05, 0.10, 0.14, 0.149, 0.16)):
+            part = own[q][k * 6 : 52 - 2 * k]
+            flips = np.zeros(32 * len(part), dtype=np.uint8)
+            flips[rng.choice(len(flips), int(share * len(flips)), replace=False)] = 1
+            own[q + k + 1] = part ^ np.packbits(flips).view(np.uint32)
+    rows = [(i, x.view(np.int32).tolist()) for i, x in own.items()] + [(1000, []), (1001, None), (1002, [5] * 15)]
+    want = {}
+    for q in range(0, 100, 20):
+        found = {}
+        for r, y in own.items():
+            for offset in range(-51, 52) if r != q else ():
+                at = [(i, i + offset) for i in range(52) if 0 <= i + offset < len(y)]
+                if len(at) >= 16:
+                    wrong = sum((int(own[q][i]) ^ int(y[j])).bit_count() for i, j in at) / (32 * len(at))
+                    if wrong <= 0.15:
+                        found[r] = min(found.get(r, (2, 0)), (wrong, offset))
+        want[q] = (len(found), *min((e, r, o) for r, (e, o) in found.items()))
+        assert len(found) == 4
+    got = {r["id"]: r for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<int>")).collect()}
+    assert {q: (got[q]["n_links"], got[q]["best_errors"], got[q]["best_class"], got[q]["best_offset"]) for q in want} == want
+    assert len(got) == len(rows) and got[1]["n_links"] is None and got[1000]["n_links"] == 0
+
+
 def test_chroma_integral_image():
     """Filters by the integral image equal those by plain sums."""
     rng = np.random.default_rng(4)
