@@ -50,19 +50,18 @@ def nearest_category(queries: DataFrame, examples: DataFrame, id_col: str, vecto
     """(id, category): the category whose examples have the highest mean cosine; -1 if that is below `least`.
 
     The mean cosine to a category is the cosine part with the mean of its unit vectors, so a category is first
-    brought down to one vector. Categories are few and fixed: they come to each row as one array.
+    brought down to one vector. All categories come to each row as one array.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     unit = examples.select(category, F.posexplode(F.transform(vector, lambda v: v / norm)).alias("i", "v"))
     mean = unit.groupBy(category, "i").agg(F.avg("v").alias("v")).groupBy(category).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
-    fixed = mean.orderBy(category).limit(10_000).collect()
-    table = F.array(*(F.struct(F.lit(r[category]).alias("category"), F.array(*map(F.lit, r["mean"])).alias("mean")) for r in fixed))
+    every = mean.agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), "mean"))).alias("table_"))
     own = F.transform(vector, lambda v: v / norm)
     dot = lambda m: F.aggregate(F.zip_with(own, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    start = F.struct(F.lit(float("-inf")).alias("s"), F.lit(fixed[0][category] if fixed else None).alias("category"))
-    scored = F.transform(table, lambda c: F.struct(dot(c["mean"]).alias("s"), c["category"].alias("category")))
+    start = F.struct(F.lit(float("-inf")).alias("s"), F.get("table_", F.lit(0))["category"].alias("category"))
+    scored = F.transform("table_", lambda c: F.struct(dot(c["mean"]).alias("s"), c["category"].alias("category")))
     best = F.aggregate(scored, start, lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
-    out = queries.select(id_col, best.alias("b"))
+    out = queries.select(id_col, vector).crossJoin(F.broadcast(every)).select(id_col, best.alias("b"))
     chosen = F.col("b.category") if least is None else F.when(F.col("b.s") >= least, F.col("b.category")).otherwise(-1)
     return out.select(id_col, chosen.alias(category))
 

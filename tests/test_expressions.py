@@ -142,3 +142,13 @@ def test_reading_order(spark):
     objects = spark.createDataFrame([([([5, 9], "c"), ([1, 2], "b"), ([1, 2], "a"), ([0, 9], " ")],)], "o array<struct<BBOX:array<int>,OCR:string>>")
     assert objects.select(windows.reading_order(F.col("o"))).first()[0] == "a\nb\n \nc"
     assert objects.select(windows.verifier_order(F.col("o"))).first()[0] == "b\na\nc"
+
+
+def test_nearest_category_of_more_than_ten_thousand(spark):
+    """The last of the categories is the nearest one, however many there are."""
+    from querent.operators.models import nearest_category
+
+    examples = spark.range(10_050).selectExpr("cast(id as int) as label", "array(cos(id / 10050.0), sin(id / 10050.0)) as v")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, v array<double>")
+    assert {r["id"]: r["label"] for r in nearest_category(asked, examples, "id", "v", "label").collect()} == {1: 10_049, 2: 0}
+    assert [r["label"] for r in nearest_category(asked, examples.where("false"), "id", "v", "label").collect()] == [None, None]
