@@ -5,8 +5,11 @@ sequence: the low bits of each end in an array, the high bits as unary gaps in a
 of counts, so that the i-th end is found by a select on the bit vector. This takes about 2 + log2(ids per
 document) bits a document instead of 64.
 
-Layout, little-endian: magic, bytes of an id (1), low bits (1), documents (8), ids (8), bytes of the high
-bits (8); document ids (8 each); directory (4 for each 512 bits); high bits; low bits; ids.
+The documents' own ids are a second Elias-Fano sequence, of what they exceed the file's first one by.
+
+Layout, little-endian: magic, bytes of an id (1), documents (8), ids (8), the smallest document id (8); twice
+(ends, document ids) low bits (1), bytes of the high bits (8), directory (4 for each 512 bits), high bits, low
+bits; ids.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ from pyspark.sql import Window as W
 from querent.llm.common import arrow_batches, materialize, new_path
 
 #: Fixed values of the file format.
-MAGIC = b"EFIDS1\0\0"
-HEADER = "<8sBBQQQ"
+MAGIC = b"EFIDS2\0\0"
+HEADER = "<8sBQQq"
+PART = "<BQ"
 BLOCK = 512
 NO_ID = -(1 << 63)
 
 #: A file is closed when it has this many ids or documents, and a task's next one begins.
 FILE_IDS, FILE_DOCS = 1_000_000, 50_000
+#: Nor do document ids of a file lie further apart.
+FILE_SPAN = 1 << 62
 
 
 class EliasFano:
@@ -65,37 +71,52 @@ class EliasFano:
         return out
 
 
+    def tobytes(self) -> bytes:
+        return b"".join((struct.pack(PART, self.low_bits, len(self.high)), self.directory.tobytes(), self.high.tobytes(), self.low.tobytes()))
+
+    @classmethod
+    def read(cls, raw: bytes, at: int, n: int) -> tuple[EliasFano, int]:
+        """The sequence of n numbers that begins at a place, and the place after it."""
+        low_bits, high = struct.unpack_from(PART, raw, at)
+        at += struct.calcsize(PART)
+        parts = []
+        for kind, count in (("<u4", high * 8 // BLOCK), ("u1", high), ("u1", -(-n * low_bits // 8))):
+            parts.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+            at += parts[-1].nbytes
+        return cls(n, low_bits, parts[1], parts[0], parts[2]), at
+
+
 def file_bytes(doc_ids: list[int], ids: list[bytes], id_bytes: int) -> bytes:
-    """A file of documents whose ids are given as little-endian unsigned 32-bit numbers."""
+    """A file of documents with rising ids, whose token ids are given as little-endian unsigned 32-bit numbers.
+
+    Fails if a token id doesn't fit id_bytes bytes, or if a file's document ids lie 2^62 apart or more.
+    """
     ends = np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    ef = EliasFano.build(ends, total)
-    payload = np.frombuffer(b"".join(ids), dtype="<u4").astype(f"<u{id_bytes}")
-    head = struct.pack(HEADER, MAGIC, id_bytes, ef.low_bits, len(ids), total, len(ef.high))
-    return b"".join((head, np.array(doc_ids, dtype="<i8").tobytes(), ef.directory.tobytes(), ef.high.tobytes(), ef.low.tobytes(), payload.tobytes()))
+    wide = np.frombuffer(b"".join(ids), dtype="<u4")
+    if len(wide) and int(wide.max()) >> (8 * id_bytes):
+        raise ValueError(f"token id {int(wide.max())} doesn't fit {id_bytes} bytes")
+    least = doc_ids[0] if doc_ids else 0
+    if doc_ids and doc_ids[-1] - least >= 1 << 62:
+        raise ValueError("the document ids of a file lie too far apart")
+    own = np.array([d - least for d in doc_ids], dtype=np.int64)
+    head = struct.pack(HEADER, MAGIC, id_bytes, len(ids), total, least)
+    return b"".join((head, EliasFano.build(ends, total).tobytes(), EliasFano.build(own, int(own[-1]) if len(own) else 0).tobytes(), wide.astype(f"<u{id_bytes}").tobytes()))
 
 
 class File:
-    """Reads a file: ends(), and ids(i) of the i-th document."""
+    """Reads a file: doc_ids(), ends(), and ids(i) of the i-th document."""
 
     def __init__(self, raw: bytes):
-        magic, self.id_bytes, low_bits, self.n, self.total, high = struct.unpack_from(HEADER, raw)
+        magic, self.id_bytes, self.n, self.total, self.least = struct.unpack_from(HEADER, raw)
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        at = struct.calcsize(HEADER)
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, dtype=kind, count=count, offset=at)
-            at += out.nbytes
-            return out
+        self.boundaries, at = EliasFano.read(raw, struct.calcsize(HEADER), self.n)
+        self.documents, at = EliasFano.read(raw, at, self.n)
+        self.payload = np.frombuffer(raw, dtype=f"<u{self.id_bytes}", count=self.total, offset=at)
 
-        self.doc_ids = take("<i8", self.n)
-        directory = take("<u4", high * 8 // BLOCK)
-        bits = take("u1", high)
-        low = take("u1", -(-self.n * low_bits // 8))
-        self.boundaries = EliasFano(self.n, low_bits, bits, directory, low)
-        self.payload = take(f"<u{self.id_bytes}", self.total)
+    def doc_ids(self) -> np.ndarray:
+        return self.documents.get(np.arange(self.n)) + self.least
 
     def ends(self) -> np.ndarray:
         return self.boundaries.get(np.arange(self.n))
@@ -109,7 +130,8 @@ def write(
     docs: DataFrame, path: str, vocabulary: str, end_id: int, id_bytes: int = 2, leading_space: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
-    """Encode docs and write token-id files, in rising order of the integer id, below path.
+    """Encode docs and write token-id files, in rising order of the integer id, below path. id_bytes: 2 or 4, for
+    vocabularies of up to 2^16 or 2^32 ids; an id beyond fails.
 
     docs are dealt to tasks by ranges of the id and sorted there, so files follow each other in order over
     all tasks; rows with one id come in the order of their texts. Each file is a row (part, number, docs,
@@ -140,12 +162,13 @@ def write(
 
         for b in batches:
             for doc_id, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                ids.append(own + end)
-                doc_ids.append(NO_ID if doc_id is None else doc_id)
-                total += len(ids[-1]) // 4
-                if total >= FILE_IDS or len(ids) >= FILE_DOCS:
+                doc_id = NO_ID if doc_id is None else doc_id
+                if ids and (total >= FILE_IDS or len(ids) >= FILE_DOCS or doc_id - doc_ids[0] >= FILE_SPAN):
                     yield row()
                     doc_ids, ids, total, number = [], [], 0, number + 1
+                ids.append(own + end)
+                doc_ids.append(doc_id)
+                total += len(ids[-1]) // 4
         if ids:
             yield row()
         coder.forget()
@@ -156,14 +179,15 @@ def write(
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) for every document in the files below path.
+    """(id, start, n_tokens, ids_crc32) for every document in the files below path; null ids come back as null,
+    repeated ones as often as they were written, and no files give no rows.
 
     start counts the ids of all documents before it, over all files. Only two numbers a file are summed up
     for that, and of those only the tasks' totals meet in one place.
     """
     import pyarrow as pa
 
-    arrow_batches(spark, megabytes=8, rows=8)
+    arrow_batches(spark)
     files = spark.read.schema("part long, number long, docs long, ids long, file binary").parquet(path)
     parts = files.groupBy("part").agg(F.sum("ids").alias("in_part"))
     before = parts.select("part", (F.sum("in_part").over(W.orderBy("part")) - F.col("in_part")).alias("before"))
@@ -181,7 +205,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 wide = f.payload.astype("<u4").tobytes()
                 view = memoryview(wide)
                 sums = [crc32(view[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist())]
-                own = pa.array(f.doc_ids, pa.int64(), mask=f.doc_ids == NO_ID)
+                doc_ids = f.doc_ids()
+                own = pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID)
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (begins + first, ends - begins, sums))], names=names)
 
     return placed.select("first", "file").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")

@@ -1,12 +1,13 @@
 """Packing of token sequences under limits on tokens, segments and loss-bearing tokens.
 
-What is left of a document after its full sequences is placed whole by the dot-product heuristic for vector
+Documents that fit a sequence, and the pieces of others, are placed whole by the dot-product heuristic for vector
 bin packing: it goes to the open sequence whose remaining room, as a vector of shares of the limits, has the
 largest dot product with its own demand. Only then are pieces cut, and only to fill what would be padding.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -19,6 +20,10 @@ from querent.llm.tokenizing import CACHE_PIECES
 
 #: Documents and tokens that a task holds before it packs them.
 HELD_DOCS, HELD_TOKENS = 4096, 2_000_000
+#: Open sequences among which a piece is placed; of more, the fullest is set aside to be filled up later.
+OPEN = 64
+#: Sequences that the limits keep from being full wait for more documents, up to so many; others are divided.
+MOST_LEFT = 32
 #: Sequence ids count up from the number of the task times this.
 IDS_PER_TASK = 1 << 36
 
@@ -42,7 +47,7 @@ class Packer:
         self.limits = limits
         self.scale = np.array([limits.tokens, limits.segments, limits.loss], dtype=float)
         self.loss_from: dict[int, int] = {}
-        self.open: list[Piece] = []
+        self.rest: list[Piece] = []
 
     def loss(self, piece: Piece) -> int:
         return max(0, piece[2] - max(piece[1], self.loss_from[piece[0]]))
@@ -50,76 +55,88 @@ class Packer:
     def _demand(self, piece: Piece) -> tuple[int, int, int]:
         return piece[2] - piece[1], 1, self.loss(piece)
 
-    def _chunks(self, doc: int, tokens: int) -> list[Piece]:
-        """Pieces that each fit a sequence; all but the last are as long as the limits allow."""
-        out, at, first = [], 0, self.loss_from[doc]
-        while at < tokens:
-            end = min(tokens, at + self.limits.tokens, max(at, first) + self.limits.loss)
-            out.append((doc, at, end))
-            at = end
-        return out
+    def _chunks(self, doc: int, tokens: int) -> tuple[list[Piece], list[Piece]]:
+        """Pieces to be placed, and pieces without loss to fill up with: the document itself if it fits a sequence, else
+        its answer in pieces of as many tokens as may bear loss, and its prompt."""
+        first, most = min(self.loss_from[doc], tokens), self.limits.loss
+        if tokens <= self.limits.tokens and tokens - first <= most:
+            return [(doc, 0, tokens)], []
+        return [(doc, at, min(tokens, at + most)) for at in range(first, tokens, most)], [(doc, 0, first)] if first else []
 
     def pack(self, docs: list[tuple[int, int, int]]) -> list[list[Piece]]:
-        """Closed sequences; at most one that isn't full stays open for the next call."""
+        """Full sequences. What can't fill one, of at most MOST_LEFT sequences, waits for the next call."""
         out: list[list[Piece]] = []
-        items = []
+        items, self.rest = self.rest, []
+        free: list[Piece] = []
         for doc, tokens, first in docs:
             self.loss_from[doc] = first
-            for piece in self._chunks(doc, tokens):
-                (out if piece[2] - piece[1] == self.limits.tokens else items).append([piece] if piece[2] - piece[1] == self.limits.tokens else piece)
+            pieces, prompts = self._chunks(doc, tokens)
+            free += prompts
+            for piece in pieces:
+                if piece[2] - piece[1] == self.limits.tokens:
+                    out.append([piece])
+                else:
+                    items.append(piece)
         items.sort(key=lambda p: (p[1] - p[2], p[0], p[1]))
-        bins: list[list[Piece]] = [self.open] if self.open else []
-        room = np.zeros((len(items) + 1, 3))
-        for i, b in enumerate(bins):
-            room[i] = self.scale - np.sum([self._demand(p) for p in b], axis=0)
+        bins: list[list[Piece]] = []
+        aside: list[list[Piece]] = []
+        room = np.zeros((OPEN, 3))  # as shares of the limits
+        near = 0.5 / self.scale.max()
         for piece in items:
-            need = np.array(self._demand(piece), dtype=float)
+            need = np.array(self._demand(piece)) / self.scale
             n = len(bins)
-            fits = np.flatnonzero((room[:n] >= need).all(axis=1))
-            if len(fits):
-                at = int(fits[((room[fits] / self.scale) @ (need / self.scale)).argmax()])
-                bins[at].append(piece)
-                room[at] -= need
-            else:
-                at = n
-                bins.append([piece])
-                room[at] = self.scale - need
-        closed, self.open = self._fill(bins)
-        return out + closed
-
-    def _fill(self, bins: list[list[Piece]]) -> tuple[list[list[Piece]], list[Piece]]:
-        """Cut pieces of the emptiest sequences to fill the others. Returns the closed ones and one that stays open."""
+            value = np.where((room[:n] >= need - near).all(axis=1), room[:n] @ need, -1.0)
+            at = int(value.argmax()) if n else -1
+            if at < 0 or value[at] < 0:
+                if n == OPEN:
+                    at = int(room[:, 0].argmin())
+                    aside.append(bins[at])
+                    bins[at] = []
+                else:
+                    at = n
+                    bins.append([])
+                room[at] = 1.0
+            bins[at].append(piece)
+            room[at] -= need
+        return out + self._fill(bins + aside, free)
+
+    def _fill(self, bins: list[list[Piece]], free: list[Piece]) -> list[list[Piece]]:
+        """Full sequences: the fuller ones are filled up, with tokens of the emptiest that bear loss as far as the limits
+        go, then with tokens that bear none."""
         size = lambda b: sum(p[2] - p[1] for p in b)
         closed, partly = [], []
         for b in bins:
             (closed if size(b) == self.limits.tokens else partly).append(b)
         partly.sort(key=lambda b: (-size(b), b[0]))
-        spare: list[Piece] = []
-        while partly:
-            b = partly.pop(0)
-            room = [int(x) for x in self.scale - np.sum([self._demand(p) for p in b], axis=0)]
-            while room[0] and room[1] and room[2]:
-                if not spare:
-                    if not partly:
+        left = deque(partly)
+        lossy: list[Piece] = []
+        stuck: list[list[Piece]] = []
+        while left or lossy or free:
+            b = left.popleft() if left else []
+            room = (self.scale - np.sum([self._demand(p) for p in b], axis=0)).astype(int).tolist() if b else [self.limits.tokens, self.limits.segments, self.limits.loss]
+            while room[0] and room[1]:
+                source = lossy if lossy and room[2] else free
+                if not source:
+                    if not left:
                         break
-                    spare = partly.pop()
-                doc, at, end = spare.pop()
-                first = self.loss_from[doc]
-                cut = min(end, at + room[0], max(at, first) + room[2])
-                piece = (doc, at, cut)
-                b.append(piece)
-                room = [x - y for x, y in zip(room, self._demand(piece))]
+                    for doc, at, end in left.pop():
+                        first = self.loss_from[doc]
+                        if at < first:
+                            free.append((doc, at, min(end, first)))
+                        if end > first:
+                            lossy.append((doc, max(at, first), end))
+                    continue
+                doc, at, end = source.pop()
+                cut = min(end, at + room[0], at + room[2] if source is lossy else end)
+                b.append((doc, at, cut))
+                room = [room[0] - cut + at, room[1] - 1, room[2] - (cut - at if source is lossy else 0)]
                 if cut < end:
-                    spare.append((doc, cut, end))
-            if not room[0]:
-                closed.append(b)
-            elif not partly and not spare:
-                return closed, b
-            else:
-                closed += self.split(b)
-            if not partly and spare:
-                partly, spare = [spare], []
-        return closed, []
+                    source.append((doc, cut, end))
+            (stuck if room[0] else closed).append(b)
+        for b in stuck[MOST_LEFT:]:
+            closed += self.split(b)
+        self.rest = [p for b in stuck[:MOST_LEFT] for p in b]
+        return closed
 
     def split(self, pieces: list[Piece]) -> list[list[Piece]]:
         """Sequences of falling powers of two, which need no padding, with the pieces' tokens in order."""
@@ -141,22 +158,39 @@ class Packer:
         return out
 
     def close(self) -> list[list[Piece]]:
-        rest, self.open = self.open, []
-        return self.split(rest) if rest else []
+        """What is left, in sequences within the limits as long as powers of two."""
+        out: list[list[Piece]] = []
+        b: list[Piece] = []
+        room = self.scale.astype(int).tolist()
+        for doc, at, end in self.rest:
+            while at < end:
+                first = self.loss_from[doc]
+                cut = min(end, at + room[0], max(at, first) + room[2])
+                if cut <= at or not room[1]:
+                    out += self.split(b)
+                    b, room = [], self.scale.astype(int).tolist()
+                    continue
+                b.append((doc, at, cut))
+                room = [x - y for x, y in zip(room, self._demand(b[-1]))]
+                at = cut
+        self.rest = []
+        return out + (self.split(b) if b else [])
 
 
 def pack(
     docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(), leading_space: bool = True,
-    id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, cache_pieces: int = CACHE_PIECES,
+    id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, prompt_share: float = 0.0,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     Each document is its token ids (vocabulary: a file of the tokenizers library) and end_id. Its first
-    prompt_tokens_col tokens bear no loss (none given, null or negative: all bear loss). Each id lies in
+    prompt_tokens_col tokens bear no loss (null or negative: all bear loss); without such a column the first
+    prompt_share of each document's tokens, rounded down, is its prompt. Each id lies in
     exactly one piece; a sequence keeps the limits and is full, or else as long as a power of two.
 
     A task packs the documents of its partition in the order they come, a bounded number at a time, and
-    holds at most one sequence that isn't full, so no rows are shuffled and memory is bounded. Sequence ids
+    holds at most MOST_LEFT sequences that aren't full, so no rows are shuffled and memory is bounded. Sequence ids
     hold the task's number: they are repeatable for docs read from files. Null text counts as empty (its
     end id alone), repeated rows are packed like others, an empty table gives no rows, other columns aren't
     read. cache_pieces bounds a worker's memory for pieces of text; fewer cost time, not results.
@@ -193,7 +227,7 @@ def pack(
                         column.append(value)
                     offset += to - at
                 next_id += 1
-            keep = {p[0] for p in packer.open}
+            keep = {p[0] for p in packer.rest}
             for doc in [d for d in held if d not in keep]:
                 del held[doc], packer.loss_from[doc]
             if out[0]:
@@ -202,9 +236,10 @@ def pack(
         key_type = None
         for b in batches:
             key_type = b.schema.field(0).type
-            firsts = b.column(2).to_pylist() if b.num_columns > 2 else [0] * b.num_rows
-            for own, ids, first in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), firsts):
+            given = b.column(2).to_pylist() if b.num_columns > 2 else None
+            for i, (own, ids) in enumerate(zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()))):
                 ids += end
+                first = given[i] if given else int(prompt_share * (len(ids) // 4))
                 held[number] = (own, ids)
                 waiting.append((number, len(ids) // 4, max(0, first or 0)))
                 number += 1

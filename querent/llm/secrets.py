@@ -190,7 +190,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     """(id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row of docs.
 
     Null and empty texts have no spans (the sha256 is that of an empty string); repeated rows have equal
-    results but all count for the false-discovery control; an empty table gives an empty result.
+    results but all count for the false-discovery control; an empty table gives an empty result; other columns
+    aren't read.
     """
     scanned = materialize(scan(docs, text_col, [id_col]), "secrets")
     found = scanned.withColumn("_querent_all", discovered(cutoffs(scanned, share)))
@@ -201,11 +202,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
 def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in its text replaced by `mark`; rows and columns stay as they came.
 
-    Spans that overlap or touch become one mark. Null texts stay null.
+    Spans that overlap or touch become one mark. Null texts stay null, empty ones empty; repeated rows are redacted
+    alike but all count for the false-discovery control; an empty table gives an empty one. Each text is scanned
+    once: docs and their spans are written, as the cutoffs need all of them. Names that begin with _querent_ are taken.
     """
-    scanned = materialize(scan(docs, text_col, []).where((F.size("_querent_tokens") > 0)).select("_querent_tokens"), "tokens")
-    cuts = cutoffs(scanned, share)
-    found = scan(docs, text_col).withColumn("_querent_all", discovered(cuts))
+    scanned = materialize(scan(docs, text_col), "scanned")
+    found = scanned.withColumn("_querent_all", discovered(cutoffs(scanned, share)))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

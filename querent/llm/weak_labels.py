@@ -132,18 +132,21 @@ def fit_scorer(docs: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ro
     sizes = np.array([len(a) for a, _ in docs])
     where = np.concatenate([a for a, _ in docs])
     value = np.concatenate([b for _, b in docs])
+    used, where = np.unique(where, return_inverse=True)  # the other buckets keep weight zero
+    every, weights = weights, np.zeros(len(used))
     row = np.repeat(np.arange(len(docs)), sizes)
-    seen, seen_bias = np.full(BUCKETS, 1e-8), 1e-8
+    seen, seen_bias = np.full(len(used), 1e-8), 1e-8
     balance = np.where(target > 0.5, 0.5 / max(target.mean(), 0.02), 0.5 / max(1 - target.mean(), 0.02))
     for _ in range(rounds):
         margin = np.bincount(row, weights=value * weights[where], minlength=len(docs)) + bias
         off = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) * balance / len(docs)
-        grad = np.bincount(where, weights=value * off[row], minlength=BUCKETS) + shrink * weights
+        grad = np.bincount(where, weights=value * off[row], minlength=len(used)) + shrink * weights
         seen += grad * grad
         seen_bias += off.sum() ** 2
         weights -= rate * grad / np.sqrt(seen)
         bias -= rate * off.sum() / np.sqrt(seen_bias)
-    return weights, float(bias)
+    every[used] = weights
+    return every, float(bias)
 
 
 class Scorer:
