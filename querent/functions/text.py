@@ -98,6 +98,24 @@ def prompt(question: Column, ocr: Column | None = None, refusal_aware: bool = Tr
     return F.when(F.coalesce(ocr, F.lit("")) == "", without).otherwise(with_text)
 
 
+def rewrite_prompt(original: Column, corrupted: Column, entities: Column) -> Column:
+    """Asks for a corrupted question in good grammar that keeps its entities."""
+    return F.concat(
+        F.lit("Rewrite the question so that it reads well. Keep these terms as they are: "), entities_string(entities),
+        F.lit("\nOriginal question: "), original, F.lit("\nQuestion to rewrite: "), corrupted, F.lit("\nRewritten question: "))
+
+
+def entities_string(texts: Column) -> Column:
+    """Texts of entities in one string."""
+    return F.array_join(texts, ", ")
+
+
+def sentences(text: Column) -> Column:
+    """array<string>: a text cut at white space that follows a sentence's end (., ! or ?, maybe with closing quotes or brackets) and
+    comes before a capital, a digit or an opening quote; white space at the cuts is dropped."""
+    return F.split(F.regexp_replace(text, r"""([.!?]["')\]]*)\s+(?=["'(\[]?[\p{Lu}0-9])""", "$1\u0001"), "\u0001", -1)
+
+
 def choice_prompt(question: Column, choices: list[Column], instruction: str) -> Column:
     """A multiple-choice prompt: question, choices and instruction on lines of their own."""
     return F.concat_ws("\n", question, *choices, F.lit(instruction))

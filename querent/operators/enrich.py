@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,32 @@ def question_entities(listed: DataFrame, known: DataFrame, originals: DataFrame,
     return out.select("qid", "ord", F.coalesce(hit["text"], F.col("text")).alias("text"), hit["label"].alias("label"), source.alias("source"))
 
 
+def listed_entities(text: Column) -> Column:
+    """Entities given as one text, divided at commas: array<struct<ord, text>>, trimmed, without empty ones."""
+    parts = F.filter(F.transform(F.split(text, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(parts, lambda x, i: F.struct(i.alias("ord"), x.alias("text")))
+
+
+def question_entities_of_any_form(questions: DataFrame, known: DataFrame, originals: DataFrame, corrupted: DataFrame) -> DataFrame:
+    """(qid, ord, text, label, source) for questions (qid, listed array<struct<ord, text>>, written string): lists are looked up as
+    by question_entities(); a text, divided at commas, in the global map only; a question with neither takes its originals
+    (qid, ord, text, label) that aren't blank."""
+    lists = questions.where("listed is not null").select("qid", F.explode("listed").alias("e")).select("qid", "e.ord", "e.text")
+    nothing = originals.select("qid", "text", "label").limit(0)
+    texts = questions.where("listed is null and written is not null").select("qid", F.explode(listed_entities(F.col("written"))).alias("e")).select("qid", "e.ord", "e.text")
+    absent = questions.where("listed is null and written is null").select("qid").join(originals.where(F.trim("text") != ""), "qid")
+    out = question_entities(lists, known, originals, corrupted).unionByName(question_entities(texts, known, nothing, nothing))
+    return out.unionByName(absent.select("qid", "ord", "text", "label", F.lit("original").alias("source")))
+
+
+def merged_layouts(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, type, text, bbox): the texts of a page's objects of one type in reading order, and the box around all of them."""
+    box = F.col("bbox")
+    return objects.groupBy(*keys, "type").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(box[1].alias("y"), box[0].alias("x"), F.col("text").alias("t")))), lambda o: o["t"]), " ").alias("text"),
+        F.array(F.min(box[0]), F.min(box[1]), F.max(box[2]), F.max(box[3])).alias("bbox"))
+
+
 def layout_of(layout_type, layout_type_id):
     """The layout type, or its id where that is null or empty."""
     return F.coalesce(F.nullif(layout_type, F.lit("")), layout_type_id)

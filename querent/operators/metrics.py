@@ -151,6 +151,45 @@ def page_visuals(count: Column) -> Column:
     return F.when(count == 0, PAGE_VISUALS[0]).when(count == 1, PAGE_VISUALS[1]).otherwise(PAGE_VISUALS[2])
 
 
+def held_objects(patches: DataFrame, corrupted: DataFrame) -> DataFrame:
+    """(qid, held): the objects (page, obj, object_type, quadrant) of each question that hold a corrupted entity's text,
+    case-sensitive. patches (qid, page, obj, text, object_type, quadrant) has a row for each entity of an object."""
+    wanted = patches.join(corrupted.select("qid", "text").distinct(), ["qid", "text"], "left_semi")
+    return wanted.groupBy("qid").agg(F.collect_set(F.struct("page", "obj", "object_type", "quadrant")).alias("held"))
+
+
+def marks(window: Column, held: Column, visual_pages: Column) -> Column:
+    """struct<is_unable, kinds, quadrants, visuals> of a window (pages, is_unable): the distinct types and all the quadrants of
+    the held objects on its pages, and how many visual objects (an array of their pages) are there."""
+    on_it = lambda page: F.array_contains(window["pages"], page)
+    here = F.filter(held, lambda o: on_it(o["page"]))
+    return F.struct(
+        window["is_unable"].alias("is_unable"), F.array_distinct(F.transform(here, lambda o: o["object_type"])).alias("kinds"),
+        F.transform(here, lambda o: o["quadrant"]).alias("quadrants"), F.size(F.filter(visual_pages, on_it)).alias("visuals"))
+
+
+def marked_windows(windows: DataFrame, patches: DataFrame, corrupted: DataFrame, objects: DataFrame) -> DataFrame:
+    """(qid, is_unable, kinds, quadrants, visuals) of each window (qid, pages, is_unable), which may have several pages; see marks().
+
+    objects (qid, page, layout_type). A question's objects come to its windows as arrays: nothing is multiplied.
+    """
+    visual = objects.where(F.col("layout_type").isin(*VISUAL_TYPES)).groupBy("qid").agg(F.collect_list("page").alias("visual_pages"))
+    out = windows.join(held_objects(patches, corrupted), "qid", "left").join(visual, "qid", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
+    return out.select("qid", marks(F.struct("pages", "is_unable"), none("held"), none("visual_pages")).alias("m")).select("qid", "m.*")
+
+
+def ur_marked(questions: DataFrame, marked: DataFrame, metric: str) -> DataFrame:
+    """UR_PAGE, UR_PAGE_DE, UR_PAGE_QP or UR_PAGE_DED of marked_windows()."""
+    bucket = {"UR_PAGE": (F.size("kinds") > 0).cast("string"), "UR_PAGE_DE": F.explode("kinds"), "UR_PAGE_QP": F.explode("quadrants"), "UR_PAGE_DED": page_visuals(F.col("visuals"))}[metric]
+    return rates(marked.select("qid", F.col("is_unable").alias("hit"), bucket.alias("bucket")).join(questions, "qid"), "bucket", SUITE[metric])
+
+
+#: Metrics of the suite in order, with their fixed buckets; None: no buckets; (): those that occur.
+SUITE = {
+    "QUR": None, "QUR_DE": LAYOUT_TYPES, "QUR_NLPE": tuple(MACRO_ENTITIES), "QUR_QP": QUADRANTS, "QUR_PL": (), "QUR_DED": DENSITY_BUCKETS,
+    "UR": None, "UR_DE": LAYOUT_TYPES, "UR_NLPE": tuple(MACRO_ENTITIES), "UR_PAGE": ("false", "true"), "UR_PAGE_QP": QUADRANTS, "UR_PAGE_DE": LAYOUT_TYPES, "UR_PAGE_DED": PAGE_VISUALS,
+}
 #: Fixed buckets by metric.
 BUCKETS = {
     "qur_de": LAYOUT_TYPES, "qur_qp": QUADRANTS, "qur_nlpe": tuple(MACRO_ENTITIES), "qur_ded": DENSITY_BUCKETS,
@@ -158,16 +197,63 @@ BUCKETS = {
 }
 
 
+def metric_suite(questions: DataFrame, windows: DataFrame, entities: DataFrame, patches: DataFrame, objects: DataFrame) -> DataFrame:
+    """(metric, bucket, complexity, n, hits, value) for all metrics of SUITE in one pass; bucket is null for QUR and UR.
+
+    windows (qid, pages, is_unable), entities (qid, ord, text, object_type, macro, quadrant) that are corrupted, patches and
+    objects as for marked_windows(). Each table is brought to one row a question, the rows are joined on it, and
+    all slices of a question are made inside its row; their counts are summed up once.
+    """
+    visual = F.col("layout_type").isin(*VISUAL_TYPES)
+    w = windows.groupBy("qid").agg(F.collect_list(F.struct("pages", "is_unable")).alias("w"))
+    e = entities.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "object_type", "macro", "quadrant"))).alias("e"))
+    o = objects.groupBy("qid").agg(F.count_if(visual).alias("visual"), F.count_if(~visual).alias("other"), F.collect_list(F.when(visual, F.col("page"))).alias("visual_pages"))
+    rows = questions.join(w, "qid", "left").join(e, "qid", "left").join(o, "qid", "left").join(held_objects(patches, entities), "qid", "left")
+    kinds = {c: rows.schema[c].dataType for c in ("w", "e", "visual_pages", "held")}
+    rows = rows.select("complexity", F.coalesce("visual", F.lit(0)).alias("visual"), F.coalesce("other", F.lit(0)).alias("other"), *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in kinds.items()))
+    rows = rows.withColumn("m", F.transform("w", lambda x: marks(x, F.col("held"), F.col("visual_pages"))))
+    rows = rows.withColumn("firsts", F.filter("e", lambda x, i: ~F.exists(F.slice("e", 1, i), lambda y: y["text"] == x["text"])))
+    n, unable = F.size("w").cast("long"), F.size(F.filter("w", lambda x: x["is_unable"])).cast("long")
+    one, all_unable = F.lit(1).cast("long"), ((n > 0) & (n == unable)).cast("long")
+    slice_ = lambda metric, bucket, count, hits: F.struct(F.lit(metric).alias("metric"), bucket.cast("string").alias("bucket"), count.alias("n"), hits.alias("hits"))
+    hit = lambda x: x["is_unable"].cast("long")
+    nothing = F.lit(None)
+    made = [
+        F.array(slice_("QUR", nothing, one, all_unable), slice_("UR", nothing, n, unable), slice_("QUR_DED", density(F.col("visual"), F.col("other")), one, all_unable),
+                slice_("QUR_PL", F.size(F.array_distinct(F.flatten(F.transform("w", lambda x: x["pages"])))), one, all_unable)),
+        F.transform("m", lambda x: slice_("UR_PAGE", (F.size(x["kinds"]) > 0).cast("string"), one, hit(x))),
+        F.transform("m", lambda x: slice_("UR_PAGE_DED", page_visuals(x["visuals"]), one, hit(x))),
+        F.flatten(F.transform("m", lambda x: F.transform(x["kinds"], lambda k: slice_("UR_PAGE_DE", k, one, hit(x))))),
+        F.flatten(F.transform("m", lambda x: F.transform(x["quadrants"], lambda q: slice_("UR_PAGE_QP", q, one, hit(x))))),
+    ]
+
+    def both(name: str, of: str, field: str) -> list[Column]:
+        return [F.transform(of, lambda x: slice_(f"QUR_{name}", x[field], one, all_unable)), F.transform(of, lambda x: slice_(f"UR_{name}", x[field], n, unable))]
+
+    made += both("DE", "firsts", "object_type") + both("NLPE", "e", "macro")
+    made.append(F.transform("e", lambda x: slice_("QUR_QP", x["quadrant"], one, all_unable)))
+    slices = rows.select("complexity", F.explode(F.concat(*made)).alias("s")).select("complexity", "s.*")
+    found = (
+        slices.groupingSets([["metric", "bucket"], ["metric", "bucket", "complexity"]], "metric", "bucket", "complexity")
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.grouping("complexity").alias("all_"))
+        .withColumn("complexity", F.when(F.col("all_") == 1, 0).otherwise(F.col("complexity")).cast("int"))
+        .where((F.col("all_") == 1) | F.col("complexity").isin(*COMPLEXITIES)).drop("all_"))
+    zeros = [(m, b, c) for m, bs in SUITE.items() for b in ((None,) if bs is None else bs) for c in (0, *COMPLEXITIES)]
+    frame = questions.sparkSession.createDataFrame(zeros, "metric string, bucket string, complexity int").select("*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("hits"))
+    whole = found.select("metric", "bucket", "complexity", "n", "hits").unionByName(frame).groupBy("metric", "bucket", "complexity").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return whole.withColumn("value", F.when(F.col("n") > 0, F.col("hits") / F.col("n")))
+
+
 def run_counters(rows: DataFrame) -> DataFrame:
-    """One row (processed, success, errors, success_rate) over results with is_error."""
+    """One row (processed, success, errors, success_rate) over results with is_error; the rate is null without any."""
     bad = F.coalesce("is_error", F.lit(False))
-    return rows.agg(F.count("*").alias("processed"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("errors"), (F.count_if(~bad) / F.count("*")).alias("success_rate"))
+    return rows.agg(F.count("*").alias("processed"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("errors"), F.try_divide(F.count_if(~bad), F.count("*")).alias("success_rate"))
 
 
 def answer_accuracy(pairs: DataFrame) -> DataFrame:
-    """One row (n, accuracy): share of answers equal to what was expected, blanks at the ends and case aside."""
+    """One row (n, accuracy): share of answers equal to what was expected, blanks at the ends and case aside; null without any."""
     same = F.lower(F.trim("answer")) == F.lower(F.trim("expected"))
-    return pairs.agg(F.count("*").alias("n"), (F.count_if(same) / F.count("*")).alias("accuracy"))
+    return pairs.agg(F.count("*").alias("n"), F.try_divide(F.count_if(same), F.count("*")).alias("accuracy"))
 
 
 def mean_page_size(pages: DataFrame) -> DataFrame:

@@ -42,8 +42,10 @@ def not_yet(questions: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; 0 if one of them is all zeros."""
     total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return total(a, b) / F.sqrt(total(a, a) * total(b, b))
+    length = F.sqrt(total(a, a) * total(b, b))
+    return F.when(length > 0, F.try_divide(total(a, b), length)).otherwise(0.0)
 
 
 def nearest_category(queries: DataFrame, examples: DataFrame, id_col: str, vector: str, category: str, least: float | None = None) -> DataFrame:
@@ -53,10 +55,11 @@ def nearest_category(queries: DataFrame, examples: DataFrame, id_col: str, vecto
     brought down to one vector. All categories come to each row as one array.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    unit = examples.select(category, F.posexplode(F.transform(vector, lambda v: v / norm)).alias("i", "v"))
+    scale = F.when(norm > 0, F.try_divide(F.lit(1.0), norm)).otherwise(0.0)
+    unit = examples.select(category, F.posexplode(F.transform(vector, lambda v: v * scale)).alias("i", "v"))
     mean = unit.groupBy(category, "i").agg(F.avg("v").alias("v")).groupBy(category).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
     every = mean.agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), "mean"))).alias("table_"))
-    own = F.transform(vector, lambda v: v / norm)
+    own = F.transform(vector, lambda v: v * scale)
     dot = lambda m: F.aggregate(F.zip_with(own, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     start = F.struct(F.lit(float("-inf")).alias("s"), F.get("table_", F.lit(0))["category"].alias("category"))
     scored = F.transform("table_", lambda c: F.struct(dot(c["mean"]).alias("s"), c["category"].alias("category")))
@@ -66,6 +69,17 @@ def nearest_category(queries: DataFrame, examples: DataFrame, id_col: str, vecto
     return out.select(id_col, chosen.alias(category))
 
 
+def rewrite_questions(variants: DataFrame, rewrite: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """variants (original_question, corrupted_question, corrupted_entities array<struct<text,…>>) with the distinct texts of the
+    entities in order, the prompt, and the question as a model rewrites it, cleaned; without a model it stays."""
+    from querent.functions.text import clean_generated, rewrite_prompt
+
+    texts = F.transform("corrupted_entities", lambda e: e["text"])
+    out = variants.withColumn("entities", F.array_distinct(F.filter(texts, lambda t: t.isNotNull())))
+    out = out.withColumn("prompt", rewrite_prompt(F.col("original_question"), F.col("corrupted_question"), F.col("entities")))
+    return out.withColumn("rewritten", F.col("corrupted_question") if rewrite is None else clean_generated(generate(lambda: rewrite)(F.col("prompt"))))
+
+
 def route_text(objects: DataFrame, describe: Callable[[DataFrame], DataFrame], recognise: Callable[[DataFrame], DataFrame], described: tuple[str, ...] = ("table", "figure")) -> DataFrame:
     """Tables and figures go to `describe`, the rest to `recognise`; both add `text`. Descriptions that are null or begin with
     Error are recognised instead."""

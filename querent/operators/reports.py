@@ -70,6 +70,79 @@ def headroom_gain(before: Column, after: Column) -> Column:
     return (after - before) / F.when(room > 0, room)
 
 
+def macro_headroom(rows: DataFrame, keys: list[str], before: str = "zeroshot", after: str = "finetuned") -> DataFrame:
+    """(keys, before, after, delta, gain): means over the datasets that have both values, their difference, and the share of the room
+    above the first that it takes. rows (keys, dataset, strategy, value)."""
+    both = delta(rows, [*keys, "dataset"], before, after).where("delta is not null")
+    means = both.groupBy(*keys).agg(F.avg("before").alias("before"), F.avg("after").alias("after"))
+    return means.withColumn("delta", F.col("after") - F.col("before")).withColumn("gain", headroom_gain(F.col("before"), F.col("after")))
+
+
+def model_means(rows: DataFrame, strategy: str = "finetuned") -> DataFrame:
+    """(model, frr, qur): means over the rows (model, strategy, frr, qur) of a strategy that have both."""
+    own = rows.where((F.col("strategy") == strategy) & F.col("frr").isNotNull() & F.col("qur").isNotNull())
+    return own.groupBy("model").agg(F.avg("frr").alias("frr"), F.avg("qur").alias("qur"))
+
+
+def wide_complexities(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name, name_C1, name_C2, name_C3) of rows (keys, complexity, value)."""
+    level = lambda c: F.max(F.when(F.col("complexity") == c, F.col("value")))
+    return rows.groupBy(*keys).agg(level(0).alias(name), *(level(c).alias(f"{name}_C{c}") for c in (1, 2, 3)))
+
+
+def sweep_frame(rows: DataFrame, slug_col: str = "config") -> DataFrame:
+    """One row for each dataset and configuration of a sweep: k, selection and strategy from its slug, QUR overall and by complexity,
+    QUR_C3 without the 0 that stands for no data; in the order of k."""
+    from querent.functions.runs import parse_slug, strategy
+
+    wide = wide_complexities(rows, ["dataset", slug_col], "QUR").withColumn("QUR_C3", sentinel(F.col("QUR_C3")))
+    slug = parse_slug(F.col(slug_col))
+    out = wide.withColumns({"k": slug["k"], "selection": slug["selection"], "strategy": strategy(F.col(slug_col))})
+    return out.orderBy("dataset", *configuration_order(F.col(slug_col), F.col("k")))
+
+
+def tuned_frame(qur: DataFrame, frr: DataFrame) -> DataFrame:
+    """(dataset, QUR…, FRR…) for datasets that have both; without questions of complexity 3 (a QUR_C3 of 0) both sides of it are null."""
+    q, f = wide_complexities(qur, ["dataset"], "QUR"), wide_complexities(frr, ["dataset"], "FRR")
+    has = F.coalesce(F.col("QUR_C3"), F.lit(0.0)) != 0
+    out = q.join(f, "dataset")
+    return out.withColumn("FRR_C3", F.when(has, F.col("FRR_C3"))).withColumn("QUR_C3", F.when(has, F.col("QUR_C3")))
+
+
+#: Layout types of the table on pages with the entity.
+IN_PAGE_TYPES = ("title", "plain text", "figure", "table", "abandon")
+
+
+def summary_table(suite: DataFrame, side: str = "QUR") -> DataFrame:
+    """(part, row, value) of the summary of QUR (AccD) or UR (AccP) from the rows of metric_suite(), in the order of part and row.
+
+    QUR: overall and by complexity, density buckets with their weights, bins of page counts (plain means, without the
+    outliers), macro entities. UR: overall, visual objects on the page, in-page and out-of-page, macro entities.
+    Rates without cases are 0, as in the written files; an empty bin is null.
+    """
+    known = suite.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    level = F.when(F.col("complexity") == 0, side).otherwise(F.concat(F.lit(f"{side}_C"), F.col("complexity").cast("string")))
+    own = lambda metric: known.where((F.col("metric") == metric) & (F.col("complexity") == 0))
+    row = lambda part, df, name, value: df.select(F.lit(part).alias("part"), name.alias("row"), value.alias("value"))
+    bucket, value = F.col("bucket"), F.col("value")
+    if side == "QUR":
+        parts = [row(1, known.where("metric = 'QUR'"), level, value), row(2, weighted_density(own("QUR_DED")), bucket, F.col("weighted")), row(3, binned_pages(own("QUR_PL")), F.col("bin"), value)]
+    else:
+        flag = F.when(bucket == "true", "UR_inpage").otherwise("UR_outpage")
+        parts = [row(1, own("UR"), level, value), row(2, own("UR_PAGE_DED"), bucket, value), row(3, own("UR_PAGE"), flag, value)]
+    parts.append(row(4, own(f"{side}_NLPE"), bucket, value))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def in_page_table(suite: DataFrame, metric: str = "UR_PAGE_DE") -> DataFrame:
+    """(bucket, value) overall of UR_PAGE_QP, or of UR_PAGE_DE for the layout types of the table."""
+    out = suite.where((F.col("metric") == metric) & (F.col("complexity") == 0)).select("bucket", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return out.where(F.col("bucket").isin(*IN_PAGE_TYPES)) if metric == "UR_PAGE_DE" else out
+
+
 def macro_average(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Plain mean over datasets, nulls left out."""
     return rows.groupBy(*keys).agg(F.avg(value).alias("value"))

@@ -13,22 +13,59 @@ from pyspark.sql import Window as W
 from querent.functions.text import jaccard
 
 SEED = 42
+#: Up to so many rows are ranked by a top-k; hashes are counted by so many more of their digits at a time.
+TOP, DIGITS = 10_000, 3
 
 
 def shuffled(id_col: str, seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+    """The place of a row in the shuffled table, as a text of 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
 def sample_range(df: DataFrame, id_col: str, n: int, offset: int = 0, seed: int = SEED) -> DataFrame:
-    """Rows offset to offset + n of the shuffled table (fewer at its end). A top-k and an offset, not a full sort."""
-    return df.orderBy(shuffled(id_col, seed), id_col).offset(offset).limit(n)
+    """Rows offset to offset + n of the shuffled table (fewer at its end), in no order; rows of one id stay together.
 
-
-def sample_percent(df: DataFrame, id_col: str, percent: float, seed: int = SEED) -> DataFrame:
-    """floor(rows * percent / 100) rows; all at 100 or more."""
-    if percent >= 100:
-        return df
-    return sample_range(df, id_col, int(df.count() * percent / 100), seed=seed)
+    Few rows are a top-k. For more, the hashes at which the sample begins and ends are found from counts by their
+    first digits, and the rows between them are filtered, so that they are neither sorted nor meet in one task.
+    """
+    key = shuffled(id_col, seed)
+    if offset + n <= TOP:
+        return df.orderBy(key, id_col).offset(offset).limit(n)
+    hashes = df.select(key.alias("h"))
+    low, high = cut(hashes, offset), cut(hashes, offset + n)
+    if low is None:
+        return df.limit(0)
+    return df.where((key >= low) & (key < high) if high is not None else key >= low)
+
+
+def cut(hashes: DataFrame, rank: int) -> str | None:
+    """The hash (column h) that stands at a rank, from 0, in rising order; None beyond the end."""
+    begun, left = "", rank
+    while True:
+        now = hashes.where(F.startswith("h", F.lit(begun)))
+        counts = sorted(tuple(r) for r in now.groupBy(F.left("h", F.lit(len(begun) + DIGITS))).agg(F.count("*").alias("n")).collect())
+        for prefix, n in counts:
+            if left < n:
+                begun = prefix
+                break
+            left -= n
+        else:
+            return None
+        if n <= TOP:
+            return hashes.where(F.startswith("h", F.lit(begun))).orderBy("h").offset(left).limit(1).first()["h"]
+        if len(begun) >= 32:
+            return begun
+
+
+def sample_percent(df: DataFrame, id_col: str, percent: float, seed: int = SEED, shuffle: bool = False) -> DataFrame:
+    """floor(rows * percent / 100) rows; all at 100 or more. shuffle: in the order of the shuffled table, even then."""
+    out = df if percent >= 100 else sample_range(df, id_col, int(df.count() * percent / 100), seed=seed)
+    return out.orderBy(shuffled(id_col, seed), id_col) if shuffle else out
+
+
+def sample_different_from(df: DataFrame, used: DataFrame, id_col: str, n: int, column: str = "question", offset: int = 0, seed: int = SEED) -> DataFrame:
+    """Rows offset to offset + n of the shuffled table of those whose text isn't among the used ones."""
+    return sample_range(exclude_used(df, used, column), id_col, n, offset, seed)
 
 
 def exclude_used(df: DataFrame, used: DataFrame, column: str = "question") -> DataFrame:
@@ -36,33 +73,107 @@ def exclude_used(df: DataFrame, used: DataFrame, column: str = "question") -> Da
     return df.join(used.select(column).where(F.col(column).isNotNull()).distinct(), column, "left_anti").select(df.columns)
 
 
-def shard(df: DataFrame, id_col: str, rank: int, of: int) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(id_col), F.lit(of)) == rank)
+def shard(df: DataFrame, id_col: str, rank: int, of: int, seed: int = SEED) -> DataFrame:
+    """The rows of one of `of` shards, by the first eight digits of their hash."""
+    return df.where(F.pmod(F.conv(F.left(shuffled(id_col, seed), F.lit(8)), 16, 10).cast("long"), F.lit(of)) == rank)
 
 
-def few_shot_specific(questions: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+def few_shot_specific(questions: DataFrame, pool: DataFrame, k: int, content: str | None = None) -> DataFrame:
     """(qid, pool_id, same_complexity, jaccard, rank): for each question the k most alike of the pool.
 
-    Both have (complexity, types array); alike is same complexity first, then Jaccard of the types, then pool
-    order. A question is not its own example. The pool is a curated list; it is broadcast after a count, and one
-    too long for that is first cut, by complexity and set of types, to the k + 1 first of each, which no other of
-    the same set can beat.
+    Both have (qid, complexity, types array), the pool pool_ord; alike is same complexity first, then Jaccard of the
+    types, then pool order. A question is not its own example; content names a column of both (not null) by which
+    that is told, else it is the id.
+
+    Questions and pool entries of one complexity and set of types are alike to all, so these kinds are compared, not the
+    rows: an entry can only be chosen if it is among the first k + 1 of its kind, or k + 1 differ in content. Kinds meet
+    by the types they share; those that share none are only chosen by pool order, of which the first of each
+    complexity are enough.
     """
+    same = content or "qid"
+    own_columns = ["qid", "complexity", "types"] + ([content] if content else [])
     types = F.array_sort(F.array_distinct("types"))
-    first = W.partitionBy("complexity", "types").orderBy("pool_ord")
-    useful = pool.withColumn("types", types).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r")
-    p = useful.select(F.col("qid").alias("pool_id"), "pool_ord", F.col("complexity").alias("pc"), F.col("types").alias("pt"))
-    # questions of one complexity and set of types score the pool alike: they are scored once
-    kinds = questions.select("complexity", types.alias("types")).distinct()
-    scored = kinds.join(F.broadcast(p) if p.count() <= 50_000 else p, F.lit(True)).select(
-        "complexity", "types", "pool_id", "pool_ord", (F.col("complexity") == F.col("pc")).alias("same_complexity"), jaccard(F.col("types"), F.col("pt")).alias("jaccard"))
+    q = questions.select(*own_columns).withColumn("types", types)
+    entries = pool.select(*own_columns, "pool_ord").withColumn("types", types)
+    # of entries that are equal in all that counts, k come first
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("pool_ord"))
+    p = entries.withColumn("_r", first("complexity", "types", same)).where(F.col("_r") <= k)
+    p = p.withColumn("_f", first_seen("complexity", "types", same)).withColumn("_d", F.dense_rank().over(W.partitionBy("complexity", "types").orderBy("_f"))).where(F.col("_d") <= k + 1)
+    p = p.select(F.col("qid").alias("pool_id"), F.col(same).alias("_same"), "pool_ord", F.col("complexity").alias("pc"), F.col("types").alias("pt"))
+    kinds = q.select("complexity", "types").distinct()
+    pool_kinds = p.select("pc", "pt").distinct()
+    sharing = (
+        kinds.select("complexity", "types", F.explode("types").alias("_t")).join(pool_kinds.select("pc", "pt", F.explode("pt").alias("_t")), "_t")
+        .groupBy("complexity", "types", "pc", "pt").agg(F.count("*").alias("n")))
+    alike = sharing.withColumn("jaccard", F.col("n") / (F.size("types") + F.size("pt") - F.col("n"))).drop("n")
+    by_type = alike.join(p, ["pc", "pt"])
+    some = p.withColumn("_f", first_seen("pc", "_same")).withColumn("_d", F.dense_rank().over(W.partitionBy("pc").orderBy("_f"))).where(F.col("_d") <= k + 1)
+    some = some.withColumn("_r", first("pc", "_same")).where(F.col("_r") <= k).select(F.lit(1).alias("_one"), *p.columns)
+    any_ = kinds.withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one").drop("_one").withColumn("jaccard", jaccard(F.col("types"), F.col("pt")))
+    columns = ["complexity", "types", "pool_id", "_same", "pool_ord", "pc", "jaccard"]
+    scored = by_type.select(*columns).union(any_.select(*columns)).distinct().withColumn("same_complexity", F.col("complexity") == F.col("pc"))
     order = [F.desc("same_complexity"), F.desc("jaccard"), F.asc("pool_ord")]
-    top = scored.withColumn("_r", F.row_number().over(W.partitionBy("complexity", "types").orderBy(*order))).where(F.col("_r") <= k + 1).drop("_r")
-    met = questions.select("qid", "complexity", types.alias("types")).join(top, ["complexity", "types"]).where("qid <> pool_id")
+    mine = W.partitionBy("complexity", "types", "_same").orderBy(*order)
+    best = W.partitionBy("complexity", "types").orderBy(F.desc("_best.s"), F.desc("_best.j"), F.asc("_best.o"))
+    lead = F.first(F.struct(F.col("same_complexity").alias("s"), F.col("jaccard").alias("j"), F.col("pool_ord").alias("o"))).over(mine)
+    top = scored.withColumn("_r", F.row_number().over(mine)).where(F.col("_r") <= k).withColumn("_best", lead)
+    top = top.withColumn("_d", F.dense_rank().over(best)).where(F.col("_d") <= k + 1).drop("_r", "_d", "_best")
+    met = q.select("qid", "complexity", "types", F.col(same).alias("_own")).join(top, ["complexity", "types"]).where("_own <> _same")
     ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("qid", "pool_id", "same_complexity", "jaccard", "rank")
 
 
+def first_seen(*by: str) -> Column:
+    """The smallest pool_ord among rows that are equal in some columns."""
+    return F.min("pool_ord").over(W.partitionBy(*by))
+
+
+def select_few_shot(questions: DataFrame, pool: DataFrame, k: int, selection: str = "random", shot_type: str = "mixed", leave_out: bool = True, seed: int = SEED) -> DataFrame:
+    """(qid, place, pool_id, role): k examples for each question, in the order they are shown.
+
+    handpicked: the first of the pool, always answerable. specific: few_shot_specific(). random: neighbours in the
+    shuffled pool, from a place that a hash of the question's id gives. Roles are those of few_shot_roles(), of which
+    mixed ones are then shuffled by a hash. leave_out: a question is not its own example (where the pool is the
+    evaluation's own questions). The pool is numbered by ranges of its order, so it may be large.
+    """
+    if selection == "specific":
+        kept = few_shot_specific(questions, pool, k).select("qid", "pool_id", F.col("rank").alias("n"))
+    else:
+        order = F.col("pool_ord") if selection == "handpicked" else shuffled("qid", seed)
+        size = pool.count()
+        reach = min(k + int(leave_out), size)
+        if selection == "handpicked":
+            few = pool.orderBy(order).limit(reach).select(F.col("qid").alias("pool_id"), "pool_ord").withColumn("at", F.row_number().over(W.partitionBy().orderBy("pool_ord")))
+            met = questions.select("qid", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("at")) if reach else questions.select("qid", F.lit(1).alias("at")).limit(0)
+        else:
+            few = numbered(pool.select(F.col("qid").alias("pool_id"), order.alias("h")), size)
+            start = F.pmod(F.conv(F.left(shuffled("qid", seed + 1), F.lit(12)), 16, 10).cast("long"), F.lit(max(size, 1)))
+            met = questions.select("qid", start.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(max(reach - 1, 0)))).alias("i")).select("qid", "i", F.pmod(F.col("s") + F.col("i"), F.lit(max(size, 1))).alias("at"))
+            met = met if reach else met.limit(0)
+        found = met.join(F.broadcast(few) if selection == "handpicked" else few, "at")
+        found = found.where(F.col("qid") != F.col("pool_id")) if leave_out else found
+        nth = F.col("at") if selection == "handpicked" else F.col("i")
+        kept = found.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(nth))).where(F.col("n") <= k).select("qid", "pool_id", "n")
+    roles = few_shot_roles(k, "answerable" if selection == "handpicked" else shot_type)
+    named = kept.withColumn("role", F.get(F.array(*map(F.lit, roles)), F.col("n") - 1) if roles else F.lit(None).cast("string"))
+    mixed = shot_type == "mixed" and selection != "handpicked"
+    shown = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string"), F.col("pool_id").cast("string"))) if mixed else F.col("n")
+    return named.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(shown, "n"))).select("qid", "place", "pool_id", "role")
+
+
+def numbered(pool: DataFrame, size: int) -> DataFrame:
+    """(pool_id, at): rows (pool_id, h) numbered from 0 in the order of h and id. Hashes are spread evenly, so rows are numbered in
+    parts by their first digits, and the parts' sizes are summed up."""
+    digits = 0
+    while size > TOP * 16**digits:
+        digits += 1
+    parts = pool.withColumn("part", F.left("h", F.lit(digits)))
+    counts = parts.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", (F.sum("c").over(W.partitionBy().orderBy("part")) - F.col("c")).alias("before"))
+    inside = parts.withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("h", "pool_id")) - 1)
+    return inside.join(before, "part").select("pool_id", (F.col("before") + F.col("i")).alias("at"))
+
+
 def few_shot_roles(n: int, kind: str) -> list[str]:
     """Roles of n examples: all answerable, all unanswerable, or mixed with the first n // 2 answerable."""
     if kind == "mixed":

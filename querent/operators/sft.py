@@ -56,9 +56,15 @@ def shuffled_union(frames: list[DataFrame], seed: int = 42) -> DataFrame:
 
 
 def recap(rows: DataFrame) -> DataFrame:
-    """rows (dataset, kind clean or corrupted): counts of both and total by dataset and, with a null dataset, overall."""
-    return rows.rollup("dataset").agg(
-        F.count_if(F.col("kind") == "clean").alias("clean"), F.count_if(F.col("kind") == "corrupted").alias("corrupted"), F.count("*").alias("total"))
+    """rows (dataset, kind clean or corrupted): counts of both and total by dataset and, with a null dataset, overall; the
+    dataset's share of all examples, and the share of clean ones among its own, in percent."""
+    found = rows.rollup("dataset").agg(
+        F.count_if(F.col("kind") == "clean").alias("clean"), F.count_if(F.col("kind") == "corrupted").alias("corrupted"), F.count("*").alias("total"), F.grouping("dataset").alias("all_"))
+    # the total is one of a few rows, so it comes to them by a window over those
+    from pyspark.sql import Window as W
+
+    every = F.max(F.when(F.col("all_") == 1, F.col("total"))).over(W.partitionBy())
+    return found.select("dataset", "clean", "corrupted", "total", F.try_divide(F.col("total") * 100, every).alias("share"), F.try_divide(F.col("clean") * 100, F.col("clean") + F.col("corrupted")).alias("clean_share"))
 
 
 def label_histogram(labels: DataFrame) -> DataFrame:
@@ -66,6 +72,15 @@ def label_histogram(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.sum("times").cast("long").alias("n"))
 
 
+def corruption_metadata(records: DataFrame) -> DataFrame:
+    """One row (total_questions, corrupted_questions, entity_types): entity_types is a map of how often each label occurs among the
+    arrays entity_type. Counted by label before they meet, so only the labels do."""
+    labels = records.select(F.explode("entity_type").alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    counted = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("entity_types"))
+    totals = records.agg(F.count("*").alias("total_questions"), F.count_if(F.coalesce("is_corrupted", F.lit(False))).alias("corrupted_questions"))
+    return totals.crossJoin(F.broadcast(counted))
+
+
 def next_answers(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, question, answer): each user turn with the assistant turn right after it."""
     from pyspark.sql import Window as W

@@ -29,17 +29,25 @@ def standardize_located(df: DataFrame, split: str, require_box: bool = True) ->
     return conform(df.where(ok).withColumn("answer_page_idx", F.coalesce(F.get("bbox.page", F.lit(0)).cast("int"), F.lit(0))))
 
 
-def flatten_documents(raw: DataFrame, language: Callable[[Column], Column] | None = None) -> DataFrame:
+def flatten_documents(raw: DataFrame, language: Callable[[Column], Column] | None = None, order: str | None = None, skip: int = 0, most: int | None = None) -> DataFrame:
     """Questions of documents whose `qa` is a JSON text {id: {question, answers: [{value, page}]}}; other texts give none.
 
-    language: a function of the question column; only questions it calls en stay.
+    language: a function of the question column; only questions it calls en stay. An answer that is no object is the
+    value itself, on the first page. order: a column that documents are ordered by; then only the valid questions from
+    number `skip` on come out, `most` of them.
     """
-    qa = F.from_json("qa", "map<string,struct<question:string,answers:array<struct<value:string,page:string>>>>")
-    out = raw.select("*", F.explode(qa).alias("questionId", "q")).select(*raw.columns, "questionId", "q.question", "q.answers")
+    qa = F.from_json("qa", "map<string,struct<question:string,answers:array<string>>>")
+    kept = [c for c in raw.columns if c != "qa"]
+    out = raw.select("*", F.posexplode(F.map_entries(qa)).alias("_n", "e")).select(*kept, "_n", F.col("e.key").alias("questionId"), "e.value.question", "e.value.answers")
     if language is not None:
         out = out.where(F.coalesce(language(F.col("question")) == "en", F.lit(False)))
-    fixed = F.transform("answers", lambda a: F.struct(a["value"].alias("value"), zero_based(a["page"]).alias("page")))
-    return out.withColumn("answers", fixed).drop("qa")
+    parts = lambda a: F.from_json(a, "struct<value:string,page:string>")
+    fixed = F.transform("answers", lambda a: F.when(F.startswith(F.ltrim(a), F.lit("{")), F.struct(parts(a)["value"].alias("value"), zero_based(parts(a)["page"]).alias("page"))).otherwise(F.struct(a.alias("value"), F.lit(0).alias("page"))))
+    out = out.withColumn("answers", fixed)
+    if order is not None and (skip or most is not None):
+        out = out.orderBy(order, "_n").offset(skip)
+        out = out if most is None else out.limit(most)
+    return out.drop("_n")
 
 
 def standardize_flattened(df: DataFrame) -> DataFrame:

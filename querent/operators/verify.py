@@ -55,3 +55,10 @@ def zip_entities(original, corrupted):
 def missing_images(records: DataFrame, images: DataFrame) -> DataFrame:
     """Rows (qid, path) that no image exists for."""
     return records.join(images.select("path").distinct(), "path", "left_anti")
+
+
+def skip_without_images(questions: DataFrame, paths: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions none of whose pages (array column) lacks its image, and one row (total, skipped) of how many do."""
+    gone = missing_images(questions.select("qid", F.explode(paths).alias("path")), images).select("qid").distinct()
+    counted = questions.join(gone.withColumn("_gone", F.lit(True)), "qid", "left").agg(F.count("*").alias("total"), F.count("_gone").alias("skipped"))
+    return questions.join(gone, "qid", "left_anti"), counted

@@ -36,9 +36,9 @@ def is_numeric(t: Tables) -> DataFrame:
     return free_text(t).select("event_id", X.is_numeric(F.col("answer")).alias("is_numeric"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}_\\s.-]', '', 'g'), ' -') AS clean FROM documents""", name="clean_entity_text")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}_\\s.-]', '', 'g'), ' -') AS clean FROM documents""", name="clean_entity_text")
 def clean_entity_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clean_entity(F.left("text", F.lit(200))).alias("clean"))
+    return t.documents.select("doc_id", X.clean_entity(F.col("text")).alias("clean"))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS INT) AS k FROM events")
@@ -46,13 +46,23 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "struct<k:int>")["k"].alias("k"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-  c AS (SELECT doc_id, i, unnest(CASE WHEN length(s) <= 350 THEN [s] ELSE list_transform(range(CAST(ceil(length(s) / 350.0) AS BIGINT)), lambda k: substr(s, CAST(k * 350 + 1 AS BIGINT), 350)) END) AS c FROM (SELECT doc_id, i, replace(replace(s, ',', ' '), ';', ' ') AS s FROM s))
-  SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS total FROM c GROUP BY doc_id""")
+def cut_after(text: str, marks: str) -> str:
+    """SQL: a text divided after each of some characters."""
+    return f"string_split(regexp_replace({text}, '([{marks}\\n])', '\\1' || chr(2), 'g'), chr(2))"
+
+
+#: Sentences end before capitals, digits and opening quotes, of which SQL keeps what it matched.
+SENTENCES = r"""unnest(string_split(regexp_replace(text, '([.!?]["'')\]]*)\s+(["''(\[]?[\p{Lu}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)))"""
+
+
+@query(f"""WITH s AS (SELECT doc_id, {SENTENCES} AS s FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, unnest(CASE WHEN length(s) <= 350 THEN [s] WHEN len(list_filter({cut_after('s', ';')}, lambda x: length(x) > 350)) > 0 THEN {cut_after('s', ',;')} ELSE {cut_after('s', ';')} END) AS p FROM s),
+  c AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 350 THEN [p] ELSE list_transform(range(CAST(ceil(length(p) / 350.0) AS BIGINT)), lambda k: substr(p, CAST(k * 350 + 1 AS BIGINT), 350)) END) AS c FROM p)
+  SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS total, CAST(sum(length(c) * length(c)) AS BIGINT) AS squares FROM c GROUP BY doc_id""")
 def chunk_text(t: Tables) -> DataFrame:
-    plain = F.translate("text", ",;", "  ")
-    own = t.documents.where("text is not null").select("doc_id", X.chunks(F.split(plain, "\n", -1)).alias("c"))
-    return own.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total"))
+    own = t.documents.where("text is not null").select("doc_id", X.chunks(X.sentences(F.col("text"))).alias("c"))
+    total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + f(F.length(x).cast("long")))
+    return own.select("doc_id", F.size("c").cast("long").alias("n_chunks"), total(lambda n: n).alias("total"), total(lambda n: n * n).alias("squares"))
 
 
 def paged(t: Tables) -> DataFrame:
@@ -97,23 +107,35 @@ def reading_order(t: Tables) -> DataFrame:
     return objects.groupBy(F.col("l_orderkey").alias("qid")).agg(F.collect_list("o").alias("o")).select("qid", N.reading_order(F.col("o")).alias("ocr"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS qid, CAST(o_orderkey % 3 + 1 AS INT) AS complexity, list_distinct(list(p_type)) AS types FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
-  p AS (SELECT * FROM t WHERE qid < 200), x AS (SELECT t.qid, p.qid AS pool_id, t.complexity = p.complexity AS same_complexity,
-    CAST(len(list_intersect(t.types, p.types)) AS DOUBLE) / len(list_distinct(list_concat(t.types, p.types))) AS jaccard FROM t JOIN p ON t.qid <> p.qid),
-  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY same_complexity DESC, jaccard DESC, pool_id) AS rank FROM x)
-  SELECT qid, pool_id, same_complexity, jaccard, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""")
-def few_shot_specific(t: Tables) -> DataFrame:
+TYPED = """t AS (SELECT o_orderkey AS qid, CAST(o_orderkey % 3 + 1 AS INT) AS complexity, list_sort(list_distinct(list(p_type))) AS types FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+def typed(t: Tables) -> DataFrame:
     kinds = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_orderkey").alias("qid")).agg(F.collect_set("p_type").alias("types"))
-    own = kinds.join(t.orders.select(F.col("o_orderkey").alias("qid")), "qid").select("qid", (F.col("qid") % 3 + 1).cast("int").alias("complexity"), "types")
-    return S.few_shot_specific(own, own.where("qid < 200").withColumn("pool_ord", F.col("qid")), 2)
+    return kinds.join(t.orders.select(F.col("o_orderkey").alias("qid")), "qid").select("qid", (F.col("qid") % 3 + 1).cast("int").alias("complexity"), "types")
+
+
+# questions of one complexity and set of types rank all others alike, so SQL ranks by kinds as well: three of each suffice for two
+@query(f"""WITH {TYPED}, p AS (SELECT *, row_number() OVER (PARTITION BY complexity, types ORDER BY qid) AS r FROM t), k AS (SELECT DISTINCT complexity, types FROM t),
+  x AS (SELECT k.complexity, k.types, p.qid AS pool_id, k.complexity = p.complexity AS same_complexity,
+    CAST(len(list_intersect(k.types, p.types)) AS DOUBLE) / len(list_distinct(list_concat(k.types, p.types))) AS jaccard FROM k, p WHERE p.r <= 3),
+  y AS (SELECT *, row_number() OVER (PARTITION BY complexity, types ORDER BY same_complexity DESC, jaccard DESC, pool_id) AS r FROM x),
+  z AS (SELECT t.qid, pool_id, same_complexity, jaccard, row_number() OVER (PARTITION BY t.qid ORDER BY same_complexity DESC, jaccard DESC, pool_id) AS rank FROM t JOIN y USING (complexity, types) WHERE r <= 3 AND pool_id <> t.qid)
+  SELECT qid, pool_id, same_complexity, jaccard, CAST(rank AS INT) AS rank FROM z WHERE rank <= 2""")
+def few_shot_specific(t: Tables) -> DataFrame:
+    own = typed(t)
+    return S.few_shot_specific(own, own.withColumn("pool_ord", F.col("qid")), 2)
+
+
+HASH = "md5('42:' || o_orderkey)"
 
 
-@query()
+@query(f"SELECT o_orderkey AS qid FROM orders ORDER BY {HASH} LIMIT 8")
 def few_shot_random(t: Tables) -> DataFrame:
     return S.sample_range(t.orders.select(F.col("o_orderkey").alias("qid")), "qid", 8)
 
 
-@query()
+@query(f"SELECT o_orderkey AS qid FROM orders ORDER BY {HASH} LIMIT (SELECT CAST(floor(count(*) * 12.5 / 100) AS BIGINT) FROM orders)")
 def sample_pct(t: Tables) -> DataFrame:
     return S.sample_percent(t.orders.select(F.col("o_orderkey").alias("qid")), "qid", 12.5)
 
@@ -131,18 +153,19 @@ def refusal_sft(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", sft.refusal(F.col("p_name")).alias("output"))
 
 
-@query("""SELECT o_orderpriority AS dataset, count(*) FILTER (WHERE o_orderstatus = 'F') AS clean, count(*) FILTER (WHERE o_orderstatus <> 'F') AS corrupted, count(*) AS total FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+@query("""SELECT o_orderpriority AS dataset, count(*) FILTER (WHERE o_orderstatus = 'F') AS clean, count(*) FILTER (WHERE o_orderstatus <> 'F') AS corrupted, count(*) AS total,
+  count(*) * 100.0::DOUBLE / (SELECT count(*) FROM orders) AS share, count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0::DOUBLE / count(*) AS clean_share FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def sft_recap(t: Tables) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "clean").otherwise("corrupted")
     return sft.recap(t.orders.select(F.col("o_orderpriority").alias("dataset"), kind.alias("kind")))
 
 
 @query("""SELECT vec_id, label FROM (SELECT q.vec_id, c.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY avg(list_cosine_similarity(q.embedding, c.embedding)) DESC, c.label) AS r
-  FROM embeddings q, embeddings c WHERE c.vec_id < 100 GROUP BY q.vec_id, c.label) WHERE r = 1""")
+  FROM embeddings q, embeddings c GROUP BY q.vec_id, c.label) WHERE r = 1""")
 def cosine_classify(t: Tables) -> DataFrame:
     from querent.operators.models import nearest_category
 
-    return nearest_category(t.embeddings, t.embeddings.where("vec_id < 100"), "vec_id", "embedding", "label")
+    return nearest_category(t.embeddings, t.embeddings, "vec_id", "embedding", "label")
 
 
 @query("SELECT user_id, CAST(greatest(0, user_id - 1) AS BIGINT) AS page, event_type AS answer FROM events")
@@ -164,7 +187,7 @@ def standardize_pages(t: Tables) -> DataFrame:
     return standardize_located(raw, "F").select("questionId", "question", "answer_page_idx", F.size("answers").cast("long").alias("n_answers"))
 
 
-@query()
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 500")
 def stream_exact_n(t: Tables) -> DataFrame:
     from querent.streaming.incremental import verified_until
 

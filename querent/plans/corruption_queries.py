@@ -24,22 +24,47 @@ L = """l AS (SELECT o.qid, o.ord, o.part, p_name AS text, p_type AS label, p_bra
   FROM (SELECT l_orderkey AS qid, l_linenumber AS ord, min(l_partkey) AS part FROM lineitem GROUP BY ALL) o JOIN part ON p_partkey = o.part)"""
 
 
-@query("""SELECT doc_id AS qid, item_id, md5(d.text) AS digest FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
-  AND contains(lower(regexp_replace(coalesce(d.text, ''), '[\\s_]+', '', 'g')), lower(split_part(b.text, ' ', 1)))""")
+def grams(text: str, n: int = 5) -> F.Column:
+    """The distinct runs of n words of a text."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def runs(w: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.array_distinct(F.transform(F.array(words), runs)[0])  # a let: the words are worked out once
+
+
+# the first five words of an answer are its page; a document's pages are its own runs of five words
+@query("""SELECT doc_id AS qid, item_id, md5(d.text) AS digest FROM documents d, benchmark b
+  WHERE contains(lower(regexp_replace(coalesce(d.text, ''), '[\\s_]+', '', 'g')), lower(regexp_replace(b.text, '[\\s_]+', '', 'g')))""")
 def answer_locations(t: Tables) -> DataFrame:
-    objects = t.documents.select((F.col("doc_id") % 40).alias("page"), F.col("doc_id").alias("qid"), "text")
-    answers = t.benchmark.select(F.col("item_id").alias("page"), "item_id", F.split("text", " ")[0].alias("answer"))
+    answers = t.benchmark.select(F.get(grams("text"), F.lit(0)).alias("page"), "item_id", F.col("text").alias("answer"))
+    own = t.documents.select("doc_id", F.explode(grams("text")).alias("page"))
+    pages = own.join(answers.select("page").distinct(), "page", "left_semi")
+    objects = pages.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "qid")
     return C.answer_locations(objects, answers).select("qid", "item_id", F.md5("text").alias("digest"))
 
 
-@query("""SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host FROM pages WHERE starts_with(url, 'http://' || regexp_extract(url, 'https?://([^/]+)', 1)) OR starts_with(url, 'https://' || regexp_extract(url, 'https?://([^/]+)', 1))""")
+STEM = "regexp_extract(url, 'https?://([^./]+)', 1)"
+
+
+# names of hosts up to their first dot: th is a prefix of ththre as well, as documents are of others' files
+@query(f"""SELECT page_id, d.doc AS host FROM pages JOIN (SELECT DISTINCT {STEM} AS doc FROM pages) d ON starts_with(regexp_replace(url, '^https?://', ''), d.doc) AND d.doc <> ''""")
 def prefix_pages(t: Tables) -> DataFrame:
     from querent.sources.readers import pages_of_documents
 
-    host = F.regexp_extract("url", r"https?://([^/]+)", 1)
-    documents = t.pages.select(host.alias("doc")).distinct()
+    documents = t.pages.select(F.regexp_extract("url", "https?://([^./]+)", 1).alias("doc")).where("doc <> ''")
+    files = t.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("file"))
+    return pages_of_documents(documents, files, strict=False).select("page_id", F.col("doc").alias("host"))
+
+
+@query("SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host FROM pages WHERE contains(regexp_replace(url, '^https?://', ''), '/')")
+def strict_pages(t: Tables) -> DataFrame:
+    from querent.sources.readers import pages_of_documents
+
+    documents = t.pages.select(F.regexp_extract("url", "https?://([^/]+)", 1).alias("doc"))
     files = t.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("file"))
-    return pages_of_documents(documents, files, separator="/").select("page_id", F.col("doc").alias("host"))
+    return pages_of_documents(documents, files.where("contains(file, '/')"), separator="/").select("page_id", F.col("doc").alias("host"))
 
 
 POOLS = f"""WITH {L}, c AS (SELECT label, lower(p_name) AS low, min(p_partkey) AS first FROM (SELECT *, p_type AS label FROM part) GROUP BY ALL),
@@ -80,10 +105,10 @@ def apply_fold(t: Tables) -> DataFrame:
     return pools(t).join(q, "qid").select("qid", "ord", "rank", C.apply_replacements(F.col("question"), pair).alias("corrupted_question"))
 
 
-@query(f"""{POOLS} SELECT o_orderkey AS qid, p.replacement AS corrupted, p.qid IS NOT NULL AS is_corrupted, CAST(CASE WHEN p.qid IS NULL THEN 0 ELSE 1 END AS INT) AS complexity
+@query(f"""{POOLS} SELECT o_orderkey AS qid, coalesce(p.replacement, o_orderpriority || '?') AS corrupted, p.qid IS NOT NULL AS is_corrupted, CAST(CASE WHEN p.qid IS NULL THEN 0 ELSE 1 END AS INT) AS complexity
   FROM orders LEFT JOIN pools p ON p.qid = o_orderkey AND p.rank = 1""")
 def corrupt_explode(t: Tables) -> DataFrame:
-    questions = t.orders.select(F.col("o_orderkey").alias("qid"), F.lit(None).cast("string").alias("question"))
+    questions = t.orders.select(F.col("o_orderkey").alias("qid"), F.concat("o_orderpriority", F.lit("?")).alias("question"))
     made = pools(t).where("rank = 1").select("qid", F.lit(1).alias("complexity"), F.col("replacement").alias("corrupted_question"))
     return C.with_failures(questions, made).select("qid", F.col("corrupted_question").alias("corrupted"), "is_corrupted", "complexity")
 
@@ -124,9 +149,9 @@ def threshold_filter(t: Tables) -> DataFrame:
 ATTRS = ["part", "page_id"]
 
 
-@query(f"WITH {L}, k AS (SELECT lower(trim(text)) AS key, arg_max({{'t': text, 'p': part, 'g': page_id}}, {{'q': qid, 'o': ord, 'p': part}}) AS m FROM l WHERE qid % 3 = 0 GROUP BY 1) SELECT key, m.t AS text, m.p AS part, m.g AS page_id FROM k")
+@query(f"WITH {L}, k AS (SELECT lower(trim(text)) AS key, arg_max({{'t': text, 'p': part, 'g': page_id}}, {{'q': qid, 'o': ord, 'p': part}}) AS m FROM l GROUP BY 1) SELECT key, m.t AS text, m.p AS part, m.g AS page_id FROM k")
 def global_entity_map(t: Tables) -> DataFrame:
-    return N.global_entity_map(lines(t).where("qid % 3 = 0"), ["qid", "ord", "part"], ATTRS)
+    return N.global_entity_map(lines(t), ["qid", "ord", "part"], ATTRS)
 
 
 def patches(t: Tables) -> DataFrame:
@@ -185,9 +210,19 @@ def exclude_used(t: Tables) -> DataFrame:
     return exclude_used(t.orders, t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (
+    SELECT l_orderkey AS qid, l_linenumber AS ln, l_partkey AS pk, CAST(floor(l_quantity) AS INT) AS x, CAST(l_partkey % 50 AS INT) AS y, CAST(floor(l_quantity) AS INT) + 5 + l_linenumber * 4 AS u,
+           CAST(l_partkey % 50 AS INT) + 10 + l_linenumber * 2 AS v FROM lineitem),
+  n AS (SELECT *, (u - x) * (v - y) AS area, row_number() OVER (PARTITION BY qid ORDER BY ln, pk, x, y, u, v) AS i FROM b),
+  o AS (SELECT qid, [x, y, u, v] AS box, area, row_number() OVER (PARTITION BY qid ORDER BY area DESC, i) AS r FROM n),
+  f AS (
+    SELECT qid, CAST(1 AS BIGINT) AS r, [box] AS kept FROM o WHERE r = 1
+    UNION ALL SELECT f.qid, o.r, CASE WHEN len(list_filter(f.kept, lambda k: greatest(0, least(k[3], o.box[3]) - greatest(k[1], o.box[1])) * greatest(0, least(k[4], o.box[4]) - greatest(k[2], o.box[2])) / o.area >= 0.6)) > 0
+      THEN f.kept ELSE list_append(f.kept, o.box) END FROM f JOIN o ON o.qid = f.qid AND o.r = f.r + 1)
+  SELECT qid, array_to_string(list_transform(kept, lambda k: array_to_string(k, ',')), ';') AS kept FROM (SELECT qid, arg_max(kept, r) AS kept FROM f GROUP BY qid)""")
 def filter_boxes(t: Tables) -> DataFrame:
     x, y = F.floor("l_quantity").cast("int"), (F.col("l_partkey") % 50).cast("int")
     box = F.array(x, y, (x + 5 + F.col("l_linenumber") * 4), (y + 10 + F.col("l_linenumber") * 2).cast("int"))
     boxes = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", box.alias("b")))).alias("a"))
-    return boxes.select("qid", F.transform(G.filter_boxes(F.transform("a", lambda v: v["b"])), lambda b: F.array_join(b.cast("array<string>"), ",")).alias("kept"))
+    kept = F.transform(G.filter_boxes(F.transform("a", lambda v: v["b"])), lambda b: F.array_join(b.cast("array<string>"), ","))
+    return boxes.select("qid", F.array_join(kept, ";").alias("kept"))

@@ -79,10 +79,10 @@ def layout_and_path(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", enrich.layout_of(kind, F.col("p_brand")).alias("layout"), raw.alias("raw"), image_path(raw, "/data").alias("path"))
 
 
-@query(f"""WITH {K.L}, k AS (SELECT lower(trim(text)) AS key, arg_max({{'t': text, 'p': part, 'g': page_id}}, {{'q': qid, 'o': ord, 'p': part}}) AS m FROM l WHERE qid % 3 = 0 GROUP BY 1)
+@query(f"""WITH {K.L}, k AS (SELECT lower(trim(text)) AS key, arg_max({{'t': text, 'p': part, 'g': page_id}}, {{'q': qid, 'o': ord, 'p': part}}) AS m FROM l GROUP BY 1)
   SELECT qid, ord, coalesce(k.m.p, l.part) AS part, coalesce(k.m.g, l.page_id) AS page_id FROM l LEFT JOIN k ON k.key = lower(trim(l.text))""")
 def overwrite_entities(t: Tables) -> DataFrame:
-    known = enrich.global_entity_map(K.lines(t).where("qid % 3 = 0"), ["qid", "ord", "part"], K.ATTRS)
+    known = enrich.global_entity_map(K.lines(t), ["qid", "ord", "part"], K.ATTRS)
     return enrich.overwrite(K.lines(t), known, K.ATTRS).select("qid", "ord", "part", "page_id")
 
 
@@ -96,11 +96,13 @@ def question_entities(t: Tables) -> DataFrame:
     return out.select("qid", "ord", "label", "source")
 
 
-@query("""WITH o AS (SELECT l_orderkey AS qid, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE l_returnflag <> 'N') AS b FROM lineitem GROUP BY 1)
-  SELECT qid, CAST(least(len(a), coalesce(len(b), 0)) AS INT) AS n FROM o WHERE b IS NOT NULL""")
+@query("""WITH o AS (SELECT l_orderkey AS qid, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE l_returnflag <> 'N') AS b FROM lineitem GROUP BY 1)
+  SELECT qid, array_to_string(list_transform(range(least(len(a), len(b))), lambda i: a[CAST(i + 1 AS BIGINT)] || ':' || b[CAST(i + 1 AS BIGINT)]), ',') AS pairs FROM o WHERE b IS NOT NULL""")
 def zip_entities(t: Tables) -> DataFrame:
-    o = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(F.collect_list("l_partkey").alias("a"), F.collect_list(F.when(F.col("l_returnflag") != "N", F.col("l_suppkey"))).alias("b"))
-    return o.where(F.size("b") > 0).select("qid", F.size(verify.zip_entities(F.col("a"), F.col("b"))).alias("n"))
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    o = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list(place)).alias("a"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "N", place))).alias("b"))
+    pairs = verify.zip_entities(F.transform("a", lambda x: x["l_partkey"]), F.transform("b", lambda x: x["l_suppkey"]))
+    return o.where(F.size("b") > 0).select("qid", F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["original"].cast("string"), p["corrupted"].cast("string"))), ",").alias("pairs"))
 
 
 @query("""SELECT l_orderkey AS qid, string_agg(t, chr(10) ORDER BY y, p) AS ocr FROM (SELECT l_orderkey, CAST(floor(l_quantity) AS INT) % 5 AS y, l_partkey AS p, p_name AS t FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1""")
@@ -110,12 +112,13 @@ def verifier_order(t: Tables) -> DataFrame:
     return o.groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list("o")).alias("o")).select("qid", N.verifier_order(F.col("o")).alias("ocr"))
 
 
-@query("""SELECT l_orderkey AS qid, p_type AS type, string_agg(p_name, ' ' ORDER BY l_quantity, l_linenumber, p_name) AS text, min(l_quantity) AS top, max(l_quantity) AS bottom FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+@query("""SELECT l_orderkey AS qid, p_type AS type, string_agg(p_name, ' ' ORDER BY y, x, p_name) AS text, min(x) || ',' || min(y) || ',' || max(x + w) || ',' || max(y + 2) AS bbox
+  FROM (SELECT l_orderkey, p_type, p_name, CAST(l_suppkey % 9 AS INT) AS x, CAST(floor(l_quantity) AS INT) AS y, l_linenumber AS w FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2""")
 def ocr_by_layout(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    grouped = rows.groupBy(F.col("l_orderkey").alias("qid"), F.col("p_type").alias("type")).agg(
-        F.array_sort(F.collect_list(F.struct("l_quantity", "l_linenumber", "p_name"))).alias("o"), F.min("l_quantity").alias("top"), F.max("l_quantity").alias("bottom"))
-    return grouped.select("qid", "type", F.array_join(F.transform("o", lambda x: x["p_name"]), " ").alias("text"), "top", "bottom")
+    x, y = (F.col("l_suppkey") % 9).cast("int"), F.floor("l_quantity").cast("int")
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_orderkey").alias("qid"), F.col("p_type").alias("type"), F.col("p_name").alias("text"), F.array(x, y, x + F.col("l_linenumber"), y + 2).alias("bbox"))
+    return enrich.merged_layouts(rows, ["qid"]).withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
 
 
 @query("""SELECT l_orderkey AS qid FROM lineitem GROUP BY 1 HAVING bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size <> 7))""")
@@ -141,12 +144,15 @@ def paired_sft(t: Tables) -> DataFrame:
     return out.select(F.col("images")[0].cast("long").alias("c_custkey"), F.replace("input", F.lit("<image>\n"), F.lit("")).alias("input"), "output")
 
 
-@query("SELECT o_orderkey, CAST(least(3, o_orderkey % 6) AS INT) AS kept, CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 6 <= 3 THEN 7 ELSE -100 END AS last FROM orders WHERE o_orderkey % 6 < 4")
+# labels are masked but for a second one of every fourth order, and a fourth one that is beyond the cut
+@query("""SELECT o_orderkey, CAST(least(3, n) AS INT) AS kept, CASE WHEN n = 0 THEN NULL WHEN n >= 2 AND o_orderkey % 4 = 0 THEN CASE WHEN n = 2 THEN 9 ELSE -100 END ELSE 7 END AS last
+  FROM (SELECT o_orderkey, o_orderkey % 6 AS n FROM orders)""")
 def sft_truncate(t: Tables) -> DataFrame:
     n = (F.col("o_orderkey") % 6).cast("int")
     ids = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    cut = sft.truncated(ids, F.transform(ids, lambda x: F.lit(-100)), 3, 7)
-    return t.orders.where("o_orderkey % 6 < 4").select("o_orderkey", F.size(cut["ids"]).alias("kept"), F.get(cut["labels"], F.size(cut["labels"]) - 1).alias("last"))
+    labels = F.transform(ids, lambda x: F.when((x == 4) | ((x == 2) & (F.col("o_orderkey") % 4 == 0)), 9).otherwise(-100))
+    cut = sft.truncated(ids, labels, 3, 7)
+    return t.orders.select("o_orderkey", F.size(cut["ids"]).alias("kept"), F.get(cut["labels"], F.size(cut["labels"]) - 1).alias("last"))
 
 
 @query("SELECT p_partkey AS page, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'computed' END AS text FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
@@ -227,12 +233,17 @@ def numbered_images(t: Tables) -> DataFrame:
     return pages.select("qid", F.explode(N.numbered_images(shot, F.col("pages"))).alias("p")).select("qid", "p.number", "p.path")
 
 
-@query()
+@query("""WITH g AS (SELECT c.v AS c, r.v AS r, row_number() OVER (ORDER BY c.v * r.v, c.v) AS i FROM range(1, 13) c(v), range(1, 13) r(v) WHERE c.v * r.v <= 12),
+  x AS (SELECT p_partkey, width, height, g.*, abs(CAST(width AS DOUBLE) / height - CAST(c AS DOUBLE) / r) AS d, width * height > 0.5 * 448 * 448 * c * r AS roomy
+    FROM (SELECT p_partkey, p_size * 40 AS width, 800 AS height FROM part) , g),
+  y AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, i) AS n, min(d) OVER (PARTITION BY p_partkey) AS least FROM x),
+  z AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i DESC) AS last FROM y WHERE d = least AND (n = 1 OR roomy))
+  SELECT p_partkey, width, height, CAST(c AS INT) AS tile_columns, CAST(r AS INT) AS tile_rows FROM z WHERE last = 1""")
 def tile_grid(t: Tables) -> DataFrame:
     return geometry.tile_grid(t.part.select("p_partkey", (F.col("p_size") * 40).alias("width"), F.lit(800).alias("height")))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders WHERE CAST('0x' || left(md5('42:' || o_orderkey), 8) AS BIGINT) % 4 = 1")
 def shards(t: Tables) -> DataFrame:
     return sampling.shard(t.orders, "o_orderkey", 1, 4).select("o_orderkey")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.model import LAYOUT_TYPES, MACRO_ENTITIES, QUADRANTS, VISUAL_TYPES
+from querent.model import LAYOUT_TYPES, MACRO_ENTITIES, QUADRANTS, VISUAL_TYPES, macro_entities, require_mapped
 from querent.operators import metrics as M
 from querent.plans.registry import Tables, query
 
-#: The binding's stand-in for the entity-label dimension: part types to macro entities.
-PART_MACROS = {"STANDARD": "NUMERIC", "SMALL": "TEMPORAL", "MEDIUM": "ENTITY", "LARGE": "LOCATION", "ECONOMY": "STRUCTURE", "PROMO": "ENTITY"}
+#: The binding's labels of parts: those of the entity dimension in turn, by part number.
+LABELS = [(label, macro) for macro, labels in MACRO_ENTITIES.items() for label in labels]
 
 
 def questions(t: Tables) -> DataFrame:
@@ -25,11 +25,11 @@ def answers(t: Tables, side: str | None = None) -> DataFrame:
 
 
 def parts(t: Tables) -> DataFrame:
-    kinds = F.array(*map(F.lit, LAYOUT_TYPES))
-    macro = F.create_map(*(F.lit(x) for pair in PART_MACROS.items() for x in pair))
-    return t.part.select(
+    kinds, labels = F.array(*map(F.lit, LAYOUT_TYPES)), F.array(*(F.lit(x) for x, _ in LABELS))
+    own = t.part.select(
         F.col("p_partkey").alias("part"), F.col("p_name").alias("text"), F.get(kinds, F.col("p_size") % 10).alias("layout_type"),
-        F.coalesce(macro[F.split("p_type", " ")[0]], F.lit("ENTITY")).alias("macro"))
+        F.get(labels, (F.col("p_partkey") % len(LABELS)).cast("int")).alias("label"))
+    return require_mapped(own.join(F.broadcast(macro_entities(t.spark)), "label", "left"), "label", "macro")
 
 
 def entities(t: Tables) -> DataFrame:
@@ -45,7 +45,7 @@ Q = "q AS (SELECT o_orderkey AS qid, CAST(o_orderkey % 3 + 1 AS INT) AS complexi
 A = "a AS (SELECT l_orderkey AS qid, l_returnflag = 'R' AS is_unable, l_linenumber AS win, l_suppkey % 7 AS page, l_partkey AS part, l_quantity AS x, l_extendedprice AS y, l_linestatus FROM lineitem)"
 P = (
     "p AS (SELECT p_partkey AS part, p_name AS text, [" + ", ".join(f"'{x}'" for x in LAYOUT_TYPES) + "][CAST(p_size % 10 + 1 AS BIGINT)] AS layout_type, "
-    "CASE split_part(p_type, ' ', 1) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PART_MACROS.items()) + " ELSE 'ENTITY' END AS macro FROM part)"
+    "[" + ", ".join(f"'{m}'" for _, m in LABELS) + f"][CAST(p_partkey % {len(LABELS)} + 1 AS BIGINT)] AS macro FROM part)"
 )
 E = "e AS (SELECT qid, text, layout_type, macro, win, part, page, x, y, is_unable FROM a JOIN p USING (part))"
 VISUAL = "(" + ", ".join(f"'{x}'" for x in VISUAL_TYPES) + ")"
@@ -150,61 +150,95 @@ def qur_ded(t: Tables) -> DataFrame:
     return M.qur_by(questions(t), answers(t), M.density_slices(entities(t)), buckets=M.BUCKETS["qur_ded"])
 
 
-def corrupted(t: Tables) -> DataFrame:
-    """Entities of promotional parts stand for the corrupted ones; patches are all entities by page."""
-    return entities(t).where(F.col("layout_type").isin("title", "table"))
+def windows(t: Tables) -> DataFrame:
+    """(qid, pages, is_unable): line numbers are windows; each line's page and the one after it are in its window."""
+    page = F.col("page")
+    own = answers(t).select("qid", "win", F.explode(F.array(page, (page + 1) % 7)).alias("page"), "is_unable")
+    return own.groupBy("qid", "win").agg(F.collect_set("page").alias("pages"), F.max("is_unable").alias("is_unable"))
 
 
-def flagged(t: Tables) -> DataFrame:
-    own = answers(t).groupBy("qid", "win", "page").agg(F.max("is_unable").alias("is_unable"))
-    one = own.groupBy("qid", "win").agg(F.min("page").alias("page"), F.max("is_unable").alias("is_unable"))
-    return M.in_page(one, entities(t), corrupted(t)), one
+def suite_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """questions, windows, corrupted entities (in titles and tables), patches and objects: a line is an object with one entity."""
+    lines = with_quadrant(entities(t)).withColumnRenamed("bucket", "quadrant").select("qid", "text", "object_type", "macro", "ord", "page", "layout_type", "quadrant", F.col("ord").alias("obj"))
+    return questions(t), windows(t), lines.where(F.col("layout_type").isin("title", "table")), lines, lines
 
 
-W = """w AS (SELECT qid, win, min(page) AS page, bool_or(is_unable) AS is_unable FROM a GROUP BY qid, win),
-  c AS (SELECT DISTINCT qid, text FROM e WHERE layout_type IN ('title', 'table')),
-  on_page AS (SELECT DISTINCT e.qid, e.page FROM e JOIN c USING (qid, text)),
-  f AS (SELECT w.*, EXISTS (SELECT 1 FROM on_page o WHERE o.qid = w.qid AND o.page = w.page) AS in_page FROM w)"""
+W = f"""w AS (SELECT qid, win, list_distinct(flatten(list([page, (page + 1) % 7]))) AS pages, bool_or(is_unable) AS is_unable FROM a GROUP BY qid, win),
+  lines AS (SELECT e.*, {QUAD_OF} FROM e {QUAD_JOIN}), c AS (SELECT * FROM lines WHERE layout_type IN ('title', 'table')),
+  held AS (SELECT DISTINCT l.qid, l.page, l.win, l.part, l.layout_type, l.bucket FROM lines l JOIN (SELECT DISTINCT qid, text FROM c) x ON x.qid = l.qid AND x.text = l.text),
+  here AS (SELECT w.qid, w.win, w.is_unable, h.layout_type, h.bucket FROM w JOIN held h ON h.qid = w.qid AND list_contains(w.pages, h.page)),
+  visuals AS (SELECT w.qid, w.win, count(l.qid) AS v FROM w LEFT JOIN lines l ON l.qid = w.qid AND list_contains(w.pages, l.page) AND l.layout_type IN {VISUAL} GROUP BY ALL)"""
+#: Rows (qid, bucket, n, hits) of each metric on pages.
+PAGE_ROWS = {
+    "UR_PAGE": "SELECT qid, CAST(EXISTS (SELECT 1 FROM here h WHERE h.qid = w.qid AND h.win = w.win) AS VARCHAR) AS bucket, 1 AS n, CAST(is_unable AS INT) AS hits FROM w",
+    "UR_PAGE_DE": "SELECT qid, layout_type AS bucket, 1 AS n, CAST(is_unable AS INT) AS hits FROM (SELECT DISTINCT qid, win, layout_type, is_unable FROM here)",
+    "UR_PAGE_QP": "SELECT qid, bucket, 1 AS n, CAST(is_unable AS INT) AS hits FROM here",
+    "UR_PAGE_DED": "SELECT qid, CASE v WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '>1' END AS bucket, 1 AS n, CAST(is_unable AS INT) AS hits FROM w JOIN visuals USING (qid, win)",
+}
 
 
-@query(bucketed(f"WITH {Q}, {A}, {P}, {E}, {W}, rows_ AS (SELECT CAST(in_page AS VARCHAR) AS bucket, complexity, 1 AS n, CAST(is_unable AS INT) AS hits FROM f JOIN q USING (qid))", ("false", "true")))
-def ur_page(t: Tables) -> DataFrame:
-    rows = flagged(t)[0].join(questions(t), "qid").select("complexity", F.col("is_unable").alias("hit"), F.col("in_page").cast("string").alias("bucket"))
-    return M.rates(rows, "bucket", M.BUCKETS["ur_page"])
+def page_sql(metric: str) -> str:
+    return bucketed(f"WITH {Q}, {A}, {P}, {E}, {W}, rows_ AS (SELECT x.bucket, complexity, n, hits FROM ({PAGE_ROWS[metric]}) x JOIN q USING (qid))", M.SUITE[metric])
+
+
+def marked(t: Tables) -> DataFrame:
+    _, w, c, patches, objects = suite_inputs(t)
+    return M.marked_windows(w, patches, c, objects)
 
 
-def matching(t: Tables) -> DataFrame:
-    """(qid, page, part, layout_type, x, y) of patches that hold a corrupted text."""
-    return entities(t).join(corrupted(t).select("qid", "text").distinct(), ["qid", "text"], "left_semi")
+@query(page_sql("UR_PAGE"))
+def ur_page(t: Tables) -> DataFrame:
+    return M.ur_marked(questions(t), marked(t), "UR_PAGE")
 
 
-@query(bucketed(f"""WITH {Q}, {A}, {P}, {E}, {W}, rows_ AS (SELECT DISTINCT w.qid, w.win, e.layout_type AS bucket, complexity, 1 AS n, CAST(w.is_unable AS INT) AS hits
-  FROM w JOIN e USING (qid, page) JOIN c ON c.qid = e.qid AND c.text = e.text JOIN q ON q.qid = w.qid)""", LAYOUT_TYPES))
+@query(page_sql("UR_PAGE_DE"))
 def ur_page_de(t: Tables) -> DataFrame:
-    kinds = matching(t).select("qid", "page", F.col("layout_type").alias("bucket")).distinct()
-    rows = flagged(t)[1].join(kinds, ["qid", "page"]).join(questions(t), "qid").withColumnRenamed("is_unable", "hit")
-    return M.rates(rows, "bucket", M.BUCKETS["qur_de"])
+    return M.ur_marked(questions(t), marked(t), "UR_PAGE_DE")
 
 
-@query(bucketed(f"""WITH {Q}, {A}, {P}, {E}, {W}, o AS (SELECT e.*, {QUAD_OF} FROM e {QUAD_JOIN}),
-  rows_ AS (SELECT o.bucket, complexity, 1 AS n, CAST(w.is_unable AS INT) AS hits FROM w JOIN o USING (qid, page) JOIN c ON c.qid = o.qid AND c.text = o.text JOIN q ON q.qid = w.qid)""", QUADRANTS))
+@query(page_sql("UR_PAGE_QP"))
 def ur_page_qp(t: Tables) -> DataFrame:
-    objects = with_quadrant(entities(t)).join(corrupted(t).select("qid", "text").distinct(), ["qid", "text"], "left_semi").select("qid", "page", "bucket")
-    rows = flagged(t)[1].join(objects, ["qid", "page"]).join(questions(t), "qid").withColumnRenamed("is_unable", "hit")
-    return M.rates(rows, "bucket", M.BUCKETS["qur_qp"])
+    return M.ur_marked(questions(t), marked(t), "UR_PAGE_QP")
 
 
-@query(bucketed(f"""WITH {Q}, {A}, {P}, {E}, {W}, v AS (SELECT qid, page, count(*) FILTER (WHERE layout_type IN {VISUAL}) AS v FROM e GROUP BY qid, page),
-  rows_ AS (SELECT CASE WHEN coalesce(v, 0) = 0 THEN '0' WHEN v = 1 THEN '1' ELSE '>1' END AS bucket, complexity, 1 AS n, CAST(is_unable AS INT) AS hits
-  FROM w LEFT JOIN v USING (qid, page) JOIN q ON q.qid = w.qid)""", M.PAGE_VISUALS))
+@query(page_sql("UR_PAGE_DED"))
 def ur_page_ded(t: Tables) -> DataFrame:
-    visuals = entities(t).groupBy("qid", "page").agg(F.count_if(F.col("layout_type").isin(*VISUAL_TYPES)).alias("v"))
-    rows = flagged(t)[1].join(visuals, ["qid", "page"], "left").join(questions(t), "qid")
-    rows = rows.select("complexity", F.col("is_unable").alias("hit"), M.page_visuals(F.coalesce("v", F.lit(0))).alias("bucket"))
-    return M.rates(rows, "bucket", M.BUCKETS["ur_page_ded"])
-
-
-@query(f"SELECT b.v AS bucket, CAST(c.v AS INT) AS complexity, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS hits FROM (VALUES {values(QUADRANTS)}) b(v), (VALUES (0), (1), (2), (3)) c(v)")
+    return M.ur_marked(questions(t), marked(t), "UR_PAGE_DED")
+
+
+def suite_sql() -> str:
+    """All metrics of the suite, each by its own rows, over windows w."""
+    firsts = "SELECT qid, arg_min(layout_type, {'win': win, 'part': part}) AS bucket FROM c GROUP BY qid, text"
+    stats = "(SELECT q.qid, q.complexity, count(w.qid) AS k, count(*) FILTER (WHERE w.is_unable) AS u FROM q LEFT JOIN w ON w.qid = q.qid GROUP BY ALL)"
+    refused = "1 AS n, CAST(k > 0 AND k = u AS INT) AS hits"
+    by_question = {
+        "QUR": "SELECT qid, CAST(NULL AS VARCHAR) AS bucket FROM q", "QUR_DE": firsts, "QUR_NLPE": "SELECT qid, macro AS bucket FROM c", "QUR_QP": "SELECT qid, bucket FROM c",
+        "QUR_PL": "SELECT q.qid, CAST(coalesce(len(list_distinct(flatten(list(w.pages) FILTER (WHERE w.pages IS NOT NULL)))), 0) AS VARCHAR) AS bucket FROM q LEFT JOIN w ON w.qid = q.qid GROUP BY q.qid",
+        "QUR_DED": f"SELECT qid, CASE WHEN v / (v + greatest(x, 1)) < 0.15 THEN '<15' WHEN v / (v + greatest(x, 1)) < 0.25 THEN '15-25' ELSE '>25' END AS bucket FROM (SELECT q.qid, count(*) FILTER (WHERE layout_type IN {VISUAL}) AS v, count(*) FILTER (WHERE layout_type NOT IN {VISUAL}) AS x FROM q LEFT JOIN lines l ON l.qid = q.qid GROUP BY q.qid)",
+    }
+    parts = [f"SELECT '{m}' AS metric, x.bucket, complexity, {refused} FROM ({rows}) x JOIN {stats} s ON s.qid = x.qid" for m, rows in by_question.items()]
+    for m, of in (("UR", "QUR"), ("UR_DE", "QUR_DE"), ("UR_NLPE", "QUR_NLPE")):
+        parts.append(f"SELECT '{m}', x.bucket, complexity, k, u FROM ({by_question[of]}) x JOIN {stats} s ON s.qid = x.qid")
+    parts += [f"SELECT '{m}', x.bucket, complexity, n, hits FROM ({rows}) x JOIN q USING (qid)" for m, rows in PAGE_ROWS.items()]
+    frame = ", ".join(f"('{m}', {'NULL' if b is None else chr(39) + b + chr(39)})" for m, bs in M.SUITE.items() for b in ((None,) if bs is None else bs))
+    return f"""WITH {Q}, {A}, {P}, {E}, {W}, rows_ AS ({' UNION ALL '.join(parts)}),
+      g AS (SELECT metric, bucket, CAST(CASE WHEN grouping(complexity) = 1 THEN 0 ELSE complexity END AS INT) AS complexity, sum(n) AS n, sum(hits) AS hits
+        FROM rows_ GROUP BY GROUPING SETS ((metric, bucket), (metric, bucket, complexity))
+        UNION ALL SELECT f.m, f.b, c.v, 0, 0 FROM (VALUES {frame}) f(m, b), (VALUES (0), (1), (2), (3)) c(v))
+      SELECT metric, bucket, complexity, CAST(sum(n) AS BIGINT) AS n, CAST(sum(hits) AS BIGINT) AS hits, CASE WHEN sum(n) > 0 THEN CAST(sum(hits) AS DOUBLE) / CAST(sum(n) AS DOUBLE) END AS value
+      FROM g GROUP BY metric, bucket, complexity"""
+
+
+@query(suite_sql())
+def metric_suite(t: Tables) -> DataFrame:
+    return M.metric_suite(*suite_inputs(t))
+
+
+# counts of two quadrants and complexities; the skeleton adds the others
+@query(f"""SELECT b.v AS bucket, CAST(c.v AS INT) AS complexity, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits FROM (VALUES {values(QUADRANTS)}) b(v) CROSS JOIN (VALUES (0), (1), (2), (3)) c(v)
+  LEFT JOIN (SELECT CASE o_orderstatus WHEN 'F' THEN 'TOP_LEFT' ELSE 'BOTTOM_RIGHT' END AS bucket, o_orderkey % 2 AS complexity, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 200000) AS hits FROM orders GROUP BY ALL) k
+  ON k.bucket = b.v AND k.complexity = c.v""")
 def metric_skeleton(t: Tables) -> DataFrame:
-    none = t.spark.createDataFrame([], "bucket string, complexity int, n long, hits long")
-    return M.with_skeleton(none, "bucket", QUADRANTS)
+    some = t.orders.groupBy(F.when(F.col("o_orderstatus") == "F", "TOP_LEFT").otherwise("BOTTOM_RIGHT").alias("bucket"), (F.col("o_orderkey") % 2).cast("int").alias("complexity")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 200000).alias("hits"))
+    return M.with_skeleton(some, "bucket", QUADRANTS)

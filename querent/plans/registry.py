@@ -35,4 +35,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return add
 
 
-from querent.plans import answer_queries, corruption_queries, detail_queries, metric_queries, report_queries, run_queries  # noqa: E402, F401
+from querent.plans import answer_queries, corruption_queries, detail_queries, file_queries, metric_queries, more_queries, report_queries, run_queries  # noqa: E402, F401

@@ -62,22 +62,22 @@ def bra(t: Tables) -> DataFrame:
     return d.select("dataset", R.balanced_refusal(F.col("after"), F.col("before")).alias("bra"))
 
 
-@query("""WITH x AS (SELECT DISTINCT p_type AS element, o_orderpriority AS dataset FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 49)
+@query("""WITH x AS (SELECT DISTINCT l_partkey AS element, o_orderpriority AS dataset FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)
   SELECT element, dataset FROM x WHERE element IN (SELECT element FROM x GROUP BY element HAVING count(DISTINCT dataset) >= 2)""")
 def having_two(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_quantity > 49").join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    return R.in_datasets(rows.select(F.col("p_type").alias("element"), F.col("o_orderpriority").alias("dataset")).distinct(), "element")
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return R.in_datasets(rows.select(F.col("l_partkey").alias("element"), F.col("o_orderpriority").alias("dataset")).distinct(), "element")
 
 
 PL = B.qur_sql("SELECT qid, CAST(count(DISTINCT page) AS VARCHAR) AS bucket FROM a GROUP BY qid")
 
 
-@query(f"""WITH pl AS ({PL}), u AS (SELECT CASE WHEN CAST(bucket AS INT) BETWEEN 1 AND 4 THEN '<4pg' WHEN CAST(bucket AS INT) BETWEEN 5 AND 8 THEN '4pg-8pg' WHEN CAST(bucket AS INT) BETWEEN 9 AND 100 THEN '>8pg' END AS bin, n, hits
+@query(f"""WITH pl AS ({PL}), u AS (SELECT CASE WHEN CAST(bucket AS INT) BETWEEN 1 AND 4 THEN '<4pg' WHEN CAST(bucket AS INT) BETWEEN 5 AND 8 THEN '4pg-8pg' WHEN CAST(bucket AS INT) BETWEEN 9 AND 100 THEN '>8pg' END AS bin, value AS rate
   FROM pl WHERE complexity = 0 AND CAST(bucket AS INT) NOT IN (5, 6, 17, 20))
-  SELECT b.v AS bin, CAST(sum(hits) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS value FROM (VALUES {B.values(R.PAGE_BINS)}) b(v) LEFT JOIN u ON u.bin = b.v GROUP BY b.v""")
+  SELECT b.v AS bin, avg(rate) AS value FROM (VALUES {B.values(R.PAGE_BINS)}) b(v) LEFT JOIN u ON u.bin = b.v GROUP BY b.v""")
 def pl_bins(t: Tables) -> DataFrame:
     rows = M.qur_by(B.questions(t), B.answers(t), M.page_count_slices(B.answers(t))).where("complexity = 0")
-    return R.binned_pages(rows, weighted=True)
+    return R.binned_pages(rows)
 
 
 @query(f"""WITH d AS ({B.qur_sql(B.DED, M.DENSITY_BUCKETS)}) SELECT bucket, complexity, value * CASE bucket WHEN '<15' THEN 1.0::DOUBLE WHEN '15-25' THEN 0.16::DOUBLE ELSE 0.336::DOUBLE END AS weighted FROM d""")
@@ -109,9 +109,9 @@ def comparison(t: Tables) -> DataFrame:
     return R.aggregate_runs(summaries(t))
 
 
-@query(f"""WITH {CELLS} SELECT strategy || '_C' || complexity AS row_, n, value FROM k WHERE dataset = '5-LOW'""")
+@query(f"""WITH {CELLS} SELECT dataset || ' ' || strategy || '_C' || complexity AS row_, n, value FROM k""")
 def complexity_rows(t: Tables) -> DataFrame:
-    rows = cells(t).where("dataset = '5-LOW'").withColumnRenamed("strategy", "bucket")
+    rows = cells(t).withColumn("bucket", F.concat_ws(" ", "dataset", "strategy"))
     stacked = R.complexity_stack(rows).join(rows.select(F.concat_ws("_C", "bucket", F.col("complexity").cast("string")).alias("row"), "n"), "row")
     return stacked.select(F.col("row").alias("row_"), "n", "value")
 

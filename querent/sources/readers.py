@@ -51,6 +51,32 @@ def question_file(spark: SparkSession, folder: str, split: str, name: str) -> Da
     return dataset_file(spark, f"{folder}/{SPLIT_ALIASES.get(split, split)}.json").withColumn("image_path", F.col("document"))
 
 
+def split_table(spark: SparkSession, folder: str, dataset: str, split: str) -> DataFrame:
+    """A split of a dataset that is held as Parquet in <folder>/<dataset>/<split>: val means validation for Bounding Docs.
+
+    The image columns of a hub's files are bytes; they are read only if they are selected.
+    """
+    if dataset not in DATASETS:
+        raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(DATASETS)}")
+    return spark.read.parquet(f"{folder}/{dataset}/{SPLIT_ALIASES.get(split, split) if dataset == 'Bounding Docs' else split}")
+
+
+def question_split(spark: SparkSession, path: str, id_col: str = "questionId", shuffle: bool = True, n: int | None = None, offset: int = 0) -> DataFrame:
+    """Questions of a dataset file, in the order of a seeded hash or as they stand; the n from an offset on, if given."""
+    from querent.operators.sampling import sample_range
+
+    whole = dataset_file(spark, path)
+    if n is None:
+        return whole
+    return sample_range(whole, id_col, n, offset) if shuffle else whole.where((F.col("ord") >= offset) & (F.col("ord") < offset + n))
+
+
+def configurations(spark: SparkSession, root: str, payload: str = "manifest.json") -> DataFrame:
+    """(slug, ord): the folders below root that hold the payload, by the name of the folder, first seen first (by path)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", payload).load(root).select("path")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("slug"), "path").groupBy("slug").agg(F.min("path").alias("ord"))
+
+
 def records(spark: SparkSession, path: str, key: str = "corrupted_questions") -> DataFrame:
     """Corrupted questions of a JSON file {key: [record]}, with qid from their position. Values of a wrong type are null."""
     raw = spark.read.schema(f"{key} array<struct<{_struct(RECORD)}>>").option("multiLine", True).json(path)
@@ -103,13 +129,14 @@ def pages_of_documents(documents: DataFrame, files: DataFrame, separator: str =
     """Files (…, file) of each document (doc), by the part of the file's name before the last separator and number.
 
     strict joins on that stem, an equi-join. Otherwise a document also gets files of which its id is only a prefix; then
-    files are expanded to all prefixes that are as long as some id, so it stays an equi-join as well.
+    files are expanded to all prefixes that are as long as some id, so it stays an equi-join as well. Ids are not empty.
     """
     if strict:
         stem = F.substring_index(F.col("file"), separator, 1) if separator == "/" else F.regexp_extract("file", rf"^(.*)\{separator}\d+\.\w+$", 1)
         return files.withColumn("doc", stem).join(documents.distinct(), "doc")
-    lengths = F.array_sort(F.lit([r[0] for r in documents.select(F.length("doc")).distinct().limit(10_000).collect()]))
-    own = files.withColumn("_n", F.explode(lengths)).withColumn("doc", F.when(F.length("file") >= F.col("_n"), F.left("file", F.col("_n")))).drop("_n")
+    lengths = documents.select(F.length("doc").alias("_n")).distinct()
+    prefixes = files.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1)))))
+    own = prefixes.join(lengths, "_n", "left_semi").withColumn("doc", F.left("file", F.col("_n"))).drop("_n")
     return own.join(documents.distinct(), "doc")
 
 
@@ -126,10 +153,10 @@ def through_cache(wanted: DataFrame, cache: DataFrame, compute: Callable[[DataFr
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests below root with their folder, without those below `latest`."""
+    """Manifests below root with their folder, without those in or below `latest`."""
     raw = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/manifest.json$", "")
-    return raw.withColumn("leaf", folder).where(~F.contains("leaf", F.lit("/latest/")))
+    return raw.withColumn("leaf", folder).where(~F.contains(F.concat("leaf", F.lit("/")), F.lit("/latest/")))
 
 
 def leaves(spark: SparkSession, root: str, payload: str = "predictions.json") -> DataFrame:

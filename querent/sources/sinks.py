@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.operators.reports import SUMMARY_COLUMNS
@@ -21,6 +21,56 @@ def save_predictions(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "dataset", "leaf").parquet(folder)
 
 
+def run_counts(n: int, questions: str) -> dict[str, int]:
+    """A manifest's counts by the sides that were asked: corrupted, clean or both."""
+    return {side: n for side in ("corrupted", "clean") if questions in ("both", side)}
+
+
+def save_run(spark: SparkSession, df: DataFrame, folder: str, run_id: str, dataset: str, leaf: str, manifest: dict, questions: str = "both") -> dict:
+    """Predictions of one condition and, beside them, its manifest with run, dataset, configuration, n and counts; returns the manifest."""
+    n = df.count()
+    whole = {**manifest, "run_id": run_id, "dataset": dataset, "config": leaf, "n": n, "questions": questions, "counts": run_counts(n, questions)}
+    at = f"{folder}/{run_id}/{dataset}/{leaf}"
+    df.write.mode("overwrite").json(f"{at}/predictions")
+    write_manifest(spark, f"{at}/manifest.json", whole)
+    return whole
+
+
+def save_corrupted(df: DataFrame, path: str) -> DataFrame:
+    """Corrupted questions as JSON rows, and their metadata beside them: a row (total_questions, corrupted_questions, entity_types)."""
+    from querent.operators.sft import corruption_metadata
+
+    df.write.mode("overwrite").json(f"{path}/corrupted_questions")
+    found = corruption_metadata(df)
+    found.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    return found
+
+
+def save_suite(suite: DataFrame, folder: str, model: str) -> list[str]:
+    """All metrics of metric_suite() as named files: <metric>.csv and <metric>_complexity_1 to _3 for those with buckets, one file
+    with all complexities for QUR and UR, and UR_PAGE divided into inpage and outpage. Small tables."""
+    from querent.operators.metrics import SUITE
+
+    out = []
+    cached = suite.persist()
+    level = lambda name: F.when(F.col("complexity") == 0, name).otherwise(F.concat(F.lit(f"{name}_C"), F.col("complexity").cast("string")))
+    try:
+        for metric, buckets in SUITE.items():
+            own = cached.where(F.col("metric") == metric)
+            parts = [(metric, metric, own)]
+            if metric == "UR_PAGE":
+                parts = [(f"UR_PAGE_{side}", f"UR_{side}", own.where(F.col("bucket") == flag)) for side, flag in (("inpage", "true"), ("outpage", "false"))]
+            elif buckets is not None:
+                out += save_metric_csv(own, folder, metric, model)
+                continue
+            for name, row, rows in parts:
+                rows.select(level(row).alias("index"), F.coalesce("value", F.lit(0.0)).alias(model)).orderBy("index").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+                out.append(f"{folder}/{name}")
+    finally:
+        cached.unpersist()
+    return out
+
+
 def save_metrics(df: DataFrame, folder: str) -> None:
     """One long table of all metrics, partitioned by metric."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric").parquet(folder)
@@ -48,14 +98,21 @@ def save_comparison(df: DataFrame, path: str) -> None:
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def latex(df: DataFrame, digits: int = 3) -> str:
-    """A small report table as LaTeX rows, numbers with fixed digits."""
-    cells = [F.format_string(f"%.{digits}f", c) if kind == "double" else F.col(c).cast("string") for c, kind in df.dtypes]
-    rows = df.select(F.concat_ws(" & ", *(F.coalesce(c, F.lit("")) for c in cells)).alias("r")).limit(10_000).collect()
+def latex(df: DataFrame, digits: int = 3, most: int = 10_000) -> str:
+    """A report table as LaTeX rows, numbers with fixed digits, in the order of df; one of more than `most` rows is refused."""
+    cells = [rounded(F.col(c), digits) if kind == "double" else F.col(c).cast("string") for c, kind in df.dtypes]
+    rows = df.select(F.concat_ws(" & ", *(F.coalesce(c, F.lit("")) for c in cells)).alias("r")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a LaTeX table of more than {most} rows")
     body = " \\\\\n".join(r["r"] for r in rows)
     return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{' & '.join(df.columns)} \\\\\n{body} \\\\\n\\end{{tabular}}"
 
 
+def rounded(value: Column, digits: int = 3) -> Column:
+    """A number as text with fixed digits, for display; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file in any store that Spark writes to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

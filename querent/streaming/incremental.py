@@ -24,33 +24,46 @@ def verified_until(source: DataFrame, verify: Callable[[DataFrame], DataFrame],
     count as processed even if nothing of them was verified. Batches after the target change nothing.
     """
     spark = source.sparkSession
-    folder = folder or f"{_shared(spark)}/exact-{uuid.uuid4().hex[:12]}"
-    kept, seen = f"{folder}/verified", f"{folder}/processed"
+    folder = folder or f"{shared_folder(spark)}/exact-{uuid.uuid4().hex[:12]}"
+    kept, seen, counts = f"{folder}/verified", f"{folder}/processed", f"{folder}/counts"
     empty = spark.createDataFrame([], source.schema)
     verify(empty).withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(kept)
     empty.select(key).withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(seen)
     kept_schema = verify(empty).withColumn("batch", F.lit(0).cast("long")).schema
     seen_schema = empty.select(key).withColumn("batch", F.lit(0).cast("long")).schema
+    numbers = "n long, batch long"
+    spark.createDataFrame([(0, -1)], numbers).write.mode("overwrite").partitionBy("batch").parquet(counts)
 
     def step(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.schema(kept_schema).parquet(kept).where(F.col("batch") < number)
-        if before.limit(target).count() >= target:
+        session = batch.sparkSession
+        # a row for each batch says how many were verified; the batches themselves aren't read again
+        so_far = session.read.schema(numbers).parquet(counts).where(F.col("batch") < number).agg(F.sum("n")).first()[0] or 0
+        if so_far >= target:
             return
-        done = batch.sparkSession.read.schema(seen_schema).parquet(seen).where(F.col("batch") < number).select(key)
+        done = session.read.schema(seen_schema).parquet(seen).where(F.col("batch") < number).select(key)
         fresh = batch.join(done, key, "left_anti").dropDuplicates([key])
-        verify(fresh).write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        at = f"{kept}/batch={number}"
+        verify(fresh).write.mode("overwrite").parquet(at)
         fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        session.read.parquet(at).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
     run = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(kept_schema).parquet(kept).orderBy("batch", key).limit(target).drop("batch")
 
 
-def _shared(spark) -> str:
-    import tempfile
-
+def shared_folder(spark) -> str:
+    """The shared folder of the session; a folder of this machine only where Spark runs on it alone."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return known.rstrip("/") if known else "file://" + tempfile.mkdtemp(prefix="querent-")
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    if not hasattr(spark.sparkContext, "_querent_folder"):
+        import tempfile
+
+        spark.sparkContext._querent_folder = "file://" + tempfile.mkdtemp(prefix="querent-")
+    return spark.sparkContext._querent_folder
 
 
 def only_new(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

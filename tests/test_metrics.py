@@ -121,7 +121,7 @@ def test_sft(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r")], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in sft.next_answers(turns).collect()] == [(1, 0, "q", "a")]
     kinds = spark.createDataFrame([("d", "clean"), ("d", "corrupted"), ("e", "clean")], "dataset string, kind string")
-    assert {r["dataset"]: tuple(r)[1:] for r in sft.recap(kinds).collect()} == {"d": (1, 1, 2), "e": (1, 0, 1), None: (2, 1, 3)}
+    assert {r["dataset"]: tuple(r)[1:4] for r in sft.recap(kinds).collect()} == {"d": (1, 1, 2), "e": (1, 0, 1), None: (2, 1, 3)}
     from pyspark.sql import functions as F
 
     one = spark.range(1).select(sft.truncated(F.array(*map(F.lit, [1, 2, 3])), F.array(*map(F.lit, [-100, -100, 3])), 2, 9).alias("t")).first()["t"]
