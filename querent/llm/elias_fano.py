@@ -71,6 +71,12 @@ class EliasFano:
         return out
 
 
+    def all(self) -> np.ndarray:
+        """All numbers, in one pass over the bits."""
+        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+        lows = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+        return ((place - np.arange(self.n)) << self.low_bits) | lows @ (1 << np.arange(self.low_bits, dtype=np.int64))
+
     def tobytes(self) -> bytes:
         return b"".join((struct.pack(PART, self.low_bits, len(self.high)), self.directory.tobytes(), self.high.tobytes(), self.low.tobytes()))
 
@@ -116,10 +122,10 @@ class File:
         self.payload = np.frombuffer(raw, dtype=f"<u{self.id_bytes}", count=self.total, offset=at)
 
     def doc_ids(self) -> np.ndarray:
-        return self.documents.get(np.arange(self.n)) + self.least
+        return self.documents.all() + self.least
 
     def ends(self) -> np.ndarray:
-        return self.boundaries.get(np.arange(self.n))
+        return self.boundaries.all()
 
     def ids(self, i: int) -> np.ndarray:
         first = int(self.boundaries.get(np.array([i - 1]))[0]) if i else 0
