@@ -43,9 +43,24 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.querent_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Within it tables of materialize() are noted, and deleted at its end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCOPES.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() gave; nothing that is still to be run may read them."""
     for t in tables:

@@ -128,7 +128,10 @@ def quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns, whatever their names.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; an empty table gives an empty one.
+    """
     import pyarrow as pa
 
     arrow_batches(docs.sparkSession)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import arrow_batches, materialize, new_path, small
+from querent.llm.common import arrow_batches, discard, materialize, new_path, small
 from querent.llm.components import components
 
 #: Bits of a segment; the embedding has 64 / SEGMENT coordinates of 0 to SEGMENT.
@@ -21,11 +21,13 @@ SEGMENT = 4
 DISTANCE = 2
 #: Fingerprints with more than one in so many of all rows count as hot; there can't be more than this.
 HOT_GROUPS = 10_000
-#: For links by similarity: words of a shingle, bins of a text's minima, and bins of a band. Two texts with
-#: similarity 0.8 share a band with probability 0.99.
-SIMILAR_WORDS, BINS, ROWS = 5, 60, 5
+#: For links by similarity: words of a shingle, and 64-bit numbers of a text's sketch.
+SIMILAR_WORDS, SKETCH = 5, 8
+#: Shingles that are frequent come last in the order by which texts are looked up. They are found in one of so many
+#: texts, where they occur in so many or more; of more than HOT_SHINGLES the most frequent.
+SAMPLED, HOT_AT, HOT_SHINGLES = 16, 4, 200_000
 #: Buckets of up to so many different texts are compared in all pairs of rows; fuller ones by blocks of about so many.
-PAIRED = 16
+PAIRED = 64
 BLOCK = 256
 
 
@@ -126,42 +128,33 @@ def shingle_set(text: str | None, width: int = SIMILAR_WORDS):
     return np.unique(np.fromiter((xxh64_intdigest(s, 7) for s in shingles), dtype=np.uint64))
 
 
-def bands(text: str | None, width: int = SIMILAR_WORDS) -> list[int]:
-    """Keys that similar texts share: the minima of a one-permutation hash of the shingles, ROWS at a time. An
-    empty bin takes the next full one's. Texts without words have none."""
+def sketch(hashes):
+    """SKETCH numbers with a bit for each of as many groups of hashes: whether it has an odd number of them. Two sets
+    differ in at least as many hashes as their sketches do in bits."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    hashes = shingle_set(text, width)
-    if not len(hashes):
-        return []
-    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(low, (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
-    full = np.flatnonzero(low != np.iinfo(np.uint64).max)
-    if len(full) < BINS:
-        place = np.searchsorted(full, np.arange(BINS))
-        source = np.append(full, full[0])[place]
-        away = (source - np.arange(BINS)) % BINS
-        low = low[source] ^ (away.astype(np.uint64) << np.uint64(58))
-    keys = [xxh64_intdigest(low[i : i + ROWS].tobytes(), i) for i in range(0, BINS, ROWS)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
-
-
-def with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """fingerprints() with the bands of each text, and `sid`, a hash of its set of shingles; null without words."""
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def with_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """fingerprints() with the set of shingles of each text: `sid`, a hash of it (null without words), `own` and `sketch`."""
     import pyarrow as pa
 
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-            sids = pa.array([set_id(shingle_set(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, sids, pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=[id_col, "fp", "sid", "bands"])
+            sets = [shingle_set(t) for t in texts]
+            columns = [
+                pa.array([fingerprint(t, width) for t in texts], pa.int64()), pa.array(map(set_id, sets), pa.int64()),
+                pa.array([sketch(x) for x in sets], longs), pa.array([x.view("<i8") for x in sets], longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, "fp", "sid", "sketch", "own"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sid long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sid long, sketch array<long>, own array<long>")
 
 
 def set_id(hashes) -> int | None:
@@ -174,51 +167,110 @@ def set_id(hashes) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Edges (a, b) of fingerprints whose components equal those of `near` and of all texts that share a band and
-    have at least this Jaccard similarity of SIMILAR_WORDS-word shingles.
+def frequent_shingles(fps: DataFrame):
+    """At most HOT_SHINGLES hashes, rising, that occur in HOT_AT or more of one in SAMPLED distinct sets."""
+    import numpy as np
 
-    fps: (id, fp, sid, bands) of every row. The nodes are distinct sets of shingles, whatever their fingerprints;
-    a set's first fingerprint stands for it, and its others are linked to that one. All pairs in buckets of up to
-    PAIRED sets are verified. In larger ones each set is verified with the first and the last, and then the sets
-    that are still apart are compared with all others, see _apart.
-    """
+    some = fps.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("sid", "own").dropDuplicates(["sid"])
+    often = some.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_AT)
+    return np.sort(often.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").toArrow().column("token").to_numpy())
+
+
+def prefix(hashes, hot, similarity: float):
+    """The first shingles of a set, frequent ones last, else by hash: two sets of the similarity share one of these."""
+    import numpy as np
+
+    n = len(hashes)
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    own = np.sort(hashes)
+    if len(hot):
+        last = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+        own = np.concatenate((own[~last], own[last]))
+    return own[:size]
+
+
+def _spread(fps: DataFrame, similarity: float) -> DataFrame:
+    """(token, sid, n, pos) of each set's prefix: the shingle, the set and its size, the shingle's place in its order.
+    A set may come several times."""
     import pyarrow as pa
 
-    texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(id_col).alias("least"), F.first("bands").alias("bands"))
-    texts = materialize(texts, "texts")
-    many_fps = texts.where("fp <> other").select("sid", F.col("fp").alias("a"))
-    same = fps.select("sid", F.col("fp").alias("b")).distinct().join(small(many_fps), "sid").select("a", "b").where("a <> b")
-    spread = texts.select("sid", "fp", F.explode("bands").alias("key"))
-    met = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("n > 1 and f <> g")
-    met = materialize(met.drop("f", "g"), "buckets")
-    own = materialize(spread.join(small(met), "key"), "spread")
-    few = own.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("sid")).alias("all"))
-    pairs = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    many = own.where(F.col("n") > PAIRED).select("sid", F.explode(F.array("first", "last")).alias("end")).where("sid <> end")
-    pairs = materialize(pairs.union(many.select(F.least("sid", "end"), F.greatest("sid", "end"))).distinct(), "pairs")
-    some = materialize(own.select("sid").distinct().join(texts.select("sid", F.col("least").alias("least_")), "sid").select("least_").distinct(), "candidates")
-    arrow_batches(docs.sparkSession)
+    shared = fps.sparkSession.sparkContext.broadcast(frequent_shingles(fps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            sets = [shingle_set(t) for t in texts]
-            columns = [pa.array(map(set_id, sets), pa.int64()), pa.array([fingerprint(t, width) for t in texts], pa.int64()), pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "fp", "own"])
+        import numpy as np
 
-    wanted = docs.select(id_col, text_col).join(small(some), F.col(id_col).eqNullSafe(F.col("least_")), "left_semi").select(text_col)
-    sets = materialize(wanted.mapInArrow(run, "sid long, fp long, own array<long>").where("sid is not null").dropDuplicates(["sid"]), "shingles")
-    left = sets.select(F.col("sid").alias("a"), F.col("fp").alias("fa"), F.col("own").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("fp").alias("fb"), F.col("own").alias("y"))
+        done: set[int] = set()
+        for b in batches:
+            lists = b.column(1)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            columns: list[list] = [[], [], [], []]
+            for i, sid in enumerate(b.column(0).to_pylist()):
+                if sid in done:
+                    continue
+                done.add(sid)
+                own = flat[ends[i] : ends[i + 1]]
+                tokens = prefix(own, shared.value, similarity)
+                for c, v in zip(columns, (tokens, np.full(len(tokens), sid), np.full(len(tokens), len(own)), np.arange(len(tokens)))):
+                    c.append(v)
+            arrays = [np.concatenate([*c, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in columns]
+            for at in range(0, len(arrays[0]), 1 << 17):
+                part = [pa.array(x[at : at + (1 << 17)]) for x in arrays]
+                yield pa.RecordBatch.from_arrays([part[0], part[1], part[2].cast(pa.int32()), part[3].cast(pa.int32())], names=["token", "sid", "n", "pos"])
+
+    return fps.where("sid is not null").select("sid", "own").mapInArrow(run, "token long, sid long, n int, pos int")
+
+
+def similar_links(fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of fingerprints whose components equal those of `near` and of all pairs of texts with at least this
+    Jaccard similarity of SIMILAR_WORDS-word shingles.
+
+    fps: (id, fp, sid, sketch, own) of every row. The nodes are distinct sets of shingles, whatever their fingerprints;
+    a set's first fingerprint stands for it, and its others are linked to that one. Shingles have an order, frequent
+    ones last. Two sets of the similarity share one of their first shingles, and where they first do enough has to be
+    left of both for the overlap they need; so no pair is missed, and few others are looked at. Of buckets of
+    up to PAIRED sets all such pairs are made; those that sizes and sketches don't rule out are verified on
+    whole sets. In larger ones each set is verified with the first and the last, and then the sets that are
+    still apart are compared with all others, see _apart.
+    """
+    texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("sketch").alias("sketch"), F.first(F.size("own")).alias("n"))
+    texts = materialize(texts, "texts")
+    many_fps = texts.where("fp <> other").select("sid", F.col("fp").alias("a"))
+    same = fps.select("sid", F.col("fp").alias("b")).distinct().join(small(many_fps), "sid").select("a", "b").where("a <> b")
+    share = similarity / (1 + similarity)
+    spread = materialize(_spread(fps, similarity), "spread")
+    met = spread.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("n").alias("least")).where("first <> last").select("token", "least")
+    reach = (F.col("n") - F.col("pos")) / F.lit(share) - F.col("n") + 1e-6  # sizes that a set can meet here
+    own = spread.join(met, "token").where(F.col("least") <= reach).select("token", "sid", "n", "pos").distinct()
+    own = materialize(own, "buckets")
+    discard(spread)
+    sizes = own.groupBy("token").agg(F.count("*").alias("members"), F.min("sid").alias("first"), F.max("sid").alias("last")).where("members > 1")
+    sizes = materialize(sizes, "sizes")
+    few = own.join(sizes.where(F.col("members") <= PAIRED).select("token"), "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("sid", "n", "pos"))).alias("all"))
+    enough = lambda a, b: F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= share * (a["n"] + b["n"]) - 1e-6
+    both = lambda a, i: F.transform(F.filter(F.slice("all", i + 2, PAIRED), lambda b: enough(a, b)), lambda b: F.struct(a["sid"].alias("a"), b["sid"].alias("b")))
+    pairs = few.select(F.explode(F.flatten(F.transform("all", both))).alias("p")).select("p.a", "p.b")
+    crowded = sizes.where(F.col("members") > PAIRED)
+    full = materialize(own.join(small(crowded), "token").select(F.col("token").alias("key"), "sid", "first", "last"), "full")
+    ends = full.select("sid", F.explode(F.array("first", "last")).alias("end")).where("sid <> end").select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b"))
+    pairs = materialize(pairs.union(ends).distinct(), "pairs")
+    discard(own, sizes)
+    meta = lambda side, f, n, x: texts.select(F.col("sid").alias(side), F.col("fp").alias(f), F.col("n").alias(n), F.col("sketch").alias(x))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    likely = pairs.join(meta("a", "fa", "na", "x"), "a").join(meta("b", "fb", "nb", "y"), "b").where("fa <> fb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6).where(differ <= most)
+    likely = materialize(likely.select("a", "b", "fa", "fb"), "likely")
+    discard(pairs)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("sid")).union(full.select("sid")).distinct()
+    sets = materialize(fps.select("sid", "fp", "own").join(small(materialize(wanted, "wanted")), "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").where("fa <> fb").select("fa", "fb", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    edges = near.union(same).union(both.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("fa", "fb"))
-    full = own.where(F.col("n") > PAIRED).select("key", "sid", "fp")
+    met_sets = likely.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
+    counted = met_sets.select("fa", "fb", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    edges = near.union(same).union(counted.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("fa", "fb"))
     if full.isEmpty():
         return edges
     roots = materialize(components(edges), "roots")
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_apart(full, sets, roots, similarity))
+    buckets = full.select("key", "sid").join(texts.select("sid", "fp"), "sid").select("key", "sid", "fp")
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_apart(buckets, sets, roots, similarity))
 
 
 def _apart(full: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -298,12 +350,12 @@ def near_duplicates(
     never the smallest unless its whole component has none. Repeated rows stay, ties go to the smallest id, an
     empty table gives an empty result, further columns of docs are ignored.
     """
-    prints = fingerprints(docs, id_col, text_col, width) if similarity is None else with_bands(docs, id_col, text_col, width)
+    prints = fingerprints(docs, id_col, text_col, width) if similarity is None else with_sets(docs, id_col, text_col, width)
     fps = materialize(prints, "fingerprints")
     unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "unique")
     edges = links(unique.select("fp"))
     if similarity is not None:
-        edges = similar_links(docs, fps, edges, similarity, id_col, text_col, width)
+        edges = similar_links(fps, edges, similarity)
     fps = fps.select(id_col, "fp")
     roots = components(edges)
     named = unique.join(roots, unique["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("named"))
@@ -324,7 +376,8 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """docs without those rows whose component has a smaller id; columns as they came.
 
-    Rows that share an id are one document and stay or go together; rows with a null id stay.
+    Rows that share an id are one document and stay or go together; rows with a null id stay. Null and blank texts
+    are near-duplicates of each other; an empty table gives an empty one; further columns may have any names.
     """
     found = near_duplicates(docs, id_col, text_col, width, similarity)
     gone = materialize(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "gone")

@@ -4,6 +4,9 @@ import zlib
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from querent.llm import mixing, quality_rules, queries, simhash
 from tests_llm_helpers import base_secrets, ids_of, keep_first_of_components
@@ -50,3 +53,51 @@ def test_stages(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[0] == "doc_id" and queries.ORACLE.get("pipeline") is None
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """documents with nulls in any column, empty and very long texts, repeated rows and columns whose names clash with the stages'."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    texts = [None, "", " \n", "one two", "wort " * 40_000, "password: hunter2hunter2 " * 3]
+    rows = [(1000 + i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(2000, texts[4], None, None, None), (None, texts[5], None, "s", None), (2001, None, None, None, None), (2001, None, None, None, None)]
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema)).unionByName(docs.where("doc_id < 5"))
+    for c in ("score", "kept", "fp", "sid", "topic", "tokens", "weight", "label_", "token"):
+        every = every.withColumn(c, F.lit(c))
+    return every.cache()
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stage_on_odd_rows(spark, odd, place):
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, odd, SF)
+    rows = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd.select("doc_id").collect()}
+    else:
+        assert out.columns == odd.columns and 0 < len(rows) <= odd.count()
+        assert all(r["topic"] == "topic" and r["token"] == "token" for r in rows)
+    if name == "quality_rules":
+        assert all(r["text"] and len(r["text"].split()) >= 50 for r in rows)
+    if name == "near_duplicates":
+        assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None and r["doc_id"] >= 1000) == [1000, 1003, 1004, 1005]
+    if name == "secrets":
+        assert len(rows) == odd.count() and sum(r["text"] is None and r["n_chars"] is None for r in rows) == 3 and not any("hunter2" in (r["text"] or "") for r in rows)
+    assert stage(spark, odd.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("place", range(1, 5))
+def test_stage_without_any_word(spark, odd, place):
+    """No text has a word: no stage fails, near-duplicates keep one, secrets and packing keep all."""
+    none = odd.where("doc_id in (1000, 1001, 1002, 2001)")
+    out = corpus_pipeline.STAGES[place][1](spark, none, SF).count()
+    assert out == {1: 1, 2: 5}.get(place, out) and (place != 4 or out >= 5)
+
+
+def test_run_leaves_only_its_last_input(spark, tmp_path, monkeypatch):
+    from querent.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["mixing"]
