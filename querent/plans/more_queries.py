@@ -344,7 +344,7 @@ def pivot_macros(t: Tables) -> DataFrame:
     return reports.pivoted(rows, ["complexity"], "bucket", list(MACRO_ENTITIES)).withColumnsRenamed({m: m.lower() for m in MACRO_ENTITIES})
 
 
-@query(f"""WITH {B.A}, {status_sql('x')} SELECT config AS folder, complexity AS row_, {', '.join(f"max(value) FILTER (WHERE dataset = '{p}') AS d{p[0]}" for p in R.PRIORITIES)} FROM x GROUP BY ALL""")
+@query(f"""WITH {B.A}, {status_sql('x')} SELECT config AS folder, CAST(complexity AS INT) AS row_, {', '.join(f"max(value) FILTER (WHERE dataset = '{p}') AS d{p[0]}" for p in R.PRIORITIES)} FROM x GROUP BY ALL""")
 def grouped_metric(t: Tables) -> DataFrame:
     rows = by_status(t).select(F.col("config").alias("folder"), F.col("complexity").alias("row_"), "dataset", "value")
     return reports.pivoted(rows, ["folder", "row_"], "dataset", list(R.PRIORITIES)).withColumnsRenamed({p: f"d{p[0]}" for p in R.PRIORITIES})
