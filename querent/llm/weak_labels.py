@@ -9,8 +9,9 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from querent.llm.common import arrow_batches
+from querent.llm.common import arrow_batches, discard, materialize
 from querent.llm.quality_rules import FEATURES, statistics
 
 #: Labellers on the statistics of quality_rules: statistic, and where it votes bad and where good (a test and
@@ -28,6 +29,8 @@ LABELLERS = (
 #: Buckets of the hashed scorer, a power of two, and the bound on the documents it is fitted on.
 BUCKETS = 1 << 18
 FIT_ROWS = 8_000
+#: Bound on the buckets of all those documents together; beyond it the last ones by the hash of their id don't count.
+FIT_VALUES = 8_000_000
 SEED = 11
 KEEP_AT = 0.5
 #: Words of which a Python worker remembers the weight.
@@ -190,11 +193,13 @@ def estimate_labels(docs: DataFrame, text_col: str = "text") -> Labels:
 
 
 def fit(docs: DataFrame, labels: Labels, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """The scorer, fitted on the posterior labels of at most `rows` documents, chosen by a hash of their id."""
+    """The scorer, fitted on the posterior labels of at most `rows` documents with at most FIT_VALUES buckets, chosen by a
+    hash of their id."""
     import pyarrow as pa
 
-    some = docs.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(F.lit(SEED), F.col(id_col)), id_col).limit(rows).distinct()
-    texts = docs.select(id_col, text_col).join(F.broadcast(some), id_col)
+    key = F.xxhash64(F.lit(SEED), F.col(id_col))
+    some = docs.where(F.col(id_col).isNotNull()).select(id_col, key.alias("order_")).orderBy("order_", id_col).limit(rows).distinct()
+    texts = docs.select(id_col, text_col).join(F.broadcast(some), id_col).select("order_", text_col)
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +210,18 @@ def fit(docs: DataFrame, labels: Labels, id_col: str = "doc_id", text_col: str =
             p = labels.posterior(votes(np.array([features_of(t) for t in texts])))
             both = [hashed(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
-                pa.array(p), pa.array([a.astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in both], pa.list_(pa.float32())),
-            ], names=["p", "at", "share"])
-
-    got = texts.mapInArrow(run, "p double, at array<int>, share array<float>").toArrow()
+                b.column(0), pa.array(p), pa.array([a.astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in both], pa.list_(pa.float32())),
+            ], names=["order_", "p", "at", "share"])
+
+    fitted = materialize(texts.mapInArrow(run, "order_ long, p double, at array<int>, share array<float>"), "fitted")
+    upto = F.sum(F.size("at")).over(W.partitionBy().orderBy("order_"))  # over at most `rows` narrow rows
+    last = fitted.select("order_", upto.alias("upto")).where(F.col("upto") <= FIT_VALUES).agg(F.max("order_")).first()[0]
+    got = fitted.where(F.col("order_") <= F.lit(last)).toArrow() if last is not None else fitted.limit(0).toArrow()
+    discard(fitted)
     target = got.column("p").to_numpy()
-    docs_ = [(np.array(a, dtype=np.int64), np.array(c, dtype=float)) for a, c in zip(got.column("at").to_pylist(), got.column("share").to_pylist())]
+    at, share = (got.column(c).combine_chunks() for c in ("at", "share"))
+    ends, where, value = at.offsets.to_numpy(), at.values.to_numpy().astype(np.int64), share.values.to_numpy().astype(float)
+    docs_ = [(where[i:j], value[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
     order = sorted(range(len(docs_)), key=lambda i: (target[i], docs_[i][0].tobytes()))  # the same, however rows arrive
     return fit_scorer([docs_[i] for i in order], target[order])
 

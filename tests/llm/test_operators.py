@@ -396,6 +396,43 @@ def test_em_recovers_accuracies():
     assert np.abs(labels.accuracies() - true).max() < 0.12
 
 
+def test_em_equals_plain_em_over_rows():
+    """The same estimates as by loops over all rows, one by one."""
+    rng = np.random.default_rng(2)
+    rows = [[int(x) for x in rng.choice([-1, 0, 1], 3, p=([0.6, 0.3, 0.1] if rng.random() < 0.3 else [0.1, 0.3, 0.6]))] for _ in range(200)]
+    patterns = sorted(set(map(tuple, rows)))
+    counts = np.array([rows.count(list(p)) for p in patterns], dtype=float)
+    found = weak_labels.estimate(np.array(patterns, dtype=np.int8), counts, rounds=7)
+    k = 3
+    belief = []
+    for r in rows:
+        b = [float(v < 0) + 1e-3 for v in r] + [float(min(r) >= 0) + 1e-3]
+        belief.append([x / sum(b) for x in b])
+    for _ in range(7):
+        table = [[[0.5 + sum(b[c] for r, b in zip(rows, belief) if r[j] == vote) for vote in (-1, 0, 1)] for c in range(k + 1)] for j in range(k)]
+        table = [[[x / sum(cell) for x in cell] for cell in one] for one in table]
+        shares = [(0.5 + sum(b[c] for b in belief)) / (len(rows) + 0.5 * (k + 1)) for c in range(k + 1)]
+        belief = []
+        for r in rows:
+            b = [shares[c] * np.prod([table[j][c][r[j] + 1] for j in range(k)]) for c in range(k + 1)]
+            belief.append([x / sum(b) for x in b])
+    assert np.allclose(found.shares, shares) and np.allclose(found.table, np.array(table))
+    assert np.allclose(found.posterior(np.array(rows, dtype=np.int8)), [b[-1] for b in belief])
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """Documents beyond the bound on buckets don't count; without any the scorer is neutral."""
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    labels = weak_labels.estimate_labels(docs)
+    whole = weak_labels.fit(docs, labels)
+    assert np.count_nonzero(whole[0]) > 0
+    monkeypatch.setattr(weak_labels, "FIT_VALUES", 40)
+    few = weak_labels.fit(docs, labels)
+    assert 0 < np.count_nonzero(few[0]) <= 40 < np.count_nonzero(whole[0])
+    monkeypatch.setattr(weak_labels, "FIT_VALUES", 0)
+    assert not np.count_nonzero(weak_labels.fit(docs, labels)[0])
+
+
 def test_weak_quality(spark, docs):
     folder = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
