@@ -22,7 +22,7 @@ DISTANCE = 2
 #: Fingerprints with more than one in so many of all rows count as hot; there can't be more than this.
 HOT_GROUPS = 10_000
 #: For links by similarity: words of a shingle, and 64-bit numbers of a text's sketch.
-SIMILAR_WORDS, SKETCH = 5, 8
+SIMILAR_WORDS, SKETCH = 5, 32
 #: Shingles that are frequent come last in the order by which texts are looked up. They are found in one of so many
 #: texts, where they occur in so many or more; of more than HOT_SHINGLES the most frequent.
 SAMPLED, HOT_AT, HOT_SHINGLES = 16, 4, 200_000
@@ -138,7 +138,8 @@ def sketch(hashes):
 
 
 def with_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """fingerprints() with the set of shingles of each text: `sid`, a hash of it (null without words), `own` and `sketch`."""
+    """fingerprints() with what is known of the set of shingles of each text: `sid`, a hash of it (null without words),
+    its size `n`, its `sketch`, and for one in SAMPLED sets, once a task, the set itself as `sample`."""
     import pyarrow as pa
 
     arrow_batches(docs.sparkSession)
@@ -146,15 +147,38 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+
+        def sample(sid: int | None, hashes):
+            if sid is None or sid % SAMPLED or sid in done:
+                return None
+            done.add(sid)
+            return hashes.view("<i8")
+
         for b in batches:
             texts = b.column(1).to_pylist()
+            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
             sets = [shingle_set(t) for t in texts]
+            sids = [set_id(x) for x in sets]
             columns = [
-                pa.array([fingerprint(t, width) for t in texts], pa.int64()), pa.array(map(set_id, sets), pa.int64()),
-                pa.array([sketch(x) for x in sets], longs), pa.array([x.view("<i8") for x in sets], longs)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, "fp", "sid", "sketch", "own"])
+                fps, pa.array(sids, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([sketch(x) for x in sets], longs),
+                pa.array([sample(i, x) for i, x in zip(sids, sets)], longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, "fp", "sid", "n", "sketch", "sample"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sid long, n int, sketch array<long>, sample array<long>")
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sid, own): the sets of shingles of the texts with these ids, sorted; a set may come several times."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))], names=["sid", "own"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sid long, sketch array<long>, own array<long>")
+    wanted = docs.select(id_col, text_col).join(small(ids), F.col(id_col).eqNullSafe(F.col("least_")), "left_semi").select(text_col)
+    return wanted.mapInArrow(run, "sid long, own array<long>").where("sid is not null")
 
 
 def set_id(hashes) -> int | None:
@@ -171,8 +195,8 @@ def frequent_shingles(fps: DataFrame):
     """At most HOT_SHINGLES hashes, rising, that occur in HOT_AT or more of one in SAMPLED distinct sets."""
     import numpy as np
 
-    some = fps.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("sid", "own").dropDuplicates(["sid"])
-    often = some.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_AT)
+    some = fps.where("sample is not null").select("sid", "sample").dropDuplicates(["sid"])
+    often = some.select(F.explode("sample").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_AT)
     return np.sort(often.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").toArrow().column("token").to_numpy())
 
 
@@ -189,55 +213,54 @@ def prefix(hashes, hot, similarity: float):
     return own[:size]
 
 
-def _spread(fps: DataFrame, similarity: float) -> DataFrame:
+def _spread(docs: DataFrame, hot, similarity: float, text_col: str) -> DataFrame:
     """(token, sid, n, pos) of each set's prefix: the shingle, the set and its size, the shingle's place in its order.
-    A set may come several times."""
+    A set comes once a task."""
     import pyarrow as pa
 
-    shared = fps.sparkSession.sparkContext.broadcast(frequent_shingles(fps))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        done: set[int] = set()
+        done: set[int | None] = {None}
         for b in batches:
-            lists = b.column(1)
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             columns: list[list] = [[], [], [], []]
-            for i, sid in enumerate(b.column(0).to_pylist()):
+            for text in b.column(0).to_pylist():
+                hashes = shingle_set(text)
+                sid = set_id(hashes)
                 if sid in done:
                     continue
                 done.add(sid)
-                own = flat[ends[i] : ends[i + 1]]
-                tokens = prefix(own, shared.value, similarity)
-                for c, v in zip(columns, (tokens, np.full(len(tokens), sid), np.full(len(tokens), len(own)), np.arange(len(tokens)))):
+                tokens = prefix(hashes.view("<i8"), shared.value, similarity)
+                for c, v in zip(columns, (tokens, np.full(len(tokens), sid), np.full(len(tokens), len(hashes)), np.arange(len(tokens)))):
                     c.append(v)
             arrays = [np.concatenate([*c, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in columns]
             for at in range(0, len(arrays[0]), 1 << 17):
                 part = [pa.array(x[at : at + (1 << 17)]) for x in arrays]
                 yield pa.RecordBatch.from_arrays([part[0], part[1], part[2].cast(pa.int32()), part[3].cast(pa.int32())], names=["token", "sid", "n", "pos"])
 
-    return fps.where("sid is not null").select("sid", "own").mapInArrow(run, "token long, sid long, n int, pos int")
+    return docs.select(text_col).mapInArrow(run, "token long, sid long, n int, pos int")
 
 
-def similar_links(fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) of fingerprints whose components equal those of `near` and of all pairs of texts with at least this
     Jaccard similarity of SIMILAR_WORDS-word shingles.
 
-    fps: (id, fp, sid, sketch, own) of every row. The nodes are distinct sets of shingles, whatever their fingerprints;
+    fps: with_sets() of docs. The nodes are distinct sets of shingles, whatever their fingerprints;
     a set's first fingerprint stands for it, and its others are linked to that one. Shingles have an order, frequent
     ones last. Two sets of the similarity share one of their first shingles, and where they first do enough has to be
     left of both for the overlap they need; so no pair is missed, and few others are looked at. Of buckets of
     up to PAIRED sets all such pairs are made; those that sizes and sketches don't rule out are verified on
-    whole sets. In larger ones each set is verified with the first and the last, and then the sets that are
+    whole sets, each set's likeliest pair first, and then those that aren't in one component yet. In larger ones each set is verified with the first and the last, and then the sets that are
     still apart are compared with all others, see _apart.
     """
-    texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("sketch").alias("sketch"), F.first(F.size("own")).alias("n"))
+    texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min(id_col).alias("least"))
     texts = materialize(texts, "texts")
     many_fps = texts.where("fp <> other").select("sid", F.col("fp").alias("a"))
     same = fps.select("sid", F.col("fp").alias("b")).distinct().join(small(many_fps), "sid").select("a", "b").where("a <> b")
     share = similarity / (1 + similarity)
-    spread = materialize(_spread(fps, similarity), "spread")
+    spread = materialize(_spread(docs, frequent_shingles(fps), similarity, text_col), "spread")
     met = spread.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("n").alias("least")).where("first <> last").select("token", "least")
     reach = (F.col("n") - F.col("pos")) / F.lit(share) - F.col("n") + 1e-6  # sizes that a set can meet here
     own = spread.join(met, "token").where(F.col("least") <= reach).select("token", "sid", "n", "pos").distinct()
@@ -258,14 +281,23 @@ def similar_links(fps: DataFrame, near: DataFrame, similarity: float) -> DataFra
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
     likely = pairs.join(meta("a", "fa", "na", "x"), "a").join(meta("b", "fb", "nb", "y"), "b").where("fa <> fb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6).where(differ <= most)
-    likely = materialize(likely.select("a", "b", "fa", "fb"), "likely")
+    near = materialize(near.union(same), "near")
+    likely = materialize(_between(likely.select("a", "b", "fa", "fb", differ.alias("differ")), near), "likely")
     discard(pairs)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("sid")).union(full.select("sid")).distinct()
-    sets = materialize(fps.select("sid", "fp", "own").join(small(materialize(wanted, "wanted")), "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
+    ids = materialize(wanted.join(texts.select("sid", F.col("least").alias("least_")), "sid").select("least_").distinct(), "wanted")
+    sets = materialize(whole_sets(docs, ids, id_col, text_col), "shingles")
     common = F.size(F.array_intersect("x", "y"))
-    met_sets = likely.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
-    counted = met_sets.select("fa", "fb", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    edges = near.union(same).union(counted.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("fa", "fb"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        met_sets = some.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
+        counted = met_sets.select(F.col("fa").alias("a"), F.col("fb").alias("b"), common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+        return counted.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
+
+    best = likely.select(F.explode(F.array("a", "b")).alias("sid"), "differ", "a", "b", "fa", "fb").groupBy("sid").agg(F.min(F.struct("differ", "a", "b", "fa", "fb")).alias("m")).select("m.*").drop("differ").distinct()
+    edges = materialize(near.union(verified(materialize(best, "best"))), "edges")
+    rest = materialize(_between(likely, edges), "rest")
+    edges = materialize(edges.union(verified(rest.select("a", "b", "fa", "fb"))), "edges")
     if full.isEmpty():
         return edges
     roots = materialize(components(edges), "roots")
@@ -273,6 +305,14 @@ def similar_links(fps: DataFrame, near: DataFrame, similarity: float) -> DataFra
     return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_apart(buckets, sets, roots, similarity))
 
 
+def _between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of pairs (…, fa, fb) whose fingerprints are in different components of the edges."""
+    roots = components(edges)
+    side = lambda f, r: roots.select(F.col("node").alias(f), F.col("root").alias(r))
+    met = pairs.join(side("fa", "ra"), "fa", "left").join(side("fb", "rb"), "fb", "left")
+    return met.where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb")).select(pairs.columns)
+
+
 def _apart(full: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the components of `roots`, from all pairs of sets in the buckets `full` (key, sid, fp).
 
@@ -355,7 +395,7 @@ def near_duplicates(
     unique = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "unique")
     edges = links(unique.select("fp"))
     if similarity is not None:
-        edges = similar_links(fps, edges, similarity)
+        edges = similar_links(docs, fps, edges, similarity, id_col, text_col)
     fps = fps.select(id_col, "fp")
     roots = components(edges)
     named = unique.join(roots, unique["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("named"))

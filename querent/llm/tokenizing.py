@@ -12,12 +12,12 @@ import gc
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import islice
+from collections import defaultdict
+from itertools import count, islice
 
 
 #: Pieces in one generation of the cache; two generations are kept, and used pieces move to the newer.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
@@ -40,25 +40,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others) if b != 0x0A}
 
 
-class _Numbers(dict):
-    """Numbers pieces as they come; those of the older generation take their ids along."""
-
-    def __init__(self, older: dict[str, int], older_ids: list[bytes]):
-        self.older, self.older_ids = older, older_ids
-        self.ids: list[bytes] = []
-        self.missing: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        at = self.older.get(piece)
-        if at is None:
-            self.missing.append(piece)
-            self.ids.append(b"")
-        else:
-            self.ids.append(self.older_ids[at])
-        self[piece] = number = len(self.ids) - 1
-        return number
-
-
 class Encoder:
     """encode_batch(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -82,7 +63,9 @@ class Encoder:
         self.lower_case = not leading_space and self._whole("ABCÉ") == self._whole("abcé")
         letters = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and (not self.lower_case or c.lower() == c))
         self.usual = re.compile(f"[{letters}]+").fullmatch
-        self.known = _Numbers({}, [])
+        self._restart({}, [])
+        self.older: dict[str, int] = {}
+        self.older_ids: list[bytes] = []
         self.signs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> list[int]:
@@ -100,74 +83,93 @@ class Encoder:
             if collects:
                 gc.enable()
 
+    def _restart(self, known: dict[str, int], ids: list[bytes]) -> None:
+        """known numbers pieces as they are looked up; ids has the ids of each number."""
+        self.known: defaultdict[str, int] = defaultdict(count(len(ids)).__next__, known)
+        self.ids = ids
+
     def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.cache_pieces:
-            self.known = _Numbers(dict(self.known), self.known.ids)
-        known = self.known
+            self.older, self.older_ids = dict(self.known), self.ids
+            self._restart({}, [])
+        known, ids, older, older_ids = self.known, self.ids, self.older, self.older_ids
+        before = len(known)
         numbers = [list(map(known.__getitem__, self._pieces(t or ""))) for t in texts]
-        missing, known.missing = known.missing, []
-        if missing:
-            for p, ids in self._encode_pieces(missing):
-                known.ids[known[p]] = ids
-            known.missing.clear()
-        out = [b"".join(map(known.ids.__getitem__, n)) for n in numbers]
-        for p in missing:
+        new = list(islice(reversed(known), len(known) - before))  # the last ones that were numbered
+        new.reverse()
+        if new:
+            olds = list(map(older.get, new))
+            fresh = self._encode_pieces([p for p, k in zip(new, olds) if k is None] if older else new)
+            ids += [fresh[p] if k is None else older_ids[k] for p, k in zip(new, olds)]
+            for w in fresh.keys() - known.keys():
+                known[w]  # numbers it
+                ids.append(fresh[w])
+        out = [b"".join(map(ids.__getitem__, n)) for n in numbers]
+        for p in new:
             if len(p) > CACHE_LENGTH:
-                known.ids[known.pop(p)] = b""
+                ids[known.pop(p)] = b""
         return out
 
-    def forget(self, keep: int = 100_000) -> None:
+    def forget(self, keep: int = 250_000) -> None:
         """Frees memory between tasks; pieces that came first are the frequent ones and stay."""
-        keep = min(keep, self.cache_pieces // 2)
-        known = _Numbers({}, [])
-        known.ids = self.known.ids[:keep]
-        known.update((p, n) for p, n in islice(self.known.items(), keep) if n < keep)
-        self.known = known if len(known) == len(known.ids) else _Numbers({}, [])
+        ids = self.ids[: min(keep, self.cache_pieces // 2)]
+        self._restart({p: n for p, n in islice(self.known.items(), len(ids)) if n < len(ids)}, ids)
+        self.older, self.older_ids = {}, []
         with contextlib.suppress(OSError, AttributeError):  # what was freed goes back to the system where it can
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(piece, ids) of each. Pieces of plain letters, maybe with signs after them, are divided as the tokenizer
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece. Pieces of plain letters, maybe with signs after them, are divided as the tokenizer
         divides them: the words of many pieces go to its model in one text, with a mark after each, and signs follow
-        their word's ids. Words that only stood with signs so far are given as well, ahead of what needs them."""
+        their word's ids. Words that only stood with signs so far are given as well."""
         import numpy as np
 
         space = " " if self.leading_space else ""
-        plain, signed = [], []
+        known, ids, older, older_ids = self.known, self.ids, self.older, self.older_ids
+        done = len(ids)  # pieces with this number or a larger one have no ids yet
+        out: dict[str, bytes] = {}
+        words, signed, rest = [], [], pieces
         if self.mark is not None:
-            usual, known = self.usual, self.known
-            plain = [p for p in pieces if p.isalpha() and usual(p)]
-            signed = [(p, *m.groups()) for p in pieces if len(p) <= CACHE_LENGTH and not p.isalpha() and (m := _LETTERS_SIGNS(p)) and usual(m[1])]
-            done = {*plain, *(p for p, _, _ in signed)}
-            plain += {w for _, w, _ in signed if w not in known and w not in known.older}.difference(plain)
-            rest = [p for p in pieces if p not in done] if len(done) < len(pieces) else []
-        else:
-            rest = pieces
-        words = plain
-        if plain:
+            rest, mixed = [], not self.lower_case
+            usual = lambda w: w.isascii() and (mixed or w.islower()) or self.usual(w)
+            for p in pieces:
+                if p.isalpha():
+                    (words if usual(p) else rest).append(p)
+                elif len(p) <= CACHE_LENGTH and (m := _LETTERS_SIGNS(p)) and usual(m[1]):
+                    signed.append((p, m[1], m[2]))
+                else:
+                    rest.append(p)
+            if signed:
+                words += {w for _, w, _ in signed}.difference(words, known, older)
+        if words:
             # ASCII stands for itself in the vocabulary, but for the space and the mark
             between, texts = "\n\0\n".translate(self.letters) + space.translate(self.letters), []
             for i in range(0, len(words), 1000):
                 some = words[i : i + 1000]
                 text = between.join(some)
-                if not "".join(some).isascii():
+                if not text.isascii() and not "".join(some).isascii():
                     text = between.join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some])
                 texts.append(between[3:] + text + between[:2])
-            ids = np.concatenate([np.frombuffer(array("I", e.ids), dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = 4 * np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            yield from zip(plain, [raw[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())])
+            found = np.concatenate([np.frombuffer(array("I", e.ids), dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = 4 * np.flatnonzero(found == self.mark)
+            raw = found.tobytes()
+            out.update(zip(words, [raw[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]))
         if signed:
-            ids, numbers = self.known.ids, self.known
-            for p, word, signs in signed:
-                if signs not in self.signs:
-                    self.signs[signs] = array("I", self._whole(signs)).tobytes()
-                yield p, ids[numbers[word]] + self.signs[signs]
             if len(self.signs) > self.cache_pieces // 10:
                 self.signs.clear()
+            for signs in {x for _, _, x in signed}.difference(self.signs):
+                self.signs[signs] = array("I", self._whole(signs)).tobytes()
+            signs_ids = self.signs
+            for p, w, x in signed:
+                own = out.get(w)
+                if own is None:
+                    k = known.get(w, done)
+                    own = ids[k] if k < done else older_ids[older[w]]
+                out[p] = own + signs_ids[x]
         if rest:
-            for p, e in zip(rest, self.tokenizer.encode_batch_fast([self._text(p) for p in rest], add_special_tokens=False)):
-                yield p, array("I", e.ids).tobytes()
+            encoded = self.tokenizer.encode_batch_fast([self._text(p) for p in rest], add_special_tokens=False)
+            out.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, encoded))
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         """The text in pieces that are encoded apart; a piece stands for _text(piece)."""
