@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import licenses, quotes
+from querent.llm import block_norms, delta_lloyd, licenses, quotes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +85,32 @@ def op8_elias_fano_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.delta_lloyd import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.block_norms import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op13_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quotation_linking, op2_license_scan, op3_quality_rules, op4_chroma_fingerprints, op5_weak_label_quality,
         op6_vector_packing, op7_mixing, op8_elias_fano_token_ids, op9_secret_scan, op10_simhash_near_dedup,
+        op11_delta_lloyd_codes, op12_block_norm_clusters, op13_pu_toxicity,
     )
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op1_quotation_linking": quotes.sql(mails=True), "op2_license_scan": licenses.sql()}
+ORACLE: dict[str, str] = {"op1_quotation_linking": quotes.sql(mails=True), "op2_license_scan": licenses.sql(), "op11_delta_lloyd_codes": delta_lloyd.sql(), "op12_block_norm_clusters": block_norms.sql()}
