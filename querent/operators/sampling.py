@@ -23,26 +23,45 @@ def shuffled(id_col: str, seed: int = SEED) -> Column:
 
 
 def sample_range(df: DataFrame, id_col: str, n: int, offset: int = 0, seed: int = SEED) -> DataFrame:
-    """Rows offset to offset + n of the shuffled table (fewer at its end), in no order; rows of one id stay together.
+    """Rows offset to offset + n of the shuffled table (fewer at its end), in no order. Rows of one id are in the order of
+    a hash of all their columns; only of rows that are equal in all of them does it not matter which is taken.
 
-    Few rows are a top-k. For more, the hashes at which the sample begins and ends are found from counts by their
+    Few rows are a top-k. For more, the places at which the sample begins and ends are found from counts by their
     first digits, and the rows between them are filtered, so that they are neither sorted nor meet in one task.
+    Both ways give the same rows: the place is the id's hash, then the row's, and of equal rows at a place where the
+    sample begins or ends as many are taken as belong to it.
     """
-    key = shuffled(id_col, seed)
+    key = place_of(df, id_col, seed)
     if offset + n <= TOP:
-        return df.orderBy(key, id_col).offset(offset).limit(n)
-    hashes = df.select(key.alias("h"))
-    low, high = cut(hashes, offset), cut(hashes, offset + n)
+        return df.orderBy(key).offset(offset).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    places = df.select(key.alias("h"))
+    low, high = cut(places, offset), cut(places, offset + n)
     if low is None:
         return df.limit(0)
-    return df.where((key >= low) & (key < high) if high is not None else key >= low)
+    before_low, before_high = low[1], high[1] if high else 0
+    if high is not None and high[0] == low[0]:
+        return df.where(key == low[0]).limit(n)
+    inside = df.where((key > low[0]) & (key < high[0]) if high else key > low[0])
+    first = df.where(key == low[0])
+    if before_low:  # of equal rows, those that aren't before the sample
+        first = first.limit(first.count() - before_low)
+    last = df.where(key == high[0]).limit(before_high) if high and before_high else None
+    return inside.unionByName(first) if last is None else inside.unionByName(first).unionByName(last)
+
+
+def place_of(df: DataFrame, id_col: str, seed: int = SEED) -> Column:
+    """A row's place in the shuffled table: its id's hash, then a hash of all its columns."""
+    return F.concat(shuffled(id_col, seed), F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
 
 
-def cut(hashes: DataFrame, rank: int) -> str | None:
-    """The hash (column h) that stands at a rank, from 0, in rising order; None beyond the end."""
+def cut(places: DataFrame, rank: int) -> tuple[str, int] | None:
+    """The place (column h, of 64 digits) that stands at a rank, from 0, in rising order, and how many of the rows with
+    just this place are before the rank; None beyond the end."""
     begun, left = "", rank
     while True:
-        now = hashes.where(F.startswith("h", F.lit(begun)))
+        now = places.where(F.startswith("h", F.lit(begun)))
         counts = sorted(tuple(r) for r in now.groupBy(F.left("h", F.lit(len(begun) + DIGITS))).agg(F.count("*").alias("n")).collect())
         for prefix, n in counts:
             if left < n:
@@ -51,10 +70,11 @@ def cut(hashes: DataFrame, rank: int) -> str | None:
             left -= n
         else:
             return None
-        if n <= TOP:
-            return hashes.where(F.startswith("h", F.lit(begun))).orderBy("h").offset(left).limit(1).first()["h"]
-        if len(begun) >= 32:
-            return begun
+        if n <= TOP or len(begun) >= 64:
+            for place, same in sorted(tuple(r) for r in places.where(F.startswith("h", F.lit(begun))).groupBy("h").agg(F.count("*").alias("n")).collect()):
+                if left < same:
+                    return place, left
+                left -= same
 
 
 def sample_percent(df: DataFrame, id_col: str, percent: float, seed: int = SEED, shuffle: bool = False) -> DataFrame:

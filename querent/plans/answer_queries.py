@@ -65,6 +65,69 @@ def chunk_text(t: Tables) -> DataFrame:
     return own.select("doc_id", F.size("c").cast("long").alias("n_chunks"), total(lambda n: n).alias("total"), total(lambda n: n * n).alias("squares"))
 
 
+#: What is learnt from all texts about words, in SQL: counts of words, abbreviations, starters, collocations.
+BARE = r"""lower(regexp_replace(regexp_replace({0}, '^["''(\[]+', ''), '["'')\],;:]+$', ''))"""
+LOGS = "(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+def met_by_chance(both: str, first: str, second: str, n: str) -> str:
+    """SQL: twice the log-likelihood ratio of things being met together."""
+    logs = lambda k, m, p: LOGS.format(k=f"({k})", n=f"({m})", p=f"(CAST({p} AS DOUBLE))")
+    p, p1, p2, rest, others = f"{second} / {n}", f"{both} / {first}", f"({second} - {both}) / ({n} - {first})", f"{second} - {both}", f"{n} - {first}"
+    return f"2 * ({logs(both, first, p1)} + {logs(rest, others, p2)} - {logs(both, first, p)} - {logs(rest, others, p)})"
+
+
+WORDS_SQL = rf"""w AS (SELECT list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+  t0 AS (SELECT ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS before FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+  t AS MATERIALIZED (SELECT token, before, regexp_replace({BARE.format('token')}, '\.$', '') AS word, ends_with({BARE.format('token')}, '.') AS dot, regexp_replace(token, '^["''(\[]+', '') AS b FROM t0),
+  n AS MATERIALIZED (SELECT word, count(*) FILTER (dot) AS dotted, count(*) FILTER (NOT dot) AS plain, count(*) FILTER (regexp_matches(b, '^\p{{Ll}}')) AS small,
+    count(*) FILTER (regexp_matches(b, '^\p{{Lu}}') AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?:]["'')\]]*$')) AS inside FROM t GROUP BY word),
+  total AS (SELECT sum(dotted + plain)::DOUBLE AS n, sum(dotted)::DOUBLE AS k FROM n),
+  a AS MATERIALIZED (SELECT word, dotted, plain, 2 * ({LOGS.format(k='dotted', n='(dotted + plain)', p='0.99')} - {LOGS.format(k='dotted', n='(dotted + plain)', p='least(total.k / total.n, 0.99)')})
+      * exp(-l) * (length(word) - l + 1) * exp(-plain * ln(l::DOUBLE)) AS score
+    FROM (SELECT *, length(replace(word, '.', '')) AS l FROM n WHERE dotted > 0 AND regexp_matches(word, '^\p{{L}}+(\.\p{{L}}+)*$')), total)"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT word, dotted, plain, round(score, 6) AS score FROM a WHERE score >= 0.3")
+def abbreviations(t: Tables) -> DataFrame:
+    from querent.operators import sentences
+
+    found = sentences.abbreviations(sentences.written(sentences.word_counts(t.documents), "words"))
+    return found.select("word", "dotted", "plain", F.round("score", 6).alias("score"))
+
+
+@query(rf"""WITH {WORDS_SQL},
+  stops AS MATERIALIZED (SELECT word, CASE WHEN length(word) = 1 THEN 'initial' ELSE 'abbreviation' END AS kind FROM (
+    SELECT word FROM n WHERE dotted > 0 AND regexp_matches(word, '^\p{{L}}$') UNION SELECT word FROM a WHERE score >= 0.3)),
+  x AS MATERIALIZED (SELECT regexp_replace(f, '\.$', '') AS first, ends_with(f, '.') AS dot, word, count(*) AS n FROM (
+    SELECT {BARE.format('before')} AS f, word FROM t WHERE regexp_matches(before, '[.!?]["'')\]]*$')) GROUP BY ALL),
+  y AS MATERIALIZED (SELECT x.*, kind FROM x LEFT JOIN stops ON stops.word = x.first),
+  sure AS (SELECT word, sum(n)::DOUBLE AS met FROM y WHERE NOT dot OR (kind IS NULL AND NOT regexp_matches(first, '^[0-9]+$')) GROUP BY word),
+  breaks AS (SELECT sum(met) AS breaks FROM sure),
+  starters AS MATERIALIZED (SELECT word FROM (SELECT word, met, breaks, (dotted + plain)::DOUBLE AS a, total.n AS n FROM sure JOIN n USING (word), total, breaks
+    WHERE regexp_matches(word, '^\p{{L}}+(\.\p{{L}}+)*$') AND met / breaks > a / total.n) WHERE {met_by_chance('met', 'breaks', 'a', 'n')} >= 30),
+  near AS (SELECT y.first, y.word, sum(y.n)::DOUBLE AS met FROM y WHERE dot AND (kind IS NOT NULL OR regexp_matches(first, '^[0-9]+$')) GROUP BY ALL HAVING sum(y.n) > 1),
+  collocations AS MATERIALIZED (SELECT first, word FROM (SELECT near.first, near.word, met, f.dotted::DOUBLE AS fs, (s.dotted + s.plain)::DOUBLE AS a, total.n AS n
+    FROM near JOIN n f ON f.word = near.first JOIN n s ON s.word = near.word, total WHERE near.word NOT IN (SELECT word FROM starters) AND met / fs > a / total.n)
+    WHERE {met_by_chance('met', 'fs', 'a', 'n')} >= 7.88),
+  p AS MATERIALIZED (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*\s+)(["''(\[]?[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
+  q AS (SELECT doc_id, i, len(list_filter(string_split_regex(ps[i], '[ \t\n\r\f]+'), lambda x: x <> '')) AS words, CASE WHEN i > 1 THEN {BARE.format(r"regexp_extract(ps[i - 1], '(\S+)\s*$', 1)")} END AS l,
+    regexp_extract(ps[i], '^(\S+)', 1) AS nx FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+  r AS (SELECT doc_id, i, words, nx, CASE WHEN ends_with(l, '.') THEN regexp_replace(l, '\.$', '') END AS f, regexp_replace({BARE.format('nx')}, '\.$', '') AS s FROM q),
+  j AS (SELECT r.doc_id, r.i, r.words, CASE WHEN r.i = 1 THEN 0 WHEN c.first IS NOT NULL THEN 0 WHEN k.kind IS NULL THEN 1 WHEN st.word IS NOT NULL THEN 1
+      WHEN k.kind = 'abbreviation' AND m.small > 0 AND m.inside = 0 AND regexp_matches(regexp_replace(r.nx, '^["''(\[]+', ''), '^\p{{Lu}}') THEN 1 ELSE 0 END AS ok
+    FROM r LEFT JOIN stops k ON k.word = r.f LEFT JOIN starters st ON st.word = r.s LEFT JOIN collocations c ON c.first = r.f AND c.word = r.s LEFT JOIN n m ON m.word = r.s),
+  o AS (SELECT doc_id, words, sum(ok) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM j)
+  SELECT doc_id, count(*) AS n_sentences, CAST(sum(words * words) AS BIGINT) AS squares FROM (SELECT doc_id, sentence, sum(words) AS words FROM o GROUP BY ALL) GROUP BY doc_id""")
+def sentence_boundaries(t: Tables) -> DataFrame:
+    """Sentences of all texts by a model that all texts gave, and the sum of their squared numbers of words."""
+    from querent.operators import sentences
+
+    cut = sentences.split(t.documents.where("text is not null").select("doc_id", "text"), sentences.learn(t.documents))
+    words = F.transform("sentences", lambda s: F.size(F.filter(F.split(s, sentences.BLANK, -1), lambda w: w != "")).cast("long"))
+    return cut.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.aggregate(words, F.lit(0).cast("long"), lambda a, n: a + n * n).alias("squares"))
+
+
 def paged(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
     return lines.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: x["p"].cast("string")).alias("pages"))

@@ -24,25 +24,25 @@ L = """l AS (SELECT o.qid, o.ord, o.part, p_name AS text, p_type AS label, p_bra
   FROM (SELECT l_orderkey AS qid, l_linenumber AS ord, min(l_partkey) AS part FROM lineitem GROUP BY ALL) o JOIN part ON p_partkey = o.part)"""
 
 
-def grams(text: str, n: int = 5) -> F.Column:
-    """The distinct runs of n words of a text."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+# of each benchmark text the whole, and its first one to four words joined by underscores
+SHORT = "array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')[1:item_id % 4 + 1], '_')"
 
-    def runs(w: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.array_distinct(F.transform(F.array(words), runs)[0])  # a let: the words are worked out once
-
-
-# the first five words of an answer are its page; a document's pages are its own runs of five words
-@query("""SELECT doc_id AS qid, item_id, md5(d.text) AS digest FROM documents d, benchmark b
-  WHERE contains(lower(regexp_replace(coalesce(d.text, ''), '[\\s_]+', '', 'g')), lower(regexp_replace(b.text, '[\\s_]+', '', 'g')))""")
+@query(f"""WITH a AS (SELECT item_id, 0 AS words, text AS answer FROM benchmark UNION ALL SELECT item_id, CAST(item_id % 4 + 1 AS INT), {SHORT} FROM benchmark),
+  f AS (SELECT item_id, words, lower(regexp_replace(answer, '[\\s_]+', '', 'g')) AS form FROM a WHERE answer IS NOT NULL),
+  d AS (SELECT doc_id, md5(text) AS digest, lower(regexp_replace(text, '[\\s_]+', '', 'g')) AS form FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id AS qid, item_id, words, digest FROM d JOIN f ON f.form <> '' AND contains(d.form, f.form)""")
 def answer_locations(t: Tables) -> DataFrame:
-    answers = t.benchmark.select(F.get(grams("text"), F.lit(0)).alias("page"), "item_id", F.col("text").alias("answer"))
-    own = t.documents.select("doc_id", F.explode(grams("text")).alias("page"))
-    pages = own.join(answers.select("page").distinct(), "page", "left_semi")
-    objects = pages.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "qid")
-    return C.answer_locations(objects, answers).select("qid", "item_id", F.md5("text").alias("digest"))
+    """Whole benchmark texts and their first one to four words in all documents."""
+    from querent.operators.answers import answers_in_texts, key_of
+
+    words = F.filter(F.split("text", "[ \\t\\n\\r\\f]+", -1), lambda w: w != "")
+    short = F.array_join(F.slice(words, F.lit(1), F.col("item_id") % 4 + 1), "_")
+    answers = t.benchmark.select("item_id", F.lit(0).alias("words"), F.col("text").alias("answer")).unionByName(t.benchmark.select("item_id", (F.col("item_id") % 4 + 1).cast("int").alias("words"), short.alias("answer")))
+    found = answers_in_texts(t.documents, answers).drop("places")
+    docs = t.documents.select(F.col("doc_id").alias("qid"), key_of(F.col("text")).alias("text_key"), F.md5("text").alias("digest"))
+    own = answers.select("item_id", "words", key_of(F.col("answer")).alias("answer_key"))
+    return found.join(docs, "text_key").join(own, "answer_key").select("qid", "item_id", "words", "digest")
 
 
 STEM = "regexp_extract(url, 'https?://([^./]+)', 1)"

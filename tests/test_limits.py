@@ -53,6 +53,18 @@ def test_sample_by_the_cut_equals_the_sort(spark, monkeypatch):
     assert sum(sampling.shard(df, "qid", i, 3).count() for i in range(3)) == 3000
 
 
+def test_samples_of_repeated_ids_do_not_depend_on_their_size(spark, monkeypatch):
+    rows = [(i % 4, f"t{i % 29}", None if i % 3 else i % 7) for i in range(120)] + [(None, "x", 1)] * 5
+    df = spark.createDataFrame(rows, "qid long, text string, n int").repartition(3)
+    key = lambda r: (str(r["qid"]), r["text"], str(r["n"]))
+    few = {(n, offset): sorted(map(key, sampling.sample_range(df, "qid", n, offset).collect())) for n, offset in ((15, 0), (40, 0), (30, 25), (60, 110), (3, 124), (5, 200), (0, 3), (1, 40))}
+    monkeypatch.setattr(sampling, "TOP", 2)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    for (n, offset), want in few.items():
+        assert len(want) == max(0, min(n, 125 - offset))
+        assert sorted(map(key, sampling.sample_range(df, "qid", n, offset).collect())) == want
+
+
 def jaccard(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0.0
 
