@@ -25,10 +25,11 @@ MOST_ERRORS = 0.15
 QUERY_EVERY = 20
 #: Codes of a block of recordings that are looked for, and of a block of those they are looked for in.
 QUERY_CODES, BLOCK_CODES = 1 << 17, 1 << 19
-#: Two codes vote for their offset if they are equal but for one of so many groups of bits, every so-manieth bit.
-GROUPS = 4
-#: Votes that are held at once.
-VOTES = 1 << 21
+#: Two codes vote for their offset if at most so many bits differ. Errors can't be above their average everywhere, so
+#: wherever two recordings align at least one integer votes.
+NEAR = int(32 * MOST_ERRORS)
+#: Pairs of codes that are compared at once, and how many of them cost as much as two recordings at one offset.
+VOTES, WORTH = 1 << 21, 4
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -105,17 +106,16 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
     """One row per recording: id, class_id, n_codes, is_query, n_links, best_class, best_offset, best_errors.
 
     Recordings with equal codes form a class, named by its smallest id. Every class that has an id divisible
-    by QUERY_EVERY is looked for among all others. Two codes that are equal but for one of GROUPS groups of bits
-    vote for the offset at which they meet; every offset with a vote and LEAST_OVERLAP integers is verified by
-    the share of differing bits over the whole overlap. n_links counts the classes that align, best_ is the one
+    by QUERY_EVERY is looked for among all others. Two codes of which at most NEAR bits differ vote for the
+    offset at which they meet; every offset with a vote and LEAST_OVERLAP integers is verified by the share of
+    differing bits over the whole overlap. n_links counts the classes that align, best_ is the one
     with the fewest errors (then the smallest class, then offset); offset is the other's position less the
     query's. Both are null for classes without query or link. Copies are never paired with each other, so their
     number doesn't matter.
 
-    All classes are indexed, in blocks, and the query classes are looked up in each block; a query whose codes
-    are so frequent there that it has more votes than there are offsets to compare is compared at all of them,
-    without votes. An alignment is only missed if none of its integers votes: with evenly spread errors the
-    chance is below 0.01 at 10 % of the bits and 32 integers, 0.03 at 15 % and 52, 0.35 at 15 % and 16, the limits.
+    All classes are indexed, in blocks, and the query classes are looked up in each block. No alignment is missed: a
+    share of at most MOST_ERRORS over the overlap means that at least one of its integers has at most NEAR wrong
+    bits, so one of its halves has at most NEAR // 2, and all halves within that distance are looked up.
 
     Null or empty codes are a class that aligns with nothing; ids keep their type, of which those that are no
     whole numbers are no queries and null is never the smallest; repeated rows stay; an empty table gives an
@@ -158,8 +158,10 @@ class Recordings:
         self.place = np.arange(len(self.flat)) - np.repeat(self.start, self.size)
 
 
-def _masks() -> list[np.uint32]:
-    return [np.uint32(sum(1 << b for b in range(32) if b % GROUPS != g)) for g in range(GROUPS)]
+def _masks() -> np.ndarray:
+    """All numbers of 16 bits with at most NEAR // 2 ones."""
+    every = np.arange(1 << 16, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= NEAR // 2]
 
 
 def _compare(table):
@@ -175,32 +177,39 @@ def _compare(table):
 
 
 def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, errors, offset) of the pairs that align, by place in q and r, each pair at its best offset."""
+    """(query, other, errors, offset) of the pairs that align, by place in q and r, each pair at its best offset.
+
+    Queries with more pairs of codes to compare than it takes to try all offsets are compared at all offsets, which gives
+    the same pairs.
+    """
     out: list[tuple[np.ndarray, ...]] = []
-    index = []
-    for mask in _masks():
-        keys = r.flat & mask
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        low, high = (np.searchsorted(sorted_keys, q.flat & mask, side=s) for s in ("left", "right"))
-        index.append((order, low, high - low))
-    votes = np.bincount(q.owner, weights=sum(n for _, _, n in index), minlength=len(q.codes))
-    offsets = len(r.flat) + len(r.codes) * q.size
-    crowded = votes > offsets
+    masks = _masks()
+    index, votes = [], np.zeros(len(q.flat), dtype=np.int64)
+    for shift in (0, 16):
+        half = (r.flat >> np.uint32(shift)) & np.uint32(0xFFFF)
+        ends = np.concatenate([[0], np.bincount(half, minlength=1 << 16).cumsum()])
+        mine = (q.flat >> np.uint32(shift)) & np.uint32(0xFFFF)
+        values, which = np.unique(mine, return_inverse=True)
+        size = np.zeros(len(values), dtype=np.int64)
+        for mask in masks:
+            size += ends[(values ^ mask) + 1] - ends[values ^ mask]
+        votes += size[which]
+        index.append((np.argsort(half, kind="stable"), ends, mine))
+    by_query = np.bincount(q.owner, weights=votes, minlength=len(q.codes))
+    crowded = by_query > WORTH * (len(r.flat) + len(r.codes) * q.size)
     for i in np.flatnonzero(crowded):
         out.append(_everywhere(int(i), q, r))
-    at = np.flatnonzero(~crowded)
-    for some in np.split(at, np.flatnonzero(np.diff(votes[at].cumsum() // VOTES)) + 1):
-        wanted = np.zeros(len(q.codes), dtype=bool)
-        wanted[some] = True
-        posts = np.flatnonzero(wanted[q.owner])
+    posts = np.flatnonzero(~crowded[q.owner]) if len(q.flat) else np.zeros(0, dtype=np.int64)
+    for some in np.split(posts, np.flatnonzero(np.diff(votes[posts].cumsum() // VOTES)) + 1):
         packed = []
-        for order, low, n in index:
-            times = n[posts]
-            asker = np.repeat(posts, times)
-            hit = order[np.repeat(low[posts] - (times.cumsum() - times), times) + np.arange(int(times.sum()))]
-            offset = r.place[hit] - q.place[asker] + (1 << 31)
-            packed.append(np.stack([q.owner[asker] * len(r.codes) + r.owner[hit], offset]))
+        for order, ends, mine in index:
+            keys = (mine[some][:, None] ^ masks[None, :]).reshape(-1)
+            times = ends[keys + 1] - ends[keys]
+            asker = np.repeat(np.repeat(some, len(masks)), times)
+            hit = order[np.repeat(ends[keys] - (times.cumsum() - times), times) + np.arange(int(times.sum()))]
+            near = np.bitwise_count(q.flat[asker] ^ r.flat[hit]) <= NEAR
+            asker, hit = asker[near], hit[near]
+            packed.append(np.stack([q.owner[asker] * len(r.codes) + r.owner[hit], r.place[hit] - q.place[asker] + (1 << 31)]))
         pair, offset = np.concatenate(packed, axis=1)
         order = np.lexsort((offset, pair))  # a histogram of offsets for each pair
         pair, offset = pair[order], offset[order]

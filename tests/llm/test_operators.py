@@ -320,23 +320,25 @@ def test_chroma_links_equal_brute_force(spark, monkeypatch):
     assert len(got) == len(rows) and got[1]["n_links"] is None and got[1000]["n_links"] == 0
 
 
-@pytest.mark.parametrize("errors", [0.05, 0.1, 0.15])
-def test_chroma_recall_of_the_votes(errors):
-    """Pairs that align are found but for a share that falls with the overlap; what is found is as by comparing everywhere."""
-    rng = np.random.default_rng(11)
-    base = [rng.integers(0, 2**32, 52, dtype=np.uint32) for _ in range(150)]
-    parts = []
+@pytest.mark.parametrize("crowd", [False, True])
+@pytest.mark.parametrize("size,errors", [(n, e) for n in (16, 20, 24, 32, 52) for e in (0.1, 0.125, 0.149)])
+def test_chroma_finds_every_alignment(size, errors, crowd):
+    """All planted alignments within the limits, each setting alone and beside recordings that repeat a query's codes."""
+    rng = np.random.default_rng(size)
+    base = [rng.integers(0, 2**32, 60, dtype=np.uint32) for _ in range(60)]
+    parts, places = [], []
     for x in base:
-        n = int(rng.integers(24, 53))
-        at = int(rng.integers(0, 53 - n))
-        flips = np.zeros(32 * n, dtype=np.uint8)
+        at = int(rng.integers(0, 61 - size))
+        flips = np.zeros(32 * size, dtype=np.uint8)
         flips[rng.choice(len(flips), int(errors * len(flips)), replace=False)] = 1
-        parts.append(x[at : at + n] ^ np.packbits(flips).view(np.uint32))
-    q, r = chroma.Recordings(np.arange(150) + 1000, parts), chroma.Recordings(np.arange(150), base)
+        parts.append(x[at : at + size] ^ np.packbits(flips).view(np.uint32))
+        places.append(at)
+    more = [np.full(52, parts[i % 60][0]) for i in range(40)] if crowd else []
+    q, r = chroma.Recordings(np.arange(60) + 1000, parts), chroma.Recordings(np.arange(60 + len(more)), base + more)
     found = {(a, b): (e, o) for a, b, e, o in zip(*(x.tolist() for x in chroma.align_block(q, r)))}
-    every = {(a, b): (e, o) for i in range(150) for a, b, e, o in zip(*(x.tolist() for x in chroma._everywhere(i, q, r)))}
-    assert len(every) >= 140 and all(every[k] == v for k, v in found.items())
-    assert len(found) >= (0.9 if errors == 0.15 else 0.98) * len(every)
+    assert all(found[i, i][1] == places[i] for i in range(60))
+    every = {(a, b): (e, o) for i in range(60) for a, b, e, o in zip(*(x.tolist() for x in chroma._everywhere(i, q, r)))}
+    assert found == every
 
 
 def test_chroma_of_frequent_codes_and_long_recordings(spark):
@@ -627,6 +629,20 @@ def test_token_files_of_distant_ids(spark):
     assert sorted(r["start"] for r in got) == [2 * i for i in range(8)]
 
 
+def test_token_files_of_the_least_id_and_of_many_rows_of_one(spark):
+    least = -(2**63)
+    rows = [(least, "a"), (least, None), (None, "b"), (None, ""), (2**63 - 1, "c")]
+    many = spark.range(100_000).select(F.lit(9).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(many)
+    got = elias_fano.encode_and_read(df, queries.tokenizer_file("word_bpe_49k.json"), 2).toPandas().sort_values("start")
+    assert got["doc_id"].isna().tolist() == [True] * 2 + [False] * 100_003
+    assert [r["doc_id"] for r in elias_fano.encode_and_read(df.where("doc_id <> 9 or doc_id is null"), queries.tokenizer_file("word_bpe_49k.json"), 2).orderBy("start").collect()] == [None, None, least, least, 2**63 - 1]
+    assert (got["start"].to_numpy()[1:] == got["n_tokens"].cumsum().to_numpy()[:-1]).all()
+    texts = sorted((t["text"] or "") for t in df.where("doc_id = 9").select("text").collect())
+    sums = sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in ids_of("word_bpe_49k.json", texts, 2))
+    assert sorted(got[got["doc_id"] == 9]["ids_crc32"].tolist()) == sums
+
+
 def test_token_files(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(elias_fano, "FILE_DOCS", 17)
     got = [tuple(r) for r in elias_fano.encode_and_read(docs, queries.tokenizer_file("word_bpe_49k.json"), 2).collect()]
@@ -902,6 +918,29 @@ def test_similar_links_of_templated_crowds(spark, words, changed, texts):
     assert {r["component_id"] for r in found} == similar_components(dict(rows))
 
 
+def boilerplate(n, common, own, vocabulary, seed):
+    """Texts that share a passage and have some words of a small vocabulary, of which a few are nearly copies."""
+    rng = random.Random(seed)
+    shared = [f"c{rng.randrange(10**9)}" for _ in range(common)]
+    words = [f"w{rng.randrange(10**9)}" for _ in range(vocabulary)]
+    texts = {}
+    for i in range(n):
+        mine = rng.choices(words, k=own)
+        if i % 9 == 4:
+            mine = texts[i - 1].split()[common:]
+            mine[rng.randrange(own)] = rng.choice(words)
+        texts[i] = " ".join(shared + mine)
+    return texts
+
+
+@pytest.mark.parametrize("common,own,vocabulary", [(130, 20, 6), (130, 20, 400), (90, 45, 5), (140, 10, 50)])
+def test_similar_links_of_boilerplate(spark, monkeypatch, common, own, vocabulary):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    texts = boilerplate(260, common, own, vocabulary, common)
+    found = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), similarity=0.8).collect()
+    assert {r["component_id"] for r in found} == similar_components(texts)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     for n in (1, 2, 4, 5, 9, 10, 15, 40, 300):
@@ -914,6 +953,8 @@ def test_prefixes_of_similar_sets_meet():
             common = len(np.intersect1d(x, y))
             if len(y) and common >= 0.8 * (len(x) + len(y) - common):
                 assert len(np.intersect1d(simhash.prefix(x, hot, 0.8), simhash.prefix(y, hot, 0.8)))
+                rank = rng.permutation(len(hot))
+                assert len(np.intersect1d(simhash.prefix(x, hot, 0.8, rank), simhash.prefix(y, hot, 0.8, rank)))
             d = np.bitwise_count((simhash.sketch(x.view(np.uint64)) ^ simhash.sketch(y.view(np.uint64))).view(np.uint64)).sum()
             assert d <= len(x) + len(y) - 2 * common
 
