@@ -7,8 +7,8 @@ document) bits a document instead of 64.
 
 The documents' own ids are a second Elias-Fano sequence, of what they exceed the file's first one by.
 
-Layout, little-endian: magic, bytes of an id (1), documents (8), ids (8), the smallest document id (8); twice
-(ends, document ids) low bits (1), bytes of the high bits (8), directory (4 for each 512 bits), high bits, low
+Layout, little-endian: magic, bytes of an id (1), documents (8), those without an id, which come first (8), ids (8),
+the smallest document id (8); twice (ends, document ids, 0 for those without) low bits (1), bytes of the high bits (8), directory (4 for each 512 bits), high bits, low
 bits; ids.
 """
 
@@ -26,16 +26,17 @@ from pyspark.sql import Window as W
 from querent.llm.common import arrow_batches, materialize, new_path
 
 #: Fixed values of the file format.
-MAGIC = b"EFIDS2\0\0"
-HEADER = "<8sBQQq"
+MAGIC = b"EFIDS3\0\0"
+HEADER = "<8sBQQQq"
 PART = "<BQ"
 BLOCK = 512
-NO_ID = -(1 << 63)
 
 #: A file is closed when it has this many ids or documents, and a task's next one begins.
 FILE_IDS, FILE_DOCS = 1_000_000, 50_000
 #: Nor do document ids of a file lie further apart.
 FILE_SPAN = 1 << 62
+#: Characters of the text by which rows of one id are in order.
+TIED = 64
 
 
 class EliasFano:
@@ -92,8 +93,9 @@ class EliasFano:
         return cls(n, low_bits, parts[1], parts[0], parts[2]), at
 
 
-def file_bytes(doc_ids: list[int], ids: list[bytes], id_bytes: int) -> bytes:
-    """A file of documents with rising ids, whose token ids are given as little-endian unsigned 32-bit numbers.
+def file_bytes(doc_ids: list[int | None], ids: list[bytes], id_bytes: int) -> bytes:
+    """A file of documents with rising ids, those without one first, whose token ids are given as little-endian unsigned
+    32-bit numbers.
 
     Fails if a token id doesn't fit id_bytes bytes, or if a file's document ids lie 2^62 apart or more.
     """
@@ -102,19 +104,21 @@ def file_bytes(doc_ids: list[int], ids: list[bytes], id_bytes: int) -> bytes:
     wide = np.frombuffer(b"".join(ids), dtype="<u4")
     if len(wide) and int(wide.max()) >> (8 * id_bytes):
         raise ValueError(f"token id {int(wide.max())} doesn't fit {id_bytes} bytes")
-    least = doc_ids[0] if doc_ids else 0
-    if doc_ids and doc_ids[-1] - least >= 1 << 62:
+    nameless = sum(d is None for d in doc_ids)
+    named = doc_ids[nameless:]
+    least = named[0] if named else 0
+    if named and named[-1] - least >= 1 << 62:
         raise ValueError("the document ids of a file lie too far apart")
-    own = np.array([d - least for d in doc_ids], dtype=np.int64)
-    head = struct.pack(HEADER, MAGIC, id_bytes, len(ids), total, least)
+    own = np.array([0] * nameless + [d - least for d in named], dtype=np.int64)
+    head = struct.pack(HEADER, MAGIC, id_bytes, len(ids), nameless, total, least)
     return b"".join((head, EliasFano.build(ends, total).tobytes(), EliasFano.build(own, int(own[-1]) if len(own) else 0).tobytes(), wide.astype(f"<u{id_bytes}").tobytes()))
 
 
 class File:
-    """Reads a file: doc_ids(), ends(), and ids(i) of the i-th document."""
+    """Reads a file: doc_ids(), of which the first `nameless` say nothing, ends(), and ids(i) of the i-th document."""
 
     def __init__(self, raw: bytes):
-        magic, self.id_bytes, self.n, self.total, self.least = struct.unpack_from(HEADER, raw)
+        magic, self.id_bytes, self.n, self.nameless, self.total, self.least = struct.unpack_from(HEADER, raw)
         if magic != MAGIC:
             raise ValueError("not a token-id file")
         self.boundaries, at = EliasFano.read(raw, struct.calcsize(HEADER), self.n)
@@ -139,8 +143,9 @@ def write(
     """Encode docs and write token-id files, in rising order of the integer id, below path. id_bytes: 2 or 4, for
     vocabularies of up to 2^16 or 2^32 ids; an id beyond fails.
 
-    docs are dealt to tasks by ranges of the id and sorted there, so files follow each other in order over
-    all tasks; rows with one id come in the order of their texts. Each file is a row (part, number, docs,
+    docs are dealt to tasks by ranges and sorted there, so files follow each other in order over all tasks. Rows with one
+    id, however many, come in the order of their texts' first TIED characters, then of a hash of the texts, and are
+    ranges like others. Each file is a row (part, number, docs,
     ids, file) of a Parquet table, since Spark's writers reach every store. Null text counts as empty,
     null ids come first and are read back as null, an empty table gives no file, other columns aren't read.
     """
@@ -158,8 +163,9 @@ def write(
         coder = encoder(vocabulary, leading_space)
         encode = coder.encode_batch
         part, number = TaskContext.get().partitionId(), 0
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         ids: list[bytes] = []
+        first: int | None = None
         total = 0
 
         def row() -> pa.RecordBatch:
@@ -168,10 +174,11 @@ def write(
 
         for b in batches:
             for doc_id, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                doc_id = NO_ID if doc_id is None else doc_id
-                if ids and (total >= FILE_IDS or len(ids) >= FILE_DOCS or doc_id - doc_ids[0] >= FILE_SPAN):
+                far = first is not None and doc_id is not None and doc_id - first >= FILE_SPAN
+                if ids and (total >= FILE_IDS or len(ids) >= FILE_DOCS or far):
                     yield row()
-                    doc_ids, ids, total, number = [], [], 0, number + 1
+                    doc_ids, ids, total, number, first = [], [], 0, number + 1, None
+                first = doc_id if first is None else first
                 ids.append(own + end)
                 doc_ids.append(doc_id)
                 total += len(ids[-1]) // 4
@@ -179,8 +186,10 @@ def write(
             yield row()
         coder.forget()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    files = ordered.mapInArrow(run, "part long, number long, docs long, ids long, file binary")
+    by = ["id", "begins", "tie"]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.left(text_col, F.lit(TIED)).alias("begins"), F.xxhash64(text_col).alias("tie"))
+    ordered = own.repartitionByRange(*by).sortWithinPartitions(*by)
+    files = ordered.select("id", "text").mapInArrow(run, "part long, number long, docs long, ids long, file binary")
     files.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
@@ -212,7 +221,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 view = memoryview(wide)
                 sums = [crc32(view[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist())]
                 doc_ids = f.doc_ids()
-                own = pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID)
+                own = pa.array(doc_ids, pa.int64(), mask=np.arange(f.n) < f.nameless)
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (begins + first, ends - begins, sums))], names=names)
 
     return placed.select("first", "file").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
