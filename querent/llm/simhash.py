@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import arrow_batches, discard, materialize, new_path, small
+from querent.llm.common import arrow_batches, dealt, discard, materialize, new_path, running, small
 from querent.llm.components import components
 
 #: Bits of a segment; the embedding has 64 / SEGMENT coordinates of 0 to SEGMENT.
@@ -28,7 +28,7 @@ SIMILAR_WORDS, SKETCH = 5, 32
 SAMPLED, HOT_AT, HOT_SHINGLES = 16, 4, 200_000
 #: Buckets of up to so many different texts are compared in all pairs of rows; fuller ones by blocks of about so many.
 PAIRED = 64
-BLOCK = 256
+BLOCK = 1024
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -192,24 +192,34 @@ def set_id(hashes) -> int | None:
 
 
 def frequent_shingles(fps: DataFrame):
-    """At most HOT_SHINGLES hashes, rising, that occur in HOT_AT or more of one in SAMPLED distinct sets."""
+    """At most HOT_SHINGLES hashes, rising, that occur in HOT_AT or more of one in SAMPLED distinct sets, and the rank of
+    each by how often that is."""
     import numpy as np
 
     some = fps.where("sample is not null").select("sid", "sample").dropDuplicates(["sid"])
     often = some.select(F.explode("sample").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_AT)
-    return np.sort(often.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").toArrow().column("token").to_numpy())
-
-
-def prefix(hashes, hot, similarity: float):
-    """The first shingles of a set, frequent ones last, else by hash: two sets of the similarity share one of these."""
+    got = often.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).toArrow()
+    token, n = got.column("token").to_numpy(), got.column("n").to_numpy()
+    order = np.lexsort((token, n))
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order))
+    rising = np.argsort(token)
+    return token[rising], rank[rising]
+
+
+def prefix(hashes, hot, similarity: float, rank=None):
+    """The first shingles of a set, frequent ones last (by their rank, if it is known), else by hash: two sets of the
+    similarity share one of these."""
     import numpy as np
 
     n = len(hashes)
     size = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
     own = np.sort(hashes)
     if len(hot):
-        last = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-        own = np.concatenate((own[~last], own[last]))
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        last = hot[at] == own
+        often = own[last] if rank is None else own[last][np.argsort(rank[at[last]])]
+        own = np.concatenate((own[~last], often))
     return own[:size]
 
 
@@ -232,7 +242,7 @@ def _spread(docs: DataFrame, hot, similarity: float, text_col: str) -> DataFrame
                 if sid in done:
                     continue
                 done.add(sid)
-                tokens = prefix(hashes.view("<i8"), shared.value, similarity)
+                tokens = prefix(hashes.view("<i8"), shared.value[0], similarity, shared.value[1])
                 for c, v in zip(columns, (tokens, np.full(len(tokens), sid), np.full(len(tokens), len(hashes)), np.arange(len(tokens)))):
                     c.append(v)
             arrays = [np.concatenate([*c, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in columns]
@@ -252,8 +262,8 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity:
     ones last. Two sets of the similarity share one of their first shingles, and where they first do enough has to be
     left of both for the overlap they need; so no pair is missed, and few others are looked at. Of buckets of
     up to PAIRED sets all such pairs are made; those that sizes and sketches don't rule out are verified on
-    whole sets, each set's likeliest pair first, and then those that aren't in one component yet. In larger ones each set is verified with the first and the last, and then the sets that are
-    still apart are compared with all others, see _apart.
+    whole sets, each set's likeliest pair first, and then those that aren't in one component yet. In larger ones each set
+    is verified with the first and the last, and then the sets that are still apart are compared in blocks, see _apart.
     """
     texts = fps.where("sid is not null").groupBy("sid").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min(id_col).alias("least"))
     texts = materialize(texts, "texts")
@@ -273,7 +283,7 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity:
     both = lambda a, i: F.transform(F.filter(F.slice("all", i + 2, PAIRED), lambda b: enough(a, b)), lambda b: F.struct(a["sid"].alias("a"), b["sid"].alias("b")))
     pairs = few.select(F.explode(F.flatten(F.transform("all", both))).alias("p")).select("p.a", "p.b")
     crowded = sizes.where(F.col("members") > PAIRED)
-    full = materialize(own.join(small(crowded), "token").select(F.col("token").alias("key"), "sid", "first", "last"), "full")
+    full = materialize(own.join(small(crowded), "token").select(F.col("token").alias("key"), "sid", "n", "pos", "first", "last"), "full")
     ends = full.select("sid", F.explode(F.array("first", "last")).alias("end")).where("sid <> end").select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b"))
     pairs = materialize(pairs.union(ends).distinct(), "pairs")
     discard(own, sizes)
@@ -284,9 +294,12 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity:
     near = materialize(near.union(same), "near")
     likely = materialize(_between(likely.select("a", "b", "fa", "fb", differ.alias("differ")), near), "likely")
     discard(pairs)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("sid")).union(full.select("sid")).distinct()
-    ids = materialize(wanted.join(texts.select("sid", F.col("least").alias("least_")), "sid").select("least_").distinct(), "wanted")
-    sets = materialize(whole_sets(docs, ids, id_col, text_col), "shingles")
+
+    def sets_of(sids: DataFrame) -> DataFrame:
+        ids = materialize(sids.distinct().join(texts.select("sid", F.col("least").alias("least_")), "sid").select("least_").distinct(), "wanted")
+        return materialize(whole_sets(docs, ids, id_col, text_col), "shingles")
+
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("sid")))
     common = F.size(F.array_intersect("x", "y"))
 
     def verified(some: DataFrame) -> DataFrame:
@@ -301,8 +314,12 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity:
     if full.isEmpty():
         return edges
     roots = materialize(components(edges), "roots")
-    buckets = full.select("key", "sid").join(texts.select("sid", "fp"), "sid").select("key", "sid", "fp")
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_apart(buckets, sets, roots, similarity))
+    discard(sets)
+    edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    left = _apart(full.select("key", "sid", "n", "pos"), texts.select("sid", "fp", "sketch"), roots, similarity)
+    if left is None or left.isEmpty():
+        return edges
+    return edges.union(_joined(left, sets_of(left.select("sid")), similarity))
 
 
 def _between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -313,33 +330,75 @@ def _between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return met.where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb")).select(pairs.columns)
 
 
-def _apart(full: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between the components of `roots`, from all pairs of sets in the buckets `full` (key, sid, fp).
+def _apart(full: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame | None:
+    """(pair, side, sid, fp, root): the members of pairs of blocks that may have the similarity with one of the other side
+    and aren't in its component of `roots`; None if there are none. full: (key, sid, n, pos), the crowded buckets.
 
-    Two sets of one component need no comparison: a bucket that is one component is done. In the others sets go to
-    blocks by their hash, those of a component of BLOCK sets or more to blocks of its own, and each pair of blocks
-    is compared in one group, but for two blocks of one component. Common shingles of all pairs of a group are a
-    matrix product. A group's edges are a forest, so they are fewer than its sets.
+    A bucket that is one component is done. In the others sets are put in order by component (if it is large), by the
+    first crowded shingle that they have, and by size, and cut into blocks of BLOCK. Two sets are compared in one bucket
+    only: if both have the same first crowded shingle, in that one. Two blocks are left out if that, their component or
+    their sizes leave nothing to compare; in others each set's sketch is held against all of the other's, and only
+    sets that neither the sketch nor the size nor the place of the shingle rules out go on.
     """
     import pyarrow as pa
 
-    member = full.join(roots, full["fp"] == roots["node"], "left").select("key", "sid", "fp", F.coalesce("root", "fp").alias("root"))
+    first = full.groupBy("sid").agg(F.min(F.struct("pos", "key")).alias("f")).select("sid", F.col("f.key").alias("lead"))
+    member = full.join(first, "sid").join(texts, "sid").join(roots, F.col("fp") == roots["node"], "left")
+    member = member.select("key", "sid", "fp", "n", (F.col("n") - F.col("pos")).alias("left"), "lead", "sketch", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "members")
     each = materialize(member.groupBy("key", "root").agg(F.count("*").alias("m")), "each")
-    mixed = each.groupBy("key").agg(F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("rest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    mixed = materialize(mixed, "mixed")
-    large = F.col("m") >= BLOCK
-    parts = F.ceil(F.when(large, F.col("m")).otherwise(F.col("rest")) / BLOCK)
-    named = each.join(small(mixed), "key").select("key", "root", F.when(large, F.col("root").cast("string")).otherwise("rest").alias("owner"), parts.alias("parts"))
-    named = materialize(named, "owners")
-    block = lambda i: F.concat_ws(":", "owner", i.cast("string"))
-    dealt = member.join(small(named), ["key", "root"]).withColumn("block", block(F.pmod(F.xxhash64("sid"), "parts")))
-    blocks = named.select("key", "owner", "parts").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "owner", block(F.col("i")).alias("block"))
-    blocks = materialize(blocks, "blocks")
-    l, r = blocks.select("key", F.col("owner").alias("o"), F.col("block").alias("p")), blocks.select("key", F.col("owner").alias("u"), F.col("block").alias("q"))
-    met = l.join(r, "key").where("p <= q and (o <> u or o = 'rest')").select("key", F.concat_ws("|", F.col("key").cast("string"), "p", "q").alias("pair"), "p", "q")
-    sides = met.select("key", "pair", F.col("p").alias("block"), F.lit(0).alias("side")).union(met.where("p <> q").select("key", "pair", "q", F.lit(1)))
-    given = dealt.join(sides, ["key", "block"]).join(sets.select("sid", "own"), "sid").select("pair", "side", "fp", "root", "own")
+    mixed = materialize(each.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+    large = materialize(each.where(F.col("m") >= BLOCK).select("key", "root", F.col("root").alias("owner")), "owners")
+    open_ = member.join(small(mixed), "key", "left_semi").join(small(large), ["key", "root"], "left").withColumn("owner", F.coalesce("owner", F.lit(0)))
+    order = ["owner", "lead", "n", "sid"]
+    placed = running(dealt(open_, ["key"], order, "ordered"), ["key"], [F.col(c) for c in order], "at")
+    placed = materialize(placed.withColumn("block", F.floor(F.col("at") / BLOCK)).drop("at", "owner"), "placed")
+    span = [f(c).alias(f"{f.__name__}_{c}") for c in ("root", "lead", "n") for f in (F.min, F.max)]
+    blocks = materialize(placed.groupBy("key", "block").agg(*span, F.max("left").alias("left")), "blocks")
+    share = similarity / (1 + similarity)
+    p, q = (blocks.select(F.col("key").alias(f"{s}key"), *(F.col(c).alias(s + c) for c in blocks.columns if c != "key")) for s in "pq")
+    alone = lambda c: (F.col(f"pmin_{c}") == F.col(f"pmax_{c}")) & (F.col(f"qmin_{c}") == F.col(f"qmax_{c}")) & (F.col(f"pmin_{c}") == F.col(f"qmin_{c}"))
+    met = p.join(q, F.col("pkey") == F.col("qkey")).where("pblock <= qblock").where(~alone("root") & ~(alone("lead") & (F.col("pmin_lead") != F.col("pkey"))))
+    met = met.where(F.least("pleft", "qleft") >= share * (F.col("pmin_n") + F.col("qmin_n")) - 1e-6)
+    met = met.where((F.col("pmin_n") * similarity <= F.col("qmax_n") + 1e-6) & (F.col("qmin_n") * similarity <= F.col("pmax_n") + 1e-6))
+    met = met.select("pkey", F.concat_ws("|", F.col("pkey").cast("string"), F.col("pblock").cast("string"), F.col("qblock").cast("string")).alias("pair"), "pblock", "qblock")
+    sides = met.select(F.col("pkey").alias("key"), "pair", F.col("pblock").alias("block"), F.lit(0).alias("side"))
+    sides = sides.union(met.where("pblock <> qblock").select("pkey", "pair", "qblock", F.lit(1)))
+    given = placed.join(sides, ["key", "block"]).select("pair", "side", "key", "sid", "fp", "root", "n", "left", "lead", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        side, sid, root, n, left, lead, key = (table.column(c).to_numpy() for c in ("side", "sid", "root", "n", "left", "lead", "key"))
+        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sid), -1)
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        keep = np.zeros(len(sid), dtype=bool)
+        for i in a.tolist():
+            total = n[i] + n[b]
+            may = (root[b] != root[i]) & ((lead[b] != lead[i]) | (lead[b] == key[b])) & (np.minimum(left[i], left[b]) >= share * total - 1e-6)
+            to = b[may]
+            if len(to):
+                differ = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                to = to[differ <= (1 - similarity) / (1 + similarity) * total[may] + 1e-6]
+                keep[to] = True
+                keep[i] |= len(to) > 0
+        return table.filter(pa.array(keep)).select(["pair", "side", "sid", "fp", "root"])
+
+    return materialize(given.groupBy("pair").applyInArrow(run, "pair string, side int, sid long, fp long, root long"), "left")
+
+
+def _joined(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between components, from all pairs of sets of the similarity on both sides of each pair of blocks.
+
+    Common shingles of all pairs of a group are a matrix product. A group's edges are a forest, so they are fewer
+    than its sets.
+    """
+    import pyarrow as pa
+
+    given = left.join(sets.dropDuplicates(["sid"]), "sid").select("pair", "side", "fp", "root", "own")
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -354,13 +413,13 @@ def _apart(full: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float
         of, at = of[order], at[order]
         a = np.flatnonzero(side == 0)
         b = np.flatnonzero(side == 1) if side.any() else a
-        common = np.zeros((len(a), len(b)))
+        common = np.zeros((len(a), len(b)), dtype=np.float32)  # of whole numbers below 2^24
         for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
             some = slice(*np.searchsorted(at, [low, low + 4096]))
             held = np.zeros((len(size), 4096), dtype=np.float32)
             held[of[some], at[some] - low] = 1
             common += held[a] @ held[b].T
-        alike = (common >= similarity * (size[a][:, None] + size[b] - common)) & (root[a][:, None] != root[b])
+        alike = (common >= similarity * (size[a][:, None] + size[b] - common.astype(float))) & (root[a][:, None] != root[b])
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
