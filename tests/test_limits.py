@@ -59,7 +59,7 @@ def test_samples_of_repeated_ids_do_not_depend_on_their_size(spark, monkeypatch)
     key = lambda r: (str(r["qid"]), r["text"], str(r["n"]))
     few = {(n, offset): sorted(map(key, sampling.sample_range(df, "qid", n, offset).collect())) for n, offset in ((15, 0), (40, 0), (30, 25), (60, 110), (3, 124), (5, 200), (0, 3), (1, 40))}
     monkeypatch.setattr(sampling, "TOP", 2)
-    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "DIGITS", 16)
     for (n, offset), want in few.items():
         assert len(want) == max(0, min(n, 125 - offset))
         assert sorted(map(key, sampling.sample_range(df, "qid", n, offset).collect())) == want
