@@ -2,7 +2,8 @@
 
 All of it is column expressions. Spark has no function for the places of all matches, but the parts between
 matches (split) and the matches (regexp_extract_all) of one pattern alternate, so places are running sums of
-their lengths.
+their lengths. Long texts are cut where no match can lie across, and each stretch is scanned and redacted by itself,
+so the work stays in proportion to the text, however many matches it has.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ LEAST_ASSIGNED = 6
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ANY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}|(?i:password|passwd|secret|token|api_?key)"
 
+#: Characters of a stretch of a long text, at most unless no cut is possible. A cut follows a character that no pattern
+#: has, or a single blank between letters or digits, which none has either.
+STRETCH = 4_000
+CUT = r"""(?:(?<=[^A-Za-z0-9+/_.=:"'\x20-])|(?<=[A-Za-z0-9]\x20)(?=[A-Za-z0-9])|\z)"""
+STRETCHES = rf"(?s).{{1,{STRETCH}}}{CUT}|.{{{STRETCH},}}?{CUT}"
+
 #: Encodings, most special first: pattern, alphabet, and sums of squares and cubes of the symbol frequencies
 #: that unrandom strings of it have (letters of prose; digits in hexadecimal; uniform digits).
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -148,14 +155,23 @@ def tokens(text: Column, base: Column) -> Column:
     return F.transform(F.filter(spans(text, TOKEN), apart), judged)
 
 
+def stretches(text: Column) -> Column:
+    """array<string>: the whole text in stretches of which no match of any pattern has part of two."""
+    return F.when(F.length(text) > 2 * STRETCH, F.regexp_extract_all(text, F.lit(STRETCHES), F.lit(0))).otherwise(F.array(text))
+
+
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (default all) with _querent_base (fixed patterns) and _querent_tokens (judged long tokens)."""
+    """docs' columns `keep` (default all) with, for each stretch of the text, _querent_size (its characters),
+    _querent_base (fixed patterns) and _querent_tokens (judged long tokens), whose places count from the stretch's
+    begin. Texts without anything to look at have no stretches."""
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_base = docs.select(*keep, *([] if text_col in keep else [text_col]), base_spans(text).alias("_querent_base"))
+    parts = F.when(text.rlike(ANY), stretches(text)).otherwise(F.array().cast("array<string>"))
+    own = docs.select(*keep, *([] if text_col in keep else [text_col]), parts.alias("_querent_parts"))
+    with_base = own.withColumn("_querent_base", F.transform("_querent_parts", base_spans))
     none = F.array().cast("array<struct<start:int,end:int,class:int,evidence:int,random:boolean>>")
-    judged = F.when(text.rlike(ANY), tokens(text, F.col("_querent_base"))).otherwise(none)
-    return with_base.select(*keep, "_querent_base", judged.alias("_querent_tokens"))
+    judged = F.zip_with("_querent_parts", "_querent_base", lambda t, base: F.when(t.rlike(ANY), tokens(t, base)).otherwise(none))
+    return with_base.select(*keep, F.transform("_querent_parts", F.length).alias("_querent_size"), "_querent_base", judged.alias("_querent_tokens"))
 
 
 def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
@@ -164,7 +180,7 @@ def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
     Tokens are counted by class and evidence: as many rows as those have values, whatever the input.
     Rounding evidence down makes the control stricter, never weaker.
     """
-    counted = scanned.select(F.explode("_querent_tokens").alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
+    counted = scanned.select(F.explode(F.flatten("_querent_tokens")).alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
     up = W.partitionBy("class").orderBy(F.desc("evidence"))
     ranked = counted.select("class", "evidence", F.sum("n").over(up).alias("so_far"), F.sum("n").over(W.partitionBy("class")).alias("all"))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("evidence") / 10) <= share * F.col("so_far") / F.col("all"))
@@ -172,12 +188,20 @@ def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
 
 
 def discovered(cuts: dict[int, int]) -> Column:
-    """array<struct<start, rank, end>>: the fixed patterns' spans and the tokens that the cutoffs and the battery pass, in order."""
+    """array<array<struct<start, rank, end>>>: of each stretch the fixed patterns' spans and the tokens that the cutoffs
+    and the battery pass, in order."""
     known = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair)) if cuts else None
     if known is None:
         return F.col("_querent_base")
-    good = F.filter("_querent_tokens", lambda t: t["random"] & F.coalesce(t["evidence"] >= known[t["class"]], F.lit(False)))
-    return F.sort_array(F.concat(F.col("_querent_base"), _ranked(good, 3)))
+    good = lambda tokens_: F.filter(tokens_, lambda t: t["random"] & F.coalesce(t["evidence"] >= known[t["class"]], F.lit(False)))
+    return F.zip_with("_querent_base", "_querent_tokens", lambda base, tokens_: F.sort_array(F.concat(base, _ranked(good(tokens_), 3))))
+
+
+def placed(found: Column) -> Column:
+    """Spans of all stretches in one array, with their places in the whole text."""
+    begins = F.transform("_querent_size", lambda n, i: F.aggregate(F.slice("_querent_size", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    moved = lambda spans_, at: F.transform(spans_, lambda x: F.struct((x["start"] + at).alias("start"), x["rank"].alias("rank"), (x["end"] + at).alias("end")))
+    return F.flatten(F.zip_with(found, begins, moved))
 
 
 def written(found: Column) -> Column:
@@ -194,9 +218,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     aren't read.
     """
     scanned = materialize(scan(docs, text_col, [id_col]), "secrets")
-    found = scanned.withColumn("_querent_all", discovered(cutoffs(scanned, share)))
+    found = scanned.withColumns({"_querent_all": placed(discovered(cutoffs(scanned, share))), "_querent_fixed": placed(F.col("_querent_base"))})
     count = lambda k: F.size(F.filter("_querent_all", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select(id_col, *(count(k) for k in range(4)), F.sha2(written(F.col("_querent_base")), 256).alias("base_sha256"), written(F.col("_querent_all")).alias("spans"))
+    return found.select(id_col, *(count(k) for k in range(4)), F.sha2(written(F.col("_querent_fixed")), 256).alias("base_sha256"), written(F.col("_querent_all")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE, mark: str = "[SECRET]") -> DataFrame:
@@ -208,13 +232,17 @@ def redact(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE,
     """
     scanned = materialize(scan(docs, text_col), "scanned")
     found = scanned.withColumn("_querent_all", discovered(cutoffs(scanned, share)))
-    text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        out = F.when((x["start"] > state["at"]) | (state["at"] == 0), F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+    def cleaned(part: Column, spans_: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            between = F.substring(part, state["at"] + 1, x["start"] - state["at"])
+            out = F.when((x["start"] > state["at"]) | (state["at"] == 0), F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+
+        whole = F.transform(F.array(F.aggregate(spans_, start, step)), lambda s: F.concat(s["out"], F.substring(part, s["at"] + 1, F.length(part))))[0]
+        return F.when(F.size(spans_) > 0, whole).otherwise(part)
 
-    clean = F.transform(F.array(F.aggregate("_querent_all", start, step)), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))[0]
-    return found.withColumn(text_col, F.when(F.size("_querent_all") > 0, clean).otherwise(text)).select(docs.columns)
+    clean = F.array_join(F.zip_with(stretches(F.col(text_col)), "_querent_all", cleaned), "")
+    any_ = F.exists("_querent_all", lambda x: F.size(x) > 0)
+    return found.withColumn(text_col, F.when(any_, clean).otherwise(F.col(text_col))).select(docs.columns)
