@@ -15,6 +15,8 @@ from querent.functions.text import jaccard
 SEED = 42
 #: Up to so many rows are ranked by a top-k; hashes are counted by so many more of their digits at a time.
 TOP, DIGITS = 10_000, 3
+#: Complexities that questions may have where examples are selected by it.
+LEVELS = 100
 
 
 def shuffled(id_col: str, seed: int = SEED) -> Column:
@@ -107,8 +109,8 @@ def few_shot_specific(questions: DataFrame, pool: DataFrame, k: int, content: st
 
     Questions and pool entries of one complexity and set of types are alike to all, so these kinds are compared, not the
     rows: an entry can only be chosen if it is among the first k + 1 of its kind, or k + 1 differ in content. Kinds meet
-    by the types they share; those that share none are only chosen by pool order, of which the first of each
-    complexity are enough.
+    by the types they share; those that share none are only chosen by pool order, of which the first of the question's
+    complexity and of the others are enough, see firsts().
     """
     same = content or "qid"
     own_columns = ["qid", "complexity", "types"] + ([content] if content else [])
@@ -127,9 +129,7 @@ def few_shot_specific(questions: DataFrame, pool: DataFrame, k: int, content: st
         .groupBy("complexity", "types", "pc", "pt").agg(F.count("*").alias("n")))
     alike = sharing.withColumn("jaccard", F.col("n") / (F.size("types") + F.size("pt") - F.col("n"))).drop("n")
     by_type = alike.join(p, ["pc", "pt"])
-    some = p.withColumn("_f", first_seen("pc", "_same")).withColumn("_d", F.dense_rank().over(W.partitionBy("pc").orderBy("_f"))).where(F.col("_d") <= k + 1)
-    some = some.withColumn("_r", first("pc", "_same")).where(F.col("_r") <= k).select(F.lit(1).alias("_one"), *p.columns)
-    any_ = kinds.withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one").drop("_one").withColumn("jaccard", jaccard(F.col("types"), F.col("pt")))
+    any_ = kinds.join(F.broadcast(firsts(p, kinds, k)), "complexity").withColumn("jaccard", jaccard(F.col("types"), F.col("pt")))
     columns = ["complexity", "types", "pool_id", "_same", "pool_ord", "pc", "jaccard"]
     scored = by_type.select(*columns).union(any_.select(*columns)).distinct().withColumn("same_complexity", F.col("complexity") == F.col("pc"))
     order = [F.desc("same_complexity"), F.desc("jaccard"), F.asc("pool_ord")]
@@ -143,6 +143,22 @@ def few_shot_specific(questions: DataFrame, pool: DataFrame, k: int, content: st
     return ranked.select("qid", "pool_id", "same_complexity", "jaccard", "rank")
 
 
+def firsts(p: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """p's rows with `complexity`: for each complexity of the questions the first of its own and the first of the others by
+    pool order, of k + 1 contents and k rows of each. That are 2 * k * (k + 1) rows for each of at most LEVELS, more of
+    which are an error."""
+    levels = [r[0] for r in kinds.select("complexity").where("complexity is not null").distinct().limit(LEVELS + 1).collect()]
+    if len(levels) > LEVELS:
+        raise ValueError(f"more than {LEVELS} complexities")
+    kind = kinds.schema["complexity"].dataType
+    each = p.withColumn("complexity", F.explode(F.array(*map(F.lit, levels)).cast(f"array<{kind.simpleString()}>")))
+    own = F.coalesce(F.col("pc") == F.col("complexity"), F.lit(False))
+    each = each.withColumn("_own", own).withColumn("_r", F.row_number().over(W.partitionBy("complexity", "_own", "_same").orderBy("pool_ord"))).where(F.col("_r") <= k)
+    by_content = each.groupBy("complexity", "_own", "_same").agg(F.min("pool_ord").alias("_f"))
+    ranked = by_content.withColumn("_d", F.row_number().over(W.partitionBy("complexity", "_own").orderBy("_f", "_same"))).where(F.col("_d") <= k + 1)
+    return each.join(ranked.select("complexity", "_own", "_same"), ["complexity", "_own", "_same"]).select("complexity", *p.columns)
+
+
 def first_seen(*by: str) -> Column:
     """The smallest pool_ord among rows that are equal in some columns."""
     return F.min("pool_ord").over(W.partitionBy(*by))

@@ -9,13 +9,12 @@ pairs; cutting is expressions on the texts, with each text's doubtful places loo
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querent.streaming.incremental import shared_folder
+from querent.streaming.incremental import written
 
 #: Limits of the scores: abbreviations, sentence starters, collocations; and the share of full stops that an
 #: abbreviation is taken to have.
@@ -78,12 +77,6 @@ class Model:
     collocations: DataFrame
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def few(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querent.operators.ranges import numbered
+
 COLUMNS = ("questionId", "question", "answers", "answer_page_idx", "data_split", "docId", "document")
 
 
@@ -45,8 +47,8 @@ def flatten_documents(raw: DataFrame, language: Callable[[Column], Column] | Non
     fixed = F.transform("answers", lambda a: F.when(F.startswith(F.ltrim(a), F.lit("{")), F.struct(parts(a)["value"].alias("value"), zero_based(parts(a)["page"]).alias("page"))).otherwise(F.struct(a.alias("value"), F.lit(0).alias("page"))))
     out = out.withColumn("answers", fixed)
     if order is not None and (skip or most is not None):
-        out = out.orderBy(order, "_n").offset(skip)
-        out = out if most is None else out.limit(most)
+        placed = numbered(out, [order, "_n"], "_at")
+        out = placed.where((F.col("_at") >= skip) & (F.col("_at") < skip + most if most is not None else F.lit(True))).drop("_at")
     return out.drop("_n")
 
 

@@ -168,11 +168,11 @@ def sweep_manifest(t: Tables) -> DataFrame:
     return out.select("run_id", F.array_join("leaves", ",").alias("leaves"))
 
 
-@query("""SELECT c_mktsegment AS model, coalesce(v, 0) AS value FROM (SELECT DISTINCT c_mktsegment FROM customer) LEFT JOIN
-  (SELECT c_mktsegment AS m, CAST(count(*) FILTER (WHERE c_acctbal < 0) AS DOUBLE) / count(*) AS v FROM customer WHERE c_nationkey = 3 GROUP BY 1) ON m = c_mktsegment""")
+@query("""SELECT c_custkey AS model, coalesce(v, 0) AS value FROM customer LEFT JOIN
+  (SELECT o_custkey AS m, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) / count(*) AS v FROM orders GROUP BY 1) ON m = c_custkey""")
 def zero_filled(t: Tables) -> DataFrame:
-    rates = t.customer.where("c_nationkey = 3").groupBy(F.col("c_mktsegment").alias("model")).agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("value"))
-    return reports.zero_filled(rates, t.customer.select(F.col("c_mktsegment").alias("model")).distinct())
+    rates = t.orders.groupBy(F.col("o_custkey").alias("model")).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("value"))
+    return reports.zero_filled(rates, t.customer.select(F.col("c_custkey").alias("model")).distinct())
 
 
 @query("""WITH a AS (SELECT p_type AS bucket, count(*) AS value_w1 FROM part WHERE p_size % 2 = 0 GROUP BY 1), b AS (SELECT p_type AS bucket, count(*) AS value_w1_ocr FROM part WHERE p_size = 7 GROUP BY 1)

@@ -11,7 +11,7 @@ from querent.functions import runs
 from querent.operators import reports
 from querent.plans import metric_queries as B
 from querent.plans import report_queries as R
-from querent.plans.registry import Tables, query
+from querent.plans.registry import Tables, fixed, query
 from querent.sources import readers, sinks
 from querent.streaming.incremental import shared_folder
 
@@ -56,12 +56,12 @@ def question_split(t: Tables) -> DataFrame:
     return readers.question_split(t.spark, path, n=50, offset=25).select("questionId")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS \"questionId\", p_name AS question, p_brand AS dataset FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS \"questionId\", p_name AS question, ['DUDE', 'SlideVQA', 'Bounding Docs'][p_partkey % 3 + 1] AS dataset FROM part")
 def split_tables(t: Tables) -> DataFrame:
     """Splits of three datasets as Parquet, each under its own name for the validation split."""
     folder, out = fresh(t.spark), None
-    for brand, dataset, written, asked in (("Brand#1", "DUDE", "train", "train"), ("Brand#2", "SlideVQA", "val", "val"), ("Brand#3", "Bounding Docs", "validation", "val")):
-        rows = t.part.where(F.col("p_brand") == brand).select(F.col("p_partkey").cast("string").alias("questionId"), F.col("p_name").alias("question"), F.col("p_brand").alias("dataset"))
+    for i, (dataset, written, asked) in enumerate((("DUDE", "train", "train"), ("SlideVQA", "val", "val"), ("Bounding Docs", "validation", "val"))):
+        rows = t.part.where(F.col("p_partkey") % 3 == i).select(F.col("p_partkey").cast("string").alias("questionId"), F.col("p_name").alias("question"), F.lit(dataset).alias("dataset"))
         rows.write.mode("overwrite").parquet(f"{folder}/{dataset}/{written}")
         one = readers.split_table(t.spark, folder, dataset, asked)
         out = one if out is None else out.unionByName(one)
@@ -130,23 +130,23 @@ def values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({names})"
 
 
-@query(values([(*x[:3], 3, 3) for x in LEAVES if x[3]], "run_id, dataset, config, n, corrupted"))
+@fixed(values([(*x[:3], 3, 3) for x in LEAVES if x[3]], "run_id, dataset, config, n, corrupted"))
 def leaves(t: Tables) -> DataFrame:
     return readers.leaves(t.spark, write_leaves(t)).select("run_id", "dataset", "config", "n", F.col("counts")["corrupted"].alias("corrupted"))
 
 
-@query(values([(*x[:3], 3) for x in LEAVES], "run_id, dataset, config, n"))
+@fixed(values([(*x[:3], 3) for x in LEAVES], "run_id, dataset, config, n"))
 def manifests(t: Tables) -> DataFrame:
     return readers.manifests(t.spark, write_leaves(t)).select("run_id", "dataset", "config", "n")
 
 
-@query(values([("fewshot_ocr",), ("zeroshot_noocr",)], "slug"))
+@fixed(values([("fewshot_ocr",), ("zeroshot_noocr",)], "slug"))
 def discovered_configurations(t: Tables) -> DataFrame:
     found = readers.configurations(t.spark, write_leaves(t))
     return found.where("slug <> 'latest'").select("slug")
 
 
-@query(values([("run_b",)], "run_id"))
+@fixed(values([("run_b",)], "run_id"))
 def latest_run(t: Tables) -> DataFrame:
     root = fresh(t.spark)
     for run in ("run_a", "run_b"):
@@ -200,14 +200,14 @@ def saved_suite(t: Tables) -> DataFrame:
     return out
 
 
-@query("SELECT p_type AS row_, CAST(min(p_size) AS DOUBLE) AS a, CAST(max(p_size) AS DOUBLE) AS b FROM part WHERE p_type IN ('SMALL', 'LARGE') GROUP BY 1")
+@query("SELECT p_type AS row_, CAST(min(p_size) AS DOUBLE) AS a, CAST(max(p_size) AS DOUBLE) AS b FROM part GROUP BY 1")
 def metric_files(t: Tables) -> DataFrame:
-    """A metric file with a column a model, of which two columns and two rows are asked; a missing file gives none."""
+    """A metric file with a column a model, of which two are asked; a missing file gives none."""
     path = f"{fresh(t.spark)}/QUR"
     rows = t.part.groupBy("p_type").agg(F.min("p_size").alias("a"), F.max("p_size").alias("b"), F.lit(0).alias("c"))
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     assert readers.metric_or_none(t.spark, path + "_gone") is None
-    return readers.metric_csv(t.spark, path, ["a", "b"], ["SMALL", "LARGE"]).withColumnRenamed("row", "row_")
+    return readers.metric_csv(t.spark, path, ["a", "b"]).withColumnRenamed("row", "row_")
 
 
 @query("SELECT p_type AS row_, CAST(count(*) AS DOUBLE) AS value, 0.0::DOUBLE AS zero, CAST(count(*) AS DOUBLE) AS same FROM part GROUP BY 1")
@@ -267,7 +267,7 @@ def few_shot_pools(t: Tables) -> DataFrame:
     return own.unionByName(other)
 
 
-@query("SELECT * FROM (VALUES ('given', 'SlideVQA', 2, 100), ('bad', 'DUDE', 3, 100), ('none', 'DUDE', 3, 100)) v(form, dataset, complexity, percentage)")
+@fixed("SELECT * FROM (VALUES ('given', 'SlideVQA', 2, 100), ('bad', 'DUDE', 3, 100), ('none', 'DUDE', 3, 100)) v(form, dataset, complexity, percentage)")
 def configurations(t: Tables) -> DataFrame:
     texts = {"given": '{"dataset": {"name": "SlideVQA"}, "complexity": 2}', "bad": "{not json", "none": None}
     rows = [(form, c["dataset"]["name"], c["complexity"], c["percentage"]) for form, c in ((f, readers.config(x)) for f, x in texts.items())]
@@ -296,7 +296,7 @@ def saved_examples(t: Tables) -> DataFrame:
     return out.where("instruction = 'Answer.'").select("p_partkey", "input", "output", F.col("images")[0].alias("image"))
 
 
-@query("SELECT * FROM (VALUES ('base', 16, 32, 3.0::DOUBLE, 222)) v(base_model, lora_rank, lora_alpha, epochs, steps)")
+@fixed("SELECT * FROM (VALUES ('base', 16, 32, 3.0::DOUBLE, 222)) v(base_model, lora_rank, lora_alpha, epochs, steps)")
 def finetune_manifests(t: Tables) -> DataFrame:
     """The adapter's values win over the settings'; missing files are nothing."""
     path = f"{fresh(t.spark)}/run.json"
@@ -304,7 +304,7 @@ def finetune_manifests(t: Tables) -> DataFrame:
     return t.spark.read.schema("base_model string, lora_rank int, lora_alpha int, epochs double, steps int").option("multiLine", True).json(path)
 
 
-@query("SELECT * FROM (VALUES ('unknown', false)) v(git_commit, git_dirty)")
+@fixed("SELECT * FROM (VALUES ('unknown', false)) v(git_commit, git_dirty)")
 def git_state_unknown(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([runs.git_state("/nowhere")], "git_commit string, git_dirty boolean")
 

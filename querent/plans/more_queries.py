@@ -14,7 +14,7 @@ from querent.plans import answer_queries as Q
 from querent.plans import corruption_queries as K
 from querent.plans import metric_queries as B
 from querent.plans import report_queries as R
-from querent.plans.registry import Tables, query
+from querent.plans.registry import Tables, fixed, query
 from querent.streaming import incremental
 
 # --- few-shot selection; parts of small size stand for the hand-picked pool
@@ -228,7 +228,7 @@ def only_new(t: Tables) -> DataFrame:
     return incremental.only_new(t.documents.select("doc_id"), t.labels, ["doc_id"])
 
 
-@query("SELECT label, CAST(n AS INT) AS n FROM (VALUES " + ", ".join(f"('{label}', {i})" for i, label in enumerate(x for m in ("TEMPORAL", "LOCATION") for x in MACRO_ENTITIES[m])) + ") v(label, n)")
+@fixed("SELECT label, CAST(n AS INT) AS n FROM (VALUES " + ", ".join(f"('{label}', {i})" for i, label in enumerate(x for m in ("TEMPORAL", "LOCATION") for x in MACRO_ENTITIES[m])) + ") v(label, n)")
 def enabled_labels(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(M.enabled_labels({"LOCATION": True, "TEMPORAL": True, "ENTITY": False}))), "n int, label string").select("label", "n")
 
@@ -236,7 +236,7 @@ def enabled_labels(t: Tables) -> DataFrame:
 CONDITIONS = [("DUDE", "random", 2), *(("DUDE", "handpicked", k) for k in (2, 4, 6)), ("MPDocVQA", "random", 2), *(("MPDocVQA", "handpicked", k) for k in (2, 4, 6))]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{s}', {k}, 'runs/eval_val_100_x/{d}/fewshot_k{k}_mixed_{s}')" for d, s, k in CONDITIONS) + ") v(dataset, selection, k, leaf)")
+@fixed("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{s}', {k}, 'runs/eval_val_100_x/{d}/fewshot_k{k}_mixed_{s}')" for d, s, k in CONDITIONS) + ") v(dataset, selection, k, leaf)")
 def sweep_conditions(t: Tables) -> DataFrame:
     made = [(c["dataset"], c["few_shot"]["selection"], c["few_shot"]["n_shots"]) for c in runs.conditions(["DUDE", "MPDocVQA"])]
     leaf = lambda d, s, k: runs.resolve_leaf("runs/", d, f"fewshot_k{k}_mixed_{s}", "val", 100, "y", {"RUN_ID": "eval_val_100_x"})

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Readers of files that no table gives, with their SQL: tested like the queries, but none of them.
+FIXED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FIXED_ORACLE: dict[str, str] = {}
 
 
 class Tables:
@@ -35,4 +38,15 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return add
 
 
+def fixed(sql: str) -> Callable:
+    """Notes a function that reads no table, with the SQL of its rows, for the tests."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        FIXED[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        FIXED_ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
 from querent.plans import answer_queries, corruption_queries, detail_queries, file_queries, metric_queries, more_queries, report_queries, run_queries  # noqa: E402, F401

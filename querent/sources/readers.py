@@ -125,6 +125,49 @@ def ocr(spark: SparkSession, paths: str | list[str], dataset: str) -> DataFrame:
     return OCR_READERS[dataset](spark, [paths] if isinstance(paths, str) else list(paths))
 
 
+BOX = "struct<Width:double,Height:double,Left:double,Top:double>"
+#: What a file of each kind holds, and where its lines are: their array, and the fields of a line that counts.
+OCR_FORMS = {
+    "MPDocVQA": (f"struct<LINE:array<struct<Text:string,Geometry:struct<BoundingBox:{BOX}>>>,bad_:string>", "LINE", None),
+    "DUDE": (f"struct<Blocks:array<struct<BlockType:string,Text:string,Geometry:struct<BoundingBox:{BOX}>>>,bad_:string>", "Blocks", "LINE"),
+}
+
+
+def ocr_or_error(spark: SparkSession, paths: str | list[str], dataset: str) -> DataFrame:
+    """(file, ord, text, box, error): the lines of ocr(), and one row with an error, and nothing else, for each file that
+    can't be read as recognised text of this kind or that isn't there.
+
+    One bad file among many is told and the others are read. Files are read by Spark's reader, so that they may lie in
+    any store, several to a task. Only names that are given one by one can be told as missing.
+    """
+    if dataset not in OCR_FORMS:
+        raise ValueError(f"no recognised text for {dataset!r}")
+    form, lines, kind = OCR_FORMS[dataset]
+    gone: list[tuple[str, str]] = []
+    there: list[str] = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+        if found is None or not len(found):
+            gone.append((path, "no such file"))
+            continue
+        there.append(path)
+        gone += [(str(x.getPath()), "empty file") for x in found if x.isFile() and x.getLen() == 0]  # which Spark's readers pass over
+    missing = spark.createDataFrame(gone, "file string, error string")
+    empty = missing.select("file", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(BOX).alias("box"), "error")
+    if not there:
+        return empty
+    raw = spark.read.text(there, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    options = {"columnNameOfCorruptRecord": "bad_"}
+    listed = F.startswith(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit("[")) if kind else F.lit(False)
+    one = F.when(listed, F.get(F.from_json("value", f"array<{form}>", options), F.lit(0))).otherwise(F.from_json("value", form, options))
+    read = raw.withColumn("r", one).withColumn("error", F.when(F.col("r").isNull() | F.col("r.bad_").isNotNull(), "no JSON of this kind").when(F.col(f"r.{lines}").isNull(), f"no {lines}"))
+    line = read.select("file", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col(f"r.{lines}"))).alias("ord", "x"))
+    good = F.col("error").isNotNull() | (F.col("x.Text").isNotNull() & F.col("x.Geometry.BoundingBox").isNotNull())
+    good = good if kind is None else F.col("error").isNotNull() | (F.col("x.BlockType") == kind)
+    return line.where(good).select("file", "ord", F.col("x.Text").alias("text"), F.col("x.Geometry.BoundingBox").alias("box"), "error").unionByName(empty)
+
+
 def pages_of_documents(documents: DataFrame, files: DataFrame, separator: str = "_", strict: bool = True) -> DataFrame:
     """Files (…, file) of each document (doc), by the part of the file's name before the last separator and number.
 

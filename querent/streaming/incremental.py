@@ -49,7 +49,14 @@ def verified_until(source: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
     run = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(kept_schema).parquet(kept).orderBy("batch", key).limit(target).drop("batch")
+    # whole batches come before the one that reaches the target, and of that one the first by key
+    upto = spark.read.schema(numbers).parquet(counts).groupBy("batch").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("batch")))  # a row a batch
+    last = upto.where(F.col("upto") >= target).orderBy("batch").first()
+    every = spark.read.schema(kept_schema).parquet(kept)
+    if last is None:
+        return every.drop("batch")
+    part = every.where(F.col("batch") == last["batch"]).orderBy(key).limit(target - last["upto"] + last["n"])
+    return every.where(F.col("batch") < last["batch"]).unionByName(part).drop("batch")
 
 
 def shared_folder(spark) -> str:
@@ -66,6 +73,13 @@ def shared_folder(spark) -> str:
     return spark.sparkContext._querent_folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it is worked out once, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def only_new(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys have no result yet."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")

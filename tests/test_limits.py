@@ -181,3 +181,65 @@ def test_rewriting(spark):
     df = spark.createDataFrame([("o", "c", [("x",), ("x",), ("y",)])], "original_question string, corrupted_question string, corrupted_entities array<struct<text:string>>")
     got = models.rewrite_questions(df, lambda prompts: [f'Rewritten question: "{len(p)}."' for p in prompts]).first()
     assert got["entities"] == ["x", "y"] and got["rewritten"].strip('."').isdigit() and "x, y" in got["prompt"]
+
+
+def plain_nearest(v, means, least=None):
+    import numpy as np
+
+    if v is None or None in v or len(v) != len(next(iter(means.values()))):
+        return min(means) if least is None else -1
+    n = np.linalg.norm(v)
+    scores = {c: float(np.dot(v, m) / n) if n else 0.0 for c, m in means.items()}
+    best = max(scores.values())
+    c = min(c for c, s in scores.items() if abs(s - best) < 1e-12)
+    return c if least is None or best >= least else -1
+
+
+@pytest.mark.parametrize("block", [4096, 30])
+def test_nearest_of_many_categories(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(models, "BLOCK", block)
+    monkeypatch.setattr(models, "AT_ONCE", 16)
+    monkeypatch.setattr(models, "SHARE", 50)
+    rng = np.random.default_rng(2)
+    examples = [(int(c), rng.normal(0, 1, 8).tolist()) for c in range(200) for _ in range(1 + c % 3)] + [(500, [0.0] * 8)]
+    rows = [(i, rng.normal(0, 1, 8).tolist(), 3) for i in range(120)] + [(200, None, 3), (201, [0.0] * 8, 3), (202, [1.0, None] * 4, 3), (203, [1.0], 3)]
+    rows += [rows[0]] * 70 + [(None, rows[1][1], 3)]
+    q = spark.createDataFrame(rows, "id long, v array<double>, other int").repartition(3)
+    e = spark.createDataFrame(examples, "c int, v array<double>").repartition(3)
+    unit = {}
+    for c, v in examples:
+        n = np.linalg.norm(v)
+        unit.setdefault(c, []).append(np.array(v) / n if n else np.zeros(8))
+    means = {c: np.mean(vs, axis=0) for c, vs in unit.items()}
+    for least in (None, 0.6):
+        got = sorted(((r["id"], r["c"]) for r in models.nearest_category(q, e, "id", "v", "c", least).collect()), key=str)
+        assert got == sorted(((i, plain_nearest(v, means, least)) for i, v, _ in rows), key=str)
+    none = models.nearest_category(q, e.limit(0), "id", "v", "c").collect()
+    assert len(none) == len(rows) and all(r["c"] is None for r in none)
+
+
+def test_numbers_by_ranges(spark):
+    from querent.operators.ranges import numbered
+
+    rows = [(i % 7, f"t{i % 50}", None if i % 4 else i) for i in range(300)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "k int, text string, n int").repartition(5)
+    got = numbered(df, ["k", "text"], "at").orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(303))
+    assert [(r["k"] is not None, r["k"] or 0, r["text"] or "") for r in got] == sorted((k is not None, k or 0, t or "") for k, t, _ in rows)
+    assert numbered(df.limit(0), ["k"], "at").count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_few_shot_of_many_complexities(spark, k):
+    """Examples that share no type come by pool order, of the question's complexity and of the others."""
+    rng = random.Random(k)
+    rows = [(i, rng.randrange(9), rng.choice([[], ["a"], ["b"], ["x", "y"]]), rng.choice([1, 1, 1, 2, 3])) for i in range(90)]
+    own = spark.createDataFrame(rows, "qid long, complexity int, types array<string>, same int")
+    got = {}
+    for r in sampling.few_shot_specific(own, own.withColumn("pool_ord", F.col("qid")), k, "same").collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["pool_id"]))
+    for q in rows:
+        best = sorted((p for p in rows if p[3] != q[3]), key=lambda p: (-(p[1] == q[1]), -jaccard(p[2], q[2]), p[0]))[:k]
+        assert [i for _, i in sorted(got.get(q[0], []))] == [p[0] for p in best]

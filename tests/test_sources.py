@@ -154,3 +154,29 @@ def test_leaf_grid_and_git(tmp_path):
     assert runs.resolve_leaf("r/", "d", "s", "val", 3, "x", {"RUN_ID": "run"}, "m") == "r/run/d/m__s"
     assert [c["few_shot"]["n_shots"] for c in runs.conditions(["a"])] == [2, 2, 4, 6]
     assert runs.git_state(str(tmp_path)) == ("unknown", False)
+
+
+@pytest.mark.parametrize("dataset", ["MPDocVQA", "DUDE"])
+def test_one_bad_file_among_many_is_told(spark, tmp_path, dataset):
+    import json
+
+    box = {"BoundingBox": {"Width": 0.5, "Height": 0.1, "Left": 0.2, "Top": 0.3}}
+    line = {"Text": "a line", "Geometry": box, "BlockType": "LINE"}
+    word = {"Text": "word", "Geometry": box, "BlockType": "WORD"}
+    for i in range(12):
+        whole = {"LINE": [line, {"Text": "no box"}, {"Geometry": box}, line]} if dataset == "MPDocVQA" else {"Blocks": [word, line, line]}
+        (tmp_path / f"p_{i}.json").write_text(json.dumps([whole] if dataset == "DUDE" and i % 2 else whole, indent=1))
+    (tmp_path / "p_20.json").write_text('{"LINE": [{"Text": "cut off", ')
+    (tmp_path / "p_21.json").write_text("")
+    (tmp_path / "p_22.json").write_text('{"other": 1}')
+    (tmp_path / "p_23.json").write_text('{"LINE": [], "Blocks": []}')
+    paths = [f"file://{tmp_path}/p_{i}.json" for i in (*range(12), 20, 21, 22, 23, 99)]
+    rows = readers.ocr_or_error(spark, paths, dataset).collect()
+    bad = {r["file"].rsplit("/", 1)[-1]: r["error"] for r in rows if r["error"]}
+    assert bad == {"p_20.json": "no JSON of this kind", "p_21.json": "empty file", "p_22.json": "no LINE" if dataset == "MPDocVQA" else "no Blocks", "p_99.json": "no such file"}
+    good = [r for r in rows if not r["error"]]
+    plain = readers.ocr(spark, [p for p in paths if p.endswith(tuple(f"p_{i}.json" for i in range(12)))], dataset).collect()
+    assert sorted((r["file"], r["ord"], r["text"], r["box"]) for r in good) == sorted((r["file"], r["ord"], r["text"], r["box"]) for r in plain) and len(good) == 24
+    assert readers.ocr_or_error(spark, paths[-1], dataset).count() == 1
+    with pytest.raises(ValueError):
+        readers.ocr_or_error(spark, paths, "other")
