@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,6 +236,22 @@ def metric_suite(t: Tables) -> DataFrame:
     return M.metric_suite(*suite_inputs(t))
 
 
+@query(suite_sql())
+def stored_metrics(t: Tables) -> DataFrame:
+    """The suite from stored counts of a leaf for each order status, of which one is put in twice."""
+    from querent.operators.metric_store import MetricStore
+    from querent.streaming.incremental import shared_folder
+
+    store = MetricStore(t.spark, f"{shared_folder(t.spark)}/metrics-{uuid.uuid4().hex[:12]}")
+    status = t.orders.select(F.col("o_orderkey").alias("qid"), "o_orderstatus")
+    leaves = sorted(r[0] for r in status.select("o_orderstatus").distinct().collect())
+    for leaf in leaves[:1] + leaves:
+        own = status.where(F.col("o_orderstatus") == leaf).select("qid")
+        tables = suite_inputs(t)
+        store.put(f"run/{leaf}", M.metric_suite(*(x.join(own, "qid", "left_semi") for x in tables)))
+    return store.combined()
+
+
 # counts of two quadrants and complexities; the skeleton adds the others
 @query(f"""SELECT b.v AS bucket, CAST(c.v AS INT) AS complexity, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits FROM (VALUES {values(QUADRANTS)}) b(v) CROSS JOIN (VALUES (0), (1), (2), (3)) c(v)
   LEFT JOIN (SELECT CASE o_orderstatus WHEN 'F' THEN 'TOP_LEFT' ELSE 'BOTTOM_RIGHT' END AS bucket, o_orderkey % 2 AS complexity, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 200000) AS hits FROM orders GROUP BY ALL) k
