@@ -193,8 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model, from at most toxic_rows texts whose label is 1 and at most unlabelled_rows texts of docs, whatever their
     labels, all outside the held-out fold. The prior is the share of label 1 among all labels outside the fold.
 
-    Null labels and ids don't count; of several labels of an id the largest holds; an id that several rows share counts
-    once for each of them.
+    Null labels and ids don't count; of several labels of an id the largest holds; of an id's rows the one whose text has
+    the smallest hash counts.
     """
     import pyarrow as pa
 
@@ -209,7 +209,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.where(id_.isNotNull() & ~held_out(id_)).select(id_.alias("id_")).distinct()
     others = ids.select("id_", key.alias("order_"), F.lit(False).alias("toxic_")).orderBy("order_", "id_").limit(unlabelled_rows)
     picked = F.broadcast(some.unionByName(others))  # at most toxic_rows + unlabelled_rows narrow rows
-    texts = docs.select(id_.alias("id_"), F.col(f"`{text_col}`").alias("text_")).join(picked, "id_").select("order_", "toxic_", "text_")
+    texts = docs.select(id_.alias("id_"), F.col(f"`{text_col}`").alias("text_")).join(picked, "id_")
+    # an id may have any number of rows: each task keeps one of them, so what is picked stays bounded
+    texts = texts.groupBy("order_", "toxic_").agg(F.min_by("text_", F.xxhash64("text_")).alias("text_"))
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

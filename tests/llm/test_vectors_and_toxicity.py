@@ -177,6 +177,16 @@ def test_toxicity_uses_no_label_of_the_held_out_fold(spark):
     assert a.chosen.tolist() == b.chosen.tolist() and a.weights.tolist() == b.weights.tolist() and (a.bias, a.prior) == (b.bias, b.prior)
 
 
+def test_many_rows_of_one_id_count_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, talk(rng, 40, i % 4 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    once = toxicity.learn(spark.createDataFrame(rows, schema), labels)
+    often = toxicity.learn(spark.createDataFrame(rows + [rows[4]] * 400, schema).repartition(5), labels)
+    assert once.chosen.tolist() == often.chosen.tolist() and once.weights.tolist() == often.weights.tolist()
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
