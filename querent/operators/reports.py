@@ -44,7 +44,7 @@ def binned_pages(rows: DataFrame, outliers: tuple[int, ...] = OUTLIER_PAGES, wei
     used = rows.where(~F.col("bucket").cast("int").isin(*outliers)).select(page_bin(F.col("bucket").cast("int")).alias("bin"), "n", "hits", "value").where("bin is not null")
     mean = F.sum("hits") / F.sum("n") if weighted else F.avg("value")
     frame = rows.sparkSession.createDataFrame([(b,) for b in PAGE_BINS], "bin string")
-    return F.broadcast(frame).join(used.groupBy("bin").agg(mean.alias("value")), "bin", "left")
+    return frame.join(used.groupBy("bin").agg(mean.alias("value")), "bin", "left")
 
 
 def weighted_density(rows: DataFrame) -> DataFrame:
