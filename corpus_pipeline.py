@@ -9,8 +9,8 @@ from querent.llm import queries
 from querent.llm.common import discard, new_path, temporary
 
 #: Pieces of text that a worker remembers while packing: fewer than when packing alone, as the executors' memory
-#: also holds what the stages before left.
-CACHE_PIECES = 100_000
+#: also holds what the stages before left; and bytes of texts that it gets at once.
+CACHE_PIECES, BATCH_BYTES = 60_000, 2 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from querent.llm.packing import pack
 
-    return pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), end_id=1, cache_pieces=CACHE_PIECES)
+    packed = pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), end_id=1, cache_pieces=CACHE_PIECES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # read when the result is; others set theirs
+    return packed
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
