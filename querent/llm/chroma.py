@@ -28,8 +28,11 @@ QUERY_CODES, BLOCK_CODES = 1 << 17, 1 << 19
 #: Two codes vote for their offset if at most so many bits differ. Errors can't be above their average everywhere, so
 #: wherever two recordings align at least one integer votes.
 NEAR = int(32 * MOST_ERRORS)
+#: Codes are looked up by two parts of their bits, (first bit, bits, bits that may differ): if more differ in both, more
+#: than NEAR differ. The longer part may differ in more, which leaves the fewest codes to compare.
+PARTS = ((0, 18, NEAR // 2), (18, 14, NEAR - NEAR // 2 - 1))
 #: Pairs of codes that are compared at once, and how many of them cost as much as two recordings at one offset.
-VOTES, WORTH = 1 << 21, 4
+VOTES, WORTH = 1 << 21, 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -115,7 +118,7 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
 
     All classes are indexed, in blocks, and the query classes are looked up in each block. No alignment is missed: a
     share of at most MOST_ERRORS over the overlap means that at least one of its integers has at most NEAR wrong
-    bits, so one of its halves has at most NEAR // 2, and all halves within that distance are looked up.
+    bits, so one of its PARTS has at most as many as are looked up there.
 
     Null or empty codes are a class that aligns with nothing; ids keep their type, of which those that are no
     whole numbers are no queries and null is never the smallest; repeated rows stay; an empty table gives an
@@ -158,10 +161,10 @@ class Recordings:
         self.place = np.arange(len(self.flat)) - np.repeat(self.start, self.size)
 
 
-def _masks() -> np.ndarray:
-    """All numbers of 16 bits with at most NEAR // 2 ones."""
-    every = np.arange(1 << 16, dtype=np.uint32)
-    return every[np.bitwise_count(every) <= NEAR // 2]
+def _masks(bits: int, ones: int) -> np.ndarray:
+    """All numbers of so many bits with at most so many ones."""
+    every = np.arange(1 << bits, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= ones]
 
 
 def _compare(table):
@@ -183,18 +186,18 @@ def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, n
     the same pairs.
     """
     out: list[tuple[np.ndarray, ...]] = []
-    masks = _masks()
     index, votes = [], np.zeros(len(q.flat), dtype=np.int64)
-    for shift in (0, 16):
-        half = (r.flat >> np.uint32(shift)) & np.uint32(0xFFFF)
-        ends = np.concatenate([[0], np.bincount(half, minlength=1 << 16).cumsum()])
-        mine = (q.flat >> np.uint32(shift)) & np.uint32(0xFFFF)
+    for shift, bits, ones in PARTS:
+        masks = _masks(bits, ones)
+        part = (r.flat >> np.uint32(shift)) & np.uint32((1 << bits) - 1)
+        ends = np.concatenate([[0], np.bincount(part, minlength=1 << bits).cumsum()])
+        mine = (q.flat >> np.uint32(shift)) & np.uint32((1 << bits) - 1)
         values, which = np.unique(mine, return_inverse=True)
         size = np.zeros(len(values), dtype=np.int64)
         for mask in masks:
             size += ends[(values ^ mask) + 1] - ends[values ^ mask]
         votes += size[which]
-        index.append((np.argsort(half, kind="stable"), ends, mine))
+        index.append((np.argsort(part, kind="stable"), ends, mine, masks))
     by_query = np.bincount(q.owner, weights=votes, minlength=len(q.codes))
     crowded = by_query > WORTH * (len(r.flat) + len(r.codes) * q.size)
     for i in np.flatnonzero(crowded):
@@ -202,7 +205,7 @@ def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, n
     posts = np.flatnonzero(~crowded[q.owner]) if len(q.flat) else np.zeros(0, dtype=np.int64)
     for some in np.split(posts, np.flatnonzero(np.diff(votes[posts].cumsum() // VOTES)) + 1):
         packed = []
-        for order, ends, mine in index:
+        for order, ends, mine, masks in index:
             keys = (mine[some][:, None] ^ masks[None, :]).reshape(-1)
             times = ends[keys + 1] - ends[keys]
             asker = np.repeat(np.repeat(some, len(masks)), times)
