@@ -45,6 +45,15 @@ def answer_locations(t: Tables) -> DataFrame:
     return found.join(docs, "text_key").join(own, "answer_key").select("qid", "item_id", "words", "digest")
 
 
+@query(r"""SELECT a.p_partkey AS qid, o.p_partkey AS obj_ord FROM part a JOIN part o ON a.p_brand = o.p_brand
+  AND contains(lower(regexp_replace(o.p_name, '[\s_]+', '', 'g')), lower(regexp_replace(string_split(a.p_name, ' ')[1] || '_', '[\s_]+', '', 'g')))""")
+def page_answers(t: Tables) -> DataFrame:
+    """A part's brand is its page, its name an object there, and the first word of its name an answer."""
+    objects = t.part.select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("obj_ord"), F.col("p_name").alias("text"))
+    answers = t.part.select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("page"), F.lit(0).alias("ans_ord"), F.concat(F.split("p_name", " ")[0], F.lit("_")).alias("answer"))
+    return C.answer_locations(objects, answers).select("qid", "obj_ord")
+
+
 STEM = "regexp_extract(url, 'https?://([^./]+)', 1)"
 
 

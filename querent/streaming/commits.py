@@ -7,7 +7,6 @@ can create. Readers see only attempts that the log names, so what a killed attem
 
 from __future__ import annotations
 
-import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -34,20 +33,28 @@ class CommitLog:
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _create(self, name: str, text: str) -> bool:
-        """Write a whole new file; False if there is one of this name. It is written aside and renamed, so nobody reads half of it."""
-        store, aside = self._store(name), f"_aside/{uuid.uuid4().hex}"
-        if store.exists(self._path(name)):
+        """Write a whole new file; False if there is one of this name. It is written aside and then renamed, which fails where
+        there is one, so nobody reads half of it and of several writers one wins."""
+        from py4j.protocol import Py4JJavaError
+
+        store, where = self._store(name), self._path(name)
+        if store.exists(where):
             return False
-        out = store.create(self._path(aside), False)
+        aside = self._path(f"_aside/{uuid.uuid4().hex}")
+        out = store.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        store.mkdirs(self._path(name).getParent())
-        # a rename onto an existing file fails or is refused by stores with such files; what is there then stays
-        with contextlib.suppress(Exception):
-            if not store.exists(self._path(name)) and store.rename(self._path(aside), self._path(name)):
-                return True
-        store.delete(self._path(aside), False)
-        return False
+        store.mkdirs(where.getParent())
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        strict = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        try:
+            fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, where, strict)
+        except Py4JJavaError as e:
+            if not e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise
+            store.delete(aside, False)
+            return False
+        return True
 
     def _read(self, name: str) -> str:
         return self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0]

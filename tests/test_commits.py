@@ -63,6 +63,16 @@ def test_one_attempt_wins(spark, tmp_path):
     assert log.sweep() == 1 and log.results("id long, twice long").count() == 10
 
 
+def test_a_file_is_created_once(spark, tmp_path, monkeypatch):
+    log = CommitLog(spark, f"file://{tmp_path}/log", parts=2)
+    assert log._create("log/x", "one") and not log._create("log/x", "two") and log._read("log/x") == "one"
+    # another writer comes between the look and the rename
+    blind = type("Store", (), {"__getattr__": lambda self, name: getattr(real, name), "exists": lambda self, where: False})()
+    real = log._store("log")
+    monkeypatch.setattr(log, "_store", lambda name: blind)
+    assert not log._create("log/x", "three") and log._read("log/x") == "one"
+
+
 def test_an_empty_log(spark, tmp_path):
     log = CommitLog(spark, f"file://{tmp_path}/log", parts=3)
     assert log.results("id long, twice long").count() == 0

@@ -42,9 +42,9 @@ def test_files_of_no_table(spark, duck, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+def test_queries_without_sql_run(spark):
+    for name in sorted(set(registry.QUERIES) - set(registry.ORACLE)):
+        assert registry.QUERIES[name](spark, DATA).count() > 0, name
 
 
 def test_entry_and_contract(spark):
