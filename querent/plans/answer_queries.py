@@ -55,14 +55,21 @@ def cut_after(text: str, marks: str) -> str:
 SENTENCES = r"""unnest(string_split(regexp_replace(text, '([.!?]["'')\]]*)\s+(["''(\[]?[\p{Lu}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)))"""
 
 
-@query(f"""WITH s AS (SELECT doc_id, {SENTENCES} AS s FROM documents WHERE text IS NOT NULL),
-  p AS (SELECT doc_id, unnest(CASE WHEN length(s) <= 350 THEN [s] WHEN len(list_filter({cut_after('s', ';')}, lambda x: length(x) > 350)) > 0 THEN {cut_after('s', ',;')} ELSE {cut_after('s', ';')} END) AS p FROM s),
-  c AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 350 THEN [p] ELSE list_transform(range(CAST(ceil(length(p) / 350.0) AS BIGINT)), lambda k: substr(p, CAST(k * 350 + 1 AS BIGINT), 350)) END) AS c FROM p)
+#: Chunks of sentences s in SQL.
+CHUNKS_OF_S = f"""p_ AS (SELECT doc_id, unnest(CASE WHEN length(s) <= 350 THEN [s] WHEN len(list_filter({cut_after('s', ';')}, lambda x: length(x) > 350)) > 0 THEN {cut_after('s', ',;')} ELSE {cut_after('s', ';')} END) AS p FROM s),
+  c AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 350 THEN [p] ELSE list_transform(range(CAST(ceil(length(p) / 350.0) AS BIGINT)), lambda k: substr(p, CAST(k * 350 + 1 AS BIGINT), 350)) END) AS c FROM p_)"""
+
+
+def chunk_sizes(cut: DataFrame) -> DataFrame:
+    """Of each row's chunks c their number, and the sums of their lengths and squared lengths."""
+    total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + f(F.length(x).cast("long")))
+    return cut.select("doc_id", F.size("c").cast("long").alias("n_chunks"), total(lambda n: n).alias("total"), total(lambda n: n * n).alias("squares"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {SENTENCES} AS s FROM documents WHERE text IS NOT NULL), {CHUNKS_OF_S}
   SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS total, CAST(sum(length(c) * length(c)) AS BIGINT) AS squares FROM c GROUP BY doc_id""")
 def chunk_text(t: Tables) -> DataFrame:
-    own = t.documents.where("text is not null").select("doc_id", X.chunks(X.sentences(F.col("text"))).alias("c"))
-    total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + f(F.length(x).cast("long")))
-    return own.select("doc_id", F.size("c").cast("long").alias("n_chunks"), total(lambda n: n).alias("total"), total(lambda n: n * n).alias("squares"))
+    return chunk_sizes(t.documents.where("text is not null").select("doc_id", X.chunks(X.sentences(F.col("text"))).alias("c")))
 
 
 #: What is learnt from all texts about words, in SQL: counts of words, abbreviations, starters, collocations.
@@ -96,7 +103,8 @@ def abbreviations(t: Tables) -> DataFrame:
     return found.select("word", "dotted", "plain", F.round("score", 6).alias("score"))
 
 
-@query(rf"""WITH {WORDS_SQL},
+#: All candidates' pieces of a text with the number of the sentence that they belong to.
+SENTENCE_SQL = rf"""{WORDS_SQL},
   stops AS MATERIALIZED (SELECT word, CASE WHEN length(word) = 1 THEN 'initial' ELSE 'abbreviation' END AS kind FROM (
     SELECT word FROM n WHERE dotted > 0 AND regexp_matches(word, '^\p{{L}}$') UNION SELECT word FROM a WHERE score >= 0.3)),
   x AS MATERIALIZED (SELECT regexp_replace(f, '\.$', '') AS first, ends_with(f, '.') AS dot, word, count(*) AS n FROM (
@@ -111,13 +119,16 @@ def abbreviations(t: Tables) -> DataFrame:
     FROM near JOIN n f ON f.word = near.first JOIN n s ON s.word = near.word, total WHERE near.word NOT IN (SELECT word FROM starters) AND met / fs > a / total.n)
     WHERE {met_by_chance('met', 'fs', 'a', 'n')} >= 7.88),
   p AS MATERIALIZED (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*\s+)(["''(\[]?[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
-  q AS (SELECT doc_id, i, len(list_filter(string_split_regex(ps[i], '[ \t\n\r\f]+'), lambda x: x <> '')) AS words, CASE WHEN i > 1 THEN {BARE.format(r"regexp_extract(ps[i - 1], '(\S+)\s*$', 1)")} END AS l,
+  q AS (SELECT doc_id, i, ps[i] AS piece, len(list_filter(string_split_regex(ps[i], '[ \t\n\r\f]+'), lambda x: x <> '')) AS words, CASE WHEN i > 1 THEN {BARE.format(r"regexp_extract(ps[i - 1], '(\S+)\s*$', 1)")} END AS l,
     regexp_extract(ps[i], '^(\S+)', 1) AS nx FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
-  r AS (SELECT doc_id, i, words, nx, CASE WHEN ends_with(l, '.') THEN regexp_replace(l, '\.$', '') END AS f, regexp_replace({BARE.format('nx')}, '\.$', '') AS s FROM q),
-  j AS (SELECT r.doc_id, r.i, r.words, CASE WHEN r.i = 1 THEN 0 WHEN c.first IS NOT NULL THEN 0 WHEN k.kind IS NULL THEN 1 WHEN st.word IS NOT NULL THEN 1
+  r AS (SELECT doc_id, i, piece, words, nx, CASE WHEN ends_with(l, '.') THEN regexp_replace(l, '\.$', '') END AS f, regexp_replace({BARE.format('nx')}, '\.$', '') AS s FROM q),
+  j AS (SELECT r.doc_id, r.i, r.piece, r.words, CASE WHEN r.i = 1 THEN 0 WHEN c.first IS NOT NULL THEN 0 WHEN k.kind IS NULL THEN 1 WHEN st.word IS NOT NULL THEN 1
       WHEN k.kind = 'abbreviation' AND m.small > 0 AND m.inside = 0 AND regexp_matches(regexp_replace(r.nx, '^["''(\[]+', ''), '^\p{{Lu}}') THEN 1 ELSE 0 END AS ok
     FROM r LEFT JOIN stops k ON k.word = r.f LEFT JOIN starters st ON st.word = r.s LEFT JOIN collocations c ON c.first = r.f AND c.word = r.s LEFT JOIN n m ON m.word = r.s),
-  o AS (SELECT doc_id, words, sum(ok) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM j)
+  o AS (SELECT doc_id, i, piece, words, sum(ok) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM j)"""
+
+
+@query(rf"""WITH {SENTENCE_SQL}
   SELECT doc_id, count(*) AS n_sentences, CAST(sum(words * words) AS BIGINT) AS squares FROM (SELECT doc_id, sentence, sum(words) AS words FROM o GROUP BY ALL) GROUP BY doc_id""")
 def sentence_boundaries(t: Tables) -> DataFrame:
     """Sentences of all texts by a model that all texts gave, and the sum of their squared numbers of words."""
@@ -128,6 +139,19 @@ def sentence_boundaries(t: Tables) -> DataFrame:
     return cut.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.aggregate(words, F.lit(0).cast("long"), lambda a, n: a + n * n).alias("squares"))
 
 
+@query(rf"""WITH {SENTENCE_SQL},
+  s0 AS (SELECT doc_id, sentence, string_agg(piece, '' ORDER BY i) AS s FROM o GROUP BY ALL),
+  s AS (SELECT doc_id, CASE WHEN sentence = max(sentence) OVER (PARTITION BY doc_id) THEN s ELSE regexp_replace(s, '\s+$', '') END AS s FROM s0),
+  {CHUNKS_OF_S}
+  SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS total, CAST(sum(length(c) * length(c)) AS BIGINT) AS squares FROM c GROUP BY doc_id""")
+def sentence_chunks(t: Tables) -> DataFrame:
+    """Chunks of the sentences that the model of all texts gives."""
+    from querent.operators import sentences
+
+    cut = sentences.split(t.documents.where("text is not null").select("doc_id", "text"), sentences.learn(t.documents))
+    return chunk_sizes(cut.select("doc_id", X.chunks(F.col("sentences")).alias("c")))
+
+
 @query(r"SELECT lang, count(*) AS n, true AS good FROM documents WHERE lang IS NOT NULL AND regexp_matches(text, '\p{L}') GROUP BY lang")
 def detected_languages(t: Tables) -> DataFrame:
     """Of each language its documents with letters, and whether profiles of four fifths of them tell 95 % of all right."""
