@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querent.operators.ranges import numbered
+
 #: The image placeholder and the refusal sentence around the first corrupted text.
 PLACEHOLDER = "<image>\n"
 REFUSAL = ("Unable to determine. The term '", "' refers to a corrupted entity not present as a data point in this context.")
@@ -46,13 +48,13 @@ def paired_examples(entries: DataFrame, instruction: str) -> DataFrame:
     return ok.select(F.explode(both).alias("e")).select("e.*")
 
 
-def shuffled_union(frames: list[DataFrame], seed: int = 42) -> DataFrame:
-    """All frames by name, in the order of a hash of the rows."""
+def shuffled_union(frames: list[DataFrame], seed: int = 42, place: str = "place") -> DataFrame:
+    """All frames by name, with each row's place, from 0, in the order of a hash of the rows."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    key = F.xxhash64(F.lit(seed), F.to_json(F.struct(*out.columns)))
-    return out.withColumn("_k", key).orderBy("_k").drop("_k")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"})))
+    return numbered(out.withColumn("_k", key), ["_k"], place).drop("_k")
 
 
 def recap(rows: DataFrame) -> DataFrame:

@@ -192,10 +192,9 @@ def clean_examples(t: Tables) -> DataFrame:
     return out.select(F.replace("input", F.lit("<image>\n"), F.lit("")).cast("long").alias("o_orderkey"), F.col("images")[0].alias("image"), "output")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT k) AS ids FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders)")
+@query("""SELECT k, row_number() OVER (ORDER BY md5('42:{"k":' || k || '}')) - 1 AS place FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders)""")
 def shuffled_union(t: Tables) -> DataFrame:
-    both = sft.shuffled_union([t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))])
-    return both.agg(F.count("*").alias("n"), F.countDistinct("k").alias("ids"))
+    return sft.shuffled_union([t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))])
 
 
 @query(f"SELECT event_id, lower(answer) = 'not available' AS unable FROM (SELECT event_id, {Q.ANSWER} AS answer FROM events)")
