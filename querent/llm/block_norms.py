@@ -1,15 +1,16 @@
 """Clusters around centroids, screened by the norms of blocks.
 
-A vector is compressed to a few numbers: of each block of its components the sum over the root of their number, and the
-norm of what is left beside that mean. Both parts are orthogonal, and by Cauchy-Schwarz two residues are no nearer than
-their norms differ. So the distance of two compressed forms is a lower bound of the squared distance of vectors, and
-an exact distance in integers is worked out only for centroids whose bound isn't above that of a first guess.
+A vector is compressed to a byte a component and a scale; what that leaves of it is known by the norm of each of its
+blocks. The product of a vector and a centroid is that of the compressed vector and what the rest adds, which by
+Cauchy-Schwarz is at most the sum of the blocks' norms multiplied. That bounds the squared distance from below, and an
+exact distance in integers is worked out only for centroids whose bound isn't above that of a first guess.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,21 +30,35 @@ EXACT = 1 << 27
 PAIRS = 1 << 15
 
 
-def compressed(v: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Rows of [scaled mean of each block, norm of the rest of each block] as 32-bit floats; the last block may be shorter."""
+@dataclass
+class Compressed:
+    """Vectors (rows) as bytes times a scale, the norm of the rest in each block, and the squared norm of the whole."""
+
+    codes: np.ndarray
+    scale: np.ndarray
+    rest: np.ndarray
+    square: np.ndarray
+
+
+def block_norms(v: np.ndarray, block: int) -> np.ndarray:
+    """The norms of blocks of components; the last block may be shorter."""
+    return np.sqrt(np.add.reduceat(v * v, np.arange(0, v.shape[1], block), axis=1))
+
+
+def compressed(v: np.ndarray, block: int = BLOCK) -> Compressed:
     v = v.astype(np.float64)
-    starts = np.arange(0, v.shape[1], block)
-    sizes = np.diff(np.append(starts, v.shape[1]))
-    sums = np.add.reduceat(v, starts, axis=1)
-    rest = v - np.repeat(sums / sizes, sizes, axis=1)  # beside the mean, so that nothing cancels
-    return np.concatenate([sums / np.sqrt(sizes), np.sqrt(np.add.reduceat(rest * rest, starts, axis=1))], axis=1).astype(np.float32)
+    scale = np.abs(v).max(axis=1, initial=0) / 127
+    scale[scale == 0] = 1.0
+    codes = np.rint(v / scale[:, None]).astype(np.int8)
+    return Compressed(codes, scale, block_norms(v - scale[:, None] * codes, block).astype(np.float32), (v * v).sum(axis=1))
 
 
-def bounds(short: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Lower bounds of the squared distances of the vectors (rows) and centroids (columns) of these compressed forms."""
-    a, b = short.astype(np.float64), centres.astype(np.float64)
-    of_a, of_b = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
-    return of_a + of_b - 2 * (a @ b.T) - SLACK * (of_a + of_b)
+def bounds(short: Compressed, centres: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Lower bounds of the squared distances of compressed vectors (rows) and centroids (columns)."""
+    c = centres.astype(np.float64)
+    both = short.square[:, None] + (c * c).sum(axis=1)[None, :]
+    product = short.scale[:, None] * (short.codes.astype(np.float64) @ c.T) + short.rest.astype(np.float64) @ block_norms(c, block).T
+    return both - 2 * product - SLACK * both
 
 
 def distances(v: np.ndarray, centres: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -56,12 +71,12 @@ def distances(v: np.ndarray, centres: np.ndarray, rows: np.ndarray, which: np.nd
     return out
 
 
-def assign(v: np.ndarray, short: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assign(v: np.ndarray, short: Compressed, centres: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest centroid, of equal ones the first; squared distance; exact distances worked out) of each row."""
     n = len(v)
     if not n:
         return (np.zeros(0, dtype=np.int64),) * 3
-    bound = bounds(short, compressed(centres))
+    bound = bounds(short, centres, block)
     guess = bound.argmin(axis=1)
     every = np.arange(n)
     known = distances(v, centres, every, guess)
@@ -77,27 +92,35 @@ def assign(v: np.ndarray, short: np.ndarray, centres: np.ndarray) -> tuple[np.nd
 
 
 def prepared(vectors: DataFrame, id_col: str, vector_col: str, dims: int, scale: int, block: int) -> DataFrame:
-    """(id_, v, short): the usable vectors in integers, and their compressed form, written once for all rounds."""
+    """(v, codes, scale, square, rest, id_): the usable vectors in integers, and their compressed form, written once for
+    all rounds."""
     import pyarrow as pa
 
     vector = F.col(f"`{vector_col}`")
-    kept = vectors.where(usable(vector) & (F.size(vector) == dims)).select(F.col(f"`{id_col}`").alias("id_"), whole(vector, scale).alias("v"))
+    kept = vectors.where(usable(vector) & (F.size(vector) == dims)).select(whole(vector, scale).alias("v"), F.col(f"`{id_col}`").alias("id_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = compressed(matrix(b.column(1), dims), block)
-            ends = pa.array(np.arange(len(short) + 1, dtype=np.int32) * short.shape[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(short.reshape(-1)))], names=["id_", "v", "short"])
+            c = compressed(matrix(b.column(0), dims), block)
+            codes = pa.array([x.tobytes() for x in c.codes], pa.binary())
+            ends = pa.array(np.arange(len(c.rest) + 1, dtype=np.int32) * c.rest.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), codes, pa.array(c.scale), pa.array(c.square), pa.ListArray.from_arrays(ends, pa.array(c.rest.reshape(-1))), b.column(1)], names=["v", "codes", "scale", "square", "rest", "id_"])
+
+    return materialize(kept.mapInArrow(run, f"v array<long>, codes binary, scale double, square double, rest array<float>, id_ {kept.schema['id_'].dataType.simpleString()}"), "norms")
+
 
-    return materialize(kept.mapInArrow(run, f"id_ {kept.schema['id_'].dataType.simpleString()}, v array<long>, short array<float>"), "norms")
+#: What a round reads of prepared().
+SHORT = ["v", "codes", "scale", "square", "rest"]
 
 
-def _batch(b, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def _batch(b, dims: int) -> tuple[np.ndarray, Compressed]:
     v = matrix(b.column(0), dims)
-    return v, b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int8).reshape(-1, dims)
+    rest = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    return v, Compressed(codes, b.column(2).to_numpy(), rest, b.column(3).to_numpy())
 
 
-def sums(table: DataFrame, centres: np.ndarray) -> DataFrame:
+def sums(table: DataFrame, centres: np.ndarray, block: int = BLOCK) -> DataFrame:
     """(cluster, at, n, total): each cluster's number of vectors and sums of components; tasks add up their own first."""
     import pyarrow as pa
 
@@ -107,7 +130,7 @@ def sums(table: DataFrame, centres: np.ndarray) -> DataFrame:
         n, total = np.zeros(k, dtype=np.int64), np.zeros((k, dims), dtype=np.int64)
         for b in batches:
             v, short = _batch(b, dims)
-            cluster = assign(v, short, centres)[0]
+            cluster = assign(v, short, centres, block)[0]
             n += np.bincount(cluster, minlength=k)
             np.add.at(total, cluster, v)
         some = np.flatnonzero(n)
@@ -115,7 +138,7 @@ def sums(table: DataFrame, centres: np.ndarray) -> DataFrame:
         of = np.repeat(some, dims)
         yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(at), pa.array(n[of]), pa.array(total[some].reshape(-1))], names=["cluster", "at", "n", "total"])
 
-    parts = table.select("v", "short").mapInArrow(run, "cluster int, at int, n long, total long")
+    parts = table.select(*SHORT).mapInArrow(run, "cluster int, at int, n long, total long")
     return parts.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
@@ -139,16 +162,16 @@ def clusters(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         return vectors.sparkSession.createDataFrame([], f"`{id_col}` {kind}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string, n_exact long")
     centres = np.array([r["v"] for r in first], dtype=np.int64)
     for _ in range(rounds):
-        for r in sums(table, centres).collect():  # dims rows for each centroid
+        for r in sums(table, centres, block).collect():  # dims rows for each centroid
             centres[r["cluster"], r["at"]] = r["total"] // r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, short = _batch(b, dims)
-            cluster, distance, exact = assign(v, short, centres)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cluster.astype(np.int32)), pa.array(distance), pa.array(exact.astype(np.int64))], names=["id_", "cluster", "distance", "n_exact"])
+            cluster, distance, exact = assign(v, short, centres, block)
+            yield pa.RecordBatch.from_arrays([b.column(5), pa.array(cluster.astype(np.int32)), pa.array(distance), pa.array(exact.astype(np.int64))], names=["id_", "cluster", "distance", "n_exact"])
 
-    found = table.select("v", "short", "id_").mapInArrow(run, f"id_ {kind}, cluster int, distance long, n_exact long")
+    found = table.select(*SHORT, "id_").mapInArrow(run, f"id_ {kind}, cluster int, distance long, n_exact long")
     found = materialize(found, "clusters")
     discard(table)
     sizes = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
