@@ -274,5 +274,5 @@ def image_sizes(files: DataFrame) -> DataFrame:
 
 
 def encoded(files: DataFrame) -> DataFrame:
-    """(path, base64) of binary files."""
-    return files.select("path", F.base64("content").alias("base64"))
+    """(path, base64) of binary files, in one line each: Spark breaks those of more than 76 characters."""
+    return files.select("path", F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("base64"))

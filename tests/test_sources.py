@@ -102,6 +102,14 @@ def test_image_sizes(spark):
     assert [tuple(r) for r in readers.image_sizes(df).collect()] == [("p", 640, 480)]
 
 
+def test_encoded_files_are_in_one_line(spark):
+    import base64
+
+    content = {"short": b"x", "long": bytes(range(256)), "none": None}
+    rows = spark.createDataFrame(list(content.items()), "path string, content binary")
+    assert dict(readers.encoded(rows).collect()) == {k: v if v is None else base64.b64encode(v).decode() for k, v in content.items()}
+
+
 def test_standardize(spark):
     qa = json.dumps({"1": {"question": "q", "answers": [{"value": "v", "page": 3}]}, "2": {"question": "r", "answers": [{"value": "w", "page": "x"}]}})
     raw = spark.createDataFrame([("d", ["p"], "train", qa), ("e", ["p"], "train", "{bad")], "docId string, document array<string>, data_split string, qa string")
