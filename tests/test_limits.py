@@ -243,3 +243,15 @@ def test_few_shot_of_many_complexities(spark, k):
     for q in rows:
         best = sorted((p for p in rows if p[3] != q[3]), key=lambda p: (-(p[1] == q[1]), -jaccard(p[2], q[2]), p[0]))[:k]
         assert [i for _, i in sorted(got.get(q[0], []))] == [p[0] for p in best]
+
+
+def test_answers_of_crowded_pages_come_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(corruption, "PAIRS", 50)
+    texts, asked = ["red bolt", "Red_ ring", "old nut", None], ["red_", "RED", "nut", "", None, "zinc"]
+    objects = spark.createDataFrame([(p, i, texts[i % 4]) for p in (1, 2, None) for i in range(40)], "page int, obj_ord int, text string")
+    answers = spark.createDataFrame([(i, p, i, asked[i % 6]) for p in (2, 3, None) for i in range(30)], "qid int, page int, ans_ord int, answer string")
+    form = lambda x: x.lower().replace(" ", "").replace("_", "")
+    wanted = [(2, i, texts[i % 4], j, j, asked[j % 6]) for i in range(40) for j in range(30) if None not in (texts[i % 4], asked[j % 6]) and form(asked[j % 6]) in form(texts[i % 4])]
+    found = corruption.answer_locations(objects, answers)
+    assert found.columns == ["page", "obj_ord", "text", "qid", "ans_ord", "answer"]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
