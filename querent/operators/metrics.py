@@ -202,15 +202,22 @@ def metric_suite(questions: DataFrame, windows: DataFrame, entities: DataFrame,
 
     windows (qid, pages, is_unable), entities (qid, ord, text, object_type, macro, quadrant) that are corrupted, patches and
     objects as for marked_windows(). Each table is brought to one row a question, the rows are joined on it, and
-    all slices of a question are made inside its row; their counts are summed up once.
+    suite_counts() makes all slices of a question inside its row.
     """
     visual = F.col("layout_type").isin(*VISUAL_TYPES)
     w = windows.groupBy("qid").agg(F.collect_list(F.struct("pages", "is_unable")).alias("w"))
     e = entities.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "object_type", "macro", "quadrant"))).alias("e"))
     o = objects.groupBy("qid").agg(F.count_if(visual).alias("visual"), F.count_if(~visual).alias("other"), F.collect_list(F.when(visual, F.col("page"))).alias("visual_pages"))
     rows = questions.join(w, "qid", "left").join(e, "qid", "left").join(o, "qid", "left").join(held_objects(patches, entities), "qid", "left")
+    return whole_suite(suite_counts(rows))
+
+
+def suite_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, metric, bucket, complexity, n, hits) of what there is, over questions (by, complexity, w, e, visual, other, visual_pages,
+    held) that have all in one row, see metric_suite(); nulls stand for none. Slices are summed up by complexity, and
+    only those sums once more over all."""
     kinds = {c: rows.schema[c].dataType for c in ("w", "e", "visual_pages", "held")}
-    rows = rows.select("complexity", F.coalesce("visual", F.lit(0)).alias("visual"), F.coalesce("other", F.lit(0)).alias("other"), *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in kinds.items()))
+    rows = rows.select(*by, "complexity", F.coalesce("visual", F.lit(0)).alias("visual"), F.coalesce("other", F.lit(0)).alias("other"), *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in kinds.items()))
     rows = rows.withColumn("m", F.transform("w", lambda x: marks(x, F.col("held"), F.col("visual_pages"))))
     rows = rows.withColumn("firsts", F.filter("e", lambda x, i: ~F.exists(F.slice("e", 1, i), lambda y: y["text"] == x["text"])))
     n, unable = F.size("w").cast("long"), F.size(F.filter("w", lambda x: x["is_unable"])).cast("long")
@@ -232,15 +239,21 @@ def metric_suite(questions: DataFrame, windows: DataFrame, entities: DataFrame,
 
     made += both("DE", "firsts", "object_type") + both("NLPE", "e", "macro")
     made.append(F.transform("e", lambda x: slice_("QUR_QP", x["quadrant"], one, all_unable)))
-    slices = rows.select("complexity", F.explode(F.concat(*made)).alias("s")).select("complexity", "s.*")
+    slices = rows.select(*by, "complexity", F.explode(F.concat(*made)).alias("s")).select(*by, "complexity", "s.*")
+    parts = slices.groupBy(*by, "metric", "bucket", "complexity").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     found = (
-        slices.groupingSets([["metric", "bucket"], ["metric", "bucket", "complexity"]], "metric", "bucket", "complexity")
+        parts.groupingSets([[*by, "metric", "bucket"], [*by, "metric", "bucket", "complexity"]], *by, "metric", "bucket", "complexity")
         .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.grouping("complexity").alias("all_"))
         .withColumn("complexity", F.when(F.col("all_") == 1, 0).otherwise(F.col("complexity")).cast("int"))
         .where((F.col("all_") == 1) | F.col("complexity").isin(*COMPLEXITIES)).drop("all_"))
+    return found.select(*by, "metric", "bucket", "complexity", "n", "hits")
+
+
+def whole_suite(counts: DataFrame) -> DataFrame:
+    """suite_counts() with a row for each fixed bucket and complexity, and the rates."""
     zeros = [(m, b, c) for m, bs in SUITE.items() for b in ((None,) if bs is None else bs) for c in (0, *COMPLEXITIES)]
-    frame = questions.sparkSession.createDataFrame(zeros, "metric string, bucket string, complexity int").select("*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("hits"))
-    whole = found.select("metric", "bucket", "complexity", "n", "hits").unionByName(frame).groupBy("metric", "bucket", "complexity").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    frame = counts.sparkSession.createDataFrame(zeros, "metric string, bucket string, complexity int").select("*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("hits"))
+    whole = counts.select("metric", "bucket", "complexity", "n", "hits").unionByName(frame).groupBy("metric", "bucket", "complexity").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return whole.withColumn("value", F.when(F.col("n") > 0, F.col("hits") / F.col("n")))
 
 
