@@ -255,7 +255,8 @@ def prompt_with_text(t: Tables) -> DataFrame:
 
 
 def suite(t: Tables) -> DataFrame:
-    return B.metric_suite(t)
+    """The suite as a table of its own: the parts of a report read it several times."""
+    return incremental.written(B.metric_suite(t), "suite")
 
 
 SUITE = f"suite AS ({B.suite_sql()}), known AS (SELECT metric, bucket, complexity, n, hits, coalesce(value, 0) AS value FROM suite)"

@@ -36,3 +36,17 @@ def test_a_half_written_version_is_passed_over(spark, tmp_path):
     assert total(store.combined()) == (3, 1, 1 / 3)
     store.put("a", rows(spark, (4, 0)))
     assert total(store.combined()) == (4, 0, 0.0)
+
+
+def test_suite_reads_the_lines_once_and_equals_that_of_separate_tables(spark):
+    from querent.operators import metrics as M
+    from querent.plans import registry
+
+    B, data = registry.metric_queries, "/root/testdata/sf0.001"
+    suite = registry.QUERIES["metric_suite"](spark, data)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    assert scans(suite) == 1
+    for name in ("summary_qur", "summary_ur", "in_page_tables", "stored_metrics"):
+        assert scans(registry.QUERIES[name](spark, data)) == 0, name
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(suite) == rows(M.metric_suite(*B.suite_inputs(registry.Tables(spark, data))))
