@@ -262,7 +262,7 @@ def containment_form(t: Tables) -> DataFrame:
 @query(f"""{K.POOLS}, x AS (SELECT qid, ord, count(*) AS n FROM pools GROUP BY ALL) SELECT qid, CAST(sum(n) AS BIGINT) AS variants FROM x GROUP BY qid""")
 def variants_of_one(t: Tables) -> DataFrame:
     questions = t.orders.select(F.col("o_orderkey").alias("qid"), F.lit("").alias("question"))
-    return C.corrupt(questions, K.lines(t), K.pools(t), complexity=1).groupBy("qid").agg(F.count("*").alias("variants"))
+    return C.corrupt(questions, K.lines(t), K.entity_pools(t), complexity=1).groupBy("qid").agg(F.count("*").alias("variants"))
 
 
 @query("""WITH o AS (SELECT l_orderkey AS qid, l_linenumber AS page, string_agg(p_name, chr(10) ORDER BY l_suppkey % 5, l_partkey % 9, p_name) AS text FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)

@@ -255,3 +255,13 @@ def test_answers_of_crowded_pages_come_in_shares(spark, monkeypatch):
     found = corruption.answer_locations(objects, answers)
     assert found.columns == ["page", "obj_ord", "text", "qid", "ans_ord", "answer"]
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_pools_in_one_row_an_entity_give_the_same_variants(spark):
+    entities = spark.createDataFrame([(q, o, f"t{(q + o) % 4}", "l" if o < 4 else "none") for q in range(5) for o in range(q + 1)], "qid int, ord int, text string, label string")
+    candidates = spark.createDataFrame([("l", i, f"T{i % 7}") for i in range(20)] + [("other", 0, "x")], "label string, cand_ord int, cand_text string")
+    questions = spark.createDataFrame([(q, "t0 t1 t2 t3") for q in range(5)], "qid int, question string")
+    rows = lambda pools: sorted(map(str, corruption.corrupt(questions, entities, pools, complexity=3).collect()))
+    held = corruption.entity_pools(entities, candidates, [])
+    assert rows(held) == rows(corruption.candidate_pools(entities, candidates, []))
+    assert held.count() == entities.where("label = 'l'").count() and set(map(len, (r["replacements"] for r in held.collect()))) == {5}
