@@ -180,6 +180,8 @@ def analyse_pages(documents: DataFrame, images: DataFrame, cache: DataFrame, det
     else by detect, which sees each missing page once. Pages without objects have no row."""
     from querent.sources.readers import through_cache
 
-    pages = documents.select("qid", F.posexplode("document").alias("page_ord", "path")).join(images.select("path").distinct(), "path", "left_semi")
-    found = through_cache(pages, cache, detect, "path", "objects")
-    return pages.join(found, "path").where(F.size("objects") > 0).select("qid", "page_ord", "path", "objects")
+    pages = documents.select("qid", F.posexplode("document").alias("page_ord", "path"))
+    # the distinct pages are written: cache and detect don't go over the documents again
+    wanted = written(pages.select("path").distinct().join(images.select("path"), "path", "left_semi"), "wanted")
+    found = written(through_cache(wanted, cache, detect, "path", "objects").where(F.size("objects") > 0), "objects")
+    return pages.join(found, "path").select("qid", "page_ord", "path", "objects")

@@ -265,3 +265,12 @@ def test_pools_in_one_row_an_entity_give_the_same_variants(spark):
     held = corruption.entity_pools(entities, candidates, [])
     assert rows(held) == rows(corruption.candidate_pools(entities, candidates, []))
     assert held.count() == entities.where("label = 'l'").count() and set(map(len, (r["replacements"] for r in held.collect()))) == {5}
+
+
+def test_analyse_pages_goes_over_the_documents_once_for_its_rows(spark):
+    documents = spark.createDataFrame([(1, ["a", "b", None, "a"]), (2, ["c", "gone", "d"]), (3, []), (4, None)], "qid long, document array<string>")
+    images = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), ("unused",)], "path string")
+    cache = spark.createDataFrame([("a", ["x"]), ("b", []), ("c", None), ("gone", ["y"])], "path string, objects array<string>")
+    out = models.analyse_pages(documents, images, cache, lambda df: df.select("path", F.array(F.lit("found")).alias("objects")))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "a", ["x"]), (1, 3, "a", ["x"]), (2, 0, "c", ["found"]), (2, 2, "d", ["found"])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
