@@ -9,6 +9,7 @@ pairs; cutting is expressions on the texts, with each text's doubtful places loo
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,36 +23,40 @@ ABBREVIATION, STARTER, COLLOCATION, SURE = 0.3, 30.0, 7.88, 0.99
 #: Tables of up to so many rows, which are counted, are broadcast.
 BROADCAST_ROWS = 200_000
 
+#: Marks that can end a sentence, what may close a token after one, and what the pattern \s takes for white space.
+ENDS, CLOSES, SPACES = ".!?", "\"')]", " \t\n\x0b\f\r"
 #: What opens and closes a token beside the word itself, a word with full stops inside, and white space.
-OPENING, CLOSING, WORD, BLANK = r"""^["'(\[]+""", r"""["')\],;:]+$""", r"^\p{L}+(\.\p{L}+)*$", r"[ \t\n\r\f]+"
+OPENING, CLOSING, WORD, BLANK = "\"'([", "\"')],;:", r"^\p{L}+(\.\p{L}+)*$", r"[ \t\n\r\f]+"
 
 
 def bare(token: Column) -> Column:
     """A token in lower case without what opens and closes it."""
-    return F.lower(F.regexp_replace(F.regexp_replace(token, OPENING, ""), CLOSING, ""))
+    return F.lower(F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING)))
 
 
-def tokens(df: DataFrame, text: str) -> DataFrame:
-    """(word, dot, token, before): each token of the texts in lower case without a last full stop, whether it has one, the
-    token as it is, and the token before it in its text."""
-    # a let: the array of words is worked out once, not once for each use
-    words = F.transform(F.array(F.filter(F.split(text, BLANK, -1), lambda w: w != "")), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("token"), F.get(w, i - 1).alias("before"))))
-    one = df.where(F.col(text).isNotNull()).select(F.explode(F.get(words, F.lit(0))).alias("t")).select("t.token", "t.before")
-    low = bare(F.col("token"))
-    return one.select(F.regexp_replace(low, r"\.$", "").alias("word"), F.endswith(low, F.lit(".")).alias("dot"), "token", "before")
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """(token, before, follows, n): how often each token of the texts comes, after each token that can end a sentence (else
+    `before` is null), and whether it follows another token within a sentence. Patterns look at these rows only, not
+    at each token of the texts."""
+    words = df.where(F.col(text).isNotNull()).select(F.split(text, BLANK, -1).alias("w"))
+    one = words.select("w", F.posexplode("w").alias("i", "token")).where("token <> ''").select("token", F.get("w", F.col("i") - 1).alias("last"))
+    has = lambda c, marks: functools.reduce(Column.__or__, (F.endswith(c, F.lit(m)) for m in marks))
+    one = one.withColumn("open", F.when(has("last", CLOSES), F.rtrim("last", F.lit(CLOSES))).otherwise(F.col("last")))
+    follows = F.coalesce((F.col("last") != "") & ~has("open", ENDS + ":"), F.lit(False))
+    return one.select("token", F.when(has("open", ENDS), F.col("last")).alias("before"), follows.alias("follows")).groupBy("token", "before", "follows").agg(F.count("*").alias("n"))
 
 
-def ends(token: Column) -> Column:
-    """Whether a token ends with a mark that can end a sentence, maybe within quotes or brackets."""
-    return F.coalesce(token.rlike(r"""[.!?]["')\]]*$"""), F.lit(False))
+def plain(low: Column) -> Column:
+    """A bare token without its last full stop."""
+    return F.when(F.endswith(low, F.lit(".")), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
 
 
 def capital(token: Column) -> Column:
-    return F.regexp_replace(token, OPENING, "").rlike(r"^\p{Lu}")
+    return F.ltrim(token, F.lit(OPENING)).rlike(r"^\p{Lu}")
 
 
 def small_letter(token: Column) -> Column:
-    return F.regexp_replace(token, OPENING, "").rlike(r"^\p{Ll}")
+    return F.ltrim(token, F.lit(OPENING)).rlike(r"^\p{Ll}")
 
 
 def log_odds(k: Column, n: Column, p: Column) -> Column:
@@ -85,10 +90,16 @@ def few(df: DataFrame) -> DataFrame:
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, dotted, plain, small, inside): how often each word comes with and without a full stop, in small letters, and
     with a capital inside a sentence."""
-    yes = lambda c: F.sum(c.cast("long"))
-    t = tokens(df, text)
-    inside = capital(F.col("token")) & F.col("before").isNotNull() & ~F.coalesce(F.col("before").rlike(r"""[.!?:]["')\]]*$"""), F.lit(False))
-    return t.groupBy("word").agg(yes(F.col("dot")).alias("dotted"), yes(~F.col("dot")).alias("plain"), yes(small_letter(F.col("token"))).alias("small"), yes(inside).alias("inside"))
+    return words_of(token_counts(df, text))
+
+
+def words_of(counted: DataFrame) -> DataFrame:
+    """word_counts() of the rows of token_counts()."""
+    low = bare(F.col("token"))
+    t = counted.select(low.alias("low"), "n", "follows", capital(F.col("token")).alias("capital"), small_letter(F.col("token")).alias("small"))
+    t = t.select(plain(F.col("low")).alias("word"), F.endswith("low", F.lit(".")).alias("dot"), "n", "small", (F.col("capital") & F.col("follows")).alias("within"))
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return t.groupBy("word").agg(of(F.col("dot")).alias("dotted"), of(~F.col("dot")).alias("plain"), of(F.col("small")).alias("small"), of(F.col("within")).alias("inside"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -107,20 +118,21 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 def learn(df: DataFrame, text: str = "text") -> Model:
     """The model of all texts. Null and empty texts have no words; repeated texts count as often as they occur; of an empty
     table nothing is known, and every candidate is a boundary."""
-    counts = written(word_counts(df, text), "words")
+    counted = written(token_counts(df, text), "tokens")
+    counts = written(words_of(counted), "words")
     total = counts.agg(F.sum(F.col("dotted") + F.col("plain"))).first()[0] or 0
     stops = counts.where(F.col("word").rlike(r"^\p{L}$") & (F.col("dotted") > 0)).select("word", F.lit("initial").alias("kind"))
     found = abbreviations(counts).select("word", F.lit("abbreviation").alias("kind"))
     stops = written(stops.union(found.join(stops, "word", "left_anti")), "stops")
     capitals = counts.where("small > 0 and inside = 0").select("word")
     # pairs across a mark that can end a sentence
-    across = tokens(df, text).where(ends(F.col("before"))).select(bare(F.col("before")).alias("b"), "word")
-    pairs = across.groupBy("b", "word").agg(F.count("*").alias("n"))
-    pairs = written(pairs.select(F.regexp_replace("b", r"\.$", "").alias("first"), F.endswith("b", F.lit(".")).alias("dot"), "word", "n"), "pairs")
+    across = counted.where(F.col("before").isNotNull()).select(bare(F.col("before")).alias("b"), bare(F.col("token")).alias("low"), "n")
+    pairs = across.select("b", plain(F.col("low")).alias("word"), "n").groupBy("b", "word").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.select(plain(F.col("b")).alias("first"), F.endswith("b", F.lit(".")).alias("dot"), "word", "n"), "pairs")
     known = few(stops.select(F.col("word").alias("first"), "kind"))
     pairs = pairs.join(known, "first", "left")
     number = F.col("first").rlike(r"^[0-9]+$")
-    sure = pairs.where(~F.col("dot") | (F.col("kind").isNull() & ~number)).groupBy("word").agg(F.sum("n").alias("both"))
+    sure = written(pairs.where(~F.col("dot") | (F.col("kind").isNull() & ~number)).groupBy("word").agg(F.sum("n").alias("both")), "sure")
     breaks = sure.agg(F.sum("both")).first()[0] or 0
     every = counts.select("word", (F.col("dotted") + F.col("plain")).alias("all_"))
     starts = sure.join(every, "word").where(F.col("word").rlike(WORD) & (F.col("both") / F.lit(max(breaks, 1)) > F.col("all_") / F.lit(max(total, 1))))
@@ -133,38 +145,44 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     return Model(stops, starters, capitals, written(found.select("first", F.col("word").alias("second")), "collocations"))
 
 
-def judged(places: DataFrame, model: Model) -> DataFrame:
-    """places (…, last, next: the tokens on both sides of a candidate) with `ok`: whether a sentence ends there."""
-    low = bare(F.col("last"))
-    p = places.withColumn("_first", F.when(F.endswith(low, F.lit(".")), F.regexp_replace(low, r"\.$", ""))).withColumn("_second", F.regexp_replace(bare(F.col("next")), r"\.$", ""))
+def inside(places: DataFrame, model: Model) -> DataFrame:
+    """Of places (…, last, next: the tokens on both sides of a candidate) those where no sentence ends."""
+    p = places.withColumns({"_first": bare(F.col("last")), "_second": bare(F.col("next"))}).where(F.endswith("_first", F.lit(".")))
+    p = p.withColumns({c: plain(F.col(c)) for c in ("_first", "_second")})
     stops = few(model.stops.select(F.col("word").alias("_first"), F.col("kind").alias("_kind")))
-    starters = few(model.starters.select(F.col("word").alias("_second"), F.lit(True).alias("_starts")))
     pairs = few(model.collocations.select(F.col("first").alias("_first"), F.col("second").alias("_second"), F.lit(True).alias("_pair")))
-    p = p.join(stops, "_first", "left").join(starters, "_second", "left").join(pairs, ["_first", "_second"], "left")
-    # only places after an abbreviation need to know more of the next word
-    asked = model.capitals.select(F.col("word").alias("_second"), F.lit(True).alias("_sure"))
-    p = p.withColumn("_ask", F.when(F.col("_kind") == "abbreviation", F.col("_second")))
-    p = p.join(asked.withColumnRenamed("_second", "_ask"), "_ask", "left")
-    begins = F.coalesce("_starts", F.lit(False)) | ((F.col("_kind") == "abbreviation") & F.coalesce("_sure", F.lit(False)) & capital(F.col("next")))
-    ok = F.when(F.coalesce("_pair", F.lit(False)), False).when(F.col("_kind").isNotNull(), begins).otherwise(True)
-    return p.withColumn("ok", ok).drop("_first", "_second", "_kind", "_starts", "_pair", "_sure", "_ask")
+    p = p.join(stops, "_first", "left").join(pairs, ["_first", "_second"], "left").where("_pair OR _kind IS NOT NULL")
+    starters = few(model.starters.select(F.col("word").alias("_second"), F.lit(True).alias("_starts")))
+    p = p.join(starters, "_second", "left").where("_pair OR _starts IS NULL")
+    # only places after an abbreviation need to know more of the next word; a word has no blank, so others find nothing
+    asks = F.col("_pair").isNull() & (F.col("_kind") == "abbreviation") & capital(F.col("next"))
+    p = p.withColumn("_ask", F.when(asks, F.col("_second")).otherwise(F.concat(F.lit(" "), "_first", F.lit(" "), "_second")))
+    return p.join(model.capitals.select(F.col("word").alias("_ask")), "_ask", "left_anti").select(places.columns)
 
 
 def split(df: DataFrame, model: Model, text: str = "text", into: str = "sentences") -> DataFrame:
     """df with its texts' sentences as array<string>: cut at the candidates of functions.text.sentences() that the model
-    doesn't take for the inside of a sentence, whose white space stays as it is. Null texts have null. Equal texts
-    are judged once."""
-    mark = "\u0001"
+    doesn't take for the inside of a sentence, whose white space stays as it is. Null texts have null.
+
+    Only the places inside sentences come back to the texts, by the text's hash: they are few."""
     key = F.md5(F.col(text))
-    own = df.withColumn("_key", key)
-    several = own.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text).alias("_text"))
-    cut = several.select("_key", pieces_of("_text").alias("p")).where(F.size("p") > 1)
-    place = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.regexp_extract(F.get("p", i), r"(\S+)\s*$", 1).alias("last"), F.regexp_extract(F.get("p", i + 1), r"^(\S+)", 1).alias("next"))))
-    doubtful = cut.select("_key", place.alias("i", "s")).select("_key", "i", "s.last", "s.next")
-    found = judged(doubtful, model).groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ok"))), lambda x: x["ok"]).alias("_ok"))  # of one text
-    met = own.join(found, "_key", "left").withColumn("_p", pieces_of(text))
-    glued = F.array_join(F.transform("_p", lambda s, i: F.when(F.coalesce(F.get("_ok", i), F.lit(False)), F.concat(F.regexp_replace(s, r"\s+$", ""), F.lit(mark))).otherwise(s)), "")
-    return met.withColumn(into, F.split(glued, mark, -1)).drop("_key", "_ok", "_p")
+    several = df.where(F.col(text).isNotNull()).select(key.alias("_key"), pieces_of(text).alias("_p"))
+    one = several.select("_key", "_p", F.posexplode("_p").alias("i", "next")).where("i > 0")
+    before = F.get("_p", F.col("i") - 1)
+    # the last token is looked for from the end, as a search from the begin would try each place of the piece
+    places = one.select("_key", (F.col("i") - 1).alias("i"), F.reverse(F.regexp_extract(F.reverse(before), r"^\s*(\S+)", 1)).alias("last"), F.regexp_extract("next", r"^(\S+)", 1).alias("next"))
+    found = written(inside(places, model).groupBy("_key").agg(F.collect_set("i").alias("_in")), "inside")  # of one text
+    met = df.withColumn("_key", key).join(found, "_key", "left").withColumn("_p", pieces_of(text))
+    # the pieces that end a sentence, counted from 0
+    ends = F.array_except(F.sequence(F.lit(0), F.size("_p") - 1), F.coalesce("_in", F.array().cast("array<int>")))
+
+    def sentence(end: Column, i: Column) -> Column:
+        begin = F.when(i > 0, F.get("_ends", i - 1) + 1).otherwise(0)
+        whole = F.array_join(F.slice("_p", begin + 1, end - begin + 1), "")
+        return F.when(end < F.size("_p") - 1, F.rtrim(whole, F.lit(SPACES))).otherwise(whole)
+
+    cut = met.withColumn("_ends", F.when(F.col("_p").isNotNull(), ends)).withColumn(into, F.transform("_ends", sentence))
+    return cut.drop("_key", "_in", "_p", "_ends")
 
 
 def pieces_of(column: str) -> Column:

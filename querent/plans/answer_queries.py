@@ -135,7 +135,7 @@ def sentence_boundaries(t: Tables) -> DataFrame:
     from querent.operators import sentences
 
     cut = sentences.split(t.documents.where("text is not null").select("doc_id", "text"), sentences.learn(t.documents))
-    words = F.transform("sentences", lambda s: F.size(F.filter(F.split(s, sentences.BLANK, -1), lambda w: w != "")).cast("long"))
+    words = F.transform("sentences", lambda s: F.size(F.array_remove(F.split(s, sentences.BLANK, -1), "")).cast("long"))
     return cut.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.aggregate(words, F.lit(0).cast("long"), lambda a, n: a + n * n).alias("squares"))
 
 

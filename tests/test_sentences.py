@@ -86,3 +86,20 @@ def test_log_likelihoods(spark):
     for case in ((3, 10, 5, 100), (10, 10, 10, 100), (1, 50, 60, 1000), (0, 5, 5, 40)):
         got = spark.range(1).select(sentences.surprise(*(F.lit(x) for x in case)).alias("x")).first()["x"]
         assert abs(got - plain(*case)) < 1e-9
+
+
+def test_patterns_see_distinct_tokens_and_white_space_is_of_one_kind(spark):
+    df = spark.createDataFrame([(" So Dr. Moss\tsaw (it).\n\"Dr. Moss\" saw: It!  ",)] * 50 + [(None,), ("",), (" \n",)], "text string")
+    got = {(r["token"], r["before"], r["follows"]): r["n"] for r in sentences.token_counts(df, "text").collect()}
+    first = [("So", None, False), ("Dr.", None, True), ("Moss", "Dr.", False), ("saw", None, True), ("(it).", None, True), ('"Dr.', "(it).", False), ('Moss"', '"Dr.', False), ("saw:", None, True), ("It!", None, False)]
+    assert got == dict.fromkeys(first, 50)
+    words = {r["word"]: tuple(r)[1:] for r in sentences.word_counts(df).collect()}
+    assert words["dr"] == (100, 0, 0, 50) and words["it)"] == (50, 0, 50, 0) and words["saw"] == (0, 100, 100, 0) and words["moss"] == (0, 100, 0, 0)
+
+
+def test_only_doubtful_places_meet_the_words_with_capitals(spark):
+    """Places behind no abbreviation have no word to look up: they must not come to one task by an empty key."""
+    df = spark.createDataFrame([(i, t) for i, _, t in corpus()], "id long, text string")
+    model = sentences.learn(df)
+    places = spark.createDataFrame([("so!", "Then"), ("feet.", "The"), ("Dr.", "Moss"), ("Dr.", "Then"), ("J.", "Hale"), ("?", "It")], "last string, next string")
+    assert sorted(map(tuple, sentences.inside(places, model).collect())) == [("Dr.", "Moss"), ("J.", "Hale")]
