@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType
 
 from querent.llm.common import materialize
 
@@ -177,10 +178,12 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
 def cutoffs(scanned: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
     """The least evidence at which a token of each class of lengths is a discovery (Benjamini-Hochberg).
 
+    The tokens of a row are in one array, or in one for each stretch as scan() gives them.
     Tokens are counted by class and evidence: as many rows as those have values, whatever the input.
     Rounding evidence down makes the control stricter, never weaker.
     """
-    counted = scanned.select(F.explode(F.flatten("_querent_tokens")).alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
+    several = isinstance(scanned.schema["_querent_tokens"].dataType.elementType, ArrayType)
+    counted = scanned.select(F.explode(F.flatten("_querent_tokens") if several else F.col("_querent_tokens")).alias("t")).groupBy("t.class", "t.evidence").agg(F.count("*").alias("n"))
     up = W.partitionBy("class").orderBy(F.desc("evidence"))
     ranked = counted.select("class", "evidence", F.sum("n").over(up).alias("so_far"), F.sum("n").over(W.partitionBy("class")).alias("all"))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("evidence") / 10) <= share * F.col("so_far") / F.col("all"))
