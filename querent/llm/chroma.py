@@ -24,15 +24,19 @@ MOST_ERRORS = 0.15
 #: Every recording whose id is divisible by this is looked for among all.
 QUERY_EVERY = 20
 #: Codes of a block of recordings that are looked for, and of a block of those they are looked for in.
-QUERY_CODES, BLOCK_CODES = 1 << 17, 1 << 19
+QUERY_CODES, BLOCK_CODES = 1 << 18, 1 << 20
 #: Two codes vote for their offset if at most so many bits differ. Errors can't be above their average everywhere, so
 #: wherever two recordings align at least one integer votes.
 NEAR = int(32 * MOST_ERRORS)
 #: Codes are looked up by two parts of their bits, (first bit, bits, bits that may differ): if more differ in both, more
 #: than NEAR differ. The longer part may differ in more, which leaves the fewest codes to compare.
 PARTS = ((0, 18, NEAR // 2), (18, 14, NEAR - NEAR // 2 - 1))
-#: Pairs of codes that are compared at once, and how many of them cost as much as two recordings at one offset.
-VOTES, WORTH = 1 << 21, 2
+#: A vote counts if another integer so far away in both recordings agrees as well: (places away, bits of both together
+#: that may differ). Integers that far apart share few frames, so hardly any vote of chance has another one beside it.
+PARTNERS = ((LEAST_OVERLAP // 2, int(64 * MOST_ERRORS)), (-(LEAST_OVERLAP // 2), int(64 * MOST_ERRORS)), (LEAST_OVERLAP // 2 * 2, 2 * NEAR))
+#: Votes that are looked at together, pairs of codes that are compared at once (as many as a processor's cache holds), and
+#: how many of them cost as much as two recordings at one offset.
+VOTES, AT_ONCE, WORTH = 1 << 18, 1 << 16, 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -110,15 +114,18 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
 
     Recordings with equal codes form a class, named by its smallest id. Every class that has an id divisible
     by QUERY_EVERY is looked for among all others. Two codes of which at most NEAR bits differ vote for the
-    offset at which they meet; every offset with a vote and LEAST_OVERLAP integers is verified by the share of
-    differing bits over the whole overlap. n_links counts the classes that align, best_ is the one
+    offset at which they meet, if one of their PARTNERS agrees; every offset with a vote and LEAST_OVERLAP integers is
+    verified by the share of differing bits over the whole overlap. n_links counts the classes that align, best_ is the one
     with the fewest errors (then the smallest class, then offset); offset is the other's position less the
     query's. Both are null for classes without query or link. Copies are never paired with each other, so their
     number doesn't matter.
 
-    All classes are indexed, in blocks, and the query classes are looked up in each block. No alignment is missed: a
-    share of at most MOST_ERRORS over the overlap means that at least one of its integers has at most NEAR wrong
-    bits, so one of its PARTS has at most as many as are looked up there.
+    All classes are indexed, in blocks, and the query classes are looked up in each block. No alignment is missed.
+    Deal the integers of the overlap to LEAST_OVERLAP / 2 rows, each of every so many-th integer; one row, of m >= 2
+    integers, has a share of at most MOST_ERRORS, 4.8 bits an integer. Either two neighbours in the row have at most 9
+    wrong bits together, so one of them at most NEAR; or each two have 10 or more, so m is odd (an even row would have
+    5 m), and as the others make neighbours, its first and third integer have at most 4.8 m - 5 (m - 1) < 5, that is
+    NEAR each. An integer of at most NEAR wrong bits has at most as many in one of its PARTS as are looked up there.
 
     Null or empty codes are a class that aligns with nothing; ids keep their type, of which those that are no
     whole numbers are no queries and null is never the smallest; repeated rows stay; an empty table gives an
@@ -137,7 +144,8 @@ def align(prints: DataFrame, id_col: str = "id") -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = long.where("asks").select("key", "codes", block(n_q).alias("q_block"), every(n_r).alias("r_block"), F.lit(0).alias("side"))
     right = long.select("key", "codes", every(n_q).alias("q_block"), block(n_r).alias("r_block"), F.lit(1).alias("side"))
-    met = left.union(right).groupBy("q_block", "r_block").applyInArrow(_compare, "q long, r long, errors double, offset long")
+    dealt = left.union(right).repartition(4 * n_q * n_r, "q_block", "r_block")  # a number of its own, else few tasks get all blocks
+    met = dealt.groupBy("q_block", "r_block").applyInArrow(_compare, "q long, r long, errors double, offset long")
     good = materialize(met, "links")
     names = classes.select(F.col("key").alias("r"), F.col("class").alias("best_class"))
     best = good.join(names, "r").groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "best_class", "offset")).alias("best"))
@@ -185,8 +193,8 @@ def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, n
     Queries with more pairs of codes to compare than it takes to try all offsets are compared at all offsets, which gives
     the same pairs.
     """
-    out: list[tuple[np.ndarray, ...]] = []
     index, votes = [], np.zeros(len(q.flat), dtype=np.int64)
+    own, theirs = _beside(q, ~q.flat), _beside(r, r.flat)  # two that lack a partner never agree
     for shift, bits, ones in PARTS:
         masks = _masks(bits, ones)
         part = (r.flat >> np.uint32(shift)) & np.uint32((1 << bits) - 1)
@@ -197,29 +205,22 @@ def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, n
         for mask in masks:
             size += ends[(values ^ mask) + 1] - ends[values ^ mask]
         votes += size[which]
-        index.append((np.argsort(part, kind="stable"), ends, mine, masks))
+        order = np.argsort(part)
+        index.append((theirs.take(order, axis=1), order, ends, mine, masks))
     by_query = np.bincount(q.owner, weights=votes, minlength=len(q.codes))
     crowded = by_query > WORTH * (len(r.flat) + len(r.codes) * q.size)
-    for i in np.flatnonzero(crowded):
-        out.append(_everywhere(int(i), q, r))
+    out = [_everywhere(int(i), q, r) for i in np.flatnonzero(crowded)]
     posts = np.flatnonzero(~crowded[q.owner]) if len(q.flat) else np.zeros(0, dtype=np.int64)
-    for some in np.split(posts, np.flatnonzero(np.diff(votes[posts].cumsum() // VOTES)) + 1):
-        packed = []
-        for order, ends, mine, masks in index:
-            keys = (mine[some][:, None] ^ masks[None, :]).reshape(-1)
-            times = ends[keys + 1] - ends[keys]
-            asker = np.repeat(np.repeat(some, len(masks)), times)
-            hit = order[np.repeat(ends[keys] - (times.cumsum() - times), times) + np.arange(int(times.sum()))]
-            near = np.bitwise_count(q.flat[asker] ^ r.flat[hit]) <= NEAR
-            asker, hit = asker[near], hit[near]
-            packed.append(np.stack([q.owner[asker] * len(r.codes) + r.owner[hit], r.place[hit] - q.place[asker] + (1 << 31)]))
-        pair, offset = np.concatenate(packed, axis=1)
-        order = np.lexsort((offset, pair))  # a histogram of offsets for each pair
-        pair, offset = pair[order], offset[order]
-        first = np.ones(len(pair), dtype=bool)
-        first[1:] = (pair[1:] != pair[:-1]) | (offset[1:] != offset[:-1])
-        pair, offset = pair[first], offset[first] - (1 << 31)
-        out.append(_verified(pair // max(len(r.codes), 1), pair % max(len(r.codes), 1), offset, q, r))
+    waiting, n_waiting = [], 0
+    for some in index:
+        for asker, hit in _near(own, posts, *some):
+            waiting.append((asker, hit))
+            n_waiting += len(hit)
+            if n_waiting >= VOTES:
+                out.append(_verified(*_offsets(waiting, q, r), q, r))
+                waiting, n_waiting = [], 0
+    if waiting:
+        out.append(_verified(*_offsets(waiting, q, r), q, r))
     a, b, errors, offset = (np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(4))
     a, b, offset = a.astype(np.int64), b.astype(np.int64), offset.astype(np.int64)
     apart = q.names[a] != r.names[b]
@@ -231,6 +232,64 @@ def align_block(q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, n
     return a[first], b[first], errors[first].astype(float), offset[first]
 
 
+def _beside(x: Recordings, lacking: np.ndarray) -> np.ndarray:
+    """Columns of all codes and of each of their PARTNERS, of which those outside the recording are `lacking`."""
+    out = np.repeat(lacking[None, :], 1 + len(PARTNERS), axis=0)
+    out[0] = x.flat
+    for k, (away, _) in enumerate(PARTNERS, 1):
+        there = np.flatnonzero((x.place + away >= 0) & (x.place + away < np.repeat(x.size, x.size)))
+        out[k, there] = x.flat[there + away]
+    return out
+
+
+def _near(own: np.ndarray, posts: np.ndarray, posted: np.ndarray, order: np.ndarray, ends: np.ndarray, mine: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in own, place in order) of those that agree with a partner, of columns of _beside() with parts that are near
+    enough.
+
+    Queries' codes with the same part meet the same codes of the index, so these are brought together once and compared
+    with all of them.
+    """
+    posts = posts[np.argsort(mine[posts], kind="stable")]
+    values, start = np.unique(mine[posts], return_index=True)
+    for value, some in zip(values, np.split(posts, start[1:])):
+        low, high = ends[value ^ masks], ends[(value ^ masks) + 1]
+        times = high - low
+        at = np.repeat(high - times.cumsum(), times)
+        at += np.arange(len(at))
+        theirs, mines = posted.take(at, axis=1), own[:, some, None]
+        for j in range(0, len(at), AT_ONCE):
+            across = theirs[:, j : j + AT_ONCE]
+            rows = max(1, AT_ONCE // across.shape[1])
+            for i in range(0, len(some), rows):
+                wrong = np.bitwise_count(mines[0, i : i + rows] ^ across[0])
+                agree = np.zeros(wrong.shape, dtype=bool)
+                for k, (_, most) in enumerate(PARTNERS, 1):
+                    agree |= wrong + np.bitwise_count(mines[k, i : i + rows] ^ across[k]) <= most
+                found = np.flatnonzero(agree)
+                if len(found):
+                    row, column = np.divmod(found, across.shape[1])
+                    yield some[i + row], order[at[j + column]]
+
+
+def _offsets(votes: list[tuple[np.ndarray, np.ndarray]], q: Recordings, r: Recordings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, other, offset) of the votes (place in q, place in r) of which a partner within both recordings agrees, each once."""
+    asker, hit = (np.concatenate(x) for x in zip(*votes))
+    wrong, fine = np.bitwise_count(q.flat[asker] ^ r.flat[hit]), np.zeros(len(hit), dtype=bool)
+    for away, most in PARTNERS:
+        there = np.ones(len(hit), dtype=bool)
+        for x, at in ((q, asker), (r, hit)):
+            there &= (x.place[at] + away >= 0) & (x.place[at] + away < x.size[x.owner[at]])
+        there = np.flatnonzero(there)
+        fine[there] |= wrong[there] + np.bitwise_count(q.flat[asker[there] + away] ^ r.flat[hit[there] + away]) <= most
+    asker, hit = asker[fine], hit[fine]
+    pair, offset = q.owner[asker] * len(r.codes) + r.owner[hit], r.place[hit] - q.place[asker]
+    order = np.lexsort((offset, pair))  # a histogram of offsets for each pair
+    pair, offset = pair[order], offset[order]
+    first = np.ones(len(pair), dtype=bool)
+    first[1:] = (pair[1:] != pair[:-1]) | (offset[1:] != offset[:-1])
+    return pair[first] // len(r.codes), pair[first] % len(r.codes), offset[first]
+
+
 def _verified(a: np.ndarray, b: np.ndarray, offset: np.ndarray, q: Recordings, r: Recordings) -> tuple[np.ndarray, ...]:
     """Those of the given pairs and offsets that align. What is over the limit on the way is left out, as errors add up."""
     low = np.maximum(0, -offset)

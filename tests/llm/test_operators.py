@@ -341,6 +341,32 @@ def test_chroma_finds_every_alignment(size, errors, crowd):
     assert found == every
 
 
+def test_chroma_votes_of_chance_cost_nothing(monkeypatch):
+    """Codes that agree by chance, with no partner beside them, bring no offset to be verified; alignments that hang on one
+    kind of partner are found."""
+    rng = np.random.default_rng(5)
+    seen = []
+    plain = chroma._verified
+    monkeypatch.setattr(chroma, "_verified", lambda a, b, offset, q, r: seen.append(len(a)) or plain(a, b, offset, q, r))
+    base = [rng.integers(0, 2**32, 52, dtype=np.uint32) for _ in range(20)]
+    others = [rng.integers(0, 2**32, 52, dtype=np.uint32) for _ in range(400)]
+    for i, x in enumerate(others):
+        x[i % 52] = base[i % 20][(7 * i) % 52]
+    q, r = chroma.Recordings(np.arange(20), base), chroma.Recordings(np.arange(400) + 100, others)
+    assert not len(chroma.align_block(q, r)[0]) and sum(seen) < 40
+
+    def spoilt(part, wrong):
+        """So many wrong bits in each integer."""
+        return np.array([x ^ sum(1 << int(k) for k in rng.choice(32, n, replace=False)) for x, n in zip(part.tolist(), wrong)], dtype=np.uint32)
+
+    kinds = [[4] * 8 + [5] * 8, [5] * 8 + [4] * 8, [0] * 8 + [14] * 8 + [0] * 8, [4] * 8 + [6] * 8 + [4] * 8, [9, 0] * 8, [0, 9] * 8 + [0], [14] * 7 + [0] * 17]
+    parts = [spoilt(base[i][6 : 6 + len(wrong)], wrong) for i, wrong in enumerate(kinds)]
+    r = chroma.Recordings(np.arange(len(parts)) + 100, parts)
+    a, b, errors, offset = chroma.align_block(q, r)
+    assert sorted(zip(a.tolist(), b.tolist(), offset.tolist())) == [(i, i, -6) for i, wrong in enumerate(kinds)]
+    assert errors.tolist() == [sum(wrong) / 32 / len(wrong) for wrong in kinds]
+
+
 def test_chroma_of_frequent_codes_and_long_recordings(spark):
     """Recordings that share one code nearly everywhere (silence) are compared at all offsets, long ones as well."""
     rng = np.random.default_rng(12)
