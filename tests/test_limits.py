@@ -274,3 +274,30 @@ def test_analyse_pages_goes_over_the_documents_once_for_its_rows(spark):
     out = models.analyse_pages(documents, images, cache, lambda df: df.select("path", F.array(F.lit("found")).alias("objects")))
     assert sorted(map(tuple, out.collect())) == [(1, 0, "a", ["x"]), (1, 3, "a", ["x"]), (2, 0, "c", ["found"]), (2, 2, "d", ["found"])]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
+def test_rows_of_crowded_pages_go_to_few_shares(spark, monkeypatch, tmp_path):
+    """Of n objects and n answers with one form, in shares of p pairs, some n * n / sqrt(p) rows are shuffled, not n * n * n / p."""
+    objects = spark.createDataFrame([(1, i, "red bolt") for i in range(400)], "page int, obj_ord long, text string")
+    answers = spark.createDataFrame([(1000 + i, 1, 0, "red_") for i in range(400)], "qid long, page int, ans_ord int, answer string")
+    everything = {(q, i) for q in range(1000, 1400) for i in range(400)}
+
+    def shuffled(node) -> int:
+        below = node.children()
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if node.nodeName() == "Exchange" else 0
+        return own + sum(shuffled(below.apply(i)) for i in range(below.size()))
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        monkeypatch.setattr(corruption, "PAIRS", 400)
+        found = corruption.answer_locations(objects, answers).select("qid", "obj_ord")
+        got = found.collect()
+        assert len(got) == len(everything) and set(map(tuple, got)) == everything
+        assert shuffled(found._jdf.queryExecution().executedPlan()) < 400 * 400 / 20 * 2 * 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    monkeypatch.setattr(corruption, "PAIRS", 1 << 20)
+    corruption.answer_locations(objects, answers).select("qid", "obj_ord").write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(*map(str, files)).distinct().count() == len(everything) and sum(f.stat().st_size for f in files) < len(everything) / 3
